@@ -177,16 +177,22 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     small_batches(docs.sparkSession, 500)
     for items in _slices(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        docs = docs.where(~_leaks(docs.sparkSession, items)(F.col("text").cast("string")))
+    return docs
 
-        @arrow_udf("boolean")
-        def leaks(column: pa.Array, sent=sent) -> pa.Array:
-            out = np.zeros(len(column), bool)
-            out[[d for d, _, _ in matches(sent.value, *flat_utf8(column))]] = True
-            return pa.array(out)
 
-        docs = docs.where(~leaks(F.col("text").cast("string")))
-    return docs
+def _leaks(spark: SparkSession, items: list[Items]):
+    from pyspark.sql.functions import arrow_udf
+
+    sent = spark.sparkContext.broadcast(items)
+
+    @arrow_udf("boolean")
+    def leaks(column: pa.Array) -> pa.Array:
+        out = np.zeros(len(column), bool)
+        out[[d for d, _, _ in matches(sent.value, *flat_utf8(column))]] = True
+        return pa.array(out)
+
+    return leaks
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
