@@ -1,0 +1,177 @@
+"""Unit vectors of the operators."""
+
+from collections import Counter
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from graphloom.functions import text as T
+from graphloom.operators import generated, graph, retrieval, scoring, selection, triples
+from graphloom.plans import flows
+from graphloom.sources import models, tables
+
+
+def one(spark, expr, **values):
+    row = spark.createDataFrame([tuple(values.values())], list(values)) if values else spark.range(1)
+    return row.select(expr.alias("x")).first()["x"]
+
+
+def test_triple_parse(spark):
+    t = "the ball drop [SEP] started in [SEP] (ENT2) [PREP] on (ENT1)"
+    assert one(spark, T.elements(F.lit(t))) == ["the ball drop", "started in", "(ENT2)", "on (ENT1)"]
+    assert one(spark, T.entities(F.lit(t))) == ["(ENT2)", "(ENT1)"]
+    assert one(spark, T.elements(F.lit("no sep"))) is None
+    assert one(spark, T.elements(F.lit("[SEP]"))) is None
+    assert one(spark, T.definition(F.lit("(ENT1) [SEP] is [SEP] a musician"))) == "a musician"
+
+
+@pytest.mark.parametrize(
+    ("gold", "pred", "f1"),
+    [("red blue", "red green", 0.5), ("the", "", 1.0), ("the", "x", 0.0), ("a1 a1 b", "a1 a1 c", 2 / 3), ("The  Beatles!", "beatles", 1.0)],
+)
+def test_f1(spark, gold, pred, f1):
+    assert one(spark, T.token_f1(F.lit(pred), F.lit(gold))) == pytest.approx(f1)
+
+
+def test_scalars(spark):
+    assert one(spark, T.normalize_answer(F.lit("The  Beatles!"))) == "beatles"
+    assert one(spark, T.exact_match(F.lit("an apple"), F.lit("Apple."))) == 1
+    assert one(spark, T.boolean_answer(F.lit("True."))) is True
+    assert one(spark, T.boolean_answer(F.lit("no way"))) is False
+    assert one(spark, T.last_tag(F.lit("<search>x</search> <search>y</search>"), "search")) == "y"
+    assert one(spark, T.last_tag(F.lit("none"), "search")) is None
+    assert one(spark, T.definite(F.lit("Nevada city"))) == "Nevadthe city"
+    assert one(spark, T.infill_text(F.lit("Blank is Rome\nx"), F.lit("d"))) == "Rome"
+    assert one(spark, T.infill_text(F.lit(" "), F.lit("d"))) == "d"
+    assert one(spark, T.title_of(F.lit("(Title: A (b) c) text"))) == "A (b"
+    assert one(spark, T.triple_query(F.lit("(ENT1) [SEP] is [SEP] a character"))) == "1 is a character"
+    assert one(spark, T.question_mark(F.lit("who"))) == "who?"
+    assert one(spark, T.three_places(F.lit(0.0625))) in ("0.062", "0.063")
+    assert one(spark, T.passage_title(F.lit('"Rome"\nA city'))) == "Rome"
+    assert one(spark, generated.cot_text("t"), t="# Reasoning: long enough to be a chain\n# Triples:\nx") == "long enough to be a chain"
+
+
+words = st.lists(st.sampled_from(["red", "blue", "the", "x1", "A", ""]), max_size=6).map(" ".join)
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(words, words), min_size=1, max_size=8))
+def test_f1_property(spark, pairs):
+    def plain(a, b):
+        p, g = ([w for w in x.lower().split() if w not in ("a", "an", "the")] for x in (a, b))
+        if not p or not g:
+            return float(p == g)
+        n = sum((Counter(p) & Counter(g)).values())
+        return 2 * n / (len(p) + len(g))
+
+    rows = spark.createDataFrame(pairs, "p string, g string").select("p", "g", T.token_f1(F.col("p"), F.col("g")).alias("f"), T.token_f1(F.col("g"), F.col("p")).alias("r")).collect()
+    for x in rows:
+        assert x.f == pytest.approx(plain(x.p, x.g)) == pytest.approx(x.r)
+
+
+FACTS = [(1, "relation", 0, "(ENT1) [SEP] is part of [SEP] Tall Birds"), (1, "relation", 1, "(ENT1) [SEP] sings with [SEP] (ENT2)")]
+DEFS = [(1, "definition", 0, "(ENT1) [SEP] is [SEP] a musician"), (1, "definition", 1, "(ENT2) [SEP] is [SEP] a band")]
+COLS = "index long, kind string, pos int, triple string"
+
+
+def test_graph(spark):
+    facts, d = spark.createDataFrame(FACTS, COLS), triples.definitions(spark.createDataFrame(DEFS, COLS))
+    assert [tuple(r) for r in graph.adjacency(facts, d).collect()] == [(1, 0, 1)]
+    paths = sorted((r.path_index, r.path) for r in graph.valid_paths(facts, d).collect())
+    assert paths == [(0, ["(ENT1)", "(ENT2)"]), (1, ["(ENT2)", "(ENT1)"])]
+    q = {r.ent: r.query for r in graph.retrieval_query(facts.where("pos = 0"), d).collect()}
+    assert q == {"(ENT1)": "a musician is part of Tall Birds.", "(ENT2)": "a band"}
+    i = {r.ent: r.query for r in graph.infill_query(facts.where("pos = 0"), d).collect()}
+    assert i["(ENT1)"] == "<extra_id_0> is part of Tall Birds. <extra_id_0> is a musician."
+
+
+def test_isolated_entities_have_one_path(spark):
+    d = spark.createDataFrame([(1, f"(ENT{k})", k, "x") for k in range(3)], "index long, ent string, ord int, definition string")
+    none = spark.createDataFrame([], COLS)
+    assert [r.path for r in graph.valid_paths(none, d).collect()] == [["(ENT0)", "(ENT1)", "(ENT2)"]]
+
+
+def test_compare_and_repair(spark):
+    rows = [(1, "cot", "A [SEP] x"), (1, "cot", "B [SEP] x"), (1, "doc", "b [SEP]  X"), (1, "doc", "C [SEP] x"), (1, "doc", "D [SEP] x")]
+    r = triples.compare(spark.createDataFrame(rows, "index long, source string, triple string"), "cot", "doc").first()
+    assert (r.overlap, r.precision, r.recall) == (1, 0.5, pytest.approx(1 / 3)) and r.f1 == pytest.approx(0.4)
+    s = spark.createDataFrame([(1, ["(ENT1) [SEP] runs [SEP] x"], ["(ENT1) [SEP] is [SEP] a film"])], "index long, cot_def_triples array<string>, cot_triples array<string>")
+    r = triples.repair(s).first()
+    assert r.changed and r.cot_def_triples == ["(ENT1) [SEP] is [SEP] a film"] and r.cot_triples == ["(ENT1) [SEP] runs [SEP] x"]
+
+
+def test_last_definition_counts(spark):
+    rows = [(1, "definition", 0, "(ENT1) [SEP] is [SEP] a film"), (1, "definition", 1, "(ENT1) [SEP] is [SEP] a Disney film")]
+    r = triples.definitions(spark.createDataFrame(rows, COLS)).first()
+    assert (r.ent, r.ord, r.definition) == ("(ENT1)", 0, "a Disney film")
+
+
+def test_evidence_cap_counts_gold(spark):
+    gold = spark.createDataFrame([(1, i, 100 + i, f"g{i}") for i in range(2)], "qid long, ord long, doc_id long, evidence string")
+    hits = spark.createDataFrame([(1, i, i, f"h{i}") for i in range(5)], "qid long, ord long, doc_id long, evidence string")
+    out = retrieval.assemble(gold, hits, "open-book+gold", 5).orderBy("pos").collect()
+    assert [r.evidence for r in out] == ["g0", "g1", "h0", "h1", "h2"] and [r.is_gold for r in out] == [1, 1, 0, 0, 0]
+    assert retrieval.assemble(gold, hits, "open-book+gold", 5, total=True).count() == 7
+
+
+def test_rollup_counts_null_scores_as_zero(spark):
+    rows = spark.createDataFrame([(2, 1, 1.0), (2, None, None), (3, 1, 0.5)], "num_hops int, em_score int, f1_score double")
+    assert {r.hops: (r.n, r.em, r.f1) for r in scoring.by_hop(rows).collect()} == {"total": (3, 2 / 3, 0.5), "2": (2, 0.5, 0.5), "3": (1, 1.0, 0.5)}
+    lines = [r.value for r in scoring.metric_lines(scoring.by_hop(rows)).collect()]
+    assert lines[0] == "Hops: 2, EM: 0.500, F1: 0.500"
+    assert {r.hops: r.n for r in scoring.fixed_hops(rows).collect()} == {"total": 3, "2": 2, "3": 1, "4": 0}
+
+
+def test_selection(spark):
+    rows = spark.range(100).withColumn("h", F.col("id") % 3)
+    s = selection.stratified_sample(rows, {0: 5, 1: 7}, "h", F.col("id"))
+    assert s.groupBy("h").count().orderBy("h").collect() == [(0, 5), (1, 7)]
+    left = selection.reindex(selection.complement(rows, s, "id"), "id")
+    assert [r["index"] for r in left.orderBy("id").collect()] == list(range(88))
+    assert selection.complete(rows, rows, "id") and not selection.complete(rows, s, "id")
+
+
+def test_files_round_trip(spark, tmp_path):
+    (tmp_path / "s.json").write_text('[{"index": 1, "question": "q", "num_hops": 2, "answer": "a"}, {"index": 2}]')
+    rows = tables.read_samples(spark, str(tmp_path / "s.json"))
+    assert [r.question for r in rows.orderBy("index").collect()] == ["q", None]
+    tables.write_results(rows.drop("source_file"), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    memo = tables.MemoTable(spark, str(tmp_path / "memo"))
+    for _ in range(2):
+        memo.append(spark.createDataFrame([("p", "v")], tables.MEMO))
+    assert memo.read().collect() == [("p", "v")]
+    config = tables.EngineConfig(top_k=3)
+    assert "top_k=3" in config.output_path("r", "answering")
+    with pytest.raises(ValueError):
+        tables.EngineConfig(setting="closed")
+
+
+def test_stream(spark, tmp_path):
+    from graphloom.streaming.ingest import run_batches, sample_stream
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text('{"index": 1, "question": "q"}\n{"index": 1, "question": "q"}\n{"index": 2, "question": "r"}\n')
+    run_batches(sample_stream(spark, str(tmp_path / "in")), lambda b: b.select("index", "question"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert sorted(r["index"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_models_answer_every_distinct_prompt_once(spark):
+    rows = spark.createDataFrame([(1, "Rome is old.", "Rome is old"), (2, "Rome is old.", "Rome is old"), (3, "x", "Berlin grew fast")], "i int, evidence string, claim string")
+    out = {r.i: r.supported for r in models.verify(rows, models.StubBackend()).collect()}
+    assert out == {1: True, 2: True, 3: False}
+    with pytest.raises(ValueError):
+        models.backend("nobody")
+
+
+def test_small_run(spark):
+    docs = spark.createDataFrame([(1, "Tall Birds\nTall Birds is a band with Ann Lee."), (2, "Rome\nRome is a city.")], "doc_id long, contents string")
+    keep = lambda d: d.cache()
+    c = flows.Corpus(docs, keep)
+    s = spark.createDataFrame([(1, "Who is in Tall Birds?", "Ann Lee", 2), (2, "Where is Rome?", "Italy", 2)], "index long, question string, answer string, num_hops int")
+    gold = spark.createDataFrame([], "index long, ord long, doc_id long, evidence string")
+    facts = spark.createDataFrame(FACTS + DEFS, COLS)
+    out = {r["index"]: r for r in flows.graph_check(s, facts, c, gold, models.StubBackend(), tables.EngineConfig(), keep).collect()}
+    assert set(out) == {1, 2} and out[2].best_path_confidence == 0.0 and out[1].prediction in ("SUPPORTED", "NOT_SUPPORTED")
