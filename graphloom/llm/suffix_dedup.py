@@ -17,8 +17,8 @@ row: anchor hash, hash of the stretch that they span, place.
    stretches (under 2 * LENGTH bytes each) are cut from the texts, brought together
    by anchor and sorted.
 An anchor that is in very many different stretches (over CROWD rows) isn't
-brought together: its strings are filed one by one under their own hash, and the
-first of each is the minimum of a partial aggregate.
+brought together: its strings are filed one by one under their own hash, each task
+those that it doesn't know to be repeats, and sorted; all but the first of a hash go.
 
 Order of documents: doc_id, nulls last; rows that share an id and differ in text
 are told apart and ordered by 15 bits of a hash of the text; rows that share both
@@ -158,25 +158,37 @@ def _batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) if not isinstance(c, pa.Array) else c for c in columns], names=names)
 
 
-def _combine(h, w, doc, p, done):
-    """Rows of a task: the first of each equal stretch stays as it is; the others are repeats already (w = 0)."""
+def _combine(h, w, doc, p):
+    """Rows of a task: the first of each equal stretch stays as it is. The others are repeats
+    already; neighbours among them become one range: w is then its end, h only spreads the rows."""
     order = np.lexsort((p, doc, w, h))
-    h, w, doc, p, done = h[order], w[order], doc[order], p[order], done[order]
+    h, w, doc, p = h[order], w[order], doc[order], p[order]
     again = np.zeros(len(h), bool)
     again[1:] = (h[1:] == h[:-1]) & (w[1:] == w[:-1]) & ((doc[1:] != doc[:-1]) | (p[1:] != p[:-1]))
-    return h, w, doc, p, done | again
+    d, q = doc[again], p[again]
+    order = np.lexsort((q, d))
+    d, q = d[order], q[order]
+    start, _, more = _unpack(q)
+    end = start + more + LENGTH
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (q[1:] >> 48 != q[:-1] >> 48) | (start[1:] > end[:-1])
+    begin = np.flatnonzero(new)
+    d, q, end = d[begin], q[begin], end[np.append(begin[1:], len(d)) - 1] if len(d) else end
+    spread = mix(q.view(np.uint64) ^ mix(d.view(np.uint64))).view(np.int64)
+    first = ~again
+    done = np.concatenate([np.zeros(int(first.sum()), bool), np.ones(len(d), bool)])
+    return (*(np.concatenate(x) for x in ((h[first], spread), (w[first], end), (doc[first], d), (p[first], q))), done)
 
 
 def _file_rows(docs: DataFrame) -> DataFrame:
-    """(h, w, doc_id, p, done) of every stretch; done: known to be a repeat within its task."""
+    """(h, w, doc_id, p, done) of every stretch; done: a range known to be repeats within its task."""
 
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
         count = 0
 
         def flush():
-            cols = [np.concatenate([x[i] for x in held]) for i in range(4)]
-            return _batch(["h", "w", "doc_id", "p", "done"], *_combine(*cols, np.zeros(len(cols[0]), bool)))
+            return _batch(["h", "w", "doc_id", "p", "done"], *_combine(*(np.concatenate([x[i] for x in held]) for i in range(4))))
 
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -217,7 +229,7 @@ def _pieces(flat: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 def _sift(rows: DataFrame) -> DataFrame:
     """Rows sorted by (h, w, doc_id, p) -> (state, h, doc_id, p): 1 a repeat, 2 to be compared
-    by suffix order. Holds what one anchor's rows need: the last row, and the one that waits for a second stretch."""
+    by suffix order, 3 a known range that ends at h. Holds what one anchor's rows need: the last row, and the one that waits for a second stretch."""
 
     def run(batches):
         last = None  # h, w, doc, p of the last row that counts as a first
@@ -237,7 +249,7 @@ def _sift(rows: DataFrame) -> DataFrame:
             pd_[1:], pp[1:] = doc[:-1], p[:-1]
             pd_[0], pp[0] = (last[2], last[3]) if last else (doc[0], p[0])
             twin = same & (pd_ == doc) & (pp == p)  # the same row again: a repeated document
-            repeat = (same & ~twin) | done
+            repeat = same & ~twin
             first = ~same
             # a first is compared if its anchor has another: before it, or after it
             group = np.cumsum(~same_h)
@@ -263,7 +275,8 @@ def _sift(rows: DataFrame) -> DataFrame:
             else:
                 waiting = None
             last = (h[-1], w[-1], doc[-1], p[-1])
-            state = np.where(repeat, 1, np.where(compare, 2, 0))
+            state = np.where(done, 3, np.where(repeat, 1, np.where(compare, 2, 0)))
+            h = np.where(done, w, h)
             keep = np.flatnonzero(state)
             front = np.array(head, np.int64).reshape(-1, 3)
             yield _batch(names, np.concatenate([np.full(len(head), 2), state[keep]]).astype(np.int32), *(np.concatenate([front[:, i], x[keep]]) for i, x in enumerate((h, doc, p))))
@@ -336,23 +349,74 @@ def _compare(cut: DataFrame) -> DataFrame:
 
 
 def _strings(cut: DataFrame) -> DataFrame:
-    """Stretches -> (key, doc_id, th, s): one row per string, under its own hash. For anchors of very many stretches."""
+    """Stretches -> (key, doc_id, q, known): one row per string, under its own hash; q: 15 bits of
+    text hash, start. For anchors of very many stretches. What a task has twice it knows to be a repeat."""
 
     def run(batches):
+        def flush(held):
+            key, doc, q = (np.concatenate([x[i] for x in held]) for i in range(3))
+            order = np.lexsort((q, doc, key))
+            key, doc, q = key[order], doc[order], q[order]
+            again = np.zeros(len(key), bool)
+            again[1:] = (key[1:] == key[:-1]) & ((doc[1:] != doc[:-1]) | (q[1:] != q[:-1]))
+            key[again] = mix(q[again].view(np.uint64) ^ mix(doc[again].view(np.uint64))).view(np.int64)  # spread
+            # of neighbouring repeats one row in LENGTH covers the same bytes, with the last of a run
+            keep = ~again
+            at = np.flatnonzero(again)
+            at = at[np.lexsort((q[at], doc[at]))]
+            edge = np.ones(len(at), bool)
+            if len(at):
+                new = np.ones(len(at), bool)
+                new[1:] = (doc[at[1:]] != doc[at[:-1]]) | (q[at[1:]] != q[at[:-1]] + 1)
+                begin = np.flatnonzero(new)
+                run_of = np.cumsum(new) - 1
+                k = np.arange(len(at)) - begin[run_of]
+                edge = (k % LENGTH == 0) | np.append(new[1:], True)
+            keep[at[edge]] = True
+            return _batch(["key", "doc_id", "q", "known"], key[keep], doc[keep], q[keep], again[keep])
+
+        held, count = [], 0
         for b in batches:
             raw = b.column(3).to_pylist()
-            length = np.array([len(x) for x in raw], np.int64)
             if not len(raw):
                 continue
+            length = np.array([len(x) for x in raw], np.int64)
             flat = np.frombuffer(b"".join(raw), np.uint8)
-            prefix, base, count = prefix_hashes(flat), np.cumsum(length) - length, length - LENGTH + 1
-            row = np.repeat(np.arange(len(raw)), count)
-            k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            prefix, base, n = prefix_hashes(flat), np.cumsum(length) - length, length - LENGTH + 1
+            row = np.repeat(np.arange(len(raw)), n)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             key = _hash(prefix, base[row] + k, base[row] + k + LENGTH).view(np.int64)
             p = b.column(2).to_numpy()[row]
-            yield _batch(["key", "doc_id", "th", "s"], key, b.column(1).to_numpy()[row], p >> 48, _unpack(p)[0] + k)
+            held.append((key, b.column(1).to_numpy()[row], (p >> 48 << 48) | (_unpack(p)[0] + k)))
+            count += len(row)
+            if count >= ROWS:
+                yield flush(held)
+                held, count = [], 0
+        if held:
+            yield flush(held)
+
+    return cut.mapInArrow(run, "key bigint, doc_id bigint, q bigint, known boolean")
+
+
+def _later(strings: DataFrame) -> DataFrame:
+    """Strings sorted by (key, doc_id, q) -> (doc_id, th, s, e) of all but the first of each key."""
+
+    def run(batches):
+        last = None
+        for b in batches:
+            key, doc, q = (b.column(i).to_numpy() for i in range(3))
+            if not len(key):
+                continue
+            k, d, p = (np.concatenate([x[:1] if last is None else np.array([y], np.int64), x[:-1]]) for x, y in zip((key, doc, q), last or (0, 0, 0), strict=True))
+            again = (k == key) & ((d != doc) | (p != q))
+            if last is None:
+                again[0] = False
+            last = key[-1], doc[-1], q[-1]
+            again |= b.column(3).to_numpy(zero_copy_only=False)
+            s = q[again] & ((1 << 48) - 1)
+            yield _batch(["doc_id", "th", "s", "e"], doc[again], q[again] >> 48, s, s + LENGTH)
 
-    return cut.mapInArrow(run, "key bigint, doc_id bigint, th bigint, s bigint")
+    return strings.mapInArrow(run, "doc_id bigint, th bigint, s bigint, e bigint")
 
 
 def _apply(rows: DataFrame) -> DataFrame:
@@ -399,6 +463,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sifted = durable_table(_sift(rows.repartition(n, "h").sortWithinPartitions("h", "w", "doc_id", "p")))
     known = sifted.where("state = 1").selectExpr("doc_id", "p >> 48 th", "(p >> 14) & 17179869183 s", f"((p >> 14) & 17179869183) + (p & 127) + {LENGTH} e")
+    known = known.unionByName(sifted.where("state = 3").selectExpr("doc_id", "p >> 48 th", "(p >> 14) & 17179869183 s", "h e"))
     asked = sifted.where("state = 2").select("h", "doc_id", "p").distinct()
     sizes = asked.groupBy("h").count().where(F.col("count") > CROWD).select("h")
     crowded = durable(sizes)
@@ -406,11 +471,8 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     if crowded.isEmpty():
         return ranges.unionByName(_compare(_sorted(_ask(docs, asked), n)))
     ranges = ranges.unionByName(_compare(_sorted(_ask(docs, asked.join(crowded, "h", "left_anti")), n)))
-    strings = durable_table(_strings(_ask(docs, asked.join(crowded, "h", "left_semi"))))
-    place = F.struct("doc_id", "th", "s")
-    first = strings.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    again = strings.join(first, "key").where(place > F.col("first"))
-    return ranges.unionByName(again.select("doc_id", "th", "s", (F.col("s") + LENGTH).alias("e")))
+    strings = _strings(_ask(docs, asked.join(crowded, "h", "left_semi")))
+    return ranges.unionByName(_later(strings.repartition(n, "key").sortWithinPartitions("key", "doc_id", "q")))
 
 
 def _ask(docs: DataFrame, asked: DataFrame) -> DataFrame:
