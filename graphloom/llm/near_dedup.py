@@ -7,9 +7,10 @@ shares one with a probability over 0.999). A pair from a bucket passes the pivot
 distance table of simhash.py (largest coordinate difference, then Hamming distance,
 RADIUS) and is verified by exact similarity.
 
-A bucket doesn't form all its pairs. First every member meets the bucket's smallest
-node only; then components are formed, and only members of different components of
-a bucket still meet. A pair inside one component adds nothing to the groups, so
+A bucket doesn't form all its pairs. First every node meets the smallest node
+of its buckets; components are formed, and nodes meet the smallest nodes of their
+other buckets that are of another component; at last all members of different
+components of a bucket meet. A pair inside one component adds nothing to the groups, so
 none is lost by that.
 
 Defined results: documents without a word (null, empty) are one group. The smallest
@@ -132,7 +133,7 @@ def _passing(joined: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """keyed() docs -> (sketches (id__, th__, node), roots (node, root)); nodes without a link have no root."""
+    """keyed() docs -> (sketches (id__, th__, node), names (node, root)) of all nodes."""
     sketched = durable(sketches(docs))
     place = F.struct("id__", "th__")
     nodes = durable(sketched.groupBy("node").agg(F.min(place).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("node", "first.*", "fp", "bands"))
@@ -140,23 +141,40 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = nodes.select(F.struct("node", "fp").alias("x"), F.posexplode("bands").alias("t", "k")).select("x", F.xxhash64("t", "k").alias("k"))
     shared = buckets.groupBy("k").agg(F.min("x").alias("q"), F.count("*").alias("n")).where("n > 1").select("k", "q")
     met = durable(buckets.join(shared, "k").select("k", F.col("x").alias("p"), "q"))
-    one = _linked(docs, nodes, _passing(met.where("p.node <> q.node")))
-    roots = connected_components(one)
-    named = met.join(roots.select(F.col("node").alias("n__"), "root"), F.col("p.node") == F.col("n__"), "left").select("k", "p", F.coalesce("root", F.col("p.node")).alias("root"))
+    passing = durable(_passing(met.where("p.node <> q.node")))
+    # first each node meets one node only, the smallest of its buckets: at most a pair per node
+    names = _merge(nodes.select("node", F.col("node").alias("root")), _linked(docs, nodes, passing.groupBy("u").agg(F.min("v").alias("v"))))
+    # then the smallest nodes of its other buckets, where they are of another component
+    names = _merge(names, _linked(docs, nodes, _apart(passing, names)))
+    named = met.select("k", "p").join(names.select(F.col("node").alias("n__"), "root"), F.col("p.node") == F.col("n__")).select("k", "p", "root")
     split = named.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
     open_ = durable(named.join(split, "k"))
-    a, b = open_.alias("a"), open_.alias("b")
-    across = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.root") < F.col("b.root"))).select(F.col("a.p").alias("p"), F.col("b.p").alias("q"))
-    across = _passing(across)
-    two = _linked(docs, nodes, across)
-    return sketched.select("id__", "th__", "node"), connected_components(one.unionByName(two))
+    x, y = open_.alias("x"), open_.alias("y")
+    across = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.root") < F.col("y.root"))).select(F.col("x.p").alias("p"), F.col("y.p").alias("q"))
+    return sketched.select("id__", "th__", "node"), _merge(names, _linked(docs, nodes, _passing(across)))
+
+
+def _rooted(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of nodes with their roots a, b."""
+    a, b = names.select(F.col("node").alias("u"), F.col("root").alias("a")), names.select(F.col("node").alias("v"), F.col("root").alias("b"))
+    return pairs.join(a, "u").join(b, "v")
+
+
+def _apart(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    return _rooted(pairs, names).where("a <> b").select("u", "v")
+
+
+def _merge(names: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after the links: components are formed of the roots, not of all nodes again."""
+    over = connected_components(_rooted(links, names).select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("root"), F.col("root").alias("new__"))
+    return durable(names.join(over, "root", "left").select("node", F.coalesce("new__", "root").alias("root")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Rows and columns of docs, one row of each group."""
     own = keyed(docs)
     sketched, roots = groups(own)
-    rooted = sketched.join(roots, "node", "left").select("id__", "th__", F.coalesce("root", "node").alias("root"))
+    rooted = sketched.join(roots, "node").select("id__", "th__", "root")
     place = F.struct("id__", "th__")
     stay = rooted.groupBy("root").agg(F.min(place).alias("stay"))
     gone = durable(rooted.join(stay, "root").where(place != F.col("stay")).select("id__", "th__").distinct())
