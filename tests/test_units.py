@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as T
 from graphloom.operators import generated, graph, retrieval, scoring, selection, triples
 from graphloom.plans import flows
+from graphloom.plans.queries import _keep
 from graphloom.sources import models, tables
 
 
@@ -168,7 +169,7 @@ def test_models_answer_every_distinct_prompt_once(spark):
 
 def test_small_run(spark):
     docs = spark.createDataFrame([(1, "Tall Birds\nTall Birds is a band with Ann Lee."), (2, "Rome\nRome is a city.")], "doc_id long, contents string")
-    keep = lambda d: d.cache()
+    keep = _keep(spark)
     c = flows.Corpus(docs, keep)
     s = spark.createDataFrame([(1, "Who is in Tall Birds?", "Ann Lee", 2), (2, "Where is Rome?", "Italy", 2)], "index long, question string, answer string, num_hops int")
     gold = spark.createDataFrame([], "index long, ord long, doc_id long, evidence string")
