@@ -9,9 +9,9 @@ RADIUS) and is verified by exact similarity.
 
 A bucket doesn't form all its pairs. First every node meets the smallest node
 of its buckets; components are formed, and nodes meet the smallest nodes of their
-other buckets that are of another component; at last all members of different
-components of a bucket meet. A pair inside one component adds nothing to the groups, so
-none is lost by that.
+other buckets that are of another component; at last members of different components
+of a bucket meet, less the pairs that exact bounds rule out (_across). A pair inside one
+component adds nothing to the groups, so none is lost by that.
 
 Defined results: documents without a word (null, empty) are one group. The smallest
 doc_id of a group stays, nulls last, ties by a hash of the text; of rows that agree
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import connected_components, durable, flat_utf8, small_batches
+from ._spark import connected_components, durable, durable_table, flat_utf8, small_batches
 from ._words import mix, shingle_hashes, simhash, word_hashes
 from .simhash import _near, pivot_table
 
@@ -146,12 +146,54 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = _merge(nodes.select("node", F.col("node").alias("root")), _linked(docs, nodes, passing.groupBy("u").agg(F.min("v").alias("v"))))
     # then the smallest nodes of its other buckets, where they are of another component
     names = _merge(names, _linked(docs, nodes, _apart(passing, names)))
-    named = met.select("k", "p").join(names.select(F.col("node").alias("n__"), "root"), F.col("p.node") == F.col("n__")).select("k", "p", "root")
+    named = met.select("k", "p").join(names.select(F.col("node").alias("n__"), "root"), F.col("p.node") == F.col("n__")).select("k", "p.node", "p.fp", "root")
     split = named.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
     open_ = durable(named.join(split, "k"))
-    x, y = open_.alias("x"), open_.alias("y")
-    across = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.root") < F.col("y.root"))).select(F.col("x.p").alias("p"), F.col("y.p").alias("q"))
-    return sketched.select("id__", "th__", "node"), _merge(names, _linked(docs, nodes, _passing(across)))
+    few = durable(open_.select("node", "root").distinct())
+    sets = durable_table(_sets(docs, nodes.join(few, "node", "left_semi").select("id__", "th__", "node")).join(few, "node"))
+    links = durable(_verify(durable(_across(open_, sets)), sets))
+    return sketched.select("id__", "th__", "node"), _merge(names, links)
+
+
+def _exclusive(sets: DataFrame) -> DataFrame:
+    """(node, n, e) of sets (node, shingles, root): n shingles, e of them in no other component."""
+
+    def run(batches):
+        for b in batches:
+            for node, root, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                wide = np.zeros((len(raw) // 6, 8), np.uint8)
+                wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+                h = wide.view("<i8").ravel()
+                for i in range(0, len(h), 1 << 16):
+                    m = len(h[i : i + (1 << 16)])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[i : i + m]), pa.array(np.full(m, node, np.int64)), pa.array(np.full(m, root, np.int64))], names=["h", "node", "root"])
+
+    rows = sets.select("node", "root", "shingles").mapInArrow(run, "h bigint, node bigint, root bigint")
+    own = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo = hi").select("h")
+    e = rows.select("h", "node").join(own, "h", "left_semi").groupBy("node").agg(F.count("*").alias("e"))
+    return sets.select("node", F.floor(F.octet_length("shingles") / 6).alias("n")).join(e, "node", "left").select("node", "n", F.coalesce("e", F.lit(0)).alias("e"))
+
+
+def _across(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v) of buckets (k, node, fp, root): members of different components that may be similar enough.
+
+    A shingle of no other component is in one of two sets only, so a pair at 0.8 has
+    9 (e + e') <= n + n' and 9 min(n - e, n' - e') >= 4 (n + n'). A node that meets the first
+    bound with no member of a bucket leaves it before pairs are formed. A pair is formed in
+    its first common bucket only. What is left may still grow with the square of a group whose
+    members lie just under the threshold: no bound tells these apart, and none is dropped."""
+    known = open_.join(durable(_exclusive(sets)), "node")
+    best = known.groupBy("k").agg(F.min("e").alias("e_min"), F.max("n").alias("n_max"))
+    able = durable(known.join(best, "k").where("9 * (e + e_min) <= n + least(n_max, 1.25 * n)").select("k", "node", "fp", "root", "n", "e"))
+    split = able.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
+    left = durable(able.join(split, "k"))
+    keys = left.groupBy("node").agg(F.collect_list("k").alias("ks"))  # at most BANDS of a node
+    left = durable(left.join(keys, "node"))
+    side = lambda c: left.select("k", F.struct("node", "fp", "root", "n", "e", "ks", pivot_table(F.col("fp")).alias("pivots")).alias(c))
+    both = F.expr("9 * (p.e + q.e) <= p.n + q.n and 9 * least(p.n - p.e, q.n - q.e) >= 4 * (p.n + q.n) and p.root < q.root")
+    x, y = side("p").alias("x"), side("q").alias("y")
+    met = x.join(y, (F.col("x.k") == F.col("y.k")) & both & _near("p", "q", RADIUS) & (F.array_min(F.array_intersect("p.ks", "q.ks")) == F.col("x.k")))
+    return met.select(F.col("p.node").alias("u"), F.col("q.node").alias("v"))
 
 
 def _rooted(pairs: DataFrame, names: DataFrame) -> DataFrame:
