@@ -9,9 +9,11 @@ RADIUS) and is verified by exact similarity.
 
 A bucket doesn't form all its pairs. First every node meets the smallest node
 of its buckets; components are formed, and nodes meet the smallest nodes of their
-other buckets that are of another component; at last members of different components
-of a bucket meet, less the pairs that exact bounds rule out (_across). A pair inside one
-component adds nothing to the groups, so none is lost by that.
+other buckets that are of another component. What is then still apart is described by
+its differences from the majority set of its cluster of buckets: sets that are close to that
+are similar for certain and are linked to the closest one (_sure), and members of different
+components of a bucket meet less the pairs that exact bounds rule out (_across). A pair
+inside one component adds nothing to the groups, so none is lost by that.
 
 Defined results: documents without a word (null, empty) are one group. The smallest
 doc_id of a group stays, nulls last, ties by a hash of the text; of rows that agree
@@ -35,6 +37,10 @@ THRESHOLD = 0.8
 #: Bits by which fingerprints of such pairs may differ: 15 in 100 in expectation, and four standard deviations.
 RADIUS = 21
 BANDS, ROWS = 20, 5
+#: Nodes of a cluster that meet its centre under one salt.
+SALTED = 64
+#: Hash classes in which shared differences are counted.
+CLASSES = 64
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 _C = mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64))
 
@@ -147,52 +153,119 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # then the smallest nodes of its other buckets, where they are of another component
     names = _merge(names, _linked(docs, nodes, _apart(passing, names)))
     named = met.select("k", "p").join(names.select(F.col("node").alias("n__"), "root"), F.col("p.node") == F.col("n__")).select("k", "p.node", "p.fp", "root")
-    split = named.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
-    open_ = durable(named.join(split, "k"))
-    few = durable(open_.select("node", "root").distinct())
-    sets = durable_table(_sets(docs, nodes.join(few, "node", "left_semi").select("id__", "th__", "node")).join(few, "node"))
-    links = durable(_verify(durable(_across(open_, sets)), sets))
+    open_ = durable(_split(named, "k"))
+    few = durable(open_.select("node").distinct())
+    sets = durable_table(_sets(docs, nodes.join(few, "node", "left_semi").select("id__", "th__", "node")))
+    deltas = _deltas(sets, _clusters(open_))
+    names = _merge(names, durable(_sure(deltas)))
+    links = durable(_verify(durable(_across(open_, deltas.join(names, "node"))), sets))
     return sketched.select("id__", "th__", "node"), _merge(names, links)
 
 
-def _exclusive(sets: DataFrame) -> DataFrame:
-    """(node, n, e) of sets (node, shingles, root): n shingles, e of them in no other component."""
+def _each(*columns: str):
+    """For mapInArrow: one row (h, the columns) of each number in the binary column that comes first."""
 
     def run(batches):
-        for b in batches:
-            for node, root, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                wide = np.zeros((len(raw) // 6, 8), np.uint8)
-                wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-                h = wide.view("<i8").ravel()
+        for batch in batches:
+            for raw, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = np.frombuffer(raw, "<i8")
                 for i in range(0, len(h), 1 << 16):
-                    m = len(h[i : i + (1 << 16)])
-                    yield pa.RecordBatch.from_arrays([pa.array(h[i : i + m]), pa.array(np.full(m, node, np.int64)), pa.array(np.full(m, root, np.int64))], names=["h", "node", "root"])
-
-    rows = sets.select("node", "root", "shingles").mapInArrow(run, "h bigint, node bigint, root bigint")
-    own = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo = hi").select("h")
-    e = rows.select("h", "node").join(own, "h", "left_semi").groupBy("node").agg(F.count("*").alias("e"))
-    return sets.select("node", F.floor(F.octet_length("shingles") / 6).alias("n")).join(e, "node", "left").select("node", "n", F.coalesce("e", F.lit(0)).alias("e"))
-
-
-def _across(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v) of buckets (k, node, fp, root): members of different components that may be similar enough.
-
-    A shingle of no other component is in one of two sets only, so a pair at 0.8 has
-    9 (e + e') <= n + n' and 9 min(n - e, n' - e') >= 4 (n + n'). A node that meets the first
-    bound with no member of a bucket leaves it before pairs are formed. A pair is formed in
-    its first common bucket only. What is left may still grow with the square of a group whose
-    members lie just under the threshold: no bound tells these apart, and none is dropped."""
-    known = open_.join(durable(_exclusive(sets)), "node")
-    best = known.groupBy("k").agg(F.min("e").alias("e_min"), F.max("n").alias("n_max"))
-    able = durable(known.join(best, "k").where("9 * (e + e_min) <= n + least(n_max, 1.25 * n)").select("k", "node", "fp", "root", "n", "e"))
-    split = able.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
-    left = durable(able.join(split, "k"))
+                    part = h[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(np.full(len(part), x, np.int64)) for x in rest)], names=["h", *columns])
+
+    return run
+
+
+def _widen(raw: bytes) -> np.ndarray:
+    """Numbers of 8 bytes from those of 6 of a set."""
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<i8").ravel()
+
+
+def _clusters(open_: DataFrame) -> DataFrame:
+    """(node, c, size, salt): nodes that buckets (k, node) connect have one c; a salt is of about SALTED nodes."""
+    low = open_.groupBy("k").agg(F.min("node").alias("v"))
+    named = connected_components(open_.join(low, "k").select(F.col("node").alias("u"), "v")).select("node", F.col("root").alias("c"))
+    sizes = named.groupBy("c").agg(F.count("*").alias("size"))
+    return durable(named.join(sizes, "c").select("node", "c", "size", F.expr(f"pmod(xxhash64(node), 1 + size div {SALTED})").alias("salt")))
+
+
+def _deltas(sets: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(node, c, n, d, delta binary): the n shingles of a set, and the d in which it differs from its cluster's centre.
+
+    The centre holds what over half the cluster's sets hold, so it has at most twice their mean length."""
+
+    def widen(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_widen(x).tobytes() for x in b.column(0).to_pylist()], pa.binary()), *b.columns[1:]], names=["h", "c", "size"])
+
+    def differ(batches):
+        for b in batches:
+            n, d, out = [], [], []
+            for raw, centre in zip(b.column(2).to_pylist(), b.column(3), strict=True):
+                own = _widen(raw)
+                delta = np.setxor1d(own, centre.values.to_numpy(), assume_unique=True) if centre.is_valid else own
+                n.append(len(own))
+                d.append(len(delta))
+                out.append(delta.astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(out, pa.binary())], names=["node", "c", "n", "d", "delta"])
+
+    own = sets.select("node", "shingles").join(clusters, "node")
+    rows = own.select("shingles", "c", "size").mapInArrow(widen, "h binary, c bigint, size bigint").mapInArrow(_each("c", "size"), "h bigint, c bigint, size bigint")
+    most = rows.groupBy("c", "size", "h").agg(F.count("*").alias("count")).where("2 * count > size")
+    centre = most.groupBy("c", "size").agg(F.collect_list("h").alias("centre")).select("c", F.explode(F.expr(f"sequence(0L, size div {SALTED})")).alias("salt"), "centre")
+    small_batches(sets.sparkSession, 100)
+    return durable_table(own.join(centre, ["c", "salt"], "left").select("node", "c", "shingles", "centre").mapInArrow(differ, "node bigint, c bigint, n bigint, d bigint, delta binary"))
+
+
+def _sure(deltas: DataFrame) -> DataFrame:
+    """(u, v): each node with the one closest to its cluster's centre, if their differences to it alone prove 0.8."""
+    slack = deltas.select("node", "c", F.expr("n - 9 * d").alias("s"))
+    best = slack.groupBy("c").agg(F.max(F.struct("s", "node")).alias("best"))
+    return slack.join(best, "c").where("s + best.s >= 0 and node <> best.node").select(F.col("node").alias("u"), F.col("best.node").alias("v"))
+
+
+def _shared(deltas: DataFrame) -> DataFrame:
+    """(node, n, d, root, y, classes) of deltas with roots: y of its d differences are in another component of the
+    cluster too, dealt to CLASSES hash classes."""
+    rows = deltas.select("delta", "c", "node", "root").mapInArrow(_each("c", "node", "root"), "h bigint, c bigint, node bigint, root bigint")
+    common = rows.groupBy("c", "h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("c", "h")
+    counts = F.array(*[F.count_if(F.expr(f"pmod(h, {CLASSES}) = {i}")).cast("int") for i in range(CLASSES)])
+    y = rows.select("c", "h", "node").join(common, ["c", "h"], "left_semi").groupBy("node").agg(F.count("*").alias("y"), counts.alias("classes"))
+    none = F.array_repeat(F.lit(0), CLASSES)
+    return deltas.select("node", "n", "d", "root").join(y, "node", "left").select("node", "n", "d", "root", F.coalesce("y", F.lit(0)).alias("y"), F.coalesce("classes", none).alias("classes"))
+
+
+def _split(members: DataFrame, key: str) -> DataFrame:
+    """Those members whose key holds more than one root."""
+    mixed = members.groupBy(key).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(key)
+    return members.join(mixed, key)
+
+
+def _across(open_: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(u, v) of buckets (k, node, fp): members of different components that may be similar enough.
+
+    Two sets differ where their deltas differ, and are at 0.8 if that is in at most a ninth of
+    n + n'. Of its d differences a node shares at most y with a node of another component, so a pair at
+    0.8 has 18 min(y, y') + s + s' >= 0, where s = n - 9 d. A node that meets this with no member of a
+    bucket leaves it before pairs are formed, by the bucket's largest s and s + 18 y. For a pair, the
+    minimum is taken class by class and summed. A pair is formed in its first common bucket only. The
+    bounds are exact; sets that share many differences and lie just under the threshold pass them,
+    and how many pairs these form depends on the data."""
+    bounds = durable(_shared(_split(deltas, "c")).select("node", "root", "n", F.expr("n - 9 * d").alias("s"), F.expr("n - 9 * d + 18 * y").alias("a"), "classes"))
+    left = durable(_split(open_.select("k", "node", "fp").join(bounds.drop("classes"), "node"), "k"))
+    for _ in range(2):
+        best = left.groupBy("k").agg(F.max("s").alias("s_max"), F.max("a").alias("a_max"))
+        able = left.join(best, "k").where("a + s_max >= 0 and s + a_max >= 0").drop("s_max", "a_max")
+        left = durable(_split(able, "k"))
     keys = left.groupBy("node").agg(F.collect_list("k").alias("ks"))  # at most BANDS of a node
-    left = durable(left.join(keys, "node"))
-    side = lambda c: left.select("k", F.struct("node", "fp", "root", "n", "e", "ks", pivot_table(F.col("fp")).alias("pivots")).alias(c))
-    both = F.expr("9 * (p.e + q.e) <= p.n + q.n and 9 * least(p.n - p.e, q.n - q.e) >= 4 * (p.n + q.n) and p.root < q.root")
+    left = durable(left.join(keys, "node").join(bounds.select("node", "classes"), "node"))
+    side = lambda c: left.select("k", F.struct("node", "fp", "root", "n", "s", "a", "ks", "classes", pivot_table(F.col("fp")).alias("pivots")).alias(c))
+    both = F.expr("p.root < q.root and p.a + q.s >= 0 and q.a + p.s >= 0 and 5 * least(p.n, q.n) >= 4 * greatest(p.n, q.n)")
+    overlap = F.expr("18 * aggregate(zip_with(p.classes, q.classes, (i, j) -> least(i, j)), 0, (i, j) -> i + j) + p.s + q.s >= 0")
     x, y = side("p").alias("x"), side("q").alias("y")
-    met = x.join(y, (F.col("x.k") == F.col("y.k")) & both & _near("p", "q", RADIUS) & (F.array_min(F.array_intersect("p.ks", "q.ks")) == F.col("x.k")))
+    met = x.join(y, (F.col("x.k") == F.col("y.k")) & both & _near("p", "q", RADIUS) & overlap & (F.array_min(F.array_intersect("p.ks", "q.ks")) == F.col("x.k")))
     return met.select(F.col("p.node").alias("u"), F.col("q.node").alias("v"))
 
 

@@ -240,6 +240,40 @@ def test_near_dedup(spark, odd, empty):
     assert near_dedup.drop_near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_graded_group(spark):
+    """One large group around a base text whose members lie on both sides of the threshold from each other."""
+    rng = random.Random(7)
+    base, rows = [f"w{k}" for k in range(150)], []
+    for i in range(240):
+        w = list(base)
+        for _ in range(rng.randrange(11)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        for _ in range(rng.randrange(3)):
+            del w[rng.randrange(len(w))]
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple((w := t.split())[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sets:
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and (a := root(i)) != (b := root(j)):
+                parent[max(a, b)] = min(a, b)
+    want = {root(i) for i in sets}
+    docs, crossed = spark.createDataFrame(rows, "doc_id long, text string"), []
+    across = near_dedup._across
+    near_dedup._across = lambda *a: crossed.append(near_dedup.durable(across(*a))) or crossed[-1]
+    try:
+        assert {r.doc_id for r in near_dedup.drop_near_duplicates(docs).collect()} == want
+    finally:
+        near_dedup._across = across
+    assert 1 < len(want) < 200 and crossed[0].count() <= len(rows)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
