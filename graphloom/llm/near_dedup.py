@@ -39,6 +39,8 @@ RADIUS = 21
 BANDS, ROWS = 20, 5
 #: Nodes of a cluster that meet its centre under one salt.
 SALTED = 64
+#: Rows of an Arrow batch: hashing takes some 40 bytes of a worker's memory for each byte of a batch's texts.
+BATCH = 100
 #: Hash classes in which shared differences are counted.
 CLASSES = 64
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -74,7 +76,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """(id__, th__, node, fp, bands): node is a hash of the set of shingles."""
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession, BATCH)
     names = ["id__", "th__", "node", "fp", "bands"]
 
     def run(batches):
@@ -99,7 +101,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [np.unique((s >> np.uint64(16)).astype("<u8")).astype("<u8") for s in shingles(*flat_utf8(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
 
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession, BATCH)
     own = docs.select("id__", "th__", F.col("text").cast("string").alias("text"))
     return own.join(wanted.hint("shuffle_hash"), ["id__", "th__"]).select("node", "text").mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
 
@@ -162,13 +164,20 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sketched.select("id__", "th__", "node"), _merge(names, links)
 
 
-def _each(*columns: str):
-    """For mapInArrow: one row (h, the columns) of each number in the binary column that comes first."""
+def _widen(raw: bytes) -> np.ndarray:
+    """Numbers of 8 bytes from those of 6 of a set."""
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<i8").ravel()
+
+
+def _each(*columns: str, read=lambda raw: np.frombuffer(raw, "<i8")):
+    """For mapInArrow: one row (h, the columns) of each number that read() finds in the binary column that comes first."""
 
     def run(batches):
         for batch in batches:
             for raw, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = np.frombuffer(raw, "<i8")
+                h = read(raw)
                 for i in range(0, len(h), 1 << 16):
                     part = h[i : i + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(np.full(len(part), x, np.int64)) for x in rest)], names=["h", *columns])
@@ -176,13 +185,6 @@ def _each(*columns: str):
     return run
 
 
-def _widen(raw: bytes) -> np.ndarray:
-    """Numbers of 8 bytes from those of 6 of a set."""
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<i8").ravel()
-
-
 def _clusters(open_: DataFrame) -> DataFrame:
     """(node, c, size, salt): nodes that buckets (k, node) connect have one c; a salt is of about SALTED nodes."""
     low = open_.groupBy("k").agg(F.min("node").alias("v"))
@@ -196,10 +198,6 @@ def _deltas(sets: DataFrame, clusters: DataFrame) -> DataFrame:
 
     The centre holds what over half the cluster's sets hold, so it has at most twice their mean length."""
 
-    def widen(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_widen(x).tobytes() for x in b.column(0).to_pylist()], pa.binary()), *b.columns[1:]], names=["h", "c", "size"])
-
     def differ(batches):
         for b in batches:
             n, d, out = [], [], []
@@ -212,10 +210,10 @@ def _deltas(sets: DataFrame, clusters: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(out, pa.binary())], names=["node", "c", "n", "d", "delta"])
 
     own = sets.select("node", "shingles").join(clusters, "node")
-    rows = own.select("shingles", "c", "size").mapInArrow(widen, "h binary, c bigint, size bigint").mapInArrow(_each("c", "size"), "h bigint, c bigint, size bigint")
+    rows = own.select("shingles", "c", "size").mapInArrow(_each("c", "size", read=_widen), "h bigint, c bigint, size bigint")
     most = rows.groupBy("c", "size", "h").agg(F.count("*").alias("count")).where("2 * count > size")
     centre = most.groupBy("c", "size").agg(F.collect_list("h").alias("centre")).select("c", F.explode(F.expr(f"sequence(0L, size div {SALTED})")).alias("salt"), "centre")
-    small_batches(sets.sparkSession, 100)
+    small_batches(sets.sparkSession, BATCH)
     return durable_table(own.join(centre, ["c", "salt"], "left").select("node", "c", "shingles", "centre").mapInArrow(differ, "node bigint, c bigint, n bigint, d bigint, delta binary"))
 
 
