@@ -75,7 +75,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(id__, th__, node, fp, bands): node is a hash of the set of shingles."""
+    """(id__, th__, node, fp, bands): node is a hash of the set of shingles; fp and bands are the set's, repeats don't count."""
     small_batches(docs.sparkSession, BATCH)
     names = ["id__", "th__", "node", "fp", "bands"]
 
@@ -85,7 +85,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             for s in shingles(*flat_utf8(b.column(2))):
                 u = np.unique(s)
                 node.append(xxhash.xxh64_intdigest(u.tobytes(), 7))
-                fp.append(simhash(s))
+                fp.append(simhash(u))
                 bands.append(band_keys(u).view(np.int64))
             sign = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sign(node), sign(fp), pa.array(bands, pa.list_(pa.int64()))], names=names)
@@ -145,7 +145,7 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketched = durable(sketches(docs))
     place = F.struct("id__", "th__")
     nodes = durable(sketched.groupBy("node").agg(F.min(place).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("node", "first.*", "fp", "bands"))
-    # a node's own fp and bands follow from its set (fp from the row that first() met: any row of the set will do)
+    # a node's fp and bands follow from its set: any row of the node has the same
     buckets = nodes.select(F.struct("node", "fp").alias("x"), F.posexplode("bands").alias("t", "k")).select("x", F.xxhash64("t", "k").alias("k"))
     shared = buckets.groupBy("k").agg(F.min("x").alias("q"), F.count("*").alias("n")).where("n > 1").select("k", "q")
     met = durable(buckets.join(shared, "k").select("k", F.col("x").alias("p"), "q"))

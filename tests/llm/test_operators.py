@@ -274,6 +274,38 @@ def test_near_dedup_graded_group(spark):
     assert 1 < len(want) < 200 and crossed[0].count() <= len(rows)
 
 
+def test_near_dedup_repeats(spark):
+    """Pages of one template, half of each its own: near copies among them that repeat a passage often."""
+    rng = random.Random(8)
+    template, rows, twins = [f"t{k}" for k in range(104)], [], {}
+    for i in range(60):
+        own = [f"p{i}x{k}" for k in range(104)]
+        rows.append((i, " ".join(template + own)))
+        if i % 6 == 0:
+            edited = list(own)
+            edited[rng.randrange(60, 100)] = "edited"
+            twins[100 + i] = i
+            rows.append((100 + i, " ".join(template + edited[:20] * 60 + edited[20:])))
+    texts = dict(rows)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    alike = {(j, i) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert alike == set(twins.items())
+    far = 0
+    for j, i in twins.items():
+        a, b = (near_dedup.simhash(near_dedup.shingles(*_flat(texts[x]))[0]) for x in (i, j))
+        far += (a ^ b).bit_count() > near_dedup.RADIUS
+    assert far  # with repeats counted the fingerprints are too far apart
+    got = {r.doc_id for r in near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(range(60))
+
+
+def _flat(*texts):
+    import numpy as np
+
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
