@@ -78,35 +78,30 @@ class Items:
         for i, at in places.items():
             m = min(self.sizes[i], len(s))
             least = THRESHOLD * (self.sizes[i] + m) / (1 + THRESHOLD)  # shared counts that the threshold asks for
-            p = np.array(at)
-            # windows that hold enough shared places; others can't reach the threshold
-            starts = np.unique((p[:, None] - np.arange(m)[None, :]).clip(0, len(s) - m)) if len(p) * m <= 200_000 else np.arange(len(s) - m + 1)
-            held = np.searchsorted(p, starts + m) - np.searchsorted(p, starts)
-            starts = starts[held >= least]
-            if not len(starts):
+            if len(at) < least:
                 continue
-            lo, hi = int(starts[0]), int(starts[-1]) + m
-            best = 0.0
-            for a in range(lo, hi - m + 1, 4096):  # bounds the table of votes
-                own = starts[(starts >= a) & (starts < a + 4096)]
-                if not len(own):
-                    continue
-                b = int(own[-1]) + m
-                votes = np.zeros((b - a + 1, 64), np.int32)
-                np.cumsum(bit_rows(s[a:b]), axis=0, out=votes[1:])
-                ones = votes[own - a + m] - votes[own - a]
-                fp = np.packbits((2 * ones > m).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
-                near = np.zeros(len(own), bool)
-                for (shift, mask), index in zip(self.blocks, self.index, strict=True):
-                    near |= index[((fp >> shift) & mask).astype(np.int64), i]
-                near &= np.bitwise_count(fp ^ self.prints[i]) <= RADIUS
-                for w in own[near].tolist():
-                    both = sum((Counter(s[w : w + m].tolist()) & self.counts[i]).values())
-                    best = max(best, both / (m + self.sizes[i] - both))
+            both = self.most_shared(i, s, np.array(at), m)
+            best = both / (m + self.sizes[i] - both)
             if best >= THRESHOLD:
                 out.append((self.ids[i], best))
         return out
 
+    def most_shared(self, i: int, s: np.ndarray, p: np.ndarray, m: int) -> int:
+        """Largest sum of smaller counts that a window of m of the shingles s has with item i; p: places of the item's shingles.
+
+        Of a shingle that the item has c times, a place counts in the windows that hold it and not the c-th place before it."""
+        h = s[p]
+        order = np.argsort(h, kind="stable")
+        h, p = h[order], p[order]
+        values, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        c = np.array([self.counts[i][x] for x in values.tolist()])[inverse]
+        rank = np.arange(len(p)) - first[inverse]
+        before = np.where(rank >= c, p[np.maximum(np.arange(len(p)) - c, 0)], -1)
+        lo, hi = np.maximum(np.maximum(p - m, before) + 1, 0), np.minimum(p, len(s) - m)
+        lo, hi = lo[lo <= hi], hi[lo <= hi]
+        steps = np.concatenate([2 * (hi + 1), 2 * lo + 1])  # at one start, ends come before beginnings
+        return int(np.cumsum(np.where(np.sort(steps) & 1, 1, -1)).max(initial=0))
+
 
 def index_items(rows: list[tuple[int, str]]) -> list[Items]:
     by_k: dict[int, tuple[list[int], list[np.ndarray]]] = {}

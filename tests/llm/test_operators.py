@@ -139,6 +139,53 @@ def test_decontaminate(spark, odd, empty):
     assert decontaminate.drop_leaks(odd, bench).columns == odd.columns
 
 
+def _windows(text, item):
+    """Best similarity of an item and the windows of a text, by brute force."""
+    words, own = text.lower().split(), item.lower().split()
+    k = min(5, len(own))
+    s, t = ([tuple(w[j : j + k]) for j in range(len(w) - k + 1)] for w in (words, own))
+    m, c = min(len(t), len(s)), collections.Counter(t)
+    shared = [sum((collections.Counter(s[a : a + m]) & c).values()) for a in range(len(s) - m + 1)] if s else [0]
+    return max(x / (m + len(t) - x) for x in shared)
+
+
+def _matches(texts, items):
+    return {(d, i): x for d, i, x in decontaminate.matches(decontaminate.index_items(items), *_flat(*texts))}
+
+
+def test_decontaminate_windows():
+    """Edited passages on both sides of the threshold, items and passages that repeat themselves."""
+    rng = random.Random(9)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    items, texts = [], []
+    for i in range(120):
+        n = rng.choice([4, 13, 30, 49, 94])
+        own = new(n)
+        if i % 3 == 0:  # a third of the item is one word again and again
+            own[n // 3 : n // 3] = [own[0]] * (n // 2)
+        items.append((i, " ".join(own)))
+        for _ in range(3):
+            w = list(own)
+            for _ in range(rng.randrange(1 + len(w) // 20)):
+                w[rng.randrange(len(w))] = new(1)[0]
+            if rng.random() < 0.5:
+                cut = rng.randrange(1 + len(w) // 8)
+                w[len(w) - cut :] = [rng.choice("xyz")] * cut
+            texts.append(" ".join([*new(rng.randrange(40)), *w, *new(rng.randrange(40))]))
+    far = []
+    for i in range(120, 160):  # item and passage end in a different word again and again
+        own, repeats = new(120), [[f"r{i}{x}"] * 12 for x in "abcd"]
+        items.append((i, " ".join(own + repeats[0])))
+        texts += [" ".join(own + r) for r in repeats[1:]]
+        a, *others = (near_dedup.simhash(near_dedup.shingles(*_flat(x))[0]) for x in (items[-1][1], *texts[-3:]))
+        far += [(a ^ b).bit_count() for b in others]
+    assert max(far) > 21  # fingerprints of windows at 0.8 can be any distance apart
+    best = {(d, i): _windows(t, x) for d, t in enumerate(texts) for i, x in items if d // 3 == i}
+    want = {k: x for k, x in best.items() if x >= 0.8}
+    assert 100 < len(want) < len(best) - 30 and sum(x < 0.84 for x in want.values()) > 10
+    assert _matches(texts, items) == want
+
+
 def test_token_counts(spark, odd, empty, tmp_path):
     import numpy as np
 
