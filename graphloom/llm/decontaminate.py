@@ -32,7 +32,8 @@ from ._spark import flat_utf8, small_batches, table
 from ._words import bit_rows, shingle_hashes, simhash, word_hashes
 
 SHINGLE = 5
-THRESHOLD = 0.8
+#: Numerator and denominator: compared in whole numbers.
+THRESHOLD = 4, 5
 RADIUS = 16
 SLICE = 20_000
 #: Bits of the prefilter table for shared shingles.
@@ -77,13 +78,9 @@ class Items:
         out = []
         for i, at in places.items():
             m = min(self.sizes[i], len(s))
-            least = THRESHOLD * (self.sizes[i] + m) / (1 + THRESHOLD)  # shared counts that the threshold asks for
-            if len(at) < least:
-                continue
-            both = self.most_shared(i, s, np.array(at), m)
-            best = both / (m + self.sizes[i] - both)
-            if best >= THRESHOLD:
-                out.append((self.ids[i], best))
+            reached = lambda both: sum(THRESHOLD) * both >= THRESHOLD[0] * (self.sizes[i] + m)  # noqa: B023, E731
+            if reached(len(at)) and reached(both := self.most_shared(i, s, np.array(at), m)):
+                out.append((self.ids[i], both / (m + self.sizes[i] - both)))
         return out
 
     def most_shared(self, i: int, s: np.ndarray, p: np.ndarray, m: int) -> int:

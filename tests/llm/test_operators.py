@@ -186,6 +186,14 @@ def test_decontaminate_windows():
     assert _matches(texts, items) == want
 
 
+def test_decontaminate_at_the_threshold():
+    """Windows of exactly 0.8 (8 n of 9 n shingles shared), and of one shingle less."""
+    for n in range(1, 45):
+        words = [f"w{k}" for k in range(9 * n + 4)]
+        texts = [" ".join([*words[: 8 * n + 4 - less], *(f"x{k}" for k in range(n + less))]) for less in (0, 1)]
+        assert _matches(texts, [(7, " ".join(words))]) == {(0, 7): 0.8}, n
+
+
 def test_token_counts(spark, odd, empty, tmp_path):
     import numpy as np
 
