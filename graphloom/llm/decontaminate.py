@@ -1,14 +1,14 @@
-"""Operator 5: benchmark decontamination by SimHash windows of an item's size.
+"""Operator 5: benchmark decontamination by windows of an item's size.
 
 For every benchmark item, windows of as many 5-word shingles as the item has slide
-over a text; a window's SimHash comes from prefix sums of bit votes. The items'
-fingerprints are cut into RADIUS + 1 blocks: a fingerprint within RADIUS agrees on
-at least one block, so the block index misses none. What it finds within RADIUS
-is verified by the exact weighted similarity of the two shingle multisets (sum of
-smaller counts over sum of larger counts), which must reach THRESHOLD.
+over a text. A window's similarity is that of the two shingle multisets (sum of
+smaller counts over sum of larger counts), and must reach THRESHOLD.
 
-Windows that share no shingle with an item have similarity 0 to it, so only
-windows around shared shingles are fingerprinted.
+An index of the items' shingles finds the items: windows that share no shingle with
+an item have similarity 0 to it. The smaller counts of all windows come exactly from
+the places of the shared shingles. SimHash has no part in that: windows at the
+threshold can have fingerprints any distance apart, as where a word that repeats is
+replaced by another, so a radius, and blocks that stand for it, would lose some.
 
 The items are sent to the workers in slices of at most SLICE items; a larger
 benchmark takes one pass over the documents per slice.
@@ -29,25 +29,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import flat_utf8, small_batches, table
-from ._words import bit_rows, shingle_hashes, simhash, word_hashes
+from ._words import shingle_hashes, word_hashes
 
 SHINGLE = 5
 #: Numerator and denominator: compared in whole numbers.
 THRESHOLD = 4, 5
-RADIUS = 16
 SLICE = 20_000
 #: Bits of the prefilter table for shared shingles.
 TABLE_BITS = 20
 
 
 class Items:
-    """Shingles, fingerprints and block index of the benchmark items of one shingle size."""
+    """Shingle index of the benchmark items of one shingle size."""
 
     def __init__(self, ids: list[int], hashes: list[np.ndarray], k: int):
         self.ids, self.k = ids, k
         self.counts = [Counter(h.tolist()) for h in hashes]
         self.sizes = [len(h) for h in hashes]
-        self.prints = np.array([simhash(h) for h in hashes], np.uint64)
         self.of: dict[int, list[int]] = {}
         for i, c in enumerate(self.counts):
             for h in c:
@@ -55,13 +53,6 @@ class Items:
         self.known = np.sort(np.array(list(self.of), np.uint64))
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[(self.known & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)] = True
-        edges = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
-        self.blocks = [(np.uint64(a), np.uint64((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
-        self.index = []  # for each block, value -> set of items
-        for shift, mask in self.blocks:
-            at = np.zeros((int(mask) + 1, len(ids)), bool)
-            at[((self.prints >> shift) & mask).astype(np.int64), np.arange(len(ids))] = True
-            self.index.append(at)
 
     def shared(self, shingles: np.ndarray) -> np.ndarray:
         """Places of shingles that some item has."""
