@@ -15,7 +15,8 @@ are similar for certain and are linked to the closest one (_sure), and members o
 components of a bucket meet less the pairs that exact bounds rule out (_across). A pair
 inside one component adds nothing to the groups, so none is lost by that.
 
-Defined results: documents without a word (null, empty) are one group. The smallest
+Defined results: null and blank documents are one group; of texts that have no word
+(punctuation only) those equal but for white space are near-duplicates. The smallest
 doc_id of a group stays, nulls last, ties by a hash of the text; of rows that agree
 in id and text one stays.
 """
@@ -48,13 +49,18 @@ _C = mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64))
 
 
 def shingles(flat: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Shingle hashes of each text, repeats included; a text of fewer words is one shingle."""
+    """Shingle hashes of each text, repeats included; a text of fewer words is one shingle, and so is one that has no
+    word but isn't blank (its runs of white space count as one)."""
     words, first = word_hashes(flat, offsets)
     s = shingle_hashes(words, SHINGLE)
     out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
         n = b - a
-        out.append(s[a : b - SHINGLE + 1] if n >= SHINGLE else shingle_hashes(words[a:b], n) if n else s[:0])
+        if n:
+            out.append(s[a : b - SHINGLE + 1] if n >= SHINGLE else shingle_hashes(words[a:b], n))
+        else:
+            signs = b" ".join(flat[offsets[i] : offsets[i + 1]].tobytes().split())
+            out.append(np.array([xxhash.xxh64_intdigest(signs, 5)] if signs else [], np.uint64))
     return out
 
 

@@ -354,6 +354,15 @@ def test_near_dedup_repeats(spark):
     assert got == set(range(60))
 
 
+def test_near_dedup_without_words(spark):
+    """Different texts of punctuation are different nodes; null and blank ones are one."""
+    rows = [(1, "-----"), (2, "=====\n*"), (3, "(o_o)".replace("o", "^")), (4, " -----\n"), (5, None), (6, ""), (7, " \n\t "), (8, "a"), (9, "-" * 10_000)]
+    out = near_dedup.sketches(near_dedup.keyed(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    nodes = {r.id__: r.node for r in out}
+    assert nodes[1] == nodes[4] and nodes[5] == nodes[6] == nodes[7]
+    assert len(set(nodes.values())) == 6 and len({tuple(r.bands) for r in out}) == 6
+
+
 def _flat(*texts):
     import numpy as np
 
