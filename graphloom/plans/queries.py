@@ -409,7 +409,7 @@ def q_pipeline(spark, d):
     keep, c, g, s = _run(spark, d)
     lines = s.select("index", F.posexplode(F.split("question", r"[.\n]+")).alias("pos", "line")).withColumn("w", F.filter(F.split("line", " "), lambda x: x != "")).where("size(w) >= 3")
     ent = F.concat(F.lit("(ENT"), (1 + F.col("pos") % 2).cast("string"), F.lit(")"))
-    facts = lines.select("index", F.lit("relation").alias("kind"), "pos", F.concat_ws(" [SEP] ", ent, F.get("w", F.lit(1)), F.array_join(F.slice("w", 3, 99), " ")).alias("triple"))
+    facts = lines.select("index", F.lit("relation").alias("kind"), "pos", F.concat_ws(" [SEP] ", ent, F.get("w", F.lit(1)), F.array_join(F.slice("w", 3, F.size("w")), " ")).alias("triple"))
     ds = s.select("index", F.lit("definition").alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("pos")).withColumn("triple", F.concat(F.lit("(ENT"), (F.col("pos") + 1).cast("string"), F.lit(") [SEP] is [SEP] a thing")))
     done = flows.graph_check(s, facts.unionByName(ds), c, g, models.StubBackend(), EngineConfig(setting="open-book+gold"), keep)
     return done.select("index", "prediction", "best_path_index", "best_path_confidence", "predicted_answer", "em_score", "f1_score")

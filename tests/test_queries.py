@@ -22,3 +22,16 @@ def test_entry_and_registry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_q_pipeline_long_lines(spark, monkeypatch):
+    """A line's triple holds all its words, however many."""
+    from graphloom.plans import queries
+
+    seen, words = [], [f"w{k}" for k in range(300)]
+    done = spark.createDataFrame([], "index long, prediction string, best_path_index long, best_path_confidence double, predicted_answer string, em_score double, f1_score double")
+    samples = spark.createDataFrame([(1, " ".join(words))], "index long, question string")
+    monkeypatch.setattr(queries, "_run", lambda *a: (None, None, None, samples))
+    monkeypatch.setattr(queries.flows, "graph_check", lambda s, facts, *a: seen.append(facts) or done)
+    queries.q_pipeline(spark, None)
+    assert [r.triple for r in seen[0].where("kind = 'relation'").collect()] == ["(ENT1) [SEP] w1 [SEP] " + " ".join(words[2:])]
