@@ -52,7 +52,8 @@ STAGES = [
     ("sentencepiece", encoding_stage),
 ]
 
-#: No stage but the redaction can be said in SQL; tests hold each against a brute-force version.
+#: No stage but the redaction can be said in SQL. Tests hold the rows of near-dedup and decontamination against brute force on
+#: small tables; of the whole chain they look at columns and that rows come out.
 ORACLE_SQL = None
 
 

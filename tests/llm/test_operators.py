@@ -186,6 +186,22 @@ def test_decontaminate_windows():
     assert _matches(texts, items) == want
 
 
+def test_decontamination_rows(spark):
+    """drop_leaks keeps the rows that brute force keeps, edited passages included."""
+    rng = random.Random(10)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    items, rows = [(i, " ".join(new(49))) for i in range(30)], []
+    for i, x in items:
+        for edits in range(4):
+            w = x.split()
+            for k in rng.sample(range(49), edits):
+                w[k] = "edited"
+            rows.append((4 * i + edits, " ".join([*new(20), *w, *new(20)])))
+    want = {d for d, t in rows if _windows(t, items[d // 4][1]) < 0.8}
+    got = decontaminate.drop_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert 0 < len(want) < len(rows) and {r.doc_id for r in got.collect()} == want
+
+
 def test_decontaminate_at_the_threshold():
     """Windows of exactly 0.8 (8 n of 9 n shingles shared), and of one shingle less."""
     for n in range(1, 45):
