@@ -39,15 +39,19 @@ def exact_match(pred: Column, gold: Column) -> Column:
     return (normalize_answer(pred) == normalize_answer(gold)).cast("int")
 
 
+def _numbered(words: Column) -> Column:
+    """Words with the number of their occurrence, so that sets of them are multisets of words."""
+    s = F.array_sort(words)
+    return F.transform(s, lambda w, i: F.concat(w, F.lit(" "), (i - F.array_position(s, w)).cast("string")))
+
+
 def shared_tokens(p: Column, g: Column) -> Column:
-    """Size of the multiset intersection."""
-    count = lambda a, w: F.size(F.filter(a, lambda x: x == w))
-    return F.aggregate(F.array_distinct(g), F.lit(0), lambda n, w: n + F.least(count(g, w), count(p, w)))
+    """Size of the multiset intersection of two token arrays."""
+    return F.size(F.array_intersect(_numbered(p), _numbered(g)))
 
 
-def token_f1(pred: Column, gold: Column) -> Column:
-    """F4"""
-    p, g = tokens(pred), tokens(gold)
+def tokens_f1(p: Column, g: Column) -> Column:
+    """F4 on token arrays; put them in columns first, so that each text is normalised once."""
     n = shared_tokens(p, g).cast("double")
     precision, recall = n / F.size(p), n / F.size(g)
     return (
@@ -57,6 +61,11 @@ def token_f1(pred: Column, gold: Column) -> Column:
     )
 
 
+def token_f1(pred: Column, gold: Column) -> Column:
+    """F4"""
+    return tokens_f1(tokens(pred), tokens(gold))
+
+
 def best_over(metric, pred: Column, golds: Column) -> Column:
     """A4: the largest value of a metric over an array of answers."""
     return F.array_max(F.transform(golds, lambda g: metric(pred, g)))
@@ -143,18 +152,29 @@ def title_of(passage: Column) -> Column:
     return F.regexp_extract(passage, r"\(Title: (.*?)\)", 1)
 
 
-#: answers that count as true and as false (fixed values); longest prefix first
-TRUE_WORDS = ("true", "yes", "supported", "correct", "right", "it is")
-FALSE_WORDS = ("false", "no", "not supported", "incorrect", "wrong", "it isn't")
+#: what an answer to a verification may begin with (fixed values)
+TRUE_WORDS = ("true", "yes")
+FALSE_WORDS = (
+    "false",
+    "no",
+    "it is impossible to say",
+    "it's impossible to say",
+    "it is impossible to tell",
+    "it's impossible to tell",
+    "it is not possible to say",
+    "it's not possible to say",
+    "it is not possible to tell",
+    "it's not possible to tell",
+)
 
 
 def boolean_answer(c: Column, key: Column | None = None) -> Column:
-    """first line, lower-cased, without dots and spaces at the ends; exact words, then
-    prefixes; what fits neither is drawn from a hash of `key` (or of the text)."""
+    """the first line, lower-cased, without dots and spaces at the ends, by what it begins with (no word of one
+    list begins with one of the other); what fits neither is drawn from a hash of `key` (or of the text)."""
     line = F.regexp_replace(F.lower(F.get(F.split(c, "\n"), F.lit(0))), r"^[ .]+|[ .]+$", "")
-    starts = lambda words: F.greatest(*[F.when(F.startswith(line, F.lit(w)), F.lit(len(w))).otherwise(0) for w in words])
+    begins = lambda words: F.rlike(line, F.lit("^(?:" + "|".join(words) + ")"))
     drawn = F.pmod(F.xxhash64(c if key is None else key), F.lit(2)) == 1
-    return F.when(line.isin(*TRUE_WORDS), True).when(line.isin(*FALSE_WORDS), False).when(starts(FALSE_WORDS) > 0, False).when(starts(TRUE_WORDS) > 0, True).otherwise(drawn)
+    return F.when(begins(TRUE_WORDS), True).when(begins(FALSE_WORDS), False).otherwise(drawn)
 
 
 def infill_text(c: Column, fallback: Column) -> Column:
@@ -178,9 +198,17 @@ def prompt(template: str, **values: Column) -> Column:
 
 
 def triple_query(triple: Column) -> Column:
-    """words of a triple as a search query; markers of an entity leave its number."""
-    clean = lambda x: F.replace(F.replace(strip(x), F.lit("(ENT")), F.lit(")"))
-    return F.array_join(F.filter(F.transform(F.split(triple, r" \[SEP\] "), clean), lambda x: x != ""), " ")
+    """a triple as words to search for: subject, relation, and the object up to [PREP]. A placeholder object goes,
+    and so does a subject that still begins with a bracket; of a placeholder subject the number stays (Q10).
+    Strings of fewer than three parts only lose the marks."""
+    parts = F.split(triple, r" \[SEP\] ")
+    plain = lambda x: F.replace(F.replace(x, F.lit("(ENT"), F.lit("")), F.lit(")"), F.lit(""))
+    at = lambda i: F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
+    subject, relation, obj = strip(plain(at(0))), strip(at(1)), strip(F.substring_index(at(2), PREP, 1))
+    marked = lambda x: F.startswith(x, F.lit("ENT")) | F.startswith(x, F.lit("("))
+    three = F.when(marked(subject), F.concat_ws(" ", relation, obj)).when(marked(obj), F.concat_ws(" ", subject, relation)).otherwise(F.concat_ws(" ", subject, relation, obj))
+    few = plain(F.replace(triple, F.lit(SEP), F.lit(" ")))
+    return F.when(~F.contains(triple, F.lit(SEP)), triple).when(F.size(parts) >= 3, three).otherwise(few)
 
 
 def cap_words(c: Column, n: int = 500) -> Column:
@@ -190,13 +218,13 @@ def cap_words(c: Column, n: int = 500) -> Column:
 
 
 def passage_title(contents: Column) -> Column:
-    """The first line without quotes."""
-    return F.regexp_replace(F.substring_index(contents, "\n", 1), r'^[" ]+|[" ]+$', "")
+    """The first line without quotation marks at its ends."""
+    return F.regexp_replace(F.substring_index(contents, "\n", 1), "^[\"']+|[\"']+$", "")
 
 
 def passage_text(contents: Column) -> Column:
     at = F.instr(contents, "\n")
-    return F.when(at > 0, strip(F.substr(contents, at + F.lit(1)))).otherwise("")
+    return F.when(at > 0, F.substr(contents, at + F.lit(1))).otherwise("")
 
 
 def evidence(title: Column, text: Column) -> Column:
@@ -204,9 +232,27 @@ def evidence(title: Column, text: Column) -> Column:
     return F.concat(F.lit("(Title: "), title, F.lit(") "), text)
 
 
-def three_places(c: Column) -> Column:
-    """three decimals, halves rounded by the exact binary value."""
-    return F.format_string("%.3f", c.cast("decimal(38,18)").cast("double"))
+def three_places():
+    """three decimals, by the number's exact binary value (0.0625 is halfway and goes to 0.062, 0.0005 is above it
+    and goes to 0.001). Spark rounds the shortest decimal text, so this is an Arrow UDF, for the few rows of a report."""
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else f"{x:.3f}" for x in column.to_pylist()], pa.string())
+
+    return run
+
+
+def cut_at(c: Column, stops: tuple[str, ...]) -> Column:
+    """Text up to and with the stop sequence that ends first; all of it if none is there."""
+    end = F.array_min(F.array(*[F.when(F.instr(c, x) > 0, F.instr(c, x) + F.lit(len(x) - 1)).otherwise(F.length(c)) for x in stops]))
+    return F.substr(c, F.lit(1), end)
+
+
+def readable(triple: Column) -> Column:
+    """A triple as a line of evidence."""
+    return F.replace(F.replace(triple, F.lit("[SEP] "), F.lit("")), F.lit("[PREP] "), F.lit(""))
 
 
 def nfc():

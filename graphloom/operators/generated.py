@@ -18,27 +18,36 @@ def before_next_question(rows: DataFrame) -> DataFrame:
     return rows.withColumn("stop__", stop).where("stop__ is null or pos < stop__").drop("stop__")
 
 
+#: what an answer without latent entities says (fixed values)
+NONE_LINES = ("no latent entities identified", "(no latent entities needed)")
+
+
 def latent_lines(rows: DataFrame, column: str = "text") -> DataFrame:
     """L2: definition triples: (index, pos, triple)."""
-    return before_next_question(lines(rows, column)).where(T.is_definition(F.col("line"))).select("index", "pos", F.col("line").alias("triple"))
+    low = F.lower(F.col("line"))
+    own = before_next_question(lines(rows, column)).where(T.is_definition(F.col("line")))
+    return own.where(~F.contains(low, F.lit(NONE_LINES[0])) & ~F.contains(low, F.lit(NONE_LINES[1]))).select("index", "pos", F.col("line").alias("triple"))
 
 
-def triple_lines(rows: DataFrame, column: str = "text") -> DataFrame:
-    """Other triples, each once at its first place; those that are definitions of the same text don't count."""
-    own = before_next_question(lines(rows, column)).where(F.contains(F.col("line"), F.lit(T.SEP)) & ~T.is_definition(F.col("line")))
-    return own.groupBy("index", F.col("line").alias("triple")).agg(F.min("pos").alias("pos")).select("index", "pos", "triple")
+def triple_lines(rows: DataFrame, defs: DataFrame | None = None, column: str = "text") -> DataFrame:
+    """Triples, each once at its first place, but for those listed in defs (index, triple) (Q31: others may look like definitions)."""
+    own = before_next_question(lines(rows, column)).where(F.contains(F.col("line"), F.lit(T.SEP)) & ~F.startswith(F.col("line"), F.lit("# Triples")))
+    own = own.groupBy("index", F.col("line").alias("triple")).agg(F.min("pos").alias("pos")).select("index", "pos", "triple")
+    return own if defs is None else own.join(defs.select("index", "triple"), ["index", "triple"], "left_anti").select("index", "pos", "triple")
 
 
 def sections(rows: DataFrame, column: str = "text") -> DataFrame:
-    """L1: single-shot answers: definitions, which must count (ENT1), (ENT2)... in order, then triples after the section's head."""
-    all_ = lines(rows, column)
-    heads = F.max(F.when(F.startswith(F.col("line"), F.lit("#")), F.struct("pos", "line"))).over(Window.partitionBy("index").orderBy("pos"))
-    named = all_.withColumn("section", F.lower(heads["line"])).where(~F.startswith(F.col("line"), F.lit("#")))
-    kind = F.when(F.contains("section", F.lit("latent")), "definition").when(F.contains("section", F.lit("triple")), "relation")
-    kept = named.withColumn("kind", kind).where(F.col("kind").isNotNull() & F.contains(F.col("line"), F.lit(T.SEP)))
-    k = F.row_number().over(Window.partitionBy("index", "kind").orderBy("pos"))
-    ok = (F.col("kind") == "relation") | F.startswith(F.col("line"), F.concat(F.lit("(ENT"), F.col("k").cast("string"), F.lit(") [SEP] is [SEP]")))
-    return kept.withColumn("k", k).where(ok).select("index", "kind", "pos", F.col("line").alias("triple"))
+    """L1: single-shot answers: (index, kind, pos, triple). The first section ends at the head of the triples or at a
+    triple that doesn't begin with an entity; in it the k-th triple is a definition if it defines (ENTk)."""
+    low, line = F.lower(F.col("line")), F.col("line")
+    kept = before_next_question(lines(rows, column)).where(~F.contains(low, F.lit(NONE_LINES[0])) & ~F.contains(low, F.lit(NONE_LINES[1])) & ~F.startswith(line, F.lit("# Latent Entities")))
+    triple = F.contains(line, F.lit(T.SEP)) & ~F.startswith(line, F.lit("# Triples"))
+    ends = F.startswith(line, F.lit("# Triples")) | (triple & ~F.startswith(line, F.lit("(ENT")))
+    own = Window.partitionBy("index").orderBy("pos")
+    marked = kept.withColumn("second", F.max(ends).over(own.rowsBetween(Window.unboundedPreceding, 0))).where(triple)
+    k = F.row_number().over(own)  # the first section comes first, so this is the place in it
+    defines = F.startswith(line, F.concat(F.lit("(ENT"), F.col("k").cast("string"), F.lit(") [SEP] is [SEP]")))
+    return marked.withColumn("k", k).select("index", F.when(~F.col("second") & defines, "definition").otherwise("relation").alias("kind"), "pos", line.alias("triple"))
 
 
 def reasoning(column: str = "text"):
@@ -46,12 +55,33 @@ def reasoning(column: str = "text"):
     return T.strip(F.substring_index(F.col(column), "# Reasoning:", -1))
 
 
-#: Places where a chain of thought may stand, tried in order
-COT_PATTERNS = (r"(?s)# Reasoning:\s*(.*?)(?=\n# |\z)", r"(?s)# Chain of Thought:\s*(.*?)(?=\n# |\z)", r"(?s)# Answer:\s*(.*?)(?=\n# |\z)", r"(?s)<think>(.*?)</think>", r"(?s)\A(.*?)(?=\n# )", r"(?s)\A(.*)\z")
-MIN_COT = 20
+#: Marks in a generated chain of thought, and the lengths below which text isn't one (fixed values)
+REASONING, QUESTION, LATENT, TRIPLES, FORMAT = "Reasoning:", "# Question:", "# Latent Entities:", "# Triples:", "# Output Format:"
+MIN_COT, MIN_PART, MIN_LINE = 20, 20, 30
 
 
 def cot_text(column: str = "text"):
-    """The first pattern's match of at least MIN_COT characters; null if none."""
-    tries = [T.strip(F.regexp_extract(F.col(column), p, 1)) for p in COT_PATTERNS]
-    return F.coalesce(*[F.when(F.length(t) >= MIN_COT, t) for t in tries])
+    """The chain of thought of an answer: after its own mark, else before the next question, else between the
+    question and the entities or the triples, else the first long line that is no heading. '' if that is short."""
+    text = F.col(column)
+    has = lambda c, mark: F.contains(c, F.lit(mark))
+    before = lambda c, mark: F.substring_index(c, mark, 1)
+    after = lambda c, mark: F.substring_index(c, mark, -1)
+    long = lambda c: F.when(F.length(c) > MIN_PART, c)
+    some = lambda c: F.when(c != "", c)
+    told = F.when(has(text, "# " + REASONING), after(text, "# " + REASONING)).when(has(text, REASONING), after(text, REASONING))
+    marked = T.strip(F.when(has(told, LATENT), before(told, LATENT)).otherwise(before(told, TRIPLES)))
+    head = T.strip(before(text, QUESTION))
+    head = F.when(has(head, "Given a question") & has(head, FORMAT), T.strip(after(head, FORMAT))).otherwise(head)
+
+    def between(mark: str):
+        part = after(T.strip(before(text, mark)), QUESTION)
+        inner = F.when(has(part, REASONING), some(T.strip(after(part, REASONING))))
+        if mark == TRIPLES:
+            inner = inner.when(has(part, LATENT), some(T.strip(before(part, LATENT))))
+        return F.when(has(text, mark) & has(before(text, mark), QUESTION), inner.otherwise(long(T.strip(part))))
+
+    every = F.transform(F.split(text, "\n"), T.strip)
+    line = F.get(F.filter(every, lambda x: (F.length(x) > MIN_LINE) & ~F.startswith(x, F.lit("#")) & ~has(x, "Question:") & ~has(x, "Output Format:")), F.lit(0))
+    found = F.coalesce(some(marked), F.when(has(text, QUESTION), long(head)), between(LATENT), between(TRIPLES), line, F.lit(""))
+    return F.when(F.length(found) < MIN_COT, "").otherwise(found)

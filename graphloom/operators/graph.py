@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Entities in a graph up to which all permutations are formed by joins; beyond, by extension of consistent prefixes.
-PERMUTED = 7
-
 
 def mentions(triples: DataFrame, defs: DataFrame) -> DataFrame:
     """(index, kind, pos, ent, defined)"""
@@ -46,32 +43,35 @@ def _ranked(defs: DataFrame) -> DataFrame:
     return defs.select("index", "ent", (F.row_number().over(Window.partitionBy("index").orderBy("ord", "ent")) - 1).alias("r"), "ord")
 
 
+def _order(edges, n):
+    """Entities 0..n-1 in the smallest order that obeys all edges (f before t): shorter than n if they have a cycle."""
+    free = lambda o, e: ~F.array_contains(o, e) & ~F.exists(edges, lambda x: (x["t"] == e) & ~F.array_contains(o, x["f"]))
+    step = lambda o, _: F.concat(o, F.slice(F.filter(F.sequence(F.lit(0), n - 1), lambda e: free(o, e)), 1, 1))
+    return F.aggregate(F.sequence(F.lit(1), n), F.array().cast("array<int>"), step)
+
+
 def valid_paths(triples: DataFrame, defs: DataFrame, limit: int = 5, seed: int | None = None) -> DataFrame:
     """(index, path_index, path): for each acyclic orientation of the adjacent pairs the
     first order that obeys it, orientations in the order of their bits, at most `limit`.
 
-    A graph's entities sit in one array; orders are extended entity by entity inside
-    the row. An orientation is the string of bits of its pairs; the smallest order of
-    each is taken by an aggregate. seed: G7, orientations in the order of a hash.
+    All inside a graph's row. Pairs are oriented one after the other and only the first `limit` acyclic beginnings are
+    kept: each of them can be completed, so later ones aren't needed. The smallest topological order of an orientation is
+    its first permutation. seed: G7, where there are more orientations than `limit` they come in another order: a hash
+    of (seed, index, pair) turns each pair's two directions round or not.
     """
     ents = _ranked(defs).groupBy("index").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "ent", "ord"))), lambda x: x["ent"]).alias("ents"), F.map_from_entries(F.collect_list(F.struct("ord", "r"))).alias("rank"))
     pairs = adjacency(triples, defs).groupBy("index").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("pairs"))
-    none = F.array().cast("array<struct<a:int,b:int>>")
-    rows = ents.join(pairs, "index", "left").select("index", "ents", F.coalesce(F.transform("pairs", lambda x: F.struct(F.element_at("rank", x["a"]).alias("a"), F.element_at("rank", x["b"]).alias("b"))), none).alias("pairs"))
-    widest = rows.agg(F.max(F.size("ents"))).first()[0] or 0  # one number
-    orders = F.array(F.array().cast("array<int>"))
-    full = rows.withColumn("orders", orders)
-    for _ in range(widest):  # one more entity in each order
-        n = F.size("ents")
-        grown = F.flatten(F.transform("orders", lambda o: F.transform(F.filter(F.sequence(F.lit(0), F.size("ents") - 1), lambda e: ~F.array_contains(o, e)), lambda e: F.concat(o, F.array(e)))))
-        full = full.withColumn("orders", F.when(F.size(F.get("orders", F.lit(0))) < n, grown).otherwise(F.col("orders")))
-    each = full.where("size(ents) > 0").select("index", "ents", "pairs", F.explode("orders").alias("o"))
-    bits = F.array_join(F.transform("pairs", lambda p: F.when(F.array_position("o", p["a"]) < F.array_position("o", p["b"]), "0").otherwise("1")), "")
-    first = each.withColumn("bits", bits).groupBy("index", "bits").agg(F.min("o").alias("o"), F.first("ents").alias("ents"))
-    by = [F.col("bits")] if seed is None else [F.xxhash64(F.lit(seed), "index", "bits"), F.col("bits")]
-    k = F.row_number().over(Window.partitionBy("index").orderBy(*by)) - 1
-    path = F.transform("o", lambda i: F.get("ents", i))
-    return first.withColumn("path_index", k).where(F.col("path_index") < limit).select("index", "path_index", path.alias("path"))
+    edge = "struct<f: int, t: int>"
+    ranks = F.coalesce(F.transform("pairs", lambda x: F.struct(F.element_at("rank", x["a"]).alias("f"), F.element_at("rank", x["b"]).alias("t"))), F.array().cast(f"array<{edge}>"))
+    rows = ents.join(pairs, "index", "left").select("index", "ents", F.size("ents").alias("n"), ranks.alias("pairs"))
+    back = lambda p: F.struct(p["t"].alias("f"), p["f"].alias("t"))
+    if seed is not None:
+        turned = lambda p, k: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("index").cast("string"), k.cast("string"))), 1, 1), 16, 10).cast("int") % 2 == 1) & (F.pow(F.lit(2.0), F.size("pairs")) > limit)
+        rows = rows.withColumn("pairs", F.transform("pairs", lambda p, k: F.when(turned(p, k), back(p)).otherwise(p)))
+    grown = lambda some, p: F.slice(F.filter(F.flatten(F.transform(some, lambda o: F.array(F.concat(o, F.array(p)), F.concat(o, F.array(back(p)))))), lambda o: F.size(_order(o, F.col("n"))) == F.col("n")), 1, limit)
+    found = rows.withColumn("oriented", F.aggregate("pairs", F.array(F.array().cast(f"array<{edge}>")), grown))
+    orders = F.transform("oriented", lambda o: F.transform(_order(o, F.col("n")), lambda i: F.get("ents", i)))
+    return found.select("index", F.posexplode(orders).alias("path_index", "path"))
 
 
 def varied_paths(triples: DataFrame, defs: DataFrame, limit: int = 5, seed: int | None = None) -> DataFrame:
@@ -83,34 +83,56 @@ def varied_paths(triples: DataFrame, defs: DataFrame, limit: int = 5, seed: int
     return ranked.withColumn("path_index", k).where(F.col("path_index") < limit).select("index", "path_index", "path", "start")
 
 
-def target_sentences(triples: DataFrame, target: str = "target") -> DataFrame:
-    """P10: (index, target) x triples that mention no entity but the target -> sentences in order."""
-    only = T.entities(F.col("triple")) == F.array(F.col(target))
-    kept = F.filter(F.array_sort(F.collect_list(F.when(only, F.struct("pos", T.sentence(F.col("triple")).alias("s"))))), lambda x: x.isNotNull())
-    return triples.groupBy("index", target).agg(F.transform(kept, lambda x: x["s"]).alias("sentences"))
-
-
 def retrieval_query(triples: DataFrame, defs: DataFrame) -> DataFrame:
-    """(index, ent, query): the sentences about an entity alone, or about it and others with
-    their definitions put in; its definition if there is none."""
-    return _about(triples, defs, None)
+    """(index, ent, query): the sentences about an entity alone, or else its definition's sentence, with
+    definitions put in for entities."""
+    rows = _about(triples, defs).withColumn("query", F.when(F.size("lines") > 0, F.array_join("lines", " ")).otherwise(F.concat("sentence", F.lit("."))))
+    return rows.select("index", "ent", _resolved("query").alias("query"))
 
 
 def infill_query(triples: DataFrame, defs: DataFrame, blank: str = "<extra_id_0>") -> DataFrame:
-    """The same sentences with the blank for the entity, and its definition last."""
-    return _about(triples, defs, blank)
+    """The same sentences and that of the definition, if it names no other entity, with the blank for the entity."""
+    own = F.concat("sentence", F.lit("."))
+    lines = F.when(T.entities(F.col("sentence")) == F.array("ent"), F.concat("lines", F.array(own))).otherwise(F.col("lines"))
+    rows = _about(triples, defs).withColumn("lines", lines).withColumn("query", F.replace(F.when(F.size("lines") > 0, F.array_join("lines", " ")).otherwise(own), F.col("ent"), F.lit(blank)))
+    return rows.select("index", "ent", _resolved("query").alias("query"))
+
+
+def agent_query(triples: DataFrame, defs: DataFrame, plain: bool = False) -> DataFrame:
+    """The query for the search agent: an entity's first mention as it is defined, later ones with the definite
+    article, and the question for it at the end; a sentence that says that something is itself goes (plain: it stays)."""
+    rows = _about(triples, defs).withColumn("query", F.when(F.size("lines") > 0, F.array_join("lines", " ")).otherwise(F.concat("sentence", F.lit("."))))
+
+    def mention(first):
+        def put(q, x):
+            once = x["definition"] if first else T.definite(x["definition"])
+            return F.replace(T.replace_first(q, x["ent"], once), x["ent"], T.definite(once))
+
+        return put
+
+    # one round over all definitions; then rounds for entities that definitions named
+    rows = rows.withColumn("query", F.when(T.has_entity(F.col("query")), F.aggregate("d", F.col("query"), mention(True))).otherwise(F.col("query")))
+    again = F.aggregate(F.sequence(F.lit(1), F.size("d")), F.col("query"), lambda q, _: F.when(T.has_entity(q), F.aggregate("d", q, mention(False))).otherwise(q))
+    rows = rows.withColumn("query", F.when(F.col("undefined"), F.col("query")).otherwise(again))
+    asked = F.concat("query", F.lit(" What is "), T.definite(F.col("definition")), F.lit("?"))
+    return rows.select("index", "ent", (asked if plain else T.strip(F.regexp_replace(asked, r"\b(.+?)\s+is\s+\1\b.", ""))).alias("query"))
 
 
-def _about(triples: DataFrame, defs: DataFrame, blank: str | None) -> DataFrame:
+def _about(triples: DataFrame, defs: DataFrame) -> DataFrame:
+    """P10: defs and lines (sentences that name no entity but this one), d (all definitions), undefined (Q6: some triple
+    names an entity without definition)."""
+    said = triples.where("kind = 'relation'").select("index", "pos", T.entities(F.col("triple")).alias("e"), T.sentence(F.col("triple")).alias("s")).where("size(e) > 0 and s is not null")
     names = defs.groupBy("index").agg(F.array_sort(F.collect_list(F.struct("ord", "ent", "definition"))).alias("d"))
-    said = triples.where("kind = 'relation'").select("index", "pos", F.explode(T.entities(F.col("triple"))).alias("ent"), T.sentence(F.col("triple")).alias("s"))
-    lines = said.groupBy("index", "ent").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("lines"))
-    rows = defs.join(lines, ["index", "ent"], "left").join(names, "index")
-    no = F.array().cast("array<string>")
-    others = F.filter("d", lambda x: x["ent"] != F.col("ent"))
-    put = lambda s: F.aggregate(others, F.replace(s, F.col("ent"), F.lit(blank) if blank else F.col("definition")), lambda a, x: F.replace(a, x["ent"], x["definition"]))
-    body = F.transform(F.coalesce("lines", no), lambda s: F.concat(put(s), F.lit(".")))
-    if blank:
-        body = F.concat(body, F.array(F.concat(F.lit(f"{blank} is "), "definition", F.lit("."))))
-        return rows.select("index", "ent", F.array_join(body, " ").alias("query"))
-    return rows.select("index", "ent", F.when(F.size(body) > 0, F.array_join(body, " ")).otherwise(F.col("definition")).alias("query"))
+    alone = said.where("size(e) = 1").groupBy("index", F.get("e", F.lit(0)).alias("ent")).agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("l"))
+    flag = undefined_flag(triples.where("kind = 'relation'"), defs).withColumnRenamed("has_undefined", "undefined")
+    rows = defs.join(alone, ["index", "ent"], "left").join(names, "index").join(flag, "index", "left")
+    lines = F.transform("l", lambda x: F.concat(x["s"], F.lit(".")))
+    return rows.select("index", "ent", "definition", "sentence", "d", F.coalesce(lines, F.array().cast("array<string>")).alias("lines"), F.coalesce("undefined", F.lit(False)).alias("undefined"))
+
+
+def _resolved(query: str):
+    """Definitions put in for entities, in their order, again for those that definitions name: as many rounds as there
+    are definitions, and one if some entity has none (Q6: it would never end)."""
+    put = lambda q: F.aggregate("d", q, lambda a, x: F.replace(a, x["ent"], x["definition"]))
+    rounds = F.sequence(F.lit(1), F.when(F.col("undefined"), F.lit(1)).otherwise(F.size("d")))
+    return F.aggregate(rounds, F.col(query), lambda q, _: F.when(T.has_entity(q), put(q)).otherwise(q))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: BM25's constants (fixed values)
 K1, B = 0.9, 0.4
 
 
@@ -27,27 +28,72 @@ def corpus_stats(corpus: DataFrame) -> DataFrame:
 
 
 def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, top_k: int = 5, k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, rank from 0, doc_id, score). Only postings of query tokens take part:
-    the index is filtered by the queries' vocabulary before documents meet queries."""
+    """(qid, rank from 0, doc_id, score). Only postings of query tokens take part: the index is
+    filtered by the queries' vocabulary before documents meet queries, and each posting's weight is computed once,
+    not once a query. A frequent token is a hot join key, which adaptive execution splits; sums are partial first."""
     asked = queries.select("qid", F.explode(terms(F.col("query"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
     hit = index.join(asked.select("token").distinct(), "token", "left_semi")
     df = hit.groupBy("token").agg(F.count("*").alias("df"))
     weight = df.crossJoin(F.broadcast(stats)).select("token", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
     tf = F.col("tf")
-    part = F.col("qtf") * F.col("idf") * tf / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    scored = hit.join(weight, "token").join(asked, "token").groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    part = F.col("idf") * tf / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
+    weighed = hit.join(weight, "token").select("token", "doc_id", part.alias("part"))
+    scored = weighed.join(asked, "token").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("part")), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")) - 1
     return scored.withColumn("rank", rank).where(F.col("rank") < top_k).select("qid", "rank", "doc_id", "score")
 
 
+#: Tokens of a passage by which containment is looked up.
+RARE = 3
+
+
+def containing(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, doc_id) of documents whose contents hold the query text literally.
+
+    A document that holds a text holds all its inner tokens (those at its ends may be parts of words there). So a text
+    is looked up by its RARE inner tokens of fewest documents, all of which a candidate must have, and the candidates are
+    verified. Texts of fewer than three tokens have no inner token; they are few and short, and meet all documents."""
+    own = queries.where("query <> ''").select("qid", "query", terms(F.col("query")).alias("w")).withColumn("inner", F.array_distinct(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))))
+    asked = own.select("qid", F.explode("inner").alias("token"))
+    words = corpus.select("doc_id", F.explode(F.array_distinct(terms(F.col("contents")))).alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    df = words.groupBy("token").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("df", "token"))
+    rare = asked.join(df, "token").withColumn("r", rank).where(F.col("r") <= RARE).select("qid", "token")
+    need = own.select("qid", F.least(F.size("inner"), F.lit(RARE)).alias("need")).where("need > 0")
+    # a token that no document has leaves its text without enough matches
+    met = words.join(rare, "token").groupBy("qid", "doc_id").agg(F.count("*").alias("n")).join(need, "qid").where("n = need").select("qid", "doc_id")
+    found = met.join(own.select("qid", "query"), "qid").join(corpus.select("doc_id", "contents"), "doc_id").where(F.contains("contents", F.col("query"))).select("qid", "doc_id")
+    short = own.where("size(inner) = 0").select("qid", "query")
+    return found.unionByName(short.join(corpus.select("doc_id", "contents"), F.contains("contents", F.col("query"))).select("qid", "doc_id"))
+
+
 def gold_flag(hits: DataFrame, gold: DataFrame) -> DataFrame:
     """is_gold 0 or 1; gold: (qid, doc_id)."""
     return hits.join(gold.select("qid", "doc_id", F.lit(1).alias("g__")).distinct(), ["qid", "doc_id"], "left").select(*hits.columns, F.coalesce("g__", F.lit(0)).alias("is_gold"))
 
 
 def passages(corpus: DataFrame, max_words: int = 500) -> DataFrame:
-    """Title, text and evidence line of each document."""
-    return corpus.withColumns({"title": T.passage_title(F.col("contents")), "text": T.cap_words(T.passage_text(F.col("contents")), max_words)}).withColumn("evidence", T.evidence(F.col("title"), F.col("text")))
+    """Title, text and evidence line of each document, in Unicode NFC and without white space at the ends;
+    texts of more than max_words words are cut. evidence is null where there is no text (R4: such hits are skipped)."""
+    nfc = T.nfc()
+    read = corpus.withColumns({"title": T.strip(nfc(T.passage_title(F.col("contents")))), "text": T.strip(nfc(T.cap_words(T.passage_text(F.col("contents")), max_words)))})
+    return read.withColumn("evidence", F.when(F.col("text") != "", T.evidence(F.col("title"), F.col("text"))))
+
+
+def gold_zip(samples: DataFrame, ids: str = "gold_id_list", texts: str = "gold_evidence_list") -> DataFrame:
+    """(index, ord, title, evidence, n_gold): ids and texts side by side, as far as the shorter list goes; n_gold
+    counts all ids, for they all count against the cap (Q24)."""
+    nfc = T.nfc()
+    n = F.least(F.size(ids), F.size(texts))
+    pairs = samples.select("index", F.size(ids).alias("n_gold"), F.posexplode(F.arrays_zip(F.slice(ids, 1, n).alias("i"), F.slice(texts, 1, n).alias("t"))).alias("ord", "x"))
+    read = pairs.select("index", "ord", T.strip(nfc(F.col("x.i"))).alias("title"), T.strip(nfc(F.col("x.t"))).alias("text"), "n_gold")
+    return read.select("index", "ord", "title", T.evidence(F.col("title"), F.col("text")).alias("evidence"), "n_gold")
+
+
+def titles(hits: DataFrame, key: str = "qid") -> DataFrame:
+    """(key, titles): distinct titles of evidence lines, sorted (Q19); lines without one don't count."""
+    own = hits.where(F.startswith("evidence", F.lit("(Title: "))).select(key, T.title_of(F.col("evidence")).alias("t"))
+    return own.groupBy(key).agg(F.array_sort(F.collect_set("t")).alias("titles"))
 
 
 def assemble(gold: DataFrame, hits: DataFrame, setting: str = "open-book", top_k: int = 5, total: bool = False) -> DataFrame:
@@ -64,7 +110,7 @@ def assemble(gold: DataFrame, hits: DataFrame, setting: str = "open-book", top_k
         parts.append(gold.select("qid", F.lit(0).alias("src"), "ord", "doc_id", "evidence"))
     if "open-book" in setting:
         parts.append(hits.select("qid", F.lit(1).alias("src"), "ord", "doc_id", "evidence"))
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    rows = (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).where("src = 0 or evidence is not null")
     by_text = Window.partitionBy("qid", "evidence").orderBy("src", "ord")
     # gold passages all stay, hits only if new
     fresh = rows.withColumn("r", F.row_number().over(by_text)).where("src = 0 or r = 1")
@@ -90,22 +136,29 @@ def numbered(assembled: DataFrame) -> DataFrame:
     return assembled.groupBy("qid").agg(F.array_join(F.transform(ordered, line), "\n").alias("block"))
 
 
+#: names of the strategies, and what stands before triples and before a hop's text in a query (fixed values)
 STRATEGIES = ("question", "cot_reasoning", "triplets", "combined", "multihop_triplets", "question_triplets")
+TRIPLETS, QUESTION_TRIPLETS, SEARCHING = "\n\nTriplets:\n", "\n\nQuestion Triplets:\n", "\n\nSearching for: "
 
 
 def strategy_queries(samples: DataFrame, strategy: str, agent: bool = False, nudge: bool = False) -> DataFrame:
-    """(index, hop, query, thinking) for a sample's question, cot_reasoning, cot_triples, question_triples.
-    thinking counts only for a nudged agent."""
+    """(index, hop, triple, query, thinking) for a sample's question, cot_reasoning, cot_def_triples,
+    cot_triples, question_def_triples, question_triples. Where there are no triples the question is asked alone, but
+    the multihop strategy asks nothing (Q17). thinking counts only for a nudged agent (Q14)."""
     if strategy not in STRATEGIES:
         raise ValueError(strategy)
-    q = F.col("question")
-    words = lambda c: F.array_join(F.transform(F.coalesce(c, F.array().cast("array<string>")), T.triple_query), ". ")
+    q, no = F.col("question"), F.lit(None).cast("string")
+    both = lambda kind: F.concat(*[F.coalesce(F.col(f"{kind}_{c}"), F.array().cast("array<string>")) for c in ("def_triples", "triples")])
+    told = F.when(T.strip(F.coalesce("cot_reasoning", F.lit(""))) != "", F.col("cot_reasoning"))
+    thinking = (told if strategy in ("cot_reasoning", "combined", "multihop_triplets") and agent and nudge else no).alias("thinking")
     if strategy == "multihop_triplets":
-        hops = samples.select("index", F.posexplode("cot_triples").alias("hop", "t"))
-        return hops.select("index", "hop", T.triple_query(F.col("t")).alias("query"), F.lit(None).cast("string").alias("thinking"))
-    column = {"question": q, "cot_reasoning": q, "triplets": words(F.col("cot_triples")), "combined": F.concat_ws(" ", q, words(F.col("cot_triples"))), "question_triplets": words(F.col("question_triples"))}[strategy]
-    thinking = F.col("cot_reasoning") if strategy in ("cot_reasoning", "combined") and agent and nudge else F.lit(None).cast("string")
-    return samples.select("index", F.lit(0).alias("hop"), F.when(column == "", q).otherwise(column).alias("query"), thinking.alias("thinking"))
+        hops = samples.select("*", F.posexplode(both("cot")).alias("hop", "triple"))
+        return hops.select("index", "hop", "triple", F.concat(q, F.lit(SEARCHING), T.triple_query(F.col("triple"))).alias("query"), thinking)
+    query = q
+    if strategy in ("triplets", "combined", "question_triplets"):
+        kind, head = ("question", QUESTION_TRIPLETS) if strategy == "question_triplets" else ("cot", TRIPLETS)
+        query = F.when(F.size(both(kind)) > 0, F.concat(q, F.lit(head), F.array_join(both(kind), "\n"))).otherwise(q)
+    return samples.select("index", F.lit(0).alias("hop"), no.alias("triple"), query.alias("query"), thinking)
 
 
 def multihop_union(hits: DataFrame) -> DataFrame:

@@ -9,11 +9,13 @@ from ..functions import text as T
 
 
 def score(preds: DataFrame, pred: str = "predicted_answer", answer: str = "answer", aliases: str | None = None) -> DataFrame:
-    """em_score and f1_score, the best over the answer and its aliases."""
+    """em_score and f1_score, the best over the answer and its aliases. Every text is normalised once: tokens are columns."""
     golds = F.array(F.col(answer))
     if aliases:
         golds = F.concat(golds, F.coalesce(F.col(aliases), F.array().cast("array<string>")))
-    return preds.withColumns({"em_score": T.best_over(T.exact_match, F.col(pred), golds), "f1_score": T.best_over(T.token_f1, F.col(pred), golds)})
+    read = preds.withColumns({"p__": T.tokens(F.col(pred)), "g__": F.transform(golds, T.tokens)})
+    em = F.array_max(F.transform("g__", lambda g: (F.array_join(g, " ") == F.array_join("p__", " ")).cast("int")))
+    return read.withColumns({"em_score": em, "f1_score": F.array_max(F.transform("g__", lambda g: T.tokens_f1(F.col("p__"), g)))}).drop("p__", "g__")
 
 
 def by_hop(scored: DataFrame) -> DataFrame:
@@ -32,12 +34,14 @@ def fixed_hops(scored: DataFrame, hops: tuple[int, ...] = (2, 3, 4)) -> DataFram
 
 def metric_lines(rolled: DataFrame) -> DataFrame:
     """Report lines in the order of the hop string."""
-    return rolled.orderBy("hops").select(F.concat(F.lit("Hops: "), "hops", F.lit(", EM: "), T.three_places(F.col("em")), F.lit(", F1: "), T.three_places(F.col("f1"))).alias("value"))
+    three = T.three_places()
+    return rolled.orderBy("hops").select(F.concat(F.lit("Hops: "), "hops", F.lit(", EM: "), three(F.col("em")), F.lit(", F1: "), three(F.col("f1"))).alias("value"))
 
 
 def metric_json(rolled: DataFrame) -> DataFrame:
-    """One JSON object per row of the roll-up."""
-    return rolled.select(F.to_json(F.struct("hops", F.round("em", 3).alias("em"), F.round("f1", 3).alias("f1"))).alias("value"))
+    """One JSON object per row of the roll-up, three decimals as in S7."""
+    three = T.three_places()
+    return rolled.select(F.to_json(F.struct("hops", three(F.col("em")).cast("double").alias("em"), three(F.col("f1")).cast("double").alias("f1"))).alias("value"))
 
 
 def average_comparison(compared: DataFrame) -> DataFrame:

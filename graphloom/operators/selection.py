@@ -6,6 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def with_index(rows: DataFrame, wanted: DataFrame, key: str = "index") -> DataFrame:
+    """Rows whose key is wanted."""
+    return rows.join(wanted.select(key), key, "left_semi")
+
+
+def with_hops(rows: DataFrame, hops: int) -> DataFrame:
+    """P2"""
+    return rows.where(F.col("num_hops") == hops)
+
+
+def progress(samples: DataFrame, done: DataFrame, key: str = "index") -> DataFrame:
+    """One row: samples in all, those that are done, those that remain."""
+    have = done.select(F.col(key).alias(key), F.lit(1).alias("d__")).distinct()
+    return samples.select(key).join(have, key, "left").agg(F.count("*").alias("total"), F.count("d__").alias("existing"), (F.count("*") - F.count("d__")).alias("remaining"))
+
+
+def cached_by_start(paths: DataFrame, found: DataFrame) -> DataFrame:
+    """Paths (index, path_index, path) with what was retrieved for their start entity; found: (index, ent, ...). Q9:
+    a start that nothing was retrieved for gives nulls."""
+    return paths.withColumn("ent", F.get("path", F.lit(0))).join(found, ["index", "ent"], "left").withColumnRenamed("ent", "start")
+
+
 def remaining(samples: DataFrame, done: DataFrame, key: str = "index") -> DataFrame:
     """Samples that aren't done."""
     return samples.join(done.select(key).distinct(), key, "left_anti")
@@ -22,10 +44,6 @@ def with_memo(prompts: DataFrame, memo: DataFrame) -> tuple[DataFrame, DataFrame
     return prompts.join(known, "prompt"), prompts.select("prompt").distinct().join(known, "prompt", "left_anti")
 
 
-def order_key(column: Column, seed: int) -> Column:
-    return F.xxhash64(column, F.lit(seed))
-
-
 def uniform_sample(rows: DataFrame, n: int, by: Column) -> DataFrame:
     """K1: exactly n rows, the first in the order of `by`."""
     return rows.orderBy(by).limit(n)
@@ -46,18 +64,20 @@ def complement(rows: DataFrame, sample: DataFrame, key: str) -> DataFrame:
 
 
 def reindex(rows: DataFrame, order: str, name: str = "index") -> DataFrame:
-    """Places from 0 in the order of a unique column, by range partition, count per partition and offset:
-    no single task sorts all rows."""
-    ranged = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumns({"p__": F.spark_partition_id(), "m__": F.monotonically_increasing_id()})
-    local = ranged.withColumn("k__", F.row_number().over(Window.partitionBy("p__").orderBy(order)))
-    counts = local.groupBy("p__").agg(F.count("*").alias("n__"))
-    before = counts.withColumn("o__", F.coalesce(F.sum("n__").over(Window.orderBy("p__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(before.select("p__", "o__")), "p__").withColumn(name, F.col("o__") + F.col("k__") - 1).drop("p__", "m__", "k__", "o__")
-
-
-def first_rows(rows: DataFrame, n: int, order: str = "index") -> DataFrame:
-    """P3"""
-    return rows.orderBy(order).limit(n)
+    """Places from 0 in the order of a unique column: rows are dealt to ranges of the column, counted by range,
+    and numbered inside; no single task sorts all rows. The ranges are bounds on the driver, so both uses agree."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(rows.approxQuantile(order, [i / n for i in range(1, n)], 0.001)))  # at most n numbers
+    ranged = rows.withColumn("p__", sum((F.when(F.col(order) > F.lit(x), 1).otherwise(0) for x in bounds), F.lit(0)))
+    counts = ranged.groupBy("p__").agg(F.count("*").alias("n__"))
+    before = counts.withColumn("o__", F.coalesce(F.sum("n__").over(Window.orderBy("p__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("p__", "o__")
+    k = F.row_number().over(Window.partitionBy("p__").orderBy(order))
+    return ranged.withColumn("k__", k).join(F.broadcast(before), "p__").withColumn(name, F.col("o__") + F.col("k__") - 1).drop("p__", "k__", "o__")
+
+
+def first_rows(rows: DataFrame, n: int | None, order: str = "index") -> DataFrame:
+    """P3; None: all."""
+    return rows if n is None else rows.orderBy(order).limit(n)
 
 
 #: The projection of a checked sample

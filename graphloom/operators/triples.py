@@ -14,9 +14,14 @@ def parse(triples: DataFrame) -> DataFrame:
 
 
 def definitions(triples: DataFrame) -> DataFrame:
-    """Definition triples -> (index, ent, ord, definition): the last definition of an entity, at its first place."""
-    parsed = parse(triples).select("index", "pos", F.get("elements", F.lit(0)).alias("ent"), T.definition(F.col("triple")).alias("definition"))
-    return parsed.groupBy("index", "ent").agg(F.min("pos").alias("ord"), F.max_by("definition", "pos").alias("definition"))
+    """Definition triples -> (index, ent, ord, definition, sentence): the last definition of an entity, at its first place."""
+    parsed = parse(triples).select("index", "pos", F.get("elements", F.lit(0)).alias("ent"), T.definition(F.col("triple")).alias("definition"), "sentence")
+    return parsed.groupBy("index", "ent").agg(F.min("pos").alias("ord"), F.max_by("definition", "pos").alias("definition"), F.max_by("sentence", "pos").alias("sentence"))
+
+
+def open_definitions(triples: DataFrame) -> DataFrame:
+    """Of definition rows those whose first word still holds an entity; others are filled in."""
+    return triples.where((F.col("kind") != "definition") | T.has_entity(F.get(F.split(T.squeeze(F.col("triple")), " "), F.lit(0))))
 
 
 def split_kinds(triples: DataFrame) -> DataFrame:
@@ -45,15 +50,10 @@ def compare(graphs: DataFrame, left: str, right: str, keys: tuple[str, ...] = ("
 
 
 def compare_arrays(left, right) -> dict:
-    """U1 per row, for two array columns: overlap, only-left, only-right as columns."""
+    """U1 per row, for two array columns: overlap, only-left, only-right and shared entity names (Q27: names, not meanings) as columns."""
     a, b = (F.array_distinct(F.transform(x, T.normal_triple)) for x in (left, right))
-    return {"overlap": F.array_intersect(a, b), "self_only": F.array_except(a, b), "other_only": F.array_except(b, a)}
-
-
-def entity_overlap(left, right):
-    """Names of entities that both array columns mention (Q27: names, not meanings)."""
     names = lambda x: F.array_distinct(F.flatten(F.transform(x, T.entities)))
-    return F.array_intersect(names(left), names(right))
+    return {"overlap": F.array_intersect(a, b), "self_only": F.array_except(a, b), "other_only": F.array_except(b, a), "entity_overlap": F.array_intersect(names(left), names(right))}
 
 
 def united(parts: DataFrame) -> DataFrame:

@@ -34,9 +34,18 @@ def first_supporting(verdicts: DataFrame) -> DataFrame:
     return seen.groupBy("claim_id").agg(F.bool_or("supported").alias("supported"), F.max_by(F.when(F.col("supported"), F.col("doc_id")), "pos").alias("supported_doc_id"), F.avg("confidence").alias("confidence"), F.count("*").alias("calls"))
 
 
+#: the document id of a verdict on all evidence together (fixed value)
+ALL_DOCUMENTS = "[concatenated_documents]"
+
+
 def tiers(whole: DataFrame, each: DataFrame) -> DataFrame:
-    """M5, concat+each: the verdict on all evidence; where that fails, document by document."""
+    """M5, A11, concat+each: the verdict on all evidence (claim_id, supported, confidence); where that fails, document by
+    document (claim_id, pos, doc_id, supported, confidence). confidence is the mean over the calls that were made."""
     failed = each.join(whole.where("not supported").select("claim_id"), "claim_id", "left_semi")
-    second = first_supporting(failed).select("claim_id", F.col("supported").alias("s2"), "supported_doc_id", F.col("confidence").alias("c2"))
+    second = first_supporting(failed).select("claim_id", F.col("supported").alias("s2"), "supported_doc_id", F.col("confidence").alias("c2"), "calls")
     both = whole.join(second, "claim_id", "left")
-    return both.select("claim_id", (F.col("supported") | F.coalesce("s2", F.lit(False))).alias("supported"), F.when(F.col("supported"), "concat").when(F.col("s2"), "each").otherwise("none").alias("tier"), "supported_doc_id")
+    own = F.when(F.col("confidence").isNotNull(), 1).otherwise(0)
+    mean = (F.coalesce("confidence", F.lit(0.0)) + F.coalesce(F.col("c2") * F.col("calls"), F.lit(0.0))) / F.nullif(own + F.coalesce("calls", F.lit(0)), F.lit(0))
+    doc = F.when(F.col("supported"), ALL_DOCUMENTS).otherwise(F.col("supported_doc_id").cast("string"))
+    tier = F.when(F.col("supported"), "concat").when(F.col("s2"), "each").otherwise("none")
+    return both.select("claim_id", (F.col("supported") | F.coalesce("s2", F.lit(False))).alias("supported"), tier.alias("tier"), doc.alias("supported_doc_id"), mean.alias("confidence"))

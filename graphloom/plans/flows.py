@@ -14,63 +14,79 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import generated as P
 from ..operators import graph as G
 from ..operators import retrieval as R
-from ..operators import scoring, triples, verification
+from ..operators import scoring, selection, triples, verification
 from ..sources import models
-from ..sources.tables import EngineConfig
+from ..sources.tables import EngineConfig, GraphTable
 
 Keep = Callable[[DataFrame], DataFrame]
 
 
 class Corpus:
-    """A corpus (doc_id, contents) with its index; built once, read by every step."""
+    """A corpus (doc_id, contents) with its index; built once, read by every step. Hits are (qid, ord, doc_id, evidence)."""
 
-    def __init__(self, docs: DataFrame, keep: Keep):
-        self.passages = keep(R.passages(docs).select("doc_id", "evidence"))
+    def __init__(self, docs: DataFrame, keep: Keep, max_words: int = 500):
+        self.passages = keep(R.passages(docs, max_words).select("doc_id", "evidence"))
         self.index = keep(R.postings(docs))
         self.stats = keep(R.corpus_stats(docs))
 
     def hits(self, queries: DataFrame, top_k: int) -> DataFrame:
-        """(qid, ord, doc_id, evidence): each distinct query text is searched once."""
+        """Each distinct query text is searched once."""
         texts = queries.select(F.xxhash64("query").alias("h"), "query").distinct()
         found = R.bm25(self.index, self.stats, texts.withColumnRenamed("h", "qid"), top_k).join(self.passages, "doc_id")
         return queries.select("qid", F.xxhash64("query").alias("h")).join(found.withColumnRenamed("qid", "h"), "h").select("qid", F.col("rank").alias("ord"), "doc_id", "evidence")
 
-    def evidence(self, queries: DataFrame, gold: DataFrame, config: EngineConfig, keys: DataFrame | None = None) -> DataFrame:
-        """(qid, evidence text) under the setting. gold: (index, ord, doc_id, evidence); queries carry index."""
+    def assembled(self, queries: DataFrame, gold: DataFrame, config: EngineConfig, hits: DataFrame | None = None, total: bool = False) -> DataFrame:
+        """(qid, pos, doc_id, is_gold, evidence) under the setting. gold: (index, ord, doc_id, evidence); queries (qid, index, query)."""
         own = queries.select("qid", "index").join(gold, "index").select("qid", "ord", "doc_id", "evidence")
-        rows = R.assemble(own, self.hits(queries, config.top_k), config.setting, config.top_k, config.total_results)
+        return R.assemble(own, self.hits(queries, config.top_k) if hits is None else hits, config.setting, config.top_k, total)
+
+    def evidence(self, queries: DataFrame, gold: DataFrame, config: EngineConfig, hits: DataFrame | None = None, total: bool = False) -> DataFrame:
+        """(qid, evidence): the assembled passages as one text, '' if there are none."""
+        rows = self.assembled(queries, gold, config, hits, total)
         return queries.select("qid").join(R.evidence_text(rows, config.evidence_chars), "qid", "left").select("qid", F.coalesce("text", F.lit("")).alias("evidence"))
 
 
-def direct(samples: DataFrame, corpus: Corpus, gold: DataFrame, model: models.Backend, config: EngineConfig) -> DataFrame:
-    """(index, question, answer, num_hops) -> predicted_answer, em_score, f1_score."""
+def direct(samples: DataFrame, corpus: Corpus, gold: DataFrame, model: models.Backend, config: EngineConfig, keep: Keep | None = None) -> DataFrame:
+    """(index, question, answer, num_hops) -> predicted_answer, em_score, f1_score. With use_agent the agent searches (keep is needed then)."""
+    samples = selection.first_rows(samples, config.max_samples)
     queries = samples.select(F.col("index").alias("qid"), "index", F.col("question").alias("query"))
-    evidence = corpus.evidence(queries, gold, config)
+    hits = agent_hits(queries, corpus, model, config, keep) if config.use_agent else None
+    evidence = corpus.evidence(queries, gold, config, hits, config.use_agent and config.total_results)
     asked = samples.join(evidence.withColumnRenamed("qid", "index"), "index")
-    done = models.answer(asked, model).drop("evidence")
-    return scoring.score(done, aliases="answer_aliases" if "answer_aliases" in samples.columns else None)
+    done = models.answer(asked, model, config.evidence_chars).drop("evidence")
+    return selection.fallback(scoring.score(done, aliases="answer_aliases" if "answer_aliases" in samples.columns else None))
 
 
-def infill_paths(paths: DataFrame, facts: DataFrame, corpus: Corpus, gold: DataFrame, model: models.Backend, config: EngineConfig, keep: Keep) -> tuple[DataFrame, DataFrame]:
+def infill_paths(paths: DataFrame, facts: DataFrame, corpus: Corpus, gold: DataFrame, model: models.Backend, config: EngineConfig, keep: Keep, by_start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(facts with entities filled in by path, log). paths: (index, path_index, path);
-    facts: (index, kind, pos, triple). Step i fills the i-th entity of every path."""
+    facts: (index, kind, pos, triple). Step i fills the i-th entity of every path.
+    by_start: (index, ent, evidence) retrieved beforehand for start entities (J8); else every step searches, by the
+    agent's query and the agent if the configuration says so."""
     key = ["index", "path_index"]
     state = keep(paths.select(*key).join(facts, "index"))
     longest = paths.agg(F.max(F.size("path"))).first()[0] or 0
     logs = None
     for i in range(longest):
         target = paths.select(*key, F.get("path", F.lit(i)).alias("target")).where("target is not null")
-        here = state.join(target, key).withColumn("gid", F.concat_ws("/", *key))
+        here = triples.open_definitions(state.join(target, key).withColumn("gid", F.concat_ws("/", *key)))
         graph = here.select(F.col("gid").alias("index"), "kind", "pos", "triple")
         defs = triples.definitions(graph.where("kind = 'definition'"))
-        both = G.retrieval_query(graph, defs).withColumnRenamed("query", "search").join(G.infill_query(graph, defs), ["index", "ent"])
+        search = G.agent_query(graph, defs) if config.use_agent else G.retrieval_query(graph, defs)
+        both = search.withColumnRenamed("query", "search").join(G.infill_query(graph, defs), ["index", "ent"])
         names = here.select("gid", *key, F.col("target").alias("ent")).distinct()
         work = names.join(both.withColumnRenamed("index", "gid"), ["gid", "ent"]).join(defs.select(F.col("index").alias("gid"), "ent", F.col("definition").alias("fallback")), ["gid", "ent"])
         work = keep(work)
-        evidence = corpus.evidence(work.select(F.col("gid").alias("qid"), "index", F.col("search").alias("query")), gold, config)
-        filled = keep(models.infill(work.join(evidence.withColumnRenamed("qid", "gid"), "gid"), model).select(*key, F.lit(i).alias("infilling_index"), "ent", "search", "query", "infilled", "confidence", "status"))
+        queries = work.select(F.col("gid").alias("qid"), "index", F.col("search").alias("query"))
+        if by_start is not None:
+            own = selection.cached_by_start(paths.select(*key, "path"), by_start).select(*key, F.coalesce("evidence", F.lit("")).alias("evidence"))
+            work = work.join(own, key)
+        else:
+            hits = agent_hits(queries, corpus, model, config, keep) if config.use_agent else None
+            work = work.join(corpus.evidence(queries, gold, config, hits, config.use_agent and config.total_results).withColumnRenamed("qid", "gid"), "gid")
+        filled = keep(models.infill(work, model).select(*key, F.lit(i).alias("infilling_index"), "ent", "search", "query", "infilled", "confidence", "status"))
         logs = filled if logs is None else logs.unionByName(filled)
         state = keep(state.join(filled.select(*key, "ent", "infilled"), key, "left").select(*key, "kind", "pos", F.when(F.col("ent").isNull(), F.col("triple")).otherwise(F.replace(F.col("triple"), F.col("ent"), F.col("infilled"))).alias("triple")))
     if logs is None:
@@ -78,36 +94,81 @@ def infill_paths(paths: DataFrame, facts: DataFrame, corpus: Corpus, gold: DataF
     return state, logs
 
 
-def graph_check(samples: DataFrame, facts: DataFrame, corpus: Corpus, gold: DataFrame, model: models.Backend, config: EngineConfig, keep: Keep) -> DataFrame:
+def verify_claims(claims: DataFrame, corpus: Corpus, gold: DataFrame, model: models.Backend, config: EngineConfig, keep: Keep) -> DataFrame:
+    """Claims (qid, index, claim) -> (qid, supported, confidence, supported_doc_id, tier): on all evidence together,
+    document by document up to the first that supports, or the second where the first fails. Evidence always comes
+    from plain search (Q25). Without evidence no document supports, and the confidence is null (Q3)."""
+    rows = keep(corpus.assembled(claims.select("qid", "index", F.col("claim").alias("query")), gold, config))
+
+    def judged(asked: DataFrame) -> DataFrame:
+        return models.verify(asked, model).withColumn("supported", F.coalesce("supported", F.lit(False)))
+
+    whole = each = None
+    if config.document_level != "each":
+        text = claims.select("qid", "claim").join(R.evidence_text(rows, config.evidence_chars), "qid", "left").select("qid", "claim", F.coalesce("text", F.lit("")).alias("evidence"))
+        whole = keep(judged(text).select(F.col("qid").alias("claim_id"), "supported", "confidence"))
+    if config.document_level != "concat":
+        left = claims if whole is None else claims.join(whole.where("not supported").select(F.col("claim_id").alias("qid")), "qid", "left_semi")
+        asked = left.select("qid", "claim").join(rows, "qid").select("qid", "pos", "doc_id", "claim", F.substring("evidence", 1, config.evidence_chars).alias("evidence"))
+        each = keep(judged(asked).select(F.col("qid").alias("claim_id"), "pos", F.col("doc_id").cast("string").alias("doc_id"), "supported", "confidence"))
+    if whole is None:
+        whole = claims.select(F.col("qid").alias("claim_id"), F.lit(False).alias("supported"), F.lit(None).cast("double").alias("confidence"))
+    if each is None:
+        each = claims.sparkSession.createDataFrame([], f"claim_id {dict(claims.dtypes)['qid']}, pos int, doc_id string, supported boolean, confidence double")
+    return verification.tiers(whole, each).withColumnRenamed("claim_id", "qid")
+
+
+def start_evidence(samples: DataFrame, facts: DataFrame, paths: DataFrame, corpus: Corpus, gold: DataFrame, model: models.Backend, config: EngineConfig, keep: Keep, memo: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(index, ent, evidence) for every entity that starts a path (Q9), and new memo rows: a thought about
+    the entity's own question seeds the agent, which searches for the sample's question."""
+    defs = triples.definitions(facts.where("kind = 'definition'"))
+    starts = paths.select("index", F.get("path", F.lit(0)).alias("ent")).where("ent is not null").distinct()
+    own = keep(starts.join(G.agent_query(facts, defs), ["index", "ent"]).withColumn("prompt", T.prompt(models.TEMPLATES["nudge"], question=F.col("query"))).drop("query"))
+    if memo is None:
+        memo = own.select("prompt", F.lit("").alias("value")).limit(0)
+    thoughts, new = nudges(own, memo, model)
+    thoughts = keep(thoughts)
+    asked = own.join(thoughts, "prompt").join(samples.select("index", "question"), "index").withColumn("qid", F.xxhash64("index", "ent"))
+    queries = keep(asked.select("qid", "index", "ent", F.col("question").alias("query"), F.col("value").alias("thinking")))
+    hits = agent_hits(queries, corpus, model, config, keep)
+    evidence = corpus.evidence(queries, gold, config, hits, config.total_results)
+    return keep(queries.join(evidence, "qid").select("index", "ent", "evidence")), new
+
+
+def graph_check(samples: DataFrame, facts: DataFrame, corpus: Corpus, gold: DataFrame, model: models.Backend, config: EngineConfig, keep: Keep, memo: DataFrame | None = None) -> DataFrame:
     """Verdict, best path, answer and scores of each sample. samples: (index, question, answer,
-    num_hops); facts: (index, kind, pos, triple)."""
+    num_hops); facts: (index, kind, pos, triple). Only `answer` is scored, aliases aren't (Q4)."""
+    samples = selection.first_rows(samples, config.max_samples)
     defs = triples.definitions(facts.where("kind = 'definition'"))
-    paths = G.varied_paths(facts, defs, config.path_limit).select("index", "path_index", "path")
+    nudged = config.use_agent and config.nudge
+    make = G.varied_paths if nudged else G.valid_paths
+    paths = make(facts, defs, config.path_limit, config.seed).join(samples.select("index"), "index", "left_semi").select("index", "path_index", "path")
     # a sample without entities has one empty path
     lone = samples.select("index").join(paths.select("index").distinct(), "index", "left_anti").select("index", F.lit(0).alias("path_index"), F.array().cast("array<string>").alias("path"))
     paths = keep(paths.unionByName(lone))
-    filled, log = infill_paths(paths, facts, corpus, gold, model, config, keep)
+    by_start = start_evidence(samples, facts, paths, corpus, gold, model, config, keep, memo)[0] if nudged else None
+    filled, log = infill_paths(paths, facts, corpus, gold, model, config, keep, by_start)
     claims = filled.select("index", "path_index", "kind", "pos", T.sentence(F.col("triple")).alias("claim")).where("claim is not null")
     # every distinct claim of a sample is searched and verified once
     each = keep(claims.select("index", "claim").distinct().withColumn("qid", F.xxhash64("index", "claim")))
-    evidence = corpus.evidence(each.select("qid", "index", F.col("claim").alias("query")), gold, config)
-    verified = keep(models.verify(each.join(evidence, "qid"), model).select("index", "claim", "supported"))
+    verified = keep(each.join(verify_claims(each, corpus, gold, model, config, keep), "qid").select("index", "claim", "supported"))
     verdicts = verification.path_verdicts(claims.join(verified, ["index", "claim"]), paths)
-    # the last infilled entity's confidence; 0 without one
+    # the last infilled entity's confidence (Q2); 0 without one (Q1)
     last = log.groupBy("index", "path_index").agg(F.max_by("confidence", "infilling_index").alias("infill"))
     seen = verification.visited(verdicts.join(last, ["index", "path_index"], "left").withColumn("infill", F.coalesce("infill", F.lit(0.0))))
     best = keep(verification.best_path(seen, "infill"))
     chosen = filled.join(best.select("index", F.col("best_path_index").alias("path_index")), ["index", "path_index"])
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("kind", "pos", "triple"))), lambda x: F.replace(F.replace(x["triple"], F.lit("[SEP] "), F.lit("")), F.lit("[PREP] "), F.lit("")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("kind", "pos", "triple"))), lambda x: T.readable(x["triple"]))
     text = chosen.groupBy("index").agg(F.array_join(ordered, "\n").alias("evidence"))
     asked = samples.join(text, "index", "left").withColumn("evidence", F.coalesce("evidence", F.lit("")))
-    done = scoring.score(models.answer(asked, model).drop("evidence", "confidence"))
+    done = selection.fallback(scoring.score(models.answer(asked, model, config.evidence_chars).drop("evidence", "confidence")))
     return done.join(best, "index", "left").withColumn("prediction", F.when(F.col("supported"), "SUPPORTED").when(~F.col("supported"), "NOT_SUPPORTED"))
 
 
 def agent_loop(questions: DataFrame, corpus: Corpus, ask: Callable[[DataFrame, int], DataFrame], config: EngineConfig, keep: Keep, thinking: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Turns of search until an answer or max_turns. questions: (qid, index, question[, thinking]);
-    ask(rows with prompt, turn) adds text. Gives (state, turns (qid, turn, rank, doc_id))."""
+    ask(rows with prompt, turn) adds text. Gives (state, turns (qid, turn, rank, doc_id)). A turn's query is looked for
+    in what was generated, not in the instructions (Q22)."""
     start = T.prompt(models.TEMPLATES["agent"], question=T.question_mark(F.col("question")))
     if thinking:
         start = F.concat(start, F.lit("\n<think>"), F.coalesce(thinking, F.lit("")), F.lit("</think>"))
@@ -115,9 +176,9 @@ def agent_loop(questions: DataFrame, corpus: Corpus, ask: Callable[[DataFrame, i
     turns = None
     for turn in range(config.max_turns):
         active = state.where("active")
-        said = keep(ask(active, turn).select("qid", "text"))
+        said = keep(ask(active, turn).select("qid", T.cut_at(F.col("text"), STOPS).alias("text")))
         parsed = said.select("qid", "text", T.strip(T.last_tag(F.col("text"), "search")).alias("query"), T.strip(T.last_tag(F.col("text"), "answer")).alias("found"))
-        hits = corpus.hits(parsed.where("found is null and query is not null").select("qid", "query"), config.top_k)
+        hits = corpus.hits(parsed.where("found is null and query is not null").select("qid", "query"), config.agent_top_k)
         now = keep(hits.select("qid", F.lit(turn).alias("turn"), F.col("ord").alias("rank"), "doc_id"))
         turns = now if turns is None else turns.unionByName(now)
         block = R.numbered(hits.withColumnRenamed("ord", "pos"))
@@ -133,11 +194,27 @@ def agent_loop(questions: DataFrame, corpus: Corpus, ask: Callable[[DataFrame, i
     return state, turns
 
 
+#: Where a turn of the agent ends (fixed values)
+STOPS = ("</search>", " </search>", "</search>\n", " </search>\n", "</search>\n\n", " </search>\n\n")
+
+
+def agent_hits(queries: DataFrame, corpus: Corpus, model: models.Backend, config: EngineConfig, keep: Keep) -> DataFrame:
+    """The agent's passages for queries (qid, query[, thinking]): (qid, ord, doc_id, evidence); each distinct
+    query and thought runs once. The last search's, at most top_k, or with total_results all searches'."""
+    thought = F.coalesce("thinking", F.lit("")) if "thinking" in queries.columns else F.lit("")
+    keyed = queries.select("qid", F.col("query").alias("question"), thought.alias("thinking")).withColumn("h", F.xxhash64("question", "thinking"))
+    asked = keep(keyed.select(F.col("h").alias("qid"), F.col("h").alias("index"), "question", "thinking").distinct())
+    _, turns = agent_loop(asked, corpus, lambda rows, _: models.generate(rows, model, batch=config.batch_size), config, keep, "thinking" if config.nudge else None)
+    found = R.turn_results(turns, config.total_results)
+    if not config.total_results:
+        found = found.where(F.col("pos") < config.agent_top_k)
+    own = found.join(corpus.passages, "doc_id").withColumnRenamed("qid", "h")
+    return keyed.select("qid", "h").join(own, "h").select("qid", F.col("pos").alias("ord"), "doc_id", "evidence")
+
+
 def nudges(prompts: DataFrame, memo: DataFrame, model: models.Backend) -> tuple[DataFrame, DataFrame]:
     """(prompt, value) of all distinct prompts, and the new ones to append to the memo."""
-    from ..operators.selection import with_memo
-
-    known, missing = with_memo(prompts.select("prompt").distinct(), memo)
+    known, missing = selection.with_memo(prompts.select("prompt").distinct(), memo)
     new = models.generate(missing, model).select("prompt", F.get(F.split("text", "\n"), F.lit(0)).alias("value"))
     return known.unionByName(new), new
 
@@ -147,7 +224,7 @@ PAIRINGS = {"cot_doc": ("cot", "doc"), "cot_gold": ("cot", "gold"), "gold_doc":
 
 
 def compare_graphs(graphs: DataFrame, pairings: tuple[str, ...] = tuple(PAIRINGS)) -> DataFrame:
-    """(index, source, triple) -> one row per sample and pairing."""
+    """(index, source, triple) -> one row per sample and pairing."""
     out = None
     for name in pairings:
         one = triples.compare(graphs, *PAIRINGS[name]).withColumn("pairing", F.lit(name))
@@ -155,8 +232,43 @@ def compare_graphs(graphs: DataFrame, pairings: tuple[str, ...] = tuple(PAIRINGS
     return out
 
 
+def compare_run(samples: DataFrame, corpus: Corpus, gold: DataFrame, model: models.Backend, config: EngineConfig, keep: Keep) -> tuple[DataFrame, DataFrame]:
+    """(samples with the state of each: ok, no question, no reasoning; comparisons by sample and pairing).
+
+    Per sample: a chain of thought with its triples (anew while empty, cot_retry times), passages by the retrieval
+    strategy, triples of those passages, of the gold passages and, with compare_question, of the question."""
+    samples, silent = selection.with_question(selection.first_rows(samples, config.max_samples))
+    cot = keep(retry_empty(samples.select("index", "question"), lambda rows, n: chain_of_thought(rows, model, n), config.cot_retry, keep))
+    own = cot_facts(cot).withColumn("source", F.lit("cot"))
+    read = keep(own)
+    arrays = lambda rows, kind, name: rows.where(F.col("kind") == kind).groupBy("index").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "triple"))), lambda x: x["triple"]).alias(name))
+    asked = samples.join(cot.select("index", F.col("reasoning").alias("cot_reasoning")), "index", "left")
+    graphs = read.select("index", "source", "triple")
+    parts = [(read, "cot")]
+    if config.compare_question or config.strategy == "question_triplets":
+        facts = keep(construct(samples, model, keep))
+        parts.append((facts, "question"))
+        if config.compare_question:
+            graphs = graphs.unionByName(facts.select("index", F.lit("question").alias("source"), "triple"))
+    for rows, kind in parts:
+        asked = asked.join(arrays(rows, "definition", f"{kind}_def_triples"), "index", "left").join(arrays(rows, "relation", f"{kind}_triples"), "index", "left")
+    for c in ("question_def_triples", "question_triples"):
+        if c not in asked.columns:
+            asked = asked.withColumn(c, F.lit(None).cast("array<string>"))
+    queries = keep(R.strategy_queries(asked, config.strategy, config.use_agent, config.nudge).withColumn("qid", F.xxhash64("index", "hop")))
+    hits = agent_hits(queries, corpus, model, config, keep) if config.use_agent else None
+    found = corpus.assembled(queries, gold, config, hits, config.use_agent and config.total_results).join(queries.select("qid", "index", "hop"), "qid")
+    passages = keep(R.multihop_union(found.select("index", "hop", F.col("pos").alias("rank"), "doc_id")).join(corpus.passages, "doc_id"))
+    doc = document_facts(passages.select("index", "pos", F.col("evidence").alias("document")), model, keep)
+    told = document_facts(gold.select("index", F.col("ord").alias("pos"), F.col("evidence").alias("document")), model, keep)
+    graphs = graphs.unionByName(doc.select("index", F.lit("doc").alias("source"), "triple")).unionByName(told.select("index", F.lit("gold").alias("source"), "triple"))
+    pairings = tuple(p for p in PAIRINGS if config.compare_question or not p.startswith("question"))
+    state = asked.select("index", F.when(F.coalesce("cot_reasoning", F.lit("")) == "", "no reasoning").otherwise("ok").alias("state")).unionByName(silent.select("index", F.lit("no question").alias("state")))
+    return state, compare_graphs(keep(graphs), pairings)
+
+
 def retry_empty(rows: DataFrame, make: Callable[[DataFrame, int], DataFrame], retries: int, keep: Keep) -> DataFrame:
-    """Rows whose text is empty are generated anew, at most `retries` times more. make(rows, attempt) gives (index, text)."""
+    """Rows whose text is empty are generated anew, at most `retries` times more. make(rows, attempt) gives (index, text, ...)."""
     done = None
     left = rows
     for attempt in range(retries + 1):
@@ -169,13 +281,60 @@ def retry_empty(rows: DataFrame, make: Callable[[DataFrame, int], DataFrame], re
     return done
 
 
+def chain_of_thought(rows: DataFrame, model: models.Backend, attempt: int = 0) -> DataFrame:
+    """(index, question) -> (index, answer, reasoning, text: the answer if it has reasoning). A later attempt asks by another line, so that it
+    isn't the same prompt."""
+    again = F.lit("" if not attempt else f"\n# Attempt: {attempt + 1}")
+    asked = rows.withColumn("prompt", F.concat(T.prompt(models.TEMPLATES["cot_with_triples"], question=F.col("question")), again))
+    said = models.generate(asked, model).select("index", F.coalesce("text", F.lit("")).alias("answer"))
+    read = said.withColumn("reasoning", P.cot_text("answer"))
+    return read.withColumn("text", F.when(F.col("reasoning") != "", F.col("answer")))
+
+
+def cot_facts(rows: DataFrame) -> DataFrame:
+    """L2, L3 on answers (index, answer): (index, kind, pos, triple)."""
+    defs = P.latent_lines(rows, "answer")
+    return _facts(defs, P.triple_lines(rows, defs, "answer"))
+
+
+def _facts(defs: DataFrame, relations: DataFrame) -> DataFrame:
+    return defs.withColumn("kind", F.lit("definition")).unionByName(relations.withColumn("kind", F.lit("relation"))).select("index", "kind", "pos", "triple")
+
+
+def reasoning_facts(rows: DataFrame, model: models.Backend, keep: Keep) -> DataFrame:
+    """(index, reasoning) -> (index, kind, pos, triple)."""
+    asked = rows.withColumn("prompt", T.prompt(models.TEMPLATES["cot_triples"], reasoning=F.col("reasoning")))
+    return cot_facts(keep(models.generate(asked, model).select("index", F.coalesce("text", F.lit("")).alias("answer"))))
+
+
+def document_facts(rows: DataFrame, model: models.Backend, keep: Keep) -> DataFrame:
+    """(index, pos, document) -> (index, doc_pos, pos, triple): all facts of a sample's documents; each document is read once."""
+    asked = rows.where("document is not null").select("index", F.col("pos").alias("doc_pos"), "document").withColumn("prompt", T.prompt(models.TEMPLATES["document_triples"], document=F.col("document")))
+    said = keep(models.generate(asked, model).select(F.struct("index", "doc_pos").alias("index"), F.coalesce("text", F.lit("")).alias("text")))
+    return P.triple_lines(said).select("index.index", "index.doc_pos", "pos", "triple")
+
+
 def construct(samples: DataFrame, model: models.Backend, keep: Keep) -> DataFrame:
     """L4: latent entities, then facts that mention them: (index, kind, pos, triple). Rows of failed calls give none."""
-    from ..operators import generated as P
-
     first = keep(models.generate(samples.withColumn("prompt", T.prompt(models.TEMPLATES["latent"], question=F.col("question"))), model).select("index", "question", F.coalesce("text", F.lit("")).alias("text")))
     latent = P.latent_lines(first)
     listed = latent.groupBy("index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "triple"))), lambda x: x["triple"]), "\n").alias("latent"))
-    second = first.select("index", "question").join(listed, "index", "left").withColumn("prompt", T.prompt(models.TEMPLATES["triples"], latent=F.coalesce("latent", F.lit("")), question=F.col("question")))
-    facts = P.triple_lines(keep(models.generate(second, model).select("index", F.coalesce("text", F.lit("")).alias("text"))))
-    return latent.withColumn("kind", F.lit("definition")).unionByName(facts.withColumn("kind", F.lit("relation"))).select("index", "kind", "pos", "triple")
+    second = first.select("index", "question").join(listed, "index", "left").withColumn("prompt", T.prompt(models.TEMPLATES["triples"], latent=F.coalesce("latent", F.lit("(no latent entities)")), question=F.col("question")))
+    facts = P.triple_lines(keep(models.generate(second, model).select("index", F.coalesce("text", F.lit("")).alias("text"))), latent)
+    return _facts(latent, facts)
+
+
+def construct_at_once(samples: DataFrame, model: models.Backend, keep: Keep) -> DataFrame:
+    """One prompt per sample, in the batches that the backend sends."""
+    asked = samples.withColumn("prompt", T.prompt(models.TEMPLATES["single_step"], question=F.col("question")))
+    return P.sections(keep(models.generate(asked, model).select("index", F.coalesce("text", F.lit("")).alias("text"))))
+
+
+def construct_graphs(samples: DataFrame, graphs: GraphTable, model: models.Backend, keep: Keep, at_once: bool = False, force: bool = False) -> DataFrame:
+    """(index, kind, pos, triple) of the samples; only those that the table doesn't have are constructed, and
+    added to it. Samples that gave no fact aren't stored, so the next run tries them again."""
+    done = None if force else graphs.read()
+    left = samples if done is None else selection.remaining(samples, done)
+    new = (construct_at_once if at_once else construct)(left, model, keep)
+    graphs.write(new, replace=force)
+    return selection.with_index(graphs.read(), samples)

@@ -9,13 +9,15 @@ per document, of which the last of an entity counts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import generated, graph, retrieval, scoring, selection, triples, verification
 from ..sources import models
-from ..sources.tables import EngineConfig
+from ..sources.tables import EngineConfig, Stages
 from . import flows
 
 
@@ -23,14 +25,15 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _keep(spark: SparkSession):
-    """Step results as checkpoints in the shared folder; a folder of our own only if the session names none."""
-    import tempfile
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share: in spark.checkpoint.dir, or where that is unset in the warehouse."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-"))
-    return lambda df: df.checkpoint()
+
+def _keep(spark: SparkSession):
+    """Step results as tables of a run's own folder."""
+    return Stages(scratch(spark, "run"))
 
 
 def preds(spark, d):
@@ -40,14 +43,21 @@ def preds(spark, d):
     return j.select(F.col("u.conv_id").alias("conv_id"), F.col("u.turn").alias("turn"), (2 + F.col("u.conv_id") % 3).cast("int").alias("num_hops"), F.col("u.text").alias("answer"), F.col("a.text").alias("predicted_answer"))
 
 
-PREDS = """p0 as (select u.conv_id, u.turn, cast(2 + u.conv_id % 3 as integer) as num_hops, u.text as answer, a.text as predicted_answer
- from conversations u join conversations a on u.conv_id = a.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant'),
-toks as (select *, {g} as g, {p} as p from p0),
+def _tokens_sql(c):
+    return "[w for w in string_split(trim(regexp_replace(regexp_replace(lower(coalesce(" + c + ", '')), '[!-/:-@\\[-`{-~]', '', 'g'), '\\s+', ' ', 'g')), ' ') if w not in ('', 'a', 'an', 'the')]"
+
+
+def scored_sql(source):
+    """`scored`: rows of a source with answer and predicted_answer, with em_score and f1_score."""
+    return f"""p0 as ({source}), toks as (select *, {_tokens_sql("answer")} as g, {_tokens_sql("predicted_answer")} as p from p0),
 scored as (select *, cast(array_to_string(g, ' ') = array_to_string(p, ' ') as integer) as em_score,
  case when len(g) = 0 or len(p) = 0 then cast(len(g) = len(p) as double) else (case when n = 0 then 0.0 else 2.0 * (n / len(p)) * (n / len(g)) / (n / len(p) + n / len(g)) end) end as f1_score
  from (select *, cast(coalesce(list_sum([least(len([y for y in p if y = x]), len([y for y in g if y = x])) for x in list_distinct(g)]), 0) as double) as n from toks))"""
-_tok = lambda c: "[w for w in string_split(trim(regexp_replace(regexp_replace(lower(coalesce(" + c + ", '')), '[!-/:-@\\[-`{-~]', '', 'g'), '\\s+', ' ', 'g')), ' ') if w not in ('', 'a', 'an', 'the')]"
-PREDS = PREDS.replace("{g}", _tok("answer")).replace("{p}", _tok("predicted_answer"))
+
+
+_TURNS = """select u.conv_id, u.turn, cast(2 + u.conv_id % 3 as integer) as num_hops, {answer} as answer, a.text as predicted_answer
+ from conversations u join conversations a on u.conv_id = a.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant'"""
+PREDS = scored_sql(_TURNS.format(answer="u.text"))
 
 
 def line_triples(spark, d):
@@ -66,6 +76,7 @@ def line_triples(spark, d):
 def line_definitions(spark, d):
     x = _table(spark, d, "documents").select(F.col("doc_id").alias("index"), "lang", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos"))
     t = F.when(F.col("pos") < 3, F.concat(F.lit("(ENT"), (F.col("pos") + 1).cast("string"), F.lit(") [SEP] is [SEP] a "), "lang", F.lit(" thing"))).otherwise(F.lit("(ENT1) [SEP] is [SEP] a second thing"))
+    t = F.when((F.col("pos") == 2) & (F.col("index") % 5 == 0), "(ENT3) [SEP] is [SEP] a part of an (ENT2)").otherwise(t)
     return x.where("pos < 3 or index % 2 = 0").select("index", F.lit("definition").alias("kind"), "pos", t.alias("triple"))
 
 
@@ -74,9 +85,9 @@ w0 as (select *, [x for x in string_split(line, ' ') if x <> ''] as w from lines
 w1 as (select idx, pos, w, array_to_string(w[3:], ' ') as rest, '(ENT' || (1 + (pos // 3) % 3) || ')' as e1, '(ENT' || (1 + (pos // 3 + 1) % 3) || ')' as e2 from w0 where len(w) >= 4),
 triples as (select idx, 'relation' as kind, pos, (case when pos % 3 = 0 then e1 else w[1] end) || ' [SEP] ' || w[2] || ' [SEP] ' ||
  (case when pos % 3 = 1 or pos % 6 = 0 then e2 when pos % 6 = 2 then rest || ' [PREP] in ' || e1 else rest end) as triple from w1)"""
-DEFS = """defs0 as (select doc_id as idx, 'definition' as kind, pos, case when pos < 3 then '(ENT' || (pos + 1) || ') [SEP] is [SEP] a ' || lang || ' thing' else '(ENT1) [SEP] is [SEP] a second thing' end as triple
+DEFS = """defs0 as (select doc_id as idx, 'definition' as kind, pos, case when pos = 2 and doc_id % 5 = 0 then '(ENT3) [SEP] is [SEP] a part of an (ENT2)' when pos < 3 then '(ENT' || (pos + 1) || ') [SEP] is [SEP] a ' || lang || ' thing' else '(ENT1) [SEP] is [SEP] a second thing' end as triple
  from documents, (select unnest([0, 1, 2, 3]) as pos) where pos < 3 or doc_id % 2 = 0),
-defs as (select idx, split_part(triple, ' [SEP] ', 1) as ent, min(pos) as ord, arg_max(split_part(triple, ' [SEP] ', 3), pos) as definition from defs0 group by 1, 2)"""
+defs as (select idx, split_part(triple, ' [SEP] ', 1) as ent, min(pos) as ord, arg_max(split_part(triple, ' [SEP] ', 3), pos) as definition, arg_max(replace(triple, ' [SEP] ', ' '), pos) as sentence from defs0 group by 1, 2)"""
 _EL = "[x for x in [trim(y) for y in string_split(replace(triple, '[PREP]', '[SEP]'), '[SEP]')] if x <> '']"
 MENTIONS = f"""{TRIPLES}, {DEFS}, allt as (select * from triples union all select * from defs0),
 ment as (select distinct idx, kind, pos, unnest(regexp_extract_all(triple, '\\(ENT\\d+\\)')) as ent from allt),
@@ -119,6 +130,12 @@ def q_def_triples(spark, d):
     return defs(spark, d)
 
 
+def q_open_definitions(spark, d):
+    """After (ENT1) is filled in."""
+    filled = line_definitions(spark, d).withColumn("triple", F.replace("triple", F.lit("(ENT1)"), F.lit("Rome")))
+    return triples.open_definitions(filled).select("index", "pos", "triple")
+
+
 def q_repair_split(spark, d):
     return triples.split_kinds(all_triples(spark, d)).groupBy("index", "kind").agg(F.count("*").alias("n"), F.min("triple").alias("first_triple"))
 
@@ -180,25 +197,25 @@ def questions(spark, d):
 
 
 def gold(spark, d):
-    """Documents that contain a passage: found by the passage's longest line's first words' hash would miss
-    none, but a containment of few items is a broadcast condition: the items are counted first."""
-    q = questions(spark, d)
-    if (n := q.count()) > 5000:
-        raise ValueError(f"{n} items are too many for a containment join; use the index")
-    return q.join(corpus(spark, d), F.contains("contents", F.col("query")) & (F.col("query") != "")).select("qid", "doc_id", "contents")
+    """Documents that contain a passage."""
+    c = corpus(spark, d)
+    return retrieval.containing(c, questions(spark, d)).join(c, "doc_id").select("qid", "doc_id", "contents")
 
 
 BM25 = """terms as (select doc_id, [w for w in regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+') if w <> ''] as w from documents),
 post as (select doc_id, len(w) as dl, unnest(w) as token from terms), tf as (select token, doc_id, dl, count(*) as tf from post group by 1, 2, 3),
 st as (select count(*) as n_docs, avg(len(w)) as avgdl from terms), dfs as (select token, count(*) as df from tf group by 1),
-qt as (select item_id as qid, unnest([w for w in regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+') if w <> '']) as token from benchmark), qtf as (select qid, token, count(*) as qtf from qt group by 1, 2),
+asked as (<<asked>>), qt as (select qid, unnest([w for w in regexp_split_to_array(lower(coalesce(query, '')), '[^a-z0-9]+') if w <> '']) as token from asked), qtf as (select qid, token, count(*) as qtf from qt group by 1, 2),
 sc as (select qid, doc_id, round(sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf / (tf + 0.9 * (1 - 0.4 + 0.4 * dl / avgdl))), 6) as score from qtf join tf using (token) join dfs using (token), st group by 1, 2),
 hits as (select qid, row_number() over (partition by qid order by score desc, doc_id) - 1 as rank, doc_id, score from sc qualify rank < 5),
 gold as (select item_id as qid, doc_id, d.text as contents, row_number() over (partition by item_id order by doc_id) - 1 as ord from benchmark b join documents d on contains(d.text, b.text) and b.text <> ''),
-psg as (select doc_id, regexp_replace(regexp_replace(split_part(text, chr(10), 1), '^[" ]+', ''), '[" ]+$', '') as title,
- case when contains(text, chr(10)) then regexp_replace(regexp_replace(substr(text, strpos(text, chr(10)) + 1), '^\\s+', ''), '\\s+$', '') else '' end as body from documents),
+psg as (select doc_id, trim(nfc_normalize(regexp_replace(regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '^["'']+', ''), '["'']+$', ''))) as title,
+ case when contains(text, chr(10)) then substr(text, strpos(text, chr(10)) + 1) else '' end as body from documents),
 psg1 as (select doc_id, title, body, string_split(trim(regexp_replace(body, '\\s+', ' ', 'g')), ' ') as ws from psg),
-ev as (select doc_id, '(Title: ' || title || ') ' || case when len(ws) > 500 then array_to_string(ws[1:500], ' ') else body end as evidence from psg1)"""
+psg2 as (select doc_id, title, regexp_replace(regexp_replace(nfc_normalize(case when len(ws) > 500 then array_to_string(ws[1:500], ' ') else body end), '^\\s+', ''), '\\s+$', '') as body from psg1),
+ev as (select doc_id, case when body <> '' then '(Title: ' || title || ') ' || body end as evidence from psg2)"""
+BM25_OF = BM25
+BM25 = BM25_OF.replace("<<asked>>", "select item_id as qid, text as query from benchmark")
 
 
 def _hits(spark, d, k=5):
@@ -217,9 +234,7 @@ def q_bm25_hits_gold(spark, d):
 def _evidence(setting, top_k=3):
     def q(spark, d):
         p = retrieval.passages(corpus(spark, d)).select("doc_id", "evidence")
-        own = gold(spark, d).select("qid", "doc_id").join(p, "doc_id")
-        from pyspark.sql import Window
-
+        own = gold(spark, d).select("qid", "doc_id").join(p, "doc_id").where("evidence is not null")
         own = own.withColumn("ord", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id")) - 1)
         hits = _hits(spark, d).join(p, "doc_id").withColumnRenamed("rank", "ord")
         return retrieval.assemble(own, hits, setting, top_k).select("qid", "pos", "doc_id", "is_gold", F.md5("evidence").alias("evidence"))
@@ -227,16 +242,16 @@ def _evidence(setting, top_k=3):
     return q
 
 
-def _evidence_sql(setting, top_k=3):
+def assembled_sql(setting, top_k=3):
     parts = []
     if "gold" in setting:
-        parts.append("select qid, 0 as src, ord, doc_id, evidence from gold join ev using (doc_id)")
+        parts.append("select qid, 0 as src, ord, doc_id, evidence from gold join ev using (doc_id) where evidence is not null")
     if "open-book" in setting:
-        parts.append("select qid, 1 as src, rank as ord, doc_id, evidence from hits join ev using (doc_id)")
-    return f"""with {BM25}, ar as ({' union all '.join(parts)}), fr as (select *, row_number() over (partition by qid, evidence order by src, ord) as r from ar qualify src = 0 or r = 1),
- pl as (select *, sum(cast(src = 0 as integer)) over (partition by qid) as ng, row_number() over (partition by qid, src order by ord) as k from fr)
- select qid, row_number() over (partition by qid order by src, ord) - 1 as pos, doc_id, cast(exists(select 1 from gold g where g.qid = pl.qid and g.doc_id = pl.doc_id) as integer) as is_gold, md5(evidence) as evidence
- from pl where src = 0 or k <= greatest(0, {top_k} - ng)"""
+        parts.append("select qid, 1 as src, rank as ord, doc_id, evidence from hits join ev using (doc_id) where evidence is not null")
+    return f"""{BM25}, ar as ({' union all '.join(parts)}), fr as (select *, row_number() over (partition by qid, evidence order by src, ord) as r from ar qualify src = 0 or r = 1),
+ pl as (select *, sum(cast(src = 0 as integer)) over (partition by qid) as ng, row_number() over (partition by qid, src order by ord) as k from fr),
+ asm as (select qid, row_number() over (partition by qid order by src, ord) - 1 as pos, doc_id, cast(exists(select 1 from gold g where g.qid = pl.qid and g.doc_id = pl.doc_id) as integer) as is_gold, evidence
+ from pl where src = 0 or k <= greatest(0, {top_k} - ng))"""
 
 
 def q_multihop_dedup(spark, d):
@@ -252,16 +267,41 @@ def q_infill_query(spark, d):
     return graph.infill_query(all_triples(spark, d), defs(spark, d))
 
 
+def q_agent_query(spark, d):
+    """G10, before sentences that say that something is itself go: DuckDB knows no back-references."""
+    return graph.agent_query(all_triples(spark, d), defs(spark, d), plain=True)
+
+
+#: sentences that name one entity only, per entity and joined; an entity's own definition sentence, and the three definitions beside
+ABOUT = f"""{MENTIONS}, one as (select idx, pos, min(ent) as ent from ment where kind = 'relation' group by 1, 2 having count(*) = 1),
+lin as (select one.idx, one.ent, string_agg(array_to_string({_EL}, ' ') || '.', ' ' order by one.pos) as body from one join triples t on t.idx = one.idx and t.pos = one.pos group by 1, 2),
+dd as (select idx, max(case when ent = '(ENT1)' then definition end) as d1, max(case when ent = '(ENT2)' then definition end) as d2, max(case when ent = '(ENT3)' then definition end) as d3 from defs group by 1),
+own as (select d.idx, d.ent, d.definition, d.sentence || '.' as said, len(list_distinct(regexp_extract_all(d.sentence, '\\(ENT\\d+\\)'))) = 1 as alone, body, d1, d2, d3 from defs d join dd using (idx) left join lin on lin.idx = d.idx and lin.ent = d.ent)"""
+_ENTS = (("(ENT1)", "d1"), ("(ENT2)", "d2"), ("(ENT3)", "d3"))
+
+
+def _rounds(q, put, n=3):
+    for _ in range(n):
+        for ent, c in _ENTS:
+            q = put(q, ent, c)
+    return q
+
+
 def _about_sql(blank):
-    put = "replace(s, m.ent, '<extra_id_0>')" if blank else "replace(s, m.ent, me.definition)"
-    last = " || case when body = '' then '' else ' ' end || '<extra_id_0> is ' || definition || '.'" if blank else ""
-    body = "body" if blank else "case when body = '' then definition else body end"
-    # at most two other entities, in their order
-    return f"""with {MENTIONS}, said as (select t.idx, t.pos, m.ent, array_to_string({_EL}, ' ') as s from triples t join ment m on m.idx = t.idx and m.pos = t.pos and m.kind = 'relation'),
- put as (select m.idx, m.pos, m.ent, me.definition, replace(replace({put}, o1.ent, o1.definition), o2.ent, o2.definition) || '.' as s from said m join defs me on me.idx = m.idx and me.ent = m.ent
-  join defs o1 on o1.idx = m.idx and o1.ent <> m.ent join defs o2 on o2.idx = m.idx and o2.ent <> m.ent and o1.ord < o2.ord),
- bod as (select d.idx, d.ent, d.definition, coalesce(string_agg(s, ' ' order by p.pos), '') as body from defs d left join put p on p.idx = d.idx and p.ent = d.ent group by 1, 2, 3)
- select idx as "index", ent, {body}{last} as query from bod"""
+    q = "replace(case when body is null then said when alone then body || ' ' || said else body end, ent, '<extra_id_0>')" if blank else "coalesce(body, said)"
+    return f"with {ABOUT} select idx as \"index\", ent, {_rounds(q, lambda q, ent, c: f"replace({q}, '{ent}', {c})")} as query from own"
+
+
+def _definite_sql(x):
+    return f"regexp_replace(regexp_replace({x}, 'a ', 'the '), 'an ', 'the ')"  # the first each
+
+
+def _agent_sql():
+    first = lambda q, ent, new: f"regexp_replace({q}, '\\({ent[1:-1]}\\)', {new})"
+    one = lambda q, ent, c: f"replace({first(q, ent, c)}, '{ent}', {_definite_sql(c)})"
+    later = lambda q, ent, c: f"replace({first(q, ent, _definite_sql(c))}, '{ent}', {_definite_sql(_definite_sql(c))})"
+    q = _rounds(_rounds("coalesce(body, said)", one, 1), later, 2)
+    return f"with {ABOUT} select idx as \"index\", ent, {q} || ' What is ' || {_definite_sql('definition')} || '?' as query from own"
 
 
 def _tagged(spark, d):
@@ -292,12 +332,18 @@ def q_latent_lines(spark, d):
 
 
 def q_triple_lines(spark, d):
-    return generated.triple_lines(_answers(spark, d))
+    """Lines that look like definitions go only where they are listed: for even documents."""
+    a = _answers(spark, d)
+    return generated.triple_lines(a, generated.latent_lines(a).where("index % 2 = 0"))
+
+
+def q_sections(spark, d):
+    return generated.sections(_answers(spark, d))
 
 
 def q_bool_parse(spark, d):
     c = _table(spark, d, "conversations")
-    words = F.array(*map(F.lit, ("True.", "no way", "Supported", " yes \nfalse", "NOT SUPPORTED.", "false", "Wrong, it is", "it is so")))
+    words = F.array(*map(F.lit, ("True.", "no way", "It is impossible to say.", " yes \nfalse", "it's not possible to tell", "FALSE", "not sure", "Yes, it is")))
     t = F.get(words, F.pmod(F.col("conv_id") + F.col("turn"), F.lit(8)).cast("int"))
     return c.select("conv_id", "turn", T.boolean_answer(t).alias("verdict"))
 
@@ -336,8 +382,8 @@ def q_first_supported(spark, d):
 
 
 def q_doc_tier(spark, d):
-    whole = _table(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"), (F.col("item_id") % 2 == 0).alias("supported"))
-    return verification.tiers(whole, _doc_verdicts(spark, d))
+    whole = _table(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"), (F.col("item_id") % 2 == 0).alias("supported"), F.lit(0.5).alias("confidence"))
+    return verification.tiers(whole, _doc_verdicts(spark, d)).withColumn("confidence", F.round("confidence", 6))
 
 
 def q_resume_anti(spark, d):
@@ -392,26 +438,32 @@ def q_passages(spark, d):
 def _run(spark, d):
     keep = _keep(spark)
     c = flows.Corpus(corpus(spark, d), keep)
-    p = retrieval.passages(corpus(spark, d)).select("doc_id", "evidence")
+    p = retrieval.passages(corpus(spark, d)).select("doc_id", "evidence").where("evidence is not null")
     g = keep(gold(spark, d).select(F.col("qid").alias("index"), "doc_id").join(p, "doc_id").withColumn("ord", F.col("doc_id")))
     s = _table(spark, d, "benchmark").select(F.col("item_id").alias("index"), F.col("text").alias("question"), T.passage_title(F.col("text")).alias("answer"), (2 + F.col("item_id") % 3).cast("int").alias("num_hops"))
     return keep, c, g, s
 
 
 def q_direct(spark, d):
-    """E2 with the stub model."""
+    """E2 with a model that answers by the first line of the passages."""
     keep, c, g, s = _run(spark, d)
-    return flows.direct(s, c, g, models.StubBackend(), EngineConfig(setting="open-book+gold")).select("index", "predicted_answer", "em_score", "f1_score")
+    done = flows.direct(s, c, g, models.LineBackend(line=1), EngineConfig(setting="open-book+gold"))
+    return done.select("index", "predicted_answer", "em_score", F.round("f1_score", 6).alias("f1_score"), F.round("confidence", 6).alias("confidence"))
 
 
-def q_pipeline(spark, d):
-    """E1 with the stub model: a question's lines are its triples."""
-    keep, c, g, s = _run(spark, d)
+def pipeline_facts(s):
+    """A question's lines as triples about two entities."""
     lines = s.select("index", F.posexplode(F.split("question", r"[.\n]+")).alias("pos", "line")).withColumn("w", F.filter(F.split("line", " "), lambda x: x != "")).where("size(w) >= 3")
     ent = F.concat(F.lit("(ENT"), (1 + F.col("pos") % 2).cast("string"), F.lit(")"))
     facts = lines.select("index", F.lit("relation").alias("kind"), "pos", F.concat_ws(" [SEP] ", ent, F.get("w", F.lit(1)), F.array_join(F.slice("w", 3, F.size("w")), " ")).alias("triple"))
     ds = s.select("index", F.lit("definition").alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("pos")).withColumn("triple", F.concat(F.lit("(ENT"), (F.col("pos") + 1).cast("string"), F.lit(") [SEP] is [SEP] a thing")))
-    done = flows.graph_check(s, facts.unionByName(ds), c, g, models.StubBackend(), EngineConfig(setting="open-book+gold"), keep)
+    return facts.unionByName(ds)
+
+
+def q_pipeline(spark, d):
+    """E1 with the stub model: a question's lines are its triples."""
+    keep, c, g, s = _run(spark, d)
+    done = flows.graph_check(s, pipeline_facts(s), c, g, models.StubBackend(), EngineConfig(setting="open-book+gold"), keep)
     return done.select("index", "prediction", "best_path_index", "best_path_confidence", "predicted_answer", "em_score", "f1_score")
 
 
@@ -423,7 +475,7 @@ def q_agent_loop(spark, d):
         q = F.regexp_extract("prompt", r"(?s)# Question: (.*?)(?=\?|<|$)", 1)
         return rows.withColumn("text", F.concat(F.lit("<search> "), q if turn == 0 else F.get(F.split(q, "\n"), F.lit(0)), F.lit(" </search>")) if turn < 2 else F.lit("<answer> done </answer>"))
 
-    state, turns = flows.agent_loop(s.select(F.col("index").alias("qid"), "index", "question"), c, ask, EngineConfig(top_k=3), keep)
+    state, turns = flows.agent_loop(s.select(F.col("index").alias("qid"), "index", "question"), c, ask, EngineConfig(agent_top_k=3), keep)
     docs = retrieval.turn_results(turns, total=True).groupBy("qid").agg(F.count("*").alias("n_docs"))
     return state.join(docs, "qid", "left").select("qid", "answer", "num_turns", "n_docs")
 
@@ -431,13 +483,19 @@ def q_agent_loop(spark, d):
 QUERIES = {
     "q_evidence_setting_open": _evidence("open-book"), "q_evidence_setting_both": _evidence("open-book+gold"), "q_evidence_setting_gold": _evidence("gold"),
 } | {k: f for k, f in list(globals().items()) if k.startswith("q_") and callable(f)}
+_FIRST_LINES = """select item_id, regexp_replace(regexp_replace(split_part(text, chr(10), 1), '^["'']+', ''), '["'']+$', '') as answer, trim(line) as predicted_answer, 1.0 / len(string_split(line, ' ')) as confidence from benchmark join firsts on qid = item_id"""
+_ASK = "select item_id as qid, regexp_extract(text, '^[^?<]*') as query from benchmark"
+_ASK_LINE = "select item_id as qid, split_part(regexp_extract(text, '^[^?<]*'), chr(10), 1) as query from benchmark"
 
+_evidence_sql = lambda setting: f"with {assembled_sql(setting)} select qid, pos, doc_id, is_gold, md5(evidence) as evidence from asm"
 _HOPS = "(select 'total' as hops, count(*) as n, avg(em_score) as em, avg(f1_score) as f1 from {s} union all select cast(num_hops as varchar), count(*), avg(em_score), avg(f1_score) from {s} group by num_hops)"
 ORACLE_SQL = {
     "q_score_em_f1": f"with {PREDS} select conv_id, turn, num_hops, em_score, round(f1_score, 6) as f1_score from scored",
     "q_eval_by_hop": f"with {PREDS} select hops, n, round(em, 6) as em, round(f1, 6) as f1 from {_HOPS.format(s='scored')}",
+    "q_eval_max_alias": f"with {scored_sql(_TURNS.format(answer='unnest([u.text, substr(u.text, 1, 40), split_part(u.text, chr(10), 1)])'))}, best as (select conv_id, turn, num_hops, max(em_score) as em_score, max(f1_score) as f1_score from scored group by 1, 2, 3), hp as {_HOPS.format(s='best')} select h.hops, coalesce(n, 0) as n, round(coalesce(em, 0), 6) as em, round(coalesce(f1, 0), 6) as f1 from (select unnest(['total', '2', '3', '4']) as hops) h left join hp on hp.hops = h.hops",
     "q_triple_parse": f"with {TRIPLES}, {DEFS} select idx as \"index\", kind, pos, array_to_string({_EL}, '|') as elements, array_to_string({_EL}, ' ') as sentence, array_to_string([x for x, i in regexp_extract_all(triple, '\\(ENT\\d+\\)') if list_position(regexp_extract_all(triple, '\\(ENT\\d+\\)'), x) = i], '|') as ents from (select * from triples union all select * from defs0)",
-    "q_def_triples": f"with {DEFS} select idx as \"index\", ent, ord, definition from defs",
+    "q_def_triples": f"with {DEFS} select idx as \"index\", ent, ord, definition, sentence from defs",
+    "q_open_definitions": f"with {DEFS} select idx as \"index\", pos, replace(triple, '(ENT1)', 'Rome') as triple from defs0 where not starts_with(triple, '(ENT1)')",
     "q_repair_split": f"with {TRIPLES}, {DEFS} select idx as \"index\", case when starts_with(triple, '(ENT') and contains(triple, ' [SEP] is [SEP] ') then 'definition' else 'relation' end as kind, count(*) as n, min(triple) as first_triple from (select * from triples union all select * from defs0) group by 1, 2",
     "q_graph_compare": f"with {SOURCES} select idx as \"index\", pairing, overlap, n_self, n_other, n_self - overlap as self_only, n_other - overlap as other_only, round(pr, 6) as precision, round(rc, 6) as recall, round(f, 6) as f1 from cmp",
     "q_compare_summary": f"with {SOURCES} select pairing, count(*) as n, round(avg(pr), 6) as precision, round(avg(rc), 6) as recall, round(avg(f), 6) as f1 from cmp group by 1",
@@ -450,15 +508,16 @@ ORACLE_SQL = {
     "q_bm25_hits_gold": f"with {BM25} select qid, rank, doc_id, score, cast(exists(select 1 from gold g where g.qid = hits.qid and g.doc_id = hits.doc_id) as integer) as is_gold from hits",
     "q_evidence_setting_open": _evidence_sql("open-book"), "q_evidence_setting_both": _evidence_sql("open-book+gold"), "q_evidence_setting_gold": _evidence_sql("gold"),
     "q_multihop_dedup": f"with {BM25}, mh as (select qid % 10 as idx, doc_id, min(qid * 10 + rank) as f from hits group by 1, 2) select idx as \"index\", row_number() over (partition by idx order by f, doc_id) - 1 as pos, doc_id, f // 10 as hop from mh",
-    "q_query_text": _about_sql(False), "q_infill_query": _about_sql(True),
+    "q_query_text": _about_sql(False), "q_infill_query": _about_sql(True), "q_agent_query": _agent_sql(),
     "q_tag_extract": "select conv_id, turn, case when turn % 2 = 0 then ' last ' || turn end as query, case when turn % 2 = 1 then 'last ' || turn end as answer, md5(case when turn % 2 = 0 then text || ' ' || chr(10) || ' last ' || turn else '' end) as all_searches from conversations",
     "q_latent_lines": f"with {ANSWERS} select idx as \"index\", pos, line as triple from cut where starts_with(line, '(ENT') and contains(line, ' [SEP] is [SEP] ')",
-    "q_triple_lines": f"with {ANSWERS} select idx as \"index\", min(pos) as pos, trim(line) as triple from cut where contains(line, '[SEP]') and not (starts_with(line, '(ENT') and contains(line, ' [SEP] is [SEP] ')) group by 1, 3",
-    "q_bool_parse": "select conv_id, turn, [true, false, true, true, false, false, false, true][(conv_id + turn) % 8 + 1] as verdict from conversations",
+    "q_triple_lines": f"with {ANSWERS} select idx as \"index\", min(pos) as pos, trim(line) as triple from cut where contains(line, '[SEP]') and not (idx % 2 = 0 and starts_with(line, '(ENT') and contains(line, ' [SEP] is [SEP] ')) group by 1, 3",
+    "q_sections": f"with {ANSWERS}, sc as (select *, max(cast(not starts_with(line, '(ENT') as integer)) over w as second, row_number() over w as k from cut window w as (partition by idx order by pos)) select idx as \"index\", case when second = 0 and starts_with(line, '(ENT' || k || ') [SEP] is [SEP]') then 'definition' else 'relation' end as kind, pos, line as triple from sc",
+    "q_bool_parse": "select conv_id, turn, [true, false, false, true, false, false, false, true][(conv_id + turn) % 8 + 1] as verdict from conversations",
     "q_path_verdict": f"with {VERDICTS} select idx as \"index\", path_index, supported, round(confidence, 6) as confidence from pv",
     "q_best_path": f"with {VERDICTS}, vs as (select pv.* from pv left join (select idx, min(path_index) as stop from pv where supported group by 1) s using (idx) where stop is null or path_index <= stop) select idx as \"index\", bool_or(supported) as supported, arg_max(path_index, confidence * 100000 - path_index) as best_path_index, round(max(confidence), 6) as best_path_confidence from vs group by 1",
     "q_first_supported": f"with {BM25}, sp as (select qid, min(rank) as stop from hits where doc_id % 3 = 0 group by 1) select qid as claim_id, bool_or(doc_id % 3 = 0) as supported, max(case when doc_id % 3 = 0 then doc_id end) as supported_doc_id, round(avg(score / 100), 6) as confidence, count(*) as calls from hits left join sp using (qid) where stop is null or rank <= stop group by 1",
-    "q_doc_tier": f"with {BM25}, sp as (select qid, arg_min(doc_id, rank) as doc from hits where doc_id % 3 = 0 group by 1) select item_id as claim_id, item_id % 2 = 0 or doc is not null as supported, case when item_id % 2 = 0 then 'concat' when doc is not null then 'each' else 'none' end as tier, case when item_id % 2 <> 0 then doc end as supported_doc_id from benchmark left join sp on qid = item_id",
+    "q_doc_tier": f"with {BM25}, sp as (select qid, arg_min(doc_id, rank) as doc, min(rank) as stop from hits where doc_id % 3 = 0 group by 1), cf as (select hits.qid, sum(score / 100) as c, count(*) as n from hits left join sp using (qid) where stop is null or rank <= stop group by 1) select item_id as claim_id, item_id % 2 = 0 or doc is not null as supported, case when item_id % 2 = 0 then 'concat' when doc is not null then 'each' else 'none' end as tier, case when item_id % 2 = 0 then '[concatenated_documents]' else cast(doc as varchar) end as supported_doc_id, round(case when item_id % 2 = 0 then 0.5 else (0.5 + coalesce(c, 0)) / (1 + coalesce(n, 0)) end, 6) as confidence from benchmark left join sp on sp.qid = item_id left join cf on cf.qid = item_id",
     "q_resume_anti": "select doc_id as \"index\", lang from documents where doc_id not in (select doc_id from labels)",
     "q_missing": "select o_custkey, count(*) as n from orders where o_custkey not in (select c_custkey from customer where c_custkey % 7 <> 0) group by 1",
     "q_memo_join": "with m as (select distinct text from conversations where role = 'user') select 'hit' as kind, count(*) as n from conversations where text in (select text from m) union all select 'miss', count(distinct text) from conversations where text not in (select text from m)",
@@ -467,4 +526,6 @@ ORACLE_SQL = {
     "q_complement": "with c as (select doc_id, cast(2 + doc_id % 3 as integer) as num_hops from documents qualify row_number() over (partition by doc_id % 3 order by (doc_id * 7919) % 104729, doc_id) > case when doc_id % 3 = 0 then 40 else 30 end) select doc_id, num_hops, row_number() over (order by doc_id) - 1 as \"index\" from c",
     "q_normalize_nfc": "select doc_id, md5(nfc_normalize(translate(text, 'éèê', 'e' || chr(769)))) as digest from documents",
     "q_passages": f"with {BM25} select psg.doc_id, title, md5(evidence) as evidence from psg join ev using (doc_id)",
+    "q_direct": f"with {assembled_sql('open-book+gold', 5)}, firsts as (select qid, split_part(evidence, chr(10), 1) as line from asm where pos = 0), {scored_sql(_FIRST_LINES)} select item_id as \"index\", predicted_answer, em_score, round(f1_score, 6) as f1_score, round(confidence, 6) as confidence from scored",
+    "q_agent_loop": f"with {BM25_OF.replace('<<asked>>', f'select qid * 2 as qid, query from ({_ASK}) union all select qid * 2 + 1, query from ({_ASK_LINE})')} select item_id as qid, 'done' as answer, 3 as num_turns, n_docs from benchmark left join (select qid // 2 as q, count(distinct doc_id) as n_docs from hits where rank < 3 group by 1) on q = item_id",
 }

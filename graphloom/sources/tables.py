@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +21,11 @@ class EngineConfig:
     graph_model: str = "stub"
     setting: str = "open-book"
     top_k: int = 5
+    agent_top_k: int = 3
     path_limit: int = 5
     document_level: str = "concat"
     strategy: str = "question"
-    max_turns: int = 4
+    max_turns: int = 3
     max_words: int = 500
     evidence_chars: int = 40_000
     cot_retry: int = 2
@@ -34,31 +35,37 @@ class EngineConfig:
     nudge: bool = False
     seed: int = 42
     batch_size: int = 32
-    timeout_s: int = 300
+    timeout_s: float = 300.0
     compare_question: bool = False
-    extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        for name, known in (("dataset", ("musique", "hotpotqa", "2wikimultihopqa")), ("setting", ("gold", "open-book", "open-book+gold")), ("document_level", ("concat", "each", "concat+each"))):
+        for name, known in (("dataset", ("musique", "hotpotqa", "2wikimultihopqa")), ("setting", ("gold", "open-book", "open-book+gold")), ("document_level", ("concat", "each", "concat+each")), ("strategy", ("question", "cot_reasoning", "triplets", "combined", "multihop_triplets", "question_triplets"))):
             if getattr(self, name) not in known:
                 raise ValueError(f"{name}: {getattr(self, name)}")
 
     def with_(self, **changes) -> EngineConfig:
         return replace(self, **changes)
 
+    def backend(self, graph: bool = False, **options):
+        """The model that answers, or the one that constructs graphs; timeout_s goes to those that know one."""
+        from .models import backend
+
+        return backend(self.graph_model if graph else self.model, timeout_s=self.timeout_s, **options)
+
     def output_path(self, root: str, task: str) -> str:
         """S17"""
         return f"{root}/dataset={self.dataset}/task={task}/graph_model={self.graph_model}/model={self.model}/setting={self.setting}/top_k={self.top_k}"
 
 
-def read_samples(spark: SparkSession, path: str, schema: str = SAMPLES) -> DataFrame:
-    """JSON arrays of samples, with a fixed schema; the file's name tells the dataset."""
-    return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("source_file", F.input_file_name())
+def read_samples(spark: SparkSession, path: str, schema: str = SAMPLES, lines: bool = False) -> DataFrame:
+    """JSON arrays of samples, or with `lines` a sample a line (as write_results gives, which Spark can split), with a
+    fixed schema; the file's name tells the dataset."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path).withColumn("source_file", F.input_file_name())
 
 
-def read_graphs(spark: SparkSession, path: str) -> DataFrame:
-    """S2"""
-    return spark.read.schema(GRAPHS).option("multiLine", True).json(path)
+def read_graphs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Samples with their constructed graphs; long_triples() turns them to a GraphTable's rows."""
+    return read_samples(spark, path, GRAPHS, lines).drop("source_file")
 
 
 def long_triples(graphs: DataFrame) -> DataFrame:
@@ -67,36 +74,73 @@ def long_triples(graphs: DataFrame) -> DataFrame:
     return one("definition_triples", "definition").unionByName(one("triples", "relation"))
 
 
-def write_results(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """S4"""
-    df.write.mode("overwrite").format(fmt).save(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def write_results(df: DataFrame, path: str, fmt: str = "json", order: str | None = None) -> None:
+    """S4; order, W6: rows sorted by it, over the files of the result and in each."""
+    (df.orderBy(order) if order else df).write.mode("overwrite").format(fmt).save(path)
 
 
 def stage_table(df: DataFrame, path: str) -> DataFrame:
-    """A stage's result as a table that the next stage and a rerun read."""
-    df.write.mode("overwrite").parquet(path)
+    """A stage's result as a table that the next stage and a rerun read: what is complete isn't computed again."""
+    if not exists(df.sparkSession, f"{path}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Stages:
+    """`keep` of a run, as tables under a folder of the run's own, numbered in the order of its steps: a run that is
+    started again with the same inputs and configuration goes on where the last one ended."""
+
+    def __init__(self, root: str):
+        self.root, self.n = root.rstrip("/"), 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        return stage_table(df, f"{self.root}/{self.n:04d}")
+
+
+class GraphTable:
+    """Constructed graphs (index, kind, pos, triple); later rows of a sample are added once it isn't there yet."""
+
+    def __init__(self, spark: SparkSession, path: str, index: str = "bigint"):
+        self.spark, self.path, self.schema = spark, path, f"index {index}, kind string, pos int, triple string"
+
+    def read(self) -> DataFrame:
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def write(self, rows: DataFrame, replace: bool = False) -> None:
+        """Sorted by index in every file."""
+        own = rows.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in self.schema.split(", ")])
+        own.sortWithinPartitions("index", "kind", "pos").write.mode("overwrite" if replace else "append").parquet(self.path)
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
-    """One text file, overwritten."""
+    """One text file, overwritten (Q20)."""
     lines.coalesce(1).write.mode("overwrite").text(path)
 
 
 def new_version(df: DataFrame, root: str, version: int) -> str:
-    """Repaired data beside the old, never over it."""
+    """Repaired data beside the old, never over it (Q23)."""
     path = f"{root}/version={version}"
     df.write.mode("errorifexists").json(path)
     return path
 
 
 class MemoTable:
-    """S3: prompt -> value, appended to, read without repeats."""
+    """S3: prompt -> value, appended to, read without repeats; empty before the first append."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def read(self) -> DataFrame:
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], MEMO)
         return self.spark.read.schema(MEMO).parquet(self.path).groupBy("prompt").agg(F.max("value").alias("value"))
 
     def append(self, rows: DataFrame) -> None:

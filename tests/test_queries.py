@@ -2,7 +2,10 @@
 
 import pytest
 
-from graphloom.plans.queries import ORACLE_SQL, QUERIES
+from graphloom.plans import more_queries, queries
+
+QUERIES = queries.QUERIES | more_queries.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | more_queries.ORACLE_SQL
 
 from .conftest import SF
 
@@ -12,7 +15,7 @@ def test_against_sql(compare, name):
     compare(QUERIES[name], ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"q_pipeline", "q_agent_loop"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
@@ -26,8 +29,6 @@ def test_entry_and_registry(spark):
 
 def test_q_pipeline_long_lines(spark, monkeypatch):
     """A line's triple holds all its words, however many."""
-    from graphloom.plans import queries
-
     seen, words = [], [f"w{k}" for k in range(300)]
     done = spark.createDataFrame([], "index long, prediction string, best_path_index long, best_path_confidence double, predicted_answer string, em_score double, f1_score double")
     samples = spark.createDataFrame([(1, " ".join(words))], "index long, question string")
