@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import flat_utf8, small_batches, table
+from ._spark import by_bytes, flat_utf8, small_batches, table
 from ._words import shingle_hashes, word_hashes
 
 SHINGLE = 5
@@ -37,6 +37,8 @@ THRESHOLD = 4, 5
 SLICE = 20_000
 #: Bits of the prefilter table for shared shingles.
 TABLE_BITS = 20
+#: Bytes of text that are hashed at a time: that takes some 40 times their memory.
+BYTES = 1 << 20
 
 
 class Items:
@@ -142,11 +144,11 @@ def _slices(benchmark: DataFrame) -> list[list[Items]]:
 
 
 def _pass(docs: DataFrame, items: list[Items]) -> DataFrame:
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches):
-        for b in batches:
+        for b in by_bytes(batches, 1, BYTES):
             ids = b.column(0).to_pylist()
             found = matches(sent.value, *flat_utf8(b.column(1)))
             yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _, _ in found], pa.int64()), pa.array([i for _, i, _ in found], pa.int64()), pa.array([x for _, _, x in found], pa.float64())], names=["doc_id", "item_id", "similarity"])
@@ -156,9 +158,6 @@ def _pass(docs: DataFrame, items: list[Items]) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows and columns of docs in which no item was found."""
-    from pyspark.sql.functions import arrow_udf
-
-    small_batches(docs.sparkSession, 500)
     for items in _slices(benchmark):
         docs = docs.where(~_leaks(docs.sparkSession, items)(F.col("text").cast("string")))
     return docs
@@ -167,12 +166,15 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _leaks(spark: SparkSession, items: list[Items]):
     from pyspark.sql.functions import arrow_udf
 
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(items)
 
     @arrow_udf("boolean")
     def leaks(column: pa.Array) -> pa.Array:
-        out = np.zeros(len(column), bool)
-        out[[d for d, _, _ in matches(sent.value, *flat_utf8(column))]] = True
+        out, at = np.zeros(len(column), bool), 0
+        for b in by_bytes([pa.RecordBatch.from_arrays([column], names=["text"])], 0, BYTES):
+            out[[at + d for d, _, _ in matches(sent.value, *flat_utf8(b.column(0)))]] = True
+            at += len(b)
         return pa.array(out)
 
     return leaks

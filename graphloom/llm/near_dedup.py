@@ -1,15 +1,15 @@
 """SimHash near-deduplication of documents: one of each group stays.
 
 Two documents are near-duplicates if their sets of 5-word shingles have a Jaccard
-similarity of THRESHOLD or more. Documents of equal sets are one node. Nodes meet
-in buckets (BANDS keys of ROWS minimum hashes each: at a similarity of 0.8 a pair
-shares one with a probability over 0.999). A pair from a bucket passes the pivot
-distance table of simhash.py (largest coordinate difference, then Hamming distance,
-RADIUS) and is verified by exact similarity.
-
-A bucket doesn't form all its pairs. First every node meets the smallest node
-of its buckets; components are formed, and nodes meet the smallest nodes of their
-other buckets that are of another component. What is then still apart is described by
+similarity of 0.8 or more. Documents of equal sets are one node. Nodes meet in
+buckets (BANDS keys of ROWS minimum hashes each: at a similarity of 0.8 a pair
+shares one with a probability over 0.9999; blocks of the fingerprints can't propose
+pairs here, as those differ in 10 of 64 bits on average, and 26 to be safe). A pair
+from a bucket passes the pivot distance table of simhash.py (largest coordinate
+difference, then Hamming distance, RADIUS) and is verified by exact similarity.
+
+A bucket doesn't form all its pairs. First every node meets the smallest node of each
+of its buckets, and components are formed. What is then still apart is described by
 its differences from the majority set of its cluster of buckets: sets that are close to that
 are similar for certain and are linked to the closest one (_sure), and members of different
 components of a bucket meet less the pairs that exact bounds rule out (_across). A pair
@@ -18,7 +18,7 @@ inside one component adds nothing to the groups, so none is lost by that.
 Defined results: null and blank documents are one group; of texts that have no word
 (punctuation only) those equal but for white space are near-duplicates. The smallest
 doc_id of a group stays, nulls last, ties by a hash of the text; of rows that agree
-in id and text one stays.
+in id and text one stays. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -26,22 +26,23 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import connected_components, durable, durable_table, flat_utf8, small_batches
+from ._spark import Scratch, by_bytes, connected_components, flat_utf8, maybe_in, small_batches
 from ._words import mix, shingle_hashes, simhash, word_hashes
 from .simhash import _near, pivot_table
 
 SHINGLE = 5
-THRESHOLD = 0.8
-#: Bits by which fingerprints of such pairs may differ: 15 in 100 in expectation, and four standard deviations.
-RADIUS = 21
-BANDS, ROWS = 20, 5
+#: Numerator and denominator: compared in whole numbers.
+THRESHOLD = 4, 5
+#: Bits by which fingerprints of such pairs may differ: 9.7 of 64 in expectation, and over five standard deviations.
+RADIUS = 26
+BANDS, ROWS = 26, 5
 #: Nodes of a cluster that meet its centre under one salt.
 SALTED = 64
-#: Rows of an Arrow batch: hashing takes some 40 bytes of a worker's memory for each byte of a batch's texts.
-BATCH = 100
+#: Bytes of text that are hashed at a time: that takes some 40 times their memory.
+BYTES = 1 << 20
 #: Hash classes in which shared differences are counted.
 CLASSES = 64
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -81,34 +82,39 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(id__, th__, node, fp, bands): node is a hash of the set of shingles; fp and bands are the set's, repeats don't count."""
-    small_batches(docs.sparkSession, BATCH)
-    names = ["id__", "th__", "node", "fp", "bands"]
+    """(id__, th__, node, fp, n, bands): node is a hash of the set of shingles; fp, n (its size) and bands are the set's, repeats don't count."""
+    names = ["id__", "th__", "node", "fp", "n", "bands"]
 
     def run(batches):
-        for b in batches:
-            node, fp, bands = [], [], []
+        for b in by_bytes(batches, 2, BYTES):
+            node, fp, n, bands = [], [], [], []
             for s in shingles(*flat_utf8(b.column(2))):
                 u = np.unique(s)
                 node.append(xxhash.xxh64_intdigest(u.tobytes(), 7))
                 fp.append(simhash(u))
+                n.append(len(u))
                 bands.append(band_keys(u).view(np.int64))
             sign = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sign(node), sign(fp), pa.array(bands, pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sign(node), sign(fp), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=names)
 
-    return docs.select("id__", "th__", F.col("text").cast("string").alias("text")).mapInArrow(run, "id__ bigint, th__ bigint, node bigint, fp bigint, bands array<bigint>")
+    return docs.select("id__", "th__", F.col("text").cast("string").alias("text")).mapInArrow(run, "id__ bigint, th__ bigint, node bigint, fp bigint, n bigint, bands array<bigint>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles binary) of the documents that stand for wanted nodes (id__, th__, node)."""
+def _place() -> Column:
+    return F.xxhash64("id__", "th__")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles binary) of the documents that stand for nodes (id__, th__, node). Other texts aren't shuffled, as far as a Bloom filter can tell them."""
 
     def run(batches):
-        for b in batches:
+        for b in by_bytes(batches, 1, BYTES):
             sets = [np.unique((s >> np.uint64(16)).astype("<u8")).astype("<u8") for s in shingles(*flat_utf8(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
 
-    small_batches(docs.sparkSession, BATCH)
-    own = docs.select("id__", "th__", F.col("text").cast("string").alias("text"))
+    wanted = nodes.select("id__", "th__", "node")
+    maybe = maybe_in(wanted.select(_place().alias("h")), wanted.count())
+    own = docs.select("id__", "th__", F.col("text").cast("string").alias("text")).where(maybe(_place()))
     return own.join(wanted.hint("shuffle_hash"), ["id__", "th__"]).select("node", "text").mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
 
 
@@ -116,16 +122,12 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v) of sufficient similarity."""
 
     def run(batches):
-        for b in batches:
+        for b in by_bytes(batches, 2):
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = (np.frombuffer(z, "V6") for z in (x, y))
-                small, large = (p, q) if len(p) <= len(q) else (q, p)
-                if len(small) < THRESHOLD * len(large):
-                    keep.append(False)
-                    continue
-                both = len(set(small.tolist()) & set(large.tolist()))
-                keep.append(both >= THRESHOLD * (len(p) + len(q) - both))
+                p, q = _widen(x), _widen(y)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(sum(THRESHOLD) * both >= THRESHOLD[0] * (len(p) + len(q)))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["u", "v"])
 
     u = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
@@ -133,41 +135,32 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(u, "u").join(v, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
-def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    pairs = durable(pairs)
-    wanted = pairs.selectExpr("explode(array(u, v)) node").distinct()
-    return durable(_verify(pairs, _sets(docs, nodes.join(wanted, "node", "left_semi").select("id__", "th__", "node"))))
-
-
-def _passing(joined: DataFrame) -> DataFrame:
-    """Pairs (p, q structs of node and fp) -> (u, v), by the pivot distance table."""
-    side = lambda c: F.struct(F.col(f"{c}.node").alias("node"), F.col(f"{c}.fp").alias("fp"), pivot_table(F.col(f"{c}.fp")).alias("pivots")).alias(c)
-    near = joined.select("p", "q").distinct().select(side("p"), side("q")).where(_near("p", "q", RADIUS))
-    return near.select(F.col("p.node").alias("u"), F.col("q.node").alias("v"))
-
-
-def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """keyed() docs -> (sketches (id__, th__, node), names (node, root)) of all nodes."""
-    sketched = durable(sketches(docs))
-    place = F.struct("id__", "th__")
-    nodes = durable(sketched.groupBy("node").agg(F.min(place).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("node", "first.*", "fp", "bands"))
-    # a node's fp and bands follow from its set: any row of the node has the same
-    buckets = nodes.select(F.struct("node", "fp").alias("x"), F.posexplode("bands").alias("t", "k")).select("x", F.xxhash64("t", "k").alias("k"))
-    shared = buckets.groupBy("k").agg(F.min("x").alias("q"), F.count("*").alias("n")).where("n > 1").select("k", "q")
-    met = durable(buckets.join(shared, "k").select("k", F.col("x").alias("p"), "q"))
-    passing = durable(_passing(met.where("p.node <> q.node")))
-    # first each node meets one node only, the smallest of its buckets: at most a pair per node
-    names = _merge(nodes.select("node", F.col("node").alias("root")), _linked(docs, nodes, passing.groupBy("u").agg(F.min("v").alias("v"))))
-    # then the smallest nodes of its other buckets, where they are of another component
-    names = _merge(names, _linked(docs, nodes, _apart(passing, names)))
-    named = met.select("k", "p").join(names.select(F.col("node").alias("n__"), "root"), F.col("p.node") == F.col("n__")).select("k", "p.node", "p.fp", "root")
-    open_ = durable(_split(named, "k"))
-    few = durable(open_.select("node").distinct())
-    sets = durable_table(_sets(docs, nodes.join(few, "node", "left_semi").select("id__", "th__", "node")))
-    deltas = _deltas(sets, _clusters(open_))
-    names = _merge(names, durable(_sure(deltas)))
-    links = durable(_verify(durable(_across(open_, deltas.join(names, "node"))), sets))
-    return sketched.select("id__", "th__", "node"), _merge(names, links)
+def _passing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) that pass the pivot distance table, and whose sizes allow the similarity."""
+    side = lambda node, c: nodes.select(F.col("node").alias(node), F.struct("fp", "n", pivot_table(F.col("fp")).alias("pivots")).alias(c))
+    both = pairs.join(side("u", "p"), "u").join(side("v", "q"), "v")
+    return both.where(F.expr("5 * least(p.n, q.n) >= 4 * greatest(p.n, q.n)") & _near("p", "q", RADIUS)).select("u", "v")
+
+
+def groups(docs: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
+    """keyed() docs -> sketches (id__, th__, node), and the names (node, root) of nodes that share a bucket; others are alone."""
+    sketched = s.keep(sketches(docs))
+    buckets = sketched.select("node", F.posexplode("bands").alias("t", "k")).select("node", F.xxhash64("t", "k").alias("k"))
+    shared = buckets.groupBy("k").agg(F.min("node").alias("v"), F.max("node").alias("hi")).where("v < hi").select("k", "v")
+    met = s.keep(buckets.join(shared, "k").select("k", "node", "v").distinct())
+    few = sketched.join(met.select("node").distinct(), "node", "left_semi")
+    nodes = s.keep(few.groupBy("node").agg(F.min(F.struct("id__", "th__")).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n")).select("node", "first.*", "fp", "n"))
+    sets = s.keep(_sets(docs, nodes))
+    # each node meets the smallest of each of its buckets: at most BANDS pairs a node
+    pairs = s.keep(_passing(met.where("node <> v").select(F.col("node").alias("u"), "v").distinct(), nodes))
+    names = _merge(nodes.select("node", F.col("node").alias("root")), s.keep(_verify(pairs, sets)), s)
+    # buckets that still hold more than one component
+    open_ = s.keep(_split(met.select("k", "node").join(names, "node"), "k").select("k", "node"))
+    s.drop(met, pairs)
+    deltas = _deltas(sets, _clusters(open_, s), s)
+    names = _merge(names, s.keep(_sure(deltas)), s)
+    links = s.keep(_verify(s.keep(_across(open_, deltas.join(names, "node"), nodes, s)), sets))
+    return sketched.select("id__", "th__", "node"), _merge(names, links, s)
 
 
 def _widen(raw: bytes) -> np.ndarray:
@@ -191,21 +184,21 @@ def _each(*columns: str, read=lambda raw: np.frombuffer(raw, "<i8")):
     return run
 
 
-def _clusters(open_: DataFrame) -> DataFrame:
+def _clusters(open_: DataFrame, s: Scratch) -> DataFrame:
     """(node, c, size, salt): nodes that buckets (k, node) connect have one c; a salt is of about SALTED nodes."""
     low = open_.groupBy("k").agg(F.min("node").alias("v"))
-    named = connected_components(open_.join(low, "k").select(F.col("node").alias("u"), "v")).select("node", F.col("root").alias("c"))
+    named = connected_components(open_.join(low, "k").select(F.col("node").alias("u"), "v"), s).select("node", F.col("root").alias("c"))
     sizes = named.groupBy("c").agg(F.count("*").alias("size"))
-    return durable(named.join(sizes, "c").select("node", "c", "size", F.expr(f"pmod(xxhash64(node), 1 + size div {SALTED})").alias("salt")))
+    return s.keep(named.join(sizes, "c").select("node", "c", "size", F.expr(f"pmod(xxhash64(node), 1 + size div {SALTED})").alias("salt")))
 
 
-def _deltas(sets: DataFrame, clusters: DataFrame) -> DataFrame:
+def _deltas(sets: DataFrame, clusters: DataFrame, s: Scratch) -> DataFrame:
     """(node, c, n, d, delta binary): the n shingles of a set, and the d in which it differs from its cluster's centre.
 
     The centre holds what over half the cluster's sets hold, so it has at most twice their mean length."""
 
     def differ(batches):
-        for b in batches:
+        for b in by_bytes(batches, 2):
             n, d, out = [], [], []
             for raw, centre in zip(b.column(2).to_pylist(), b.column(3), strict=True):
                 own = _widen(raw)
@@ -219,8 +212,7 @@ def _deltas(sets: DataFrame, clusters: DataFrame) -> DataFrame:
     rows = own.select("shingles", "c", "size").mapInArrow(_each("c", "size", read=_widen), "h bigint, c bigint, size bigint")
     most = rows.groupBy("c", "size", "h").agg(F.count("*").alias("count")).where("2 * count > size")
     centre = most.groupBy("c", "size").agg(F.collect_list("h").alias("centre")).select("c", F.explode(F.expr(f"sequence(0L, size div {SALTED})")).alias("salt"), "centre")
-    small_batches(sets.sparkSession, BATCH)
-    return durable_table(own.join(centre, ["c", "salt"], "left").select("node", "c", "shingles", "centre").mapInArrow(differ, "node bigint, c bigint, n bigint, d bigint, delta binary"))
+    return s.keep(own.join(centre, ["c", "salt"], "left").select("node", "c", "shingles", "centre").mapInArrow(differ, "node bigint, c bigint, n bigint, d bigint, delta binary"))
 
 
 def _sure(deltas: DataFrame) -> DataFrame:
@@ -247,8 +239,8 @@ def _split(members: DataFrame, key: str) -> DataFrame:
     return members.join(mixed, key)
 
 
-def _across(open_: DataFrame, deltas: DataFrame) -> DataFrame:
-    """(u, v) of buckets (k, node, fp): members of different components that may be similar enough.
+def _across(open_: DataFrame, deltas: DataFrame, nodes: DataFrame, s: Scratch) -> DataFrame:
+    """(u, v) of buckets (k, node): members of different components that may be similar enough.
 
     Two sets differ where their deltas differ, and are at 0.8 if that is in at most a ninth of
     n + n'. Of its d differences a node shares at most y with a node of another component, so a pair at
@@ -257,14 +249,16 @@ def _across(open_: DataFrame, deltas: DataFrame) -> DataFrame:
     minimum is taken class by class and summed. A pair is formed in its first common bucket only. The
     bounds are exact; sets that share many differences and lie just under the threshold pass them,
     and how many pairs these form depends on the data."""
-    bounds = durable(_shared(_split(deltas, "c")).select("node", "root", "n", F.expr("n - 9 * d").alias("s"), F.expr("n - 9 * d + 18 * y").alias("a"), "classes"))
-    left = durable(_split(open_.select("k", "node", "fp").join(bounds.drop("classes"), "node"), "k"))
+    slack = F.expr("n - 9 * d").alias("s"), F.expr("n - 9 * d + 18 * y").alias("a")
+    bounds = s.keep(_shared(_split(deltas, "c")).select("node", "root", "n", *slack, "classes").join(nodes.select("node", "fp"), "node"))
+    left = s.keep(_split(open_.join(bounds.select("node", "root", "s", "a"), "node"), "k"))
     for _ in range(2):
         best = left.groupBy("k").agg(F.max("s").alias("s_max"), F.max("a").alias("a_max"))
         able = left.join(best, "k").where("a + s_max >= 0 and s + a_max >= 0").drop("s_max", "a_max")
-        left = durable(_split(able, "k"))
+        old, left = left, s.keep(_split(able, "k"))
+        s.drop(old)
     keys = left.groupBy("node").agg(F.collect_list("k").alias("ks"))  # at most BANDS of a node
-    left = durable(left.join(keys, "node").join(bounds.select("node", "classes"), "node"))
+    left = s.keep(left.select("k", "node").join(keys, "node").join(bounds, "node"))
     side = lambda c: left.select("k", F.struct("node", "fp", "root", "n", "s", "a", "ks", "classes", pivot_table(F.col("fp")).alias("pivots")).alias(c))
     both = F.expr("p.root < q.root and p.a + q.s >= 0 and q.a + p.s >= 0 and 5 * least(p.n, q.n) >= 4 * greatest(p.n, q.n)")
     overlap = F.expr("18 * aggregate(zip_with(p.classes, q.classes, (i, j) -> least(i, j)), 0, (i, j) -> i + j) + p.s + q.s >= 0")
@@ -273,31 +267,26 @@ def _across(open_: DataFrame, deltas: DataFrame) -> DataFrame:
     return met.select(F.col("p.node").alias("u"), F.col("q.node").alias("v"))
 
 
-def _rooted(pairs: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs of nodes with their roots a, b."""
-    a, b = names.select(F.col("node").alias("u"), F.col("root").alias("a")), names.select(F.col("node").alias("v"), F.col("root").alias("b"))
-    return pairs.join(a, "u").join(b, "v")
-
-
-def _apart(pairs: DataFrame, names: DataFrame) -> DataFrame:
-    return _rooted(pairs, names).where("a <> b").select("u", "v")
-
-
-def _merge(names: DataFrame, links: DataFrame) -> DataFrame:
+def _merge(names: DataFrame, links: DataFrame, s: Scratch) -> DataFrame:
     """(node, root) after the links: components are formed of the roots, not of all nodes again."""
-    over = connected_components(_rooted(links, names).select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("root"), F.col("root").alias("new__"))
-    return durable(names.join(over, "root", "left").select("node", F.coalesce("new__", "root").alias("root")))
+    a, b = names.select(F.col("node").alias("u"), F.col("root").alias("a")), names.select(F.col("node").alias("v"), F.col("root").alias("b"))
+    rooted = links.join(a, "u").join(b, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    over = connected_components(rooted, s).select(F.col("node").alias("root"), F.col("root").alias("new__"))
+    return s.keep(names.join(over, "root", "left").select("node", F.coalesce("new__", "root").alias("root")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Rows and columns of docs, one row of each group."""
-    own = keyed(docs)
-    sketched, roots = groups(own)
-    rooted = sketched.join(roots, "node").select("id__", "th__", "root")
-    place = F.struct("id__", "th__")
-    stay = rooted.groupBy("root").agg(F.min(place).alias("stay"))
-    gone = durable(rooted.join(stay, "root").where(place != F.col("stay")).select("id__", "th__").distinct())
-    left = own.join(gone.hint("shuffle_hash"), ["id__", "th__"], "left_anti")
-    if sketched.groupBy("id__", "th__").count().where("count > 1").limit(1).count():
-        left = left.dropDuplicates(["id__", "th__"])
-    return left.select(docs.columns)
+    """Rows and columns of docs, one row of each group. Only texts of documents that may go are shuffled."""
+    small_batches(docs.sparkSession)
+    own, place = keyed(docs), F.struct("id__", "th__")
+    with Scratch(docs.sparkSession) as s:
+        sketched, names = groups(own, s)
+        rooted = s.keep(sketched.join(names, "node", "left").select("id__", "th__", F.coalesce("root", "node").alias("root")))
+        stay = rooted.groupBy("root").agg(F.min(place).alias("stay"), F.count("*").alias("rows")).where("rows > 1")
+        # all rows of groups but the one that stays, and of that the repeats
+        twice = rooted.join(stay, "root").groupBy("id__", "th__").agg(F.max(place != F.col("stay")).alias("goes"), F.count("*").alias("rows"))
+        change = s.result(twice.where("goes or rows > 1").select("id__", "th__", "goes"))
+        maybe = maybe_in(change.select(_place().alias("h")), change.count())
+    own = own.withColumn("maybe__", maybe(_place()))
+    resolved = own.where("maybe__").join(change.where("goes").hint("shuffle_hash"), ["id__", "th__"], "left_anti").dropDuplicates(["id__", "th__"])
+    return own.where("not maybe__").unionByName(resolved).select(docs.columns)

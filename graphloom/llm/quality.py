@@ -9,7 +9,9 @@ replaces the demand that it pass every rule; abstaining is no evidence. The
 iterations are one SQL expression over the pattern array, evaluated on one row.
 
 Defined results: a null or empty text has no words, every measure 0, and fails the
-base rules. Repeated rows give repeated rows.
+base rules. Repeated rows give repeated rows, an empty table gives none. Columns of
+the names that measures() and judge() add (n_words, votes, kept, ...) are replaced;
+other columns are passed on.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import durable, table
+from ._spark import Scratch, table
 
 #: Python's re.split characters of a word boundary: space and 0x09 to 0x0D
 SPACE = r"[\x20\x09-\x0D]+"
@@ -143,5 +145,6 @@ def judge(measured: DataFrame, rules: dict[str, tuple[int, str]] = RULES) -> Dat
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as bigint) doc_id", "text")
-    measured = durable(measures(docs).drop("text"))  # numbers only: the texts are read once
+    with Scratch(spark) as s:
+        measured = s.result(measures(docs).drop("text"))  # numbers only: the texts are read once
     return judge(measured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")

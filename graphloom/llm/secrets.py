@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import small_batches, table, texts
+from ._spark import by_bytes, small_batches, table, texts
 
 KINDS = ("assign", "access", "hex", "checked")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -100,7 +100,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        for b in batches:
+        for b in by_bytes(batches, 1):
             found = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in find(t)] for t in texts(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
 

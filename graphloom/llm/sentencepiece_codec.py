@@ -27,7 +27,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._spark import small_batches, table
+from ._spark import by_bytes, small_batches, table
 
 MARK = "▁"
 #: Chunks in each of a worker's two memo generations; bounds its memory.
@@ -257,7 +257,7 @@ def encode_table(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def run(batches):
         model = load(model_path)
-        for b in batches:
+        for b in by_bytes(batches, 1):
             both = [model.encode_decode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([x[0] for x in both], pa.string()), pa.array([x[0].count(",") + bool(x[0]) for x in both], pa.int64()), pa.array([x[1] for x in both], pa.string())],
@@ -273,7 +273,7 @@ def digest_table(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def run(batches):
         model, sha = load(model_path), hashlib.sha256
-        for b in batches:
+        for b in by_bytes(batches, 1):
             n, ids, text = [], [], []
             for t in b.column(1).to_pylist():
                 i, d = model.encode_decode(t or "")

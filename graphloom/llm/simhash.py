@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import connected_components, durable, small_batches, table, texts
+from ._spark import Scratch, by_bytes, connected_components, table, texts
 
 SEED = 42
 PIVOTS = 16
@@ -68,10 +68,9 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp bigint): the 64 bits as a signed number."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in by_bytes(batches, 1):
             fp = np.array([fingerprint(shingle_hashes(t, size)) for t in texts(b.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
@@ -106,13 +105,13 @@ def block_keys(fp: Column, radius: int) -> Column:
     return F.array(*[F.struct(F.lit(t).cast("tinyint").alias("t"), fp.bitwiseAND(F.lit(signed(masks[i] | masks[j]))).alias("k")) for t, (i, j) in enumerate(combinations(range(n), 2))])
 
 
-def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def links(fps: DataFrame, s: Scratch, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Distinct fingerprints (fp) -> edges (u, v) that connect the same fingerprints as all links do."""
     if radius != 2:
         raise ValueError("the exact way for large buckets is that of radius 2")
     keyed = fps.select("fp", F.explode(block_keys(F.col("fp"), radius)).alias("b"))
     sizes = keyed.groupBy("b").count().where("count > 1")
-    some = durable(keyed.join(sizes, "b"))
+    some = s.keep(keyed.join(sizes, "b"))
     small = some.where(F.col("count") <= bucket).select("b", F.struct("fp", pivot_table(F.col("fp")).alias("pivots")).alias("x"))
     pairs = small.alias("p").join(small.alias("q"), F.col("p.b") == F.col("q.b")).where("p.x.fp < q.x.fp")
     pairs = pairs.select(F.col("p.x").alias("p"), F.col("q.x").alias("q")).where(_near("p", "q", radius)).select(F.col("p.fp").alias("u"), F.col("q.fp").alias("v"))
@@ -124,16 +123,18 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     return pairs.unionByName(stars)
 
 
-def components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp) -> and component_id, the smallest doc_id reachable."""
-    nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = connected_components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    rooted = durable(nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
+def components(prints: DataFrame, s: Scratch, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fp) -> and component_id, the smallest doc_id reachable. prints is read twice: a table."""
+    nodes = s.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    roots = connected_components(links(nodes.select("fp"), s, radius), s).withColumnRenamed("node", "fp")
+    rooted = s.keep(nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    names = rooted.join(lowest, "root").select("fp", "component_id")
+    names = s.result(rooted.join(lowest, "root").select("fp", "component_id"))
     return prints.join(names, "fp", "left")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = durable(fingerprints(table(spark, sf_dir, "documents")))
-    return components(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with Scratch(spark) as s:
+        prints = s.result(fingerprints(table(spark, sf_dir, "documents")))
+        out = components(prints, s)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import durable, small_batches, table
+from ._spark import Scratch, by_bytes, small_batches, table
 
 #: Bytes of one block.
 BLOCK = 1 << 17
@@ -59,9 +59,7 @@ def write_flat(docs: DataFrame, tokenizer: str, eod: int = EOD) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([file_id] * len(at), pa.int32()), pa.array([kind] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(ids, pa.int64()), pa.array(payloads, pa.binary())], names=["file_id", "kind", "at", "doc_id", "payload"])
 
         file_id = 0
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in by_bytes(batches, 2):
             file_id = b.column(0)[0].as_py()
             ids = b.column(1).to_pylist()
             yield out(1, list(range(place, place + len(ids))), ids, [None] * len(ids))
@@ -85,7 +83,6 @@ def write_flat(docs: DataFrame, tokenizer: str, eod: int = EOD) -> DataFrame:
 def read_flat(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
     """Token files on disk as blocks: (file_id string, at, payload). A file is read whole
     by one task, so files should be shards of at most a few hundred MB."""
-    small_batches(spark, 1)
 
     def run(batches):
         for b in batches:
@@ -101,10 +98,9 @@ def scan_blocks(blocks: DataFrame, eod: int = EOD, keep: str = "") -> DataFrame:
     kind = dict(blocks.dtypes)
     cols = ["file_id", "at"] + ([keep] if keep else [])
     schema = ", ".join(f"{c} {kind[c]}" for c in cols) + ", n bigint, ends array<int>"
-    small_batches(blocks.sparkSession, 64)
 
     def run(batches):
-        for b in batches:
+        for b in by_bytes(batches, len(cols)):
             n, ends = [], []
             for p in b.column(len(cols)).to_pylist():
                 if p is None:
@@ -139,10 +135,12 @@ def stitch(scanned: DataFrame) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, n_tokens): the documents as token files, the files scanned, the ids joined by place."""
+    """(doc_id, n_tokens): the documents as token files, the files scanned, the ids joined by place. The files are
+    rows of bytes here (write_flat), cut without regard to documents; read_flat gives the same rows of files on disk."""
     flat = write_flat(docs, tokenizer)
     # one pass: the blocks go from the tokenizer to the scan, manifest rows beside them
-    scanned = durable(scan_blocks(flat.withColumn("tag", F.struct("kind", "doc_id")), keep="tag"))
+    with Scratch(docs.sparkSession) as s:
+        scanned = s.result(scan_blocks(flat.withColumn("tag", F.struct("kind", "doc_id")), keep="tag"))
     counts = stitch(scanned.where("tag.kind = 0").select("file_id", "at", "n", "ends"))
     names = scanned.where("tag.kind = 1").select("file_id", F.col("at").alias("place"), F.col("tag.doc_id").alias("doc_id"))
     return names.join(counts, ["file_id", "place"]).select("doc_id", "n_tokens")

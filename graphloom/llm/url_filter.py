@@ -12,6 +12,7 @@ raises, for the list must then be split by key hash (see cascade()).
 
 Defined results: a null url, or one without ://, has empty host and path, fits no
 rule and is allowed. Repeated rows give repeated rows; null keys are never listed.
+Columns named host, path, rule and verdict are replaced, others are passed on.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import durable, table
+from ._spark import Scratch, table
 
 #: (host suffix, path prefix, verdict): fixed values of the query
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -89,13 +90,18 @@ def passes(key: Column, level: int, cells: bytes, bits: int) -> Column:
 
 
 def cascade(universe: DataFrame, listed: DataFrame, max_levels: int = 40) -> list[tuple[bytes, int]]:
+    with Scratch(universe.sparkSession) as s:
+        return _cascade(universe, listed, max_levels, s)
+
+
+def _cascade(universe: DataFrame, listed: DataFrame, max_levels: int, s: Scratch) -> list[tuple[bytes, int]]:
     """Filters by level for the listed keys over a universe; both are DataFrames of one column, key.
 
     Every level after the first holds only the mistakes of the level before, a few
     hundredths of its keys, so the sizes fall geometrically.
     """
     all_keys = universe.where("key is not null").distinct()
-    marked = durable(all_keys.join(listed.where("key is not null").distinct().withColumn("listed", F.lit(True)), "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")))
+    marked = s.keep(all_keys.join(listed.where("key is not null").distinct().withColumn("listed", F.lit(True)), "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")))
     levels: list[tuple[bytes, int]] = []
     left = marked
     while len(levels) < max_levels:
@@ -105,7 +111,7 @@ def cascade(universe: DataFrame, listed: DataFrame, max_levels: int = 40) -> lis
             return levels
         levels.append(_filter(keys, len(levels), n))
         # those of the other side that pass by mistake go on, with this level's own keys
-        left = durable(left.where((F.col("listed") == side) | passes(F.col("key"), len(levels) - 1, *levels[-1])))
+        left = s.keep(left.where((F.col("listed") == side) | passes(F.col("key"), len(levels) - 1, *levels[-1])))
     raise ValueError("the cascade did not end: two keys of equal hash")
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import shared_dir, small_batches, table
+from ._spark import Scratch, by_bytes, shared_dir, small_batches, table
 
 #: Payloads under so many bytes are never revisits.
 MIN_REVISIT_BYTES = 100
@@ -95,10 +95,11 @@ def arc_to_warc(record: dict, name: str, payload_digest: str | None = None, refe
     head, cut, payload = content.partition(b"\r\n\r\n") if http else (b"", b"", content)
     kind = ("revisit" if refers_to else "response") if http else "resource"
     block = head + cut if refers_to else content
+    whole = payload_digest or hashlib.sha256(payload).hexdigest()
     d = record["date"].ljust(14, "0")
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(name, record['url'], record['date'])}", f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", f"WARC-Target-URI: {record['url']}",
-        f"WARC-IP-Address: {record['ip']}", f"WARC-Payload-Digest: sha256:{payload_digest or hashlib.sha256(payload).hexdigest()}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(name, record['url'], record['date'], whole)}", f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", f"WARC-Target-URI: {record['url']}",
+        f"WARC-IP-Address: {record['ip']}", f"WARC-Payload-Digest: sha256:{whole}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         f"Content-Type: {'application/http; msgtype=response' if http else record['type']}", f"Content-Length: {len(block)}",
     ]
     if refers_to:
@@ -129,19 +130,36 @@ def page_name(page_id: object) -> str:
     return "pages/null" if page_id is None else f"pages/{page_id}"
 
 
+def read_arc(spark: SparkSession, path: str) -> DataFrame:
+    """(file, place, url, warc binary): the records of ARC files (plain or gzip) under `path`, as WARC records. A file is
+    read by one task and a record at a time leaves it. refers_to and revisits are for write_archives: ARC files have none."""
+    import gzip
+
+    small_batches(spark)
+
+    def run(batches):
+        for b in batches:
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for k, record in enumerate(parse_arc(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)):
+                    warc = arc_to_warc(record, f"{name}#{k}")
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([record["url"]]), pa.array([warc], pa.binary())], names=["file", "place", "url", "warc"])
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.arc*").load(path)
+    return found.select("path", "content").mapInArrow(run, "file string, place bigint, url string, warc binary")
+
+
 def write_archives(pages: DataFrame, where: str, version: int = 1) -> None:
     """pages (page_id, url, html) as WARC files under `where`, through ARC records
     of the given version. Equal payloads are found by digest: one partial
     aggregate of (digest, smallest page_id), so a common payload doesn't gather."""
     spark = pages.sparkSession
-    small_batches(spark, 500)
     rows = pages.selectExpr("cast(page_id as bigint) page_id", "cast(url as string) url", "coalesce(cast(html as string), '') html").withColumns({"digest": F.sha2("html", 256), "size": F.octet_length("html")})
     first = rows.where(F.col("size") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min_by(F.struct("page_id", "url"), F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
     head = version
 
     def run(batches):
         block = arc_version_block(head)
-        for b in batches:
+        for b in by_bytes(batches, 2):
             out = []
             for page_id, url, html, digest, first in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 payload = html.encode()
@@ -150,7 +168,7 @@ def write_archives(pages: DataFrame, where: str, version: int = 1) -> None:
                 (record,) = parse_arc(block + arc_record(head, url, http + payload))
                 refers = None
                 if first and first["page_id"] != page_id:
-                    refers = record_id(page_name(first["page_id"]), safe_url(first["url"]), CAPTURED), safe_url(first["url"])
+                    refers = record_id(page_name(first["page_id"]), safe_url(first["url"]), CAPTURED, digest), safe_url(first["url"])
                     record["refers_page"] = first["page_id"]
                 warc = arc_to_warc(record, page_name(page_id), digest, refers)
                 if refers:  # page ids are ours, so they go in a header of ours
@@ -158,15 +176,16 @@ def write_archives(pages: DataFrame, where: str, version: int = 1) -> None:
                 out.append(warc.decode())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", "first").mapInArrow(run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", "gzip").text(where)
+    with Scratch(spark):
+        rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", "first").mapInArrow(run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", "gzip").text(where)
 
 
 def read_archives(spark: SparkSession, where: str) -> DataFrame:
     """One row per record of the WARC files under `where`."""
     import gzip
 
+    small_batches(spark)
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, warc_date string"
-    small_batches(spark, 1)  # a file at a time
 
     def run(batches):
         for b in batches:
@@ -194,7 +213,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    where = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages"), where)
     return read_archives(spark, where).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
