@@ -38,7 +38,7 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 0) -> None:
+def small_batches(spark: SparkSession) -> None:
     """For operators whose result Spark computes later, in the user's own job: the session's Arrow batches hold JOB_BYTES
     at most. A bound on bytes, which Spark has anyway (64 MB a task and direction); only ever lowered, so plans of
     other code run as they did, in smaller batches."""
@@ -47,17 +47,6 @@ def small_batches(spark: SparkSession, rows: int = 0) -> None:
         spark.conf.set(key, str(JOB_BYTES))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def durable_table(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Scratch:
     """Intermediate tables of one operator call, as Parquet in the shared folder, so they survive lost executors.
 

@@ -9,6 +9,7 @@ import re
 import pytest
 
 from graphloom.llm import decontaminate, near_dedup, quality, secrets, sentencepiece_codec, simhash, suffix_dedup, token_count, toxicity, url_filter, warc
+from graphloom.llm._spark import Scratch
 from graphloom.llm.queries import ORACLE_SQL, QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -32,6 +33,38 @@ def test_against_sql(compare, name):
     compare(QUERIES[name], ORACLE_SQL[name])
 
 
+def _components(prints):
+    with Scratch(prints.sparkSession) as s:
+        return simhash.components(prints, s)
+
+
+@pytest.mark.parametrize("edges", [3, 10**6])
+def test_connected_components(spark, monkeypatch, edges):
+    """Paths, stars, loops and repeats, by rounds of stars (a task unites few edges) and at once."""
+    from graphloom.llm import _spark
+
+    monkeypatch.setattr(_spark, "EDGES", edges)
+    pairs = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (200, 201), (201, 200), (None, 3)]
+    with Scratch(spark) as s:
+        got = {r.node: r.root for r in _spark.connected_components(spark.createDataFrame(pairs, "u long, v long"), s).collect()}
+        assert not _spark.connected_components(spark.createDataFrame([], "u long, v long"), s).collect()
+    assert got == dict.fromkeys(range(41), 0) | dict.fromkeys(range(100, 130), 100) | {200: 200, 201: 200}
+
+
+def test_scratch_leaves_nothing(spark, tmp_path):
+    """Settings of the session come back, tables go but the one that the result reads."""
+    import os
+
+    from graphloom.llm._spark import shared_dir
+
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", set(os.listdir(shared_dir(spark)))
+    was = spark.conf.get(key)
+    with Scratch(spark) as s:
+        s.keep(spark.range(3))
+        left = s.result(spark.range(4))
+    assert spark.conf.get(key) == was and left.count() == 4 and len([x for x in set(os.listdir(shared_dir(spark))) - before if x.startswith("table-")]) == 1
+
+
 def test_simhash(spark, odd, empty):
     rng, points = random.Random(1), {0}
     for k in range(600):
@@ -52,11 +85,11 @@ def test_simhash(spark, odd, empty):
             if (fp[i] ^ fp[j]).bit_count() <= 2 and (a := root(i)) != (b := root(j)):
                 parent[max(a, b)] = min(a, b)
     df = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in fp.items()], "doc_id long, fp long")
-    got = {r.doc_id: r.component_id for r in simhash.components(df).collect()}
+    got = {r.doc_id: r.component_id for r in _components(df).collect()}
     assert got == {i: root(i) for i in fp}
-    rows = simhash.components(simhash.fingerprints(odd)).collect()
+    rows = _components(simhash.fingerprints(odd)).collect()
     assert len(rows) == len(ODD) and {r.fp for r in rows if r.doc_id in (1, 2, 5)} == {0}
-    assert simhash.components(simhash.fingerprints(empty)).count() == 0
+    assert _components(simhash.fingerprints(empty)).count() == 0
 
 
 def test_quality(spark, odd, empty):
@@ -119,6 +152,53 @@ def test_suffix_dedup(spark, odd, empty):
         assert suffix_dedup.longest_previous_factor(t) == [max([k for k in range(26 - i) for j in range(i) if t[j : j + k] == t[i : i + k]], default=0) for i in range(25)]
 
 
+def _removed(rows):
+    """(n_bytes, n_removed) of documents in their order, by brute force."""
+    seen, out = set(), []
+    for t in rows:
+        raw, gone = t.encode(), set()
+        for p in range(len(raw) - 99):
+            if raw[p : p + 100] in seen:
+                gone |= set(range(p, p + 100))
+            seen.add(raw[p : p + 100])
+        out.append((len(raw), len(gone)))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [5, 20_000])
+def test_suffix_dedup_ids(spark, monkeypatch, crowd):
+    """Thousands of null ids and of one repeated id, and rows that come twice: each text is told from the others."""
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    common = [word(150) for _ in range(3)]
+    for null in (None, 7):
+        texts = [word(rng.randrange(90, 260)) for _ in range(2000)]
+        held = {k: rng.choice(common) for k in range(0, 2000, 100)}
+        texts = [t + held.get(k, "") + t[:20] for k, t in enumerate(texts)]
+        rows = [(null, t) for t in texts] + [(null, texts[5]), (null, texts[5])]
+        got = collections.Counter((r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+        assert sum(got.values()) == len(rows)
+        # which of a passage's copies is the first is settled by a hash of the text: all but one of each go
+        assert sum(c for (_, gone), c in got.items() if gone) == len(held) - len(set(held.values()))
+    twice = [(1, common[0] * 2), (1, common[0] * 2), (2, common[0])]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(spark.createDataFrame(twice, "doc_id long, text string")).collect())
+    (_, first), (_, second) = _removed([common[0] * 2, common[0]])
+    assert got == [(1, 300, first), (1, 300, first), (2, 150, second)]
+
+
+def test_suffix_dedup_batches(spark, monkeypatch):
+    """Groups cut over many small batches and flushes give the same rows."""
+    monkeypatch.setattr(suffix_dedup, "BYTES", 500)
+    monkeypatch.setattr(suffix_dedup, "ROWS", 7)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 300)
+    rng = random.Random(12)
+    base = "".join(rng.choice("abc") for _ in range(900))
+    texts = [base[(a := rng.randrange(700)) : a + rng.randrange(80, 400)] + str(k) for k in range(60)]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect())
+    assert got == [(k, *x) for k, x in enumerate(_removed(texts))]
+
+
 def test_decontaminate(spark, odd, empty):
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(500)]
@@ -335,14 +415,19 @@ def test_near_dedup_graded_group(spark):
             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and (a := root(i)) != (b := root(j)):
                 parent[max(a, b)] = min(a, b)
     want = {root(i) for i in sets}
-    docs, crossed = spark.createDataFrame(rows, "doc_id long, text string"), []
+    docs, counted = spark.createDataFrame(rows, "doc_id long, text string"), []
     across = near_dedup._across
-    near_dedup._across = lambda *a: crossed.append(near_dedup.durable(across(*a))) or crossed[-1]
+    def counting(*a):
+        out = across(*a)
+        counted.append(out.count())
+        return out
+
+    near_dedup._across = counting
     try:
         assert {r.doc_id for r in near_dedup.drop_near_duplicates(docs).collect()} == want
     finally:
         near_dedup._across = across
-    assert 1 < len(want) < 200 and crossed[0].count() <= len(rows)
+    assert 1 < len(want) < 200 and counted[0] <= len(rows)
 
 
 def test_near_dedup_repeats(spark):
