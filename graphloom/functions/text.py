@@ -39,31 +39,29 @@ def exact_match(pred: Column, gold: Column) -> Column:
     return (normalize_answer(pred) == normalize_answer(gold)).cast("int")
 
 
-def _numbered(words: Column) -> Column:
-    """Words with the number of their occurrence, so that sets of them are multisets of words."""
-    s = F.array_sort(words)
-    return F.transform(s, lambda w, i: F.concat(w, F.lit(" "), (i - F.array_position(s, w)).cast("string")))
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once: a lambda variable, not an expression that each use repeats."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def shared_tokens(p: Column, g: Column) -> Column:
-    """Size of the multiset intersection of two token arrays."""
-    return F.size(F.array_intersect(_numbered(p), _numbered(g)))
+def numbered(words: Column) -> Column:
+    """Words with the number of their occurrence, sorted: sets of them are multisets of words."""
+    return let(F.sort_array(words), lambda s: F.transform(s, lambda w, i: F.concat(w, F.lit(" "), (i - F.array_position(s, w)).cast("string"))))
 
 
 def tokens_f1(p: Column, g: Column) -> Column:
-    """F4 on token arrays; put them in columns first, so that each text is normalised once."""
-    n = shared_tokens(p, g).cast("double")
-    precision, recall = n / F.size(p), n / F.size(g)
-    return (
-        F.when((F.size(p) == 0) | (F.size(g) == 0), (F.size(p) == F.size(g)).cast("double"))
-        .when(n == 0, 0.0)
-        .otherwise(2 * precision * recall / (precision + recall))
-    )
+    """F4, A12 on numbered token arrays: the multisets' intersection is that of the sets."""
+
+    def of(x: Column) -> Column:
+        precision, recall = x["n"] / x["p"], x["n"] / x["g"]
+        return F.when((x["p"] == 0) | (x["g"] == 0), (x["p"] == x["g"]).cast("double")).when(x["n"] == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+
+    return let(F.struct(F.size(F.array_intersect(p, g)).cast("double").alias("n"), F.size(p).alias("p"), F.size(g).alias("g")), of)
 
 
 def token_f1(pred: Column, gold: Column) -> Column:
     """F4"""
-    return tokens_f1(tokens(pred), tokens(gold))
+    return tokens_f1(numbered(tokens(pred)), numbered(tokens(gold)))
 
 
 def best_over(metric, pred: Column, golds: Column) -> Column:
@@ -149,7 +147,7 @@ def all_tags(c: Column, tag: str, glue: str = "\n") -> Column:
 
 def title_of(passage: Column) -> Column:
     """between '(Title: ' and the first ')'."""
-    return F.regexp_extract(passage, r"\(Title: (.*?)\)", 1)
+    return F.regexp_extract(passage, r"(?s)\(Title: (.*?)\)", 1)
 
 
 #: what an answer to a verification may begin with (fixed values)

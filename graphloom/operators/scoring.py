@@ -14,8 +14,10 @@ def score(preds: DataFrame, pred: str = "predicted_answer", answer: str = "answe
     if aliases:
         golds = F.concat(golds, F.coalesce(F.col(aliases), F.array().cast("array<string>")))
     read = preds.withColumns({"p__": T.tokens(F.col(pred)), "g__": F.transform(golds, T.tokens)})
-    em = F.array_max(F.transform("g__", lambda g: (F.array_join(g, " ") == F.array_join("p__", " ")).cast("int")))
-    return read.withColumns({"em_score": em, "f1_score": F.array_max(F.transform("g__", lambda g: T.tokens_f1(F.col("p__"), g)))}).drop("p__", "g__")
+    read = read.withColumns({"p__": F.struct(F.array_join("p__", " ").alias("text"), T.numbered(F.col("p__")).alias("w")), "g__": F.transform("g__", lambda g: F.struct(F.array_join(g, " ").alias("text"), T.numbered(g).alias("w")))})
+    em = T.let(F.col("p__"), lambda p: F.array_max(F.transform("g__", lambda g: (g["text"] == p["text"]).cast("int"))))
+    f1 = T.let(F.col("p__"), lambda p: F.array_max(F.transform("g__", lambda g: T.tokens_f1(p["w"], g["w"]))))
+    return read.withColumns({"em_score": em, "f1_score": f1}).drop("p__", "g__")
 
 
 def by_hop(scored: DataFrame) -> DataFrame:

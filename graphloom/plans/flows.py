@@ -49,13 +49,14 @@ class Corpus:
         return queries.select("qid").join(R.evidence_text(rows, config.evidence_chars), "qid", "left").select("qid", F.coalesce("text", F.lit("")).alias("evidence"))
 
 
-def direct(samples: DataFrame, corpus: Corpus, gold: DataFrame, model: models.Backend, config: EngineConfig, keep: Keep | None = None) -> DataFrame:
-    """(index, question, answer, num_hops) -> predicted_answer, em_score, f1_score. With use_agent the agent searches (keep is needed then)."""
+def direct(samples: DataFrame, corpus: Corpus, gold: DataFrame, model: models.Backend, config: EngineConfig, keep: Keep) -> DataFrame:
+    """(index, question, answer, num_hops) -> predicted_answer, em_score, f1_score. With use_agent the agent searches."""
     samples = selection.first_rows(samples, config.max_samples)
     queries = samples.select(F.col("index").alias("qid"), "index", F.col("question").alias("query"))
     hits = agent_hits(queries, corpus, model, config, keep) if config.use_agent else None
     evidence = corpus.evidence(queries, gold, config, hits, config.use_agent and config.total_results)
-    asked = samples.join(evidence.withColumnRenamed("qid", "index"), "index")
+    # a table, for the model's prompts and the rows that their answers go back to
+    asked = keep(samples.join(evidence.withColumnRenamed("qid", "index"), "index"))
     done = models.answer(asked, model, config.evidence_chars).drop("evidence")
     return selection.fallback(scoring.score(done, aliases="answer_aliases" if "answer_aliases" in samples.columns else None))
 
@@ -86,7 +87,7 @@ def infill_paths(paths: DataFrame, facts: DataFrame, corpus: Corpus, gold: DataF
         else:
             hits = agent_hits(queries, corpus, model, config, keep) if config.use_agent else None
             work = work.join(corpus.evidence(queries, gold, config, hits, config.use_agent and config.total_results).withColumnRenamed("qid", "gid"), "gid")
-        filled = keep(models.infill(work, model).select(*key, F.lit(i).alias("infilling_index"), "ent", "search", "query", "infilled", "confidence", "status"))
+        filled = keep(models.infill(keep(work), model).select(*key, F.lit(i).alias("infilling_index"), "ent", "search", "query", "infilled", "confidence", "status"))
         logs = filled if logs is None else logs.unionByName(filled)
         state = keep(state.join(filled.select(*key, "ent", "infilled"), key, "left").select(*key, "kind", "pos", F.when(F.col("ent").isNull(), F.col("triple")).otherwise(F.replace(F.col("triple"), F.col("ent"), F.col("infilled"))).alias("triple")))
     if logs is None:
@@ -160,7 +161,7 @@ def graph_check(samples: DataFrame, facts: DataFrame, corpus: Corpus, gold: Data
     chosen = filled.join(best.select("index", F.col("best_path_index").alias("path_index")), ["index", "path_index"])
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("kind", "pos", "triple"))), lambda x: T.readable(x["triple"]))
     text = chosen.groupBy("index").agg(F.array_join(ordered, "\n").alias("evidence"))
-    asked = samples.join(text, "index", "left").withColumn("evidence", F.coalesce("evidence", F.lit("")))
+    asked = keep(samples.join(text, "index", "left").withColumn("evidence", F.coalesce("evidence", F.lit(""))))
     done = selection.fallback(scoring.score(models.answer(asked, model, config.evidence_chars).drop("evidence", "confidence")))
     return done.join(best, "index", "left").withColumn("prediction", F.when(F.col("supported"), "SUPPORTED").when(~F.col("supported"), "NOT_SUPPORTED"))
 

@@ -366,7 +366,7 @@ _SAMPLE = f"""{_ARRAYS}, smp as (select doc_id as idx, case when doc_id % 7 <> 0
  coalesce(cd.l, []) as cd, coalesce(ct.l, []) as ct, coalesce(qd.l, []) as qd, coalesce(qt.l, []) as qt from documents left join cd on cd.idx = doc_id left join ct on ct.idx = doc_id left join qd on qd.idx = doc_id left join qt on qt.idx = doc_id)"""
 _WORDS = "[w for w in regexp_split_to_array(text, '\\s+') if w <> '']"
 #: F18 on a triple of one of the tables
-_HOP = """case when len(string_split(triple, ' [SEP] ')) >= 3 then (case when starts_with(o, 'ENT') or starts_with(o, '(') then s || ' ' || r else s || ' ' || r || ' ' || o end) end"""
+_HOP = """case when len(string_split(triple, ' [SEP] ')) >= 3 then (case when starts_with(s, 'ENT') or starts_with(s, '(') then r || ' ' || o when starts_with(o, 'ENT') or starts_with(o, '(') then s || ' ' || r else s || ' ' || r || ' ' || o end) end"""
 _HOPPED = f"(select *, trim(replace(replace(split_part(triple, ' [SEP] ', 1), '(ENT', ''), ')', '')) as s, trim(split_part(triple, ' [SEP] ', 2)) as r, trim(split_part(split_part(triple, ' [SEP] ', 3), '[PREP]', 1)) as o from {{0}})"
 _LISTED = "array_to_string({0} || {1}, chr(10))"
 _BOTH = lambda a, b, head: f"case when len({a}) + len({b}) > 0 then question || chr(10) || chr(10) || '{head}:' || chr(10) || {_LISTED.format(a, b)} else question end"

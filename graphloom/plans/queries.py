@@ -447,7 +447,7 @@ def _run(spark, d):
 def q_direct(spark, d):
     """E2 with a model that answers by the first line of the passages."""
     keep, c, g, s = _run(spark, d)
-    done = flows.direct(s, c, g, models.LineBackend(line=1), EngineConfig(setting="open-book+gold"))
+    done = flows.direct(s, c, g, models.LineBackend(line=1), EngineConfig(setting="open-book+gold"), keep)
     return done.select("index", "predicted_answer", "em_score", F.round("f1_score", 6).alias("f1_score"), F.round("confidence", 6).alias("confidence"))
 
 
