@@ -10,11 +10,12 @@ the places of the shared shingles. SimHash has no part in that: windows at the
 threshold can have fingerprints any distance apart, as where a word that repeats is
 replaced by another, so a radius, and blocks that stand for it, would lose some.
 
-The items are sent to the workers in slices of at most SLICE items; a larger
-benchmark takes one pass over the documents per slice.
+The items are sent to the workers in slices of at most SLICE items and about
+SLICE_BYTES of text, one at a time; a larger benchmark takes one pass over the
+documents per slice.
 
 Defined results: null and empty texts match nothing, and neither do items without
-words. Items under five words count as one shingle of their own length. A
+words; items of null id are left out. Items under five words count as one shingle of their own length. A
 document is a row per item found in it. Repeated rows give repeated rows.
 """
 
@@ -22,19 +23,22 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import by_bytes, flat_utf8, small_batches, table
+from ._spark import Scratch, by_bytes, flat_utf8, small_batches, table
 from ._words import shingle_hashes, word_hashes
 
 SHINGLE = 5
 #: Numerator and denominator: compared in whole numbers.
 THRESHOLD = 4, 5
-SLICE = 20_000
+#: Items, and bytes of their texts, that go to the workers at a time.
+SLICE, SLICE_BYTES = 20_000, 8 << 20
 #: Bits of the prefilter table for shared shingles.
 TABLE_BITS = 20
 #: Bytes of text that are hashed at a time: that takes some 40 times their memory.
@@ -129,22 +133,30 @@ def matches(items: list[Items], flat: np.ndarray, offsets: np.ndarray) -> list[t
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity): every benchmark item found in a document."""
+    small_batches(docs.sparkSession)
+    n, slices = _slices(benchmark)
+    if n == 1:
+        return _pass(docs, next(slices))[0]
     out = None
-    for items in _slices(benchmark):
-        part = _pass(docs, items)
-        out = part if out is None else out.unionByName(part)
+    with Scratch(docs.sparkSession) as s:
+        for items in slices:
+            part, sent = _pass(docs, items)
+            part = s.result(part)
+            sent.destroy()
+            out = part if out is None else out.unionByName(part)
     return out
 
 
-def _slices(benchmark: DataFrame) -> list[list[Items]]:
+def _slices(benchmark: DataFrame) -> tuple[int, Iterator[list[Items]]]:
+    """How many slices of at most SLICE items and about SLICE_BYTES of text there are, and their indexes, made when their turn comes."""
     rows = benchmark.selectExpr("cast(item_id as bigint) item_id", "cast(text as string) text").where("item_id is not null")
-    n = max(1, math.ceil(rows.count() / SLICE))
+    count, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    n = max(1, math.ceil(count / SLICE), math.ceil((size or 0) / SLICE_BYTES))
     take = lambda k: [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()]
-    return [index_items(take(k)) for k in range(n)]
+    return n, (index_items(take(k)) for k in range(n))
 
 
-def _pass(docs: DataFrame, items: list[Items]) -> DataFrame:
-    small_batches(docs.sparkSession)
+def _pass(docs: DataFrame, items: list[Items]) -> tuple[DataFrame, Broadcast]:
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches):
@@ -153,20 +165,29 @@ def _pass(docs: DataFrame, items: list[Items]) -> DataFrame:
             found = matches(sent.value, *flat_utf8(b.column(1)))
             yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _, _ in found], pa.int64()), pa.array([i for _, i, _ in found], pa.int64()), pa.array([x for _, _, x in found], pa.float64())], names=["doc_id", "item_id", "similarity"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, item_id bigint, similarity double")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, item_id bigint, similarity double"), sent
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows and columns of docs in which no item was found."""
-    for items in _slices(benchmark):
-        docs = docs.where(~_leaks(docs.sparkSession, items)(F.col("text").cast("string")))
+    """Rows and columns of docs in which no item was found. Of several slices, each pass leaves a table of the rows that are left."""
+    small_batches(docs.sparkSession)
+    n, slices = _slices(benchmark)
+    if n == 1:
+        return docs.where(~_leaks(docs.sparkSession, next(slices))[0](F.col("text").cast("string")))
+    with Scratch(docs.sparkSession) as s:
+        for k, items in enumerate(slices):
+            leaks, sent = _leaks(docs.sparkSession, items)
+            left = docs.where(~leaks(F.col("text").cast("string")))
+            before, docs = docs, s.keep(left) if k < n - 1 else s.result(left)
+            sent.destroy()
+            if k:
+                s.drop(before)
     return docs
 
 
 def _leaks(spark: SparkSession, items: list[Items]):
     from pyspark.sql.functions import arrow_udf
 
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(items)
 
     @arrow_udf("boolean")
@@ -177,7 +198,7 @@ def _leaks(spark: SparkSession, items: list[Items]):
             at += len(b)
         return pa.array(out)
 
-    return leaks
+    return leaks, sent
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
