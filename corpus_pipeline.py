@@ -12,35 +12,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, near_dedup, secrets, sentencepiece_codec, toxicity
-from graphloom.llm._spark import shared_dir, table
+from graphloom.llm._spark import delete, shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at 0.5 or more go. It is fitted on the labelled rows of docs."""
+    """Documents that the classifier scores at 0.5 or more go. It is fitted on the labelled rows of docs. Null and empty texts
+    score as texts without a toxic passage; repeated rows are judged alike; without labels of both kinds all stay."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model).select(COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: the smallest doc_id, nulls last, ties by a hash of the text; of
+    repeated rows one. Null and blank texts are one group."""
     return near_dedup.drop_near_duplicates(docs).select(COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and empty texts hold none; items of null id or without words count for nothing."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret in a text is replaced by a mark; n_chars follows. No document goes."""
+    """Every secret in a text is replaced by a mark; n_chars follows. No document goes; null texts stay null, with n_chars null."""
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.char_length("text").cast("bigint")).select(COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document: ids (decimal, comma-joined), n_tokens and the text decoded from them."""
+    """Per document: ids (decimal, comma-joined), n_tokens and the text decoded from them. Null counts as empty: no ids."""
     return sentencepiece_codec.encode_table(docs, sentencepiece_codec.default_model()).select("doc_id", "n_tokens", "ids", "decoded")
 
 
@@ -52,15 +54,17 @@ STAGES = [
     ("sentencepiece", encoding_stage),
 ]
 
-#: No stage but the redaction can be said in SQL. Tests hold the rows of near-dedup and decontamination against brute force on
-#: small tables; of the whole chain they look at columns and that rows come out.
+#: No stage but the redaction can be said in SQL. Tests hold the rows of every stage against brute force on a small table.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, where = table(spark, sf_dir, "documents"), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs, where, last = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{where}/{k}-{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{where}/{k}-{name}")
+        out.write.parquet(path := f"{where}/{k}-{name}")
+        docs = spark.read.schema(out.schema).parquet(path)
+        if last:  # nothing reads the table before this one any more
+            delete(spark, last)
+        last = path
     return docs
