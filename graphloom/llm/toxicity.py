@@ -147,8 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     clean = np.array([(r["y0"] + 0.5) / (n0 + len(best)) for r in best])
     values = np.array([r["delta"] for r in best])
     model = Model(weights, other, karlin_lambda(values, clean, other) if best else 1.0, 1.0)
-    tails = _each(rows.where("y = 0"), model, Model.tail).agg(F.avg("e")).first()[0]
-    model.k = 1 / max(tails or 0.0, 1e-9)
+    n, total = _each(rows.where("y = 0"), model, Model.tail).agg(F.count("e"), F.sum("e")).first()
+    model.k = (n + 1) / ((total or 0.0) + 1)  # one text of K = 1 beside, so that there is a K where no clean text has a segment
     got = _each(rows, model, Model.evidence).collect()
     x, y = np.log1p(np.array([r["e"] for r in got])), np.array([r["y"] for r in got], float)
     model.a, model.b = _logistic(x, y, np.where(y > 0, shares.get(1, 1.0), shares.get(0, 1.0)))
