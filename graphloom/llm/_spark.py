@@ -51,11 +51,11 @@ class Scratch:
     """Intermediate tables of one operator call, as Parquet in the shared folder, so they survive lost executors.
 
     As a context: settings hold for the jobs that run inside and are put back after them (small Arrow batches; a job's
-    shuffle files go when it ends). At its end all tables go but those that yield() named, which the result still reads."""
+    shuffle files go when it ends, unless `tidy` is false: for rows that are fetched bit by bit). At its end all tables go but those of result(), which the returned frame still reads."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, tidy: bool = True):
         self.spark, self.paths, self.stay = spark, {}, set()
-        self.conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(JOB_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(JOB_BYTES), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+        self.conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(JOB_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(JOB_BYTES), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": str(tidy).lower()}
 
     def __enter__(self) -> Scratch:
         self.before = {k: self.spark.conf.get(k, None) for k in self.conf}

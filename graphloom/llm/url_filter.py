@@ -90,7 +90,7 @@ def passes(key: Column, level: int, cells: bytes, bits: int) -> Column:
 
 
 def cascade(universe: DataFrame, listed: DataFrame, max_levels: int = 40) -> list[tuple[bytes, int]]:
-    with Scratch(universe.sparkSession) as s:
+    with Scratch(universe.sparkSession, tidy=False) as s:  # a filter's cells come by toLocalIterator
         return _cascade(universe, listed, max_levels, s)
 
 
