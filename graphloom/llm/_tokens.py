@@ -8,8 +8,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Parts that a worker remembers, and their characters at most.
-MOST, LONGEST = 200_000, 80
+#: Parts that a worker remembers from one batch to the next.
+MOST = 400_000
 #: Characters of which none is white space by any definition; others may be.
 _SOLID = "!-~¡-ʯ"
 _OPEN = re.compile(f"(?:[^{_SOLID}]|^) ")
@@ -37,23 +37,43 @@ def runs(text: str) -> list[str]:
 
 
 class Parts:
-    """Remembers what encode(parts) gave for each part, as long as there are few; long parts are forgotten at once."""
-
-    def __init__(self, encode: Callable[[list[str]], Iterable]):
-        self.encode, self.known = encode, {}
-
-    def __call__(self, parts: list[list[str]]) -> list[list]:
-        if len(self.known) > MOST:
-            self.known.clear()
-        known = self.known
-        new = list({p for own in parts for p in own if p not in known})
-        known.update(zip(new, self.encode(new), strict=True))
-        out = [[known[p] for p in own] for own in parts]
-        for p in new:
-            if len(p) > LONGEST:
-                del known[p]
-        return out
-
-
-def flat(lists: Iterable[Iterable[int]], kind=np.int64) -> np.ndarray:
-    return np.fromiter(chain.from_iterable(lists), kind)
+    """Token ids of texts from those of their parts. encode(parts) gives, of each part, a list of ids by tokenizer, or None
+    where the part can't be encoded. Parts that came before aren't encoded again, as long as there are few of them."""
+
+    def __init__(self, encode: Callable[[list[str]], Iterable[tuple[list[int], ...] | None]], tokenizers: int = 1):
+        self.encode, self.tokenizers = encode, tokenizers
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ok = np.zeros(0, bool)
+        self.ids = [np.zeros(0, np.int64)] * self.tokenizers
+        self.first = [np.zeros(1, np.int64)] * self.tokenizers
+
+    def _learn(self, new: list[str]) -> None:
+        got = list(self.encode(new))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.ok = np.concatenate([self.ok, np.array([x is not None for x in got], bool)])
+        for k in range(self.tokenizers):
+            own = [x[k] if x is not None else () for x in got]
+            self.ids[k] = np.concatenate([self.ids[k], np.fromiter(chain.from_iterable(own), np.int64)])
+            self.first[k] = np.concatenate([self.first[k], self.first[k][-1] + np.cumsum([len(x) for x in own])])
+
+    def __call__(self, texts: list[list[str]]) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+        """(whether all parts of a text could be encoded, by tokenizer the ids of each text); texts are lists of parts."""
+        new = list({p for parts in texts for p in parts if p not in self.known})
+        if len(new) + len(self.known) > MOST:
+            self._forget()
+            new = list({p for parts in texts for p in parts})
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.int64)
+        ends = np.cumsum([len(parts) for parts in texts], dtype=np.int64)
+        bad = np.concatenate([[0], np.cumsum(~self.ok[at])])
+        out = []
+        for ids, first in zip(self.ids, self.first, strict=True):
+            size = first[at + 1] - first[at]
+            until = np.concatenate([[0], np.cumsum(size)])
+            flat = ids[np.arange(until[-1]) + np.repeat(first[at] - until[:-1], size)]
+            out.append(np.split(flat, until[ends[:-1]]) if len(texts) else [])
+        return bad[ends] == bad[np.concatenate([[0], ends[:-1]])] if len(texts) else np.zeros(0, bool), out

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import Scratch, by_bytes, table
-from ._tokens import Parts, flat, runs
+from ._tokens import Parts, runs
 
 #: Bytes of text that are aligned at a time.
 BYTES = 1 << 20
@@ -69,24 +69,28 @@ class Pair:
             raise ValueError("a piece has U+2581 behind another character")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(x) for x in own], np.int64) for own in (self.bytes_a, self.bytes_b))
-        self.parts = Parts(self._encode)
-        self.name = [np.array([f"{i}{end}" for i in range(max(len(self.bytes_a), len(pieces)))], object) for end in (",", "|", ";")]
+        self.parts = Parts(self._encode, 2)
+        self.n = max(len(self.bytes_a), len(pieces))
+        self.written = np.array([f"{i}{end}" for end in (",", "|", ";") for i in range(self.n)], object)
 
     def _encode(self, parts: list[str]):
         """(A's ids, B's ids) of each part behind a space, None where their bytes aren't those."""
         for i in range(0, len(parts), 4096):
             own = parts[i : i + 4096]
-            a = self.a.encode_batch_fast([" " + p for p in own], add_special_tokens=False)
-            for p, x, y in zip(own, a, self.b.encode(own, num_threads=1), strict=True):
-                raw, x = b" " + p.encode(), x.ids
-                if not p:  # the library gives nothing for an empty text; between other parts it is a space
-                    y = [self.b.piece_to_id("▁")]
-                ok = b"".join([self.bytes_a[i] for i in x]) == raw == b"".join([self.bytes_b[i] for i in y])
-                yield (x, y) if ok else None
+            a = [x.ids for x in self.a.encode_batch_fast([" " + p for p in own], add_special_tokens=False)]
+            # of an empty text the library gives nothing; as a part it is a space
+            b = [y if p else [self.b.piece_to_id("▁")] for p, y in zip(own, self.b.encode(own, num_threads=1), strict=True)]
+            for p, x, y in zip(own, a, b, strict=True):
+                raw = b" " + p.encode()
+                yield (x, y) if _joined(self.bytes_a, x) == raw and _joined(self.bytes_b, y) == raw else None
 
     def ids(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        found = self.parts([runs(t) if t else [] for t in texts])
-        return [None if not own or None in own else (flat(x for x, _ in own), flat(y for _, y in own)) for own in found]
+        ok, (a, b) = self.parts([runs(t) if t else [] for t in texts])
+        return [(a[i], b[i]) if t and ok[i] else None for i, t in enumerate(texts)]
+
+
+def _joined(table: list[bytes], ids: list[int]) -> bytes:
+    return b"".join(map(table.__getitem__, ids))
 
 
 def _byte_level() -> dict[str, int]:
@@ -106,7 +110,7 @@ class Aligned:
 
     def __init__(self, a: np.ndarray, b: np.ndarray):
         ends_a, ends_b = np.cumsum(a), np.cumsum(b)
-        cuts = np.union1d(ends_a, ends_b)
+        cuts = union1d(ends_a, ends_b)
         # the owners of each elementary interval
         self.own_a, self.own_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
         shared = np.flatnonzero((ends_a[np.minimum(self.own_a, len(a) - 1)] == cuts) & (ends_b[np.minimum(self.own_b, len(b) - 1)] == cuts)) if len(cuts) else np.zeros(0, np.int64)
@@ -117,6 +121,13 @@ class Aligned:
         self.links = self.n_a * self.n_b
 
 
+def union1d(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """numpy's union1d of sorted arrays: two runs are merged, not sorted anew."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+
+
 def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For counts (2, 3): (0, 0, 1, 1, 1) and (0, 1, 0, 1, 2)."""
     of = np.repeat(np.arange(len(counts)), counts)
@@ -156,7 +167,7 @@ def align(ids: list[tuple[np.ndarray, np.ndarray] | None], tokens: Pair) -> list
     ending[x.first_a[1:] - 1], ending[len(a) + x.first_b[1:] - 1] = 1, 2
     order = np.argsort(group, kind="stable")
     both, ending, side = np.concatenate([a, b])[order], ending[order], group[order]
-    written = np.where(ending == 0, tokens.name[0][both], np.where(ending == 1, tokens.name[1][both], tokens.name[2][both]))
+    written = tokens.written[ending * tokens.n + both]
     text_ends = np.searchsorted(side, last * 2 + 1, "right")
     formed = [np.concatenate(c) for c in zip(*_products(x, a, b, np.arange(len(x.links)), wide), strict=True)]
     pairs, times, of = formed[0], formed[1], doc[formed[2]]
