@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .alignment import op13_alignment
 from .decontaminate import op5_decontaminate
+from .hard_negatives import OP11_SQL, op11_hard_negatives
+from .packing import op12_packing
 from .quality import op2_quality_rules
 from .secrets import op7_secret_scan
 from .sentencepiece_codec import op3_sentencepiece
@@ -21,5 +23,5 @@ def _pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op3_sentencepiece, op4_suffix_dedup, op5_decontaminate, op6_token_counts, op7_secret_scan, op8_toxicity, op9_url_filter, op10_warc, op13_alignment)} | {"pipeline": _pipeline}
-ORACLE_SQL = {"op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op3_sentencepiece, op4_suffix_dedup, op5_decontaminate, op6_token_counts, op7_secret_scan, op8_toxicity, op9_url_filter, op10_warc, op11_hard_negatives, op12_packing, op13_alignment)} | {"pipeline": _pipeline}
+ORACLE_SQL = {"op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL, "op11_hard_negatives": OP11_SQL}
