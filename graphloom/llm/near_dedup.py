@@ -2,11 +2,18 @@
 
 Two documents are near-duplicates if their sets of 5-word shingles have a Jaccard
 similarity of 0.8 or more. Documents of equal sets are one node. Nodes meet in
-buckets (BANDS keys of ROWS minimum hashes each: at a similarity of 0.8 a pair
-shares one with a probability over 0.9999; blocks of the fingerprints can't propose
-pairs here, as those differ in 10 of 64 bits on average, and 26 to be safe). A pair
-from a bucket passes the pivot distance table of simhash.py (largest coordinate
-difference, then Hamming distance, RADIUS) and is verified by exact similarity.
+buckets: the groups that simhash.py finds among their fingerprints (operator 1, by its
+pivot distance tables), and BANDS keys of ROWS minimum hashes each (at a similarity of 0.8
+a pair shares one with a probability over 0.9999), since fingerprints of such a pair may
+differ in many bits.
+
+A pair from a bucket passes a fingerprint test that loses none. A bit is the sign of
+a sum of +-1 over the set, and two sets of n shingles or so at 0.8 differ in at most n / 4
+shingles: a bit whose sum is beyond that is firm, the other set has it too. So two
+fingerprints may differ only in bits that are loose in both: pivot coordinates by
+at most so many, then the bits themselves. For small sets that discards most pairs,
+for large ones few. What passes is verified by exact similarity of the sets of
+64-bit shingle hashes.
 
 A bucket doesn't form all its pairs. First every node meets the smallest node of each
 of its buckets, and components are formed. What is then still apart is described by
@@ -30,14 +37,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import Scratch, by_bytes, connected_components, flat_utf8, maybe_in, small_batches
-from ._words import mix, shingle_hashes, simhash, word_hashes
-from .simhash import _near, pivot_table
+from ._words import bit_rows, mix, shingle_hashes, word_hashes
+from .simhash import PIVOTS, pivot_table
+from .simhash import links as print_links
 
 SHINGLE = 5
 #: Numerator and denominator: compared in whole numbers.
 THRESHOLD = 4, 5
-#: Bits by which fingerprints of such pairs may differ: 9.7 of 64 in expectation, and over five standard deviations.
-RADIUS = 26
 BANDS, ROWS = 26, 5
 #: Nodes of a cluster that meet its centre under one salt.
 SALTED = 64
@@ -75,6 +81,23 @@ def band_keys(distinct: np.ndarray) -> np.ndarray:
     return out
 
 
+def print_of(distinct: np.ndarray) -> tuple[int, int]:
+    """(fingerprint, firm bits) of a set: firm is what no set at THRESHOLD to it can have otherwise."""
+    n = len(distinct)
+    total = 2 * bit_rows(distinct).sum(axis=0, dtype=np.int64) - n
+    most = differences(n)
+    pack = lambda bits: int(np.packbits(bits.astype(np.uint8), bitorder="little").view("<u8")[0])
+    # a sum of 0 is no bit, as one below 0
+    return pack(total > 0), pack((total - most > 0) | (total + most <= 0))
+
+
+def differences(n: int) -> int:
+    """Shingles in which a set at THRESHOLD to one of n differs at most: the larger is at most 5/4 of the smaller, and of n + m
+    a ninth may differ."""
+    a, b = THRESHOLD
+    return (b - a) * (n + n * b // a) // (a + b)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with id__ (doc_id, nulls last) and th__ (hash of the text)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -82,22 +105,22 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(id__, th__, node, fp, n, bands): node is a hash of the set of shingles; fp, n (its size) and bands are the set's, repeats don't count."""
-    names = ["id__", "th__", "node", "fp", "n", "bands"]
+    """(id__, th__, node, fp, firm, n, bands): node is a hash of the set of shingles; fp, firm, n (its size) and bands are the set's, repeats don't count."""
+    names = ["id__", "th__", "node", "fp", "firm", "n", "bands"]
 
     def run(batches):
         for b in by_bytes(batches, 2, BYTES):
-            node, fp, n, bands = [], [], [], []
+            node, prints, n, bands = [], [], [], []
             for s in shingles(*flat_utf8(b.column(2))):
                 u = np.unique(s)
                 node.append(xxhash.xxh64_intdigest(u.tobytes(), 7))
-                fp.append(simhash(u))
+                prints.append(print_of(u))
                 n.append(len(u))
                 bands.append(band_keys(u).view(np.int64))
             sign = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sign(node), sign(fp), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sign(node), *(sign([x[k] for x in prints]) for k in range(2)), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=names)
 
-    return docs.select("id__", "th__", F.col("text").cast("string").alias("text")).mapInArrow(run, "id__ bigint, th__ bigint, node bigint, fp bigint, n bigint, bands array<bigint>")
+    return docs.select("id__", "th__", F.col("text").cast("string").alias("text")).mapInArrow(run, "id__ bigint, th__ bigint, node bigint, fp bigint, firm bigint, n bigint, bands array<bigint>")
 
 
 def _place() -> Column:
@@ -109,8 +132,8 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in by_bytes(batches, 1, BYTES):
-            sets = [np.unique((s >> np.uint64(16)).astype("<u8")).astype("<u8") for s in shingles(*flat_utf8(b.column(1)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
+            sets = [np.unique(s.astype("<u8").view("<i8")).tobytes() for s in shingles(*flat_utf8(b.column(1)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     wanted = nodes.select("id__", "th__", "node")
     maybe = maybe_in(wanted.select(_place().alias("h")), wanted.count())
@@ -125,7 +148,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for b in by_bytes(batches, 2):
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = _widen(x), _widen(y)
+                p, q = _numbers(x), _numbers(y)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(sum(THRESHOLD) * both >= THRESHOLD[0] * (len(p) + len(q)))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["u", "v"])
@@ -135,23 +158,35 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(u, "u").join(v, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
+def _may_be(p: str, q: str) -> Column:
+    """Whether two nodes (n, fp, firm, pivots) may be at THRESHOLD: sizes, pivot coordinates, then the bits that are firm in either."""
+    loose = F.expr(f"64 - greatest(bit_count({p}.firm), bit_count({q}.firm))")
+    out = F.expr(f"5 * least({p}.n, {q}.n) >= 4 * greatest({p}.n, {q}.n)")
+    for i in range(PIVOTS):
+        out = out & (F.expr(f"abs({p}.pivots[{i}] - {q}.pivots[{i}])") <= loose)
+    return out & F.expr(f"(({p}.fp ^ {q}.fp) & ({p}.firm | {q}.firm)) = 0")
+
+
 def _passing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v) that pass the pivot distance table, and whose sizes allow the similarity."""
-    side = lambda node, c: nodes.select(F.col("node").alias(node), F.struct("fp", "n", pivot_table(F.col("fp")).alias("pivots")).alias(c))
-    both = pairs.join(side("u", "p"), "u").join(side("v", "q"), "v")
-    return both.where(F.expr("5 * least(p.n, q.n) >= 4 * greatest(p.n, q.n)") & _near("p", "q", RADIUS)).select("u", "v")
+    """Pairs (u, v) that pass the fingerprint test."""
+    side = lambda node, c: nodes.select(F.col("node").alias(node), F.struct("fp", "firm", "n", pivot_table(F.col("fp")).alias("pivots")).alias(c))
+    return pairs.join(side("u", "p"), "u").join(side("v", "q"), "v").where(_may_be("p", "q")).select("u", "v")
 
 
 def groups(docs: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
     """keyed() docs -> sketches (id__, th__, node), and the names (node, root) of nodes that share a bucket; others are alone."""
     sketched = s.keep(sketches(docs))
-    buckets = sketched.select("node", F.posexplode("bands").alias("t", "k")).select("node", F.xxhash64("t", "k").alias("k"))
+    bands = sketched.select("node", F.posexplode("bands").alias("t", "k")).select("node", F.xxhash64("t", "k").alias("k"))
+    # operator 1's groups of fingerprints; equal ones that have no neighbour are a group too
+    linked = connected_components(print_links(s.keep(sketched.select("fp").distinct()), s), s).withColumnRenamed("node", "fp")
+    prints = sketched.select("node", "fp").join(linked, "fp", "left").select("node", F.xxhash64(F.lit(BANDS), F.coalesce("root", "fp")).alias("k"))
+    buckets = bands.unionByName(prints)
     shared = buckets.groupBy("k").agg(F.min("node").alias("v"), F.max("node").alias("hi")).where("v < hi").select("k", "v")
     met = s.keep(buckets.join(shared, "k").select("k", "node", "v").distinct())
     few = sketched.join(met.select("node").distinct(), "node", "left_semi")
-    nodes = s.keep(few.groupBy("node").agg(F.min(F.struct("id__", "th__")).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n")).select("node", "first.*", "fp", "n"))
+    nodes = s.keep(few.groupBy("node").agg(F.min(F.struct("id__", "th__")).alias("first"), F.first("fp").alias("fp"), F.first("firm").alias("firm"), F.first("n").alias("n")).select("node", "first.*", "fp", "firm", "n"))
     sets = s.keep(_sets(docs, nodes))
-    # each node meets the smallest of each of its buckets: at most BANDS pairs a node
+    # each node meets the smallest of each of its buckets: at most BANDS + 1 pairs a node
     pairs = s.keep(_passing(met.where("node <> v").select(F.col("node").alias("u"), "v").distinct(), nodes))
     names = _merge(nodes.select("node", F.col("node").alias("root")), s.keep(_verify(pairs, sets)), s)
     # buckets that still hold more than one component
@@ -163,20 +198,17 @@ def groups(docs: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
     return sketched.select("id__", "th__", "node"), _merge(names, links, s)
 
 
-def _widen(raw: bytes) -> np.ndarray:
-    """Numbers of 8 bytes from those of 6 of a set."""
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<i8").ravel()
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<i8")
 
 
-def _each(*columns: str, read=lambda raw: np.frombuffer(raw, "<i8")):
-    """For mapInArrow: one row (h, the columns) of each number that read() finds in the binary column that comes first."""
+def _each(*columns: str):
+    """For mapInArrow: one row (h, the columns) of each number in the binary column that comes first."""
 
     def run(batches):
         for batch in batches:
             for raw, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = read(raw)
+                h = _numbers(raw)
                 for i in range(0, len(h), 1 << 16):
                     part = h[i : i + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(np.full(len(part), x, np.int64)) for x in rest)], names=["h", *columns])
@@ -201,7 +233,7 @@ def _deltas(sets: DataFrame, clusters: DataFrame, s: Scratch) -> DataFrame:
         for b in by_bytes(batches, 2):
             n, d, out = [], [], []
             for raw, centre in zip(b.column(2).to_pylist(), b.column(3), strict=True):
-                own = _widen(raw)
+                own = _numbers(raw)
                 delta = np.setxor1d(own, centre.values.to_numpy(), assume_unique=True) if centre.is_valid else own
                 n.append(len(own))
                 d.append(len(delta))
@@ -209,7 +241,7 @@ def _deltas(sets: DataFrame, clusters: DataFrame, s: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(out, pa.binary())], names=["node", "c", "n", "d", "delta"])
 
     own = sets.select("node", "shingles").join(clusters, "node")
-    rows = own.select("shingles", "c", "size").mapInArrow(_each("c", "size", read=_widen), "h bigint, c bigint, size bigint")
+    rows = own.select("shingles", "c", "size").mapInArrow(_each("c", "size"), "h bigint, c bigint, size bigint")
     most = rows.groupBy("c", "size", "h").agg(F.count("*").alias("count")).where("2 * count > size")
     centre = most.groupBy("c", "size").agg(F.collect_list("h").alias("centre")).select("c", F.explode(F.expr(f"sequence(0L, size div {SALTED})")).alias("salt"), "centre")
     return s.keep(own.join(centre, ["c", "salt"], "left").select("node", "c", "shingles", "centre").mapInArrow(differ, "node bigint, c bigint, n bigint, d bigint, delta binary"))
@@ -250,20 +282,20 @@ def _across(open_: DataFrame, deltas: DataFrame, nodes: DataFrame, s: Scratch) -
     bounds are exact; sets that share many differences and lie just under the threshold pass them,
     and how many pairs these form depends on the data."""
     slack = F.expr("n - 9 * d").alias("s"), F.expr("n - 9 * d + 18 * y").alias("a")
-    bounds = s.keep(_shared(_split(deltas, "c")).select("node", "root", "n", *slack, "classes").join(nodes.select("node", "fp"), "node"))
+    bounds = s.keep(_shared(_split(deltas, "c")).select("node", "root", "n", *slack, "classes").join(nodes.select("node", "fp", "firm"), "node"))
     left = s.keep(_split(open_.join(bounds.select("node", "root", "s", "a"), "node"), "k"))
     for _ in range(2):
         best = left.groupBy("k").agg(F.max("s").alias("s_max"), F.max("a").alias("a_max"))
         able = left.join(best, "k").where("a + s_max >= 0 and s + a_max >= 0").drop("s_max", "a_max")
         old, left = left, s.keep(_split(able, "k"))
         s.drop(old)
-    keys = left.groupBy("node").agg(F.collect_list("k").alias("ks"))  # at most BANDS of a node
+    keys = left.groupBy("node").agg(F.collect_list("k").alias("ks"))  # at most BANDS + 1 of a node
     left = s.keep(left.select("k", "node").join(keys, "node").join(bounds, "node"))
-    side = lambda c: left.select("k", F.struct("node", "fp", "root", "n", "s", "a", "ks", "classes", pivot_table(F.col("fp")).alias("pivots")).alias(c))
-    both = F.expr("p.root < q.root and p.a + q.s >= 0 and q.a + p.s >= 0 and 5 * least(p.n, q.n) >= 4 * greatest(p.n, q.n)")
+    side = lambda c: left.select("k", F.struct("node", "fp", "firm", "root", "n", "s", "a", "ks", "classes", pivot_table(F.col("fp")).alias("pivots")).alias(c))
+    both = F.expr("p.root < q.root and p.a + q.s >= 0 and q.a + p.s >= 0")
     overlap = F.expr("18 * aggregate(zip_with(p.classes, q.classes, (i, j) -> least(i, j)), 0, (i, j) -> i + j) + p.s + q.s >= 0")
     x, y = side("p").alias("x"), side("q").alias("y")
-    met = x.join(y, (F.col("x.k") == F.col("y.k")) & both & _near("p", "q", RADIUS) & overlap & (F.array_min(F.array_intersect("p.ks", "q.ks")) == F.col("x.k")))
+    met = x.join(y, (F.col("x.k") == F.col("y.k")) & both & _may_be("p", "q") & overlap & (F.array_min(F.array_intersect("p.ks", "q.ks")) == F.col("x.k")))
     return met.select(F.col("p.node").alias("u"), F.col("q.node").alias("v"))
 
 

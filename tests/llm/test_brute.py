@@ -142,22 +142,42 @@ def test_quality_posterior(spark):
         assert r.p_good == pytest.approx(p(tuple(r.votes))) and r.kept == (not r.base_failed and r.p_good >= 0.5)
 
 
+def _print(distinct):
+    fp, firm = near_dedup.print_of(distinct)
+    return fp, firm, [(fp ^ (p % (1 << 64))).bit_count() for p in simhash.pivots()]
+
+
 def test_near_dedup_recall():
-    """Sets at 0.8 share a band, and their fingerprints are within the radius."""
+    """Sets at 0.8 share a band, and pass the fingerprint test: whatever their size, and if one holds the other."""
     import numpy as np
 
     rng = np.random.default_rng(5)
-    missed, far = 0, 0
-    for k in range(4000):
-        n = (9, 45, 180)[k % 3]
-        both = rng.integers(0, 1 << 63, n * 10 // 9, dtype=np.uint64)  # of the union, 8 in 10 are shared
-        union = both[: 10 * (n // 9)]
-        m = len(union) // 10
-        a, b = np.unique(union[: 9 * m]), np.unique(union[m:])
-        assert len(np.intersect1d(a, b)) >= 0.8 * len(union)
+    missed = discarded = unlike = 0
+    for k in range(12_000):
+        n = (4, 5, 8, 9, 12, 20, 45, 100, 180, 200)[k % 10]
+        union = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        alone = n // 5  # so that the similarity is 0.8, or as little over as may be
+        cut = (0, alone, int(rng.integers(0, alone + 1)))[k % 3]
+        a, b = np.unique(union[: n - alone + cut]), np.unique(np.concatenate([union[: n - alone], union[n - alone + cut :]]))
+        assert 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
         missed += not set(near_dedup.band_keys(a).tolist()) & set(near_dedup.band_keys(b).tolist())
-        far += (near_dedup.simhash(a) ^ near_dedup.simhash(b)).bit_count() > near_dedup.RADIUS
-    assert missed <= 1 and far == 0
+        (x, firm_x, far_x), (y, firm_y, far_y) = _print(a), _print(b)
+        assert not (x ^ y) & (firm_x | firm_y)
+        assert max(abs(p - q) for p, q in zip(far_x, far_y, strict=True)) <= 64 - max(firm_x.bit_count(), firm_y.bit_count())
+        other, firm, _ = _print(rng.integers(0, 1 << 63, len(a), dtype=np.uint64))
+        unlike += n <= 20
+        discarded += n <= 20 and bool((x ^ other) & (firm_x | firm))
+    assert missed <= 4 and discarded > 0.99 * unlike
+
+
+def test_near_dedup_far_fingerprints(spark):
+    """A pair at 0.8 of which one is a text less its last word, beside texts of its first words: 27 bits apart."""
+    words = "w154889 w548691 w897658 w442610 w18602 w583948 w877102 w363002 w993090".split()
+    rng = random.Random(3)
+    rows = [(0, " ".join(words)), (1, " ".join(words[:-1]))]
+    rows += [(2 + k, " ".join([*words[:7], f"x{rng.randrange(10**6)}", f"y{rng.randrange(10**6)}"])) for k in range(20)]
+    left = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in left.collect()} == {0, *range(2, 22)}
 
 
 OPERATORS = {

@@ -8,7 +8,7 @@ import re
 
 import pytest
 
-from graphloom.llm import decontaminate, near_dedup, quality, secrets, sentencepiece_codec, simhash, suffix_dedup, token_count, toxicity, url_filter, warc
+from graphloom.llm import _words, decontaminate, near_dedup, quality, secrets, sentencepiece_codec, simhash, suffix_dedup, token_count, toxicity, url_filter, warc
 from graphloom.llm._spark import Scratch
 from graphloom.llm.queries import ORACLE_SQL, QUERIES
 
@@ -257,7 +257,7 @@ def test_decontaminate_windows():
         own, repeats = new(120), [[f"r{i}{x}"] * 12 for x in "abcd"]
         items.append((i, " ".join(own + repeats[0])))
         texts += [" ".join(own + r) for r in repeats[1:]]
-        a, *others = (near_dedup.simhash(near_dedup.shingles(*_flat(x))[0]) for x in (items[-1][1], *texts[-3:]))
+        a, *others = (_words.simhash(near_dedup.shingles(*_flat(x))[0]) for x in (items[-1][1], *texts[-3:]))
         far += [(a ^ b).bit_count() for b in others]
     assert max(far) > 21  # fingerprints of windows at 0.8 can be any distance apart
     best = {(d, i): _windows(t, x) for d, t in enumerate(texts) for i, x in items if d // 3 == i}
@@ -448,8 +448,8 @@ def test_near_dedup_repeats(spark):
     assert alike == set(twins.items())
     far = 0
     for j, i in twins.items():
-        a, b = (near_dedup.simhash(near_dedup.shingles(*_flat(texts[x]))[0]) for x in (i, j))
-        far += (a ^ b).bit_count() > near_dedup.RADIUS
+        a, b = (_words.simhash(near_dedup.shingles(*_flat(texts[x]))[0]) for x in (i, j))
+        far += (a ^ b).bit_count() > 26
     assert far  # with repeats counted the fingerprints are too far apart
     got = {r.doc_id for r in near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == set(range(60))
