@@ -4,11 +4,17 @@ For every benchmark item, windows of as many 5-word shingles as the item has sli
 over a text. A window's similarity is that of the two shingle multisets (sum of
 smaller counts over sum of larger counts), and must reach THRESHOLD.
 
-An index of the items' shingles finds the items: windows that share no shingle with
-an item have similarity 0 to it. The smaller counts of all windows come exactly from
-the places of the shared shingles. SimHash has no part in that: windows at the
-threshold can have fingerprints any distance apart, as where a word that repeats is
-replaced by another, so a radius, and blocks that stand for it, would lose some.
+Every window of an item's size has a SimHash, counted incrementally: bit counts are
+prefix sums over the text, and a window's are the difference of two. Fingerprints are cut
+into RADIUS + 1 blocks; a window within RADIUS bits of an item's fingerprint has at least
+one block of it, so looking up each block finds all of them. The items that this
+proposes are verified by their exact similarity.
+
+Windows at the threshold may be farther than any radius that blocks can stand for, as
+where a word that repeats is replaced by another. Those come from a second source: an
+index of the items' shingles (a window that shares none has similarity 0), for items
+whose best window is beyond the radius, or whose size the text doesn't reach. So
+the two sources together find all, and each item has one of them.
 
 The items are sent to the workers in slices of at most SLICE items and about
 SLICE_BYTES of text, one at a time; a larger benchmark takes one pass over the
@@ -32,11 +38,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import Scratch, by_bytes, flat_utf8, small_batches, table
-from ._words import shingle_hashes, word_hashes
+from ._words import bit_rows, shingle_hashes, simhash, word_hashes
 
 SHINGLE = 5
 #: Numerator and denominator: compared in whole numbers.
 THRESHOLD = 4, 5
+#: Bits of 64 by which a window's fingerprint may differ from an item's to be looked up, in one block more.
+RADIUS = 3
+#: Windows that are fingerprinted at a time.
+WINDOWS = 1 << 14
 #: Items, and bytes of their texts, that go to the workers at a time.
 SLICE, SLICE_BYTES = 20_000, 8 << 20
 #: Bits of the prefilter table for shared shingles.
@@ -46,7 +56,7 @@ BYTES = 1 << 20
 
 
 class Items:
-    """Shingle index of the benchmark items of one shingle size."""
+    """Benchmark items of one shingle size: block index of their fingerprints by item size, and index of their shingles."""
 
     def __init__(self, ids: list[int], hashes: list[np.ndarray], k: int):
         self.ids, self.k = ids, k
@@ -60,14 +70,35 @@ class Items:
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[(self.known & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)] = True
 
+        self.prints = np.array([simhash(h) for h in hashes], np.uint64)
+        self.blocks = {}
+        for m in sorted(set(self.sizes)):
+            own = np.flatnonzero(np.array(self.sizes) == m)
+            self.blocks[m] = own, _block_tables(self.prints[own])
+
     def shared(self, shingles: np.ndarray) -> np.ndarray:
         """Places of shingles that some item has."""
         maybe = np.flatnonzero(self.table[(shingles & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)])
         at = np.searchsorted(self.known, shingles[maybe])
         return maybe[self.known[np.minimum(at, len(self.known) - 1)] == shingles[maybe]]
 
-    def find(self, s: np.ndarray, hits: np.ndarray) -> list[tuple[int, float]]:
-        """(item, best similarity) of a text's shingles s; hits: places of shared ones."""
+    def proposed(self, s: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+        """(starts, size, item) of windows of an item's size within RADIUS bits of it."""
+        for m, at, prints in window_prints(s, list(self.blocks)):
+            own, tables = self.blocks[m]
+            keys = prints.view("<u2").reshape(len(prints), -1)
+            hit = np.zeros(len(prints), bool)
+            for b, table in enumerate(tables):
+                hit |= table[keys[:, b]]
+            some = np.flatnonzero(hit)
+            if len(some):
+                for i in own.tolist():
+                    near = some[np.bitwise_count(prints[some] ^ self.prints[i]) <= RADIUS]
+                    if len(near):
+                        yield at + near, m, i
+
+    def find(self, s: np.ndarray, hits: np.ndarray, near: set[int]) -> list[tuple[int, float]]:
+        """(item, best similarity) of a text's shingles s; hits: places of shared ones; near: items that the blocks propose."""
         places: dict[int, list[int]] = {}
         for p, h in zip(hits.tolist(), s[hits].tolist(), strict=True):
             for i in self.of[h]:
@@ -76,12 +107,21 @@ class Items:
         for i, at in places.items():
             m = min(self.sizes[i], len(s))
             reached = lambda both: sum(THRESHOLD) * both >= THRESHOLD[0] * (self.sizes[i] + m)  # noqa: B023, E731
-            if reached(len(at)) and reached(both := self.most_shared(i, s, np.array(at), m)):
+            if not reached(len(at)):
+                continue
+            both, start = self.most_shared(i, s, np.array(at), m)
+            if reached(both) and (i in near or self.beyond(i, s, start)):
                 out.append((self.ids[i], both / (m + self.sizes[i] - both)))
         return out
 
-    def most_shared(self, i: int, s: np.ndarray, p: np.ndarray, m: int) -> int:
-        """Largest sum of smaller counts that a window of m of the shingles s has with item i; p: places of the item's shingles.
+    def beyond(self, i: int, s: np.ndarray, start: int) -> bool:
+        """Whether the window at start isn't one that the blocks stand for."""
+        m = self.sizes[i]
+        return len(s) < m or (simhash(s[start : start + m]) ^ int(self.prints[i])).bit_count() > RADIUS
+
+    def most_shared(self, i: int, s: np.ndarray, p: np.ndarray, m: int) -> tuple[int, int]:
+        """Largest sum of smaller counts that a window of m of the shingles s has with item i, and where the first such begins;
+        p: places of the item's shingles.
 
         Of a shingle that the item has c times, a place counts in the windows that hold it and not the c-th place before it."""
         h = s[p]
@@ -94,7 +134,47 @@ class Items:
         lo, hi = np.maximum(np.maximum(p - m, before) + 1, 0), np.minimum(p, len(s) - m)
         lo, hi = lo[lo <= hi], hi[lo <= hi]
         steps = np.concatenate([2 * (hi + 1), 2 * lo + 1])  # at one start, ends come before beginnings
-        return int(np.cumsum(np.where(np.sort(steps) & 1, 1, -1)).max(initial=0))
+        steps.sort()
+        held = np.cumsum(np.where(steps & 1, 1, -1))
+        best = int(np.argmax(held))
+        return int(held[best]), int(steps[best] // 2)
+
+
+def _block_tables(prints: np.ndarray) -> list[np.ndarray]:
+    """For each block of 16 bits, which of its values the fingerprints have."""
+    keys = prints.astype("<u8").view("<u2").reshape(len(prints), -1)
+    tables = [np.zeros(1 << 16, bool) for _ in range(RADIUS + 1)]
+    for table, k in zip(tables, keys.T, strict=True):
+        table[k] = True
+    return tables
+
+
+def window_prints(s: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(m, first start, fingerprints) of all windows of m shingles, for every m of sizes, WINDOWS or so at a time. Bit counts of
+    windows of under 256 are differences of sums modulo 256; longer ones are counted eight bits at a time."""
+    short, long = [m for m in sizes if m < 256], [m for m in sizes if m >= 256]
+    for i in range(0, len(s), WINDOWS) if short else ():
+        own = s[i : i + WINDOWS + max(short) - 1]
+        c = np.zeros((len(own) + 1, 64), np.uint8)
+        np.cumsum(bit_rows(own), axis=0, dtype=np.uint8, out=c[1:])
+        for m in short:
+            n = min(WINDOWS, len(own) - m + 1)
+            if n > 0:
+                yield m, i, _packed(c[m : m + n] - c[:n] > m // 2)
+    for m in long:
+        for i in range(0, len(s) - m + 1, step := max(WINDOWS, m)):
+            own = s[i : i + step + m - 1]
+            n = len(own) - m + 1
+            out = np.zeros((n, 8), np.uint8)
+            for b in range(8):
+                c = np.zeros((len(own) + 1, 8), np.int32)
+                np.cumsum(bit_rows(own >> np.uint64(8 * b) & np.uint64(255))[:, :8], axis=0, out=c[1:])
+                out[:, b] = np.packbits(c[m:] - c[:n] > m // 2, axis=1, bitorder="little").ravel()
+            yield m, i, out.view("<u8").ravel()
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
 
 
 def index_items(rows: list[tuple[int, str]]) -> list[Items]:
@@ -119,6 +199,11 @@ def matches(items: list[Items], flat: np.ndarray, offsets: np.ndarray) -> list[t
         hit = group.shared(s) if len(s) else s
         if not len(hit):
             continue
+        near: dict[int, set[int]] = {}
+        for starts, m, i in group.proposed(s):
+            doc = np.searchsorted(first, starts, "right") - 1
+            for d in np.unique(doc[starts + m + group.k - 1 <= first[doc + 1]]).tolist():
+                near.setdefault(d, set()).add(i)
         doc = np.searchsorted(first, hit, "right") - 1
         ok = hit + group.k <= first[doc + 1]
         hit, doc = hit[ok], doc[ok]
@@ -127,7 +212,7 @@ def matches(items: list[Items], flat: np.ndarray, offsets: np.ndarray) -> list[t
         cut = np.flatnonzero(np.diff(doc)) + 1
         for own, d in zip(np.split(hit, cut), doc[np.concatenate([[0], cut])].tolist(), strict=True):
             a, b = int(first[d]), int(first[d + 1]) - group.k + 1
-            out += [(d, i, x) for i, x in group.find(s[a:b], own - a)]
+            out += [(d, i, x) for i, x in group.find(s[a:b], own - a, near.get(d, set()))]
     return out
 
 

@@ -10,6 +10,8 @@ import pytest
 
 from graphloom.llm import decontaminate, near_dedup, quality, secrets, sentencepiece_codec, simhash, suffix_dedup, token_count, toxicity, url_filter, warc
 
+from graphloom.llm._spark import Scratch
+
 from .test_operators import ODD
 
 
@@ -181,7 +183,7 @@ def test_near_dedup_far_fingerprints(spark):
 
 
 OPERATORS = {
-    "op1": lambda d, where: simhash.fingerprints(d),
+    "op1": lambda d, where: _grouped(d),
     "op2": lambda d, where: quality.judge(quality.measures(d)),
     "op3": lambda d, where: sentencepiece_codec.digest_table(d, sentencepiece_codec.default_model()),
     "op4": lambda d, where: suffix_dedup.dedup(d),
@@ -194,6 +196,26 @@ OPERATORS = {
 }
 
 
+def _grouped(docs):
+    with Scratch(docs.sparkSession) as s:
+        return simhash.components(s.result(simhash.fingerprints(docs)), s)
+
+
+@pytest.mark.parametrize("benchmark", [[], [(None, "a"), (1, None), (2, " \n"), (3, "a"), (3, "a"), (4, "b C d e f g"), (5, "é b c d e f g")]])
+def test_decontaminate_odd_tables(odd, empty, benchmark):
+    """Items of odd rows: null ids and texts without words count for nothing, repeated items are found once each."""
+    items = odd.sparkSession.createDataFrame([(*r, "x", 0) for r in benchmark], "item_id long, text string, doc_id string, similarity int")
+    found = collections.Counter((r.doc_id, r.item_id) for r in decontaminate.find_leaks(odd, items).collect())
+    assert decontaminate.find_leaks(empty, items).count() == 0 == decontaminate.drop_leaks(empty, items).count()
+    left = decontaminate.drop_leaks(odd, items)
+    assert left.columns == odd.columns
+    if benchmark:
+        assert found[3, 3] == 4 and found[7, 5] == 1 and found[6, 5] == 0 and found[6, 4] == 1 == found[7, 4] and (1, 3) not in found
+        assert left.count() == sum(d not in {x for x, _ in found} for d, _ in ODD)
+    else:
+        assert not found and left.count() == len(ODD)
+
+
 def _archived(pages, where):
     warc.write_archives(pages, where)
     return warc.read_archives(pages.sparkSession, where)

@@ -264,6 +264,38 @@ def test_decontaminate_windows():
     want = {k: x for k, x in best.items() if x >= 0.8}
     assert 100 < len(want) < len(best) - 30 and sum(x < 0.84 for x in want.values()) > 10
     assert _matches(texts, items) == want
+    # without the block index those are lost whose best window is within its radius
+    index = decontaminate.index_items(items)
+    for group in index:
+        group.blocks = {}
+    left = {(d, i): x for d, i, x in decontaminate.matches(index, *_flat(*texts))}
+    assert len(want) / 10 < len(left) < 0.9 * len(want) and left.items() <= want.items()
+
+
+def test_window_prints():
+    """Fingerprints of all windows, over the ends of what is counted at a time; the blocks propose all within the radius."""
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    s = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+    s[300:380] = s[300]
+    sizes, got, whole = [1, 2, 7, 64, 255, 256, 300, 701], {}, decontaminate.WINDOWS
+    decontaminate.WINDOWS = 128
+    try:
+        for m, at, prints in decontaminate.window_prints(s, sizes):
+            for k, x in enumerate(prints.tolist()):
+                assert got.setdefault((m, at + k), x) == x
+        items = [(k, _words.simhash(s[a : a + m]) ^ flips) for k, (a, m, flips) in enumerate([(5, 64, 0), (40, 64, 0b1011), (90, 7, 1 << 63), (333, 256, 0b1111), (2, 7, 1 << 20 | 1 << 50 | 1)])]
+        index = decontaminate.Items([k for k, _ in items], [s[a : a + m] for a, m in ((5, 64), (40, 64), (90, 7), (333, 256), (2, 7))], 5)
+        index.prints = np.array([x for _, x in items], np.uint64)
+        for m, (own, _) in list(index.blocks.items()):
+            index.blocks[m] = own, decontaminate._block_tables(index.prints[own])
+        found = {(int(a), m, i) for starts, m, i in index.proposed(s) for a in starts}
+    finally:
+        decontaminate.WINDOWS = whole
+    assert got == {(m, a): _words.simhash(s[a : a + m]) for m in sizes for a in range(700 - m + 1)}
+    want = {(a, m, i) for (m, a), x in got.items() for i, y in enumerate(index.prints.tolist()) if index.sizes[i] == m and (x ^ y).bit_count() <= decontaminate.RADIUS}
+    assert found == want and {(5, 64, 0), (40, 64, 1), (90, 7, 2), (2, 7, 4)} <= want and (333, 256, 3) not in want
 
 
 def test_decontamination_rows(spark):
