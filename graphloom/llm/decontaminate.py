@@ -74,7 +74,7 @@ class Items:
         self.blocks = {}
         for m in sorted(set(self.sizes)):
             own = np.flatnonzero(np.array(self.sizes) == m)
-            self.blocks[m] = own, _block_tables(self.prints[own])
+            self.blocks[m] = own, _block_index(self.prints[own])
 
     def shared(self, shingles: np.ndarray) -> np.ndarray:
         """Places of shingles that some item has."""
@@ -85,12 +85,9 @@ class Items:
     def proposed(self, s: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
         """(starts, size, item) of windows of an item's size within RADIUS bits of it."""
         for m, at, prints in window_prints(s, list(self.blocks)):
-            own, tables = self.blocks[m]
-            keys = prints.view("<u2").reshape(len(prints), -1)
-            hit = np.zeros(len(prints), bool)
-            for b, table in enumerate(tables):
-                hit |= table[keys[:, b]]
-            some = np.flatnonzero(hit)
+            own, blocks = self.blocks[m]
+            # four bytes a window, one of each block's value
+            some = np.flatnonzero(blocks.take(prints.view("<u2"), mode="clip").view("<u4") & _EACH)
             if len(some):
                 for i in own.tolist():
                     near = some[np.bitwise_count(prints[some] ^ self.prints[i]) <= RADIUS]
@@ -140,19 +137,23 @@ class Items:
         return int(held[best]), int(steps[best] // 2)
 
 
-def _block_tables(prints: np.ndarray) -> list[np.ndarray]:
-    """For each block of 16 bits, which of its values the fingerprints have."""
+_EACH = np.uint32(sum(1 << b << 8 * b for b in range(RADIUS + 1)))
+
+
+def _block_index(prints: np.ndarray) -> np.ndarray:
+    """For each value of 16 bits, in which blocks the fingerprints have it (a bit each)."""
     keys = prints.astype("<u8").view("<u2").reshape(len(prints), -1)
-    tables = [np.zeros(1 << 16, bool) for _ in range(RADIUS + 1)]
-    for table, k in zip(tables, keys.T, strict=True):
-        table[k] = True
-    return tables
+    index = np.zeros(1 << 16, np.uint8)
+    for b, own in enumerate(keys.T):
+        index[np.unique(own)] |= np.uint8(1 << b)
+    return index
 
 
 def window_prints(s: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
     """(m, first start, fingerprints) of all windows of m shingles, for every m of sizes, WINDOWS or so at a time. Bit counts of
     windows of under 256 are differences of sums modulo 256; longer ones are counted eight bits at a time."""
     short, long = [m for m in sizes if m < 256], [m for m in sizes if m >= 256]
+    change, more = np.empty((WINDOWS, 64), np.uint8), np.empty((WINDOWS, 64), bool)
     for i in range(0, len(s), WINDOWS) if short else ():
         own = s[i : i + WINDOWS + max(short) - 1]
         c = np.zeros((len(own) + 1, 64), np.uint8)
@@ -160,7 +161,9 @@ def window_prints(s: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, int, n
         for m in short:
             n = min(WINDOWS, len(own) - m + 1)
             if n > 0:
-                yield m, i, _packed(c[m : m + n] - c[:n] > m // 2)
+                np.subtract(c[m : m + n], c[:n], out=change[:n])
+                np.greater(change[:n], m // 2, out=more[:n])
+                yield m, i, np.packbits(more[:n].ravel(), bitorder="little").view("<u8")
     for m in long:
         for i in range(0, len(s) - m + 1, step := max(WINDOWS, m)):
             own = s[i : i + step + m - 1]
@@ -173,10 +176,6 @@ def window_prints(s: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, int, n
             yield m, i, out.view("<u8").ravel()
 
 
-def _packed(bits: np.ndarray) -> np.ndarray:
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
-
-
 def index_items(rows: list[tuple[int, str]]) -> list[Items]:
     by_k: dict[int, tuple[list[int], list[np.ndarray]]] = {}
     for item_id, text in rows:

@@ -289,7 +289,7 @@ def test_window_prints():
         index = decontaminate.Items([k for k, _ in items], [s[a : a + m] for a, m in ((5, 64), (40, 64), (90, 7), (333, 256), (2, 7))], 5)
         index.prints = np.array([x for _, x in items], np.uint64)
         for m, (own, _) in list(index.blocks.items()):
-            index.blocks[m] = own, decontaminate._block_tables(index.prints[own])
+            index.blocks[m] = own, decontaminate._block_index(index.prints[own])
         found = {(int(a), m, i) for starts, m, i in index.proposed(s) for a in starts}
     finally:
         decontaminate.WINDOWS = whole
