@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
-from itertools import chain
+from collections.abc import Callable
+from itertools import chain, islice
 
 import numpy as np
 
@@ -16,11 +16,6 @@ _OPEN = re.compile(f"(?:[^{_SOLID}]|^) ")
 _ENDS = re.compile(f"[{_SOLID}]\\Z")
 
 
-def words(text: str) -> list[str]:
-    """The parts between single spaces."""
-    return text.split(" ")
-
-
 def runs(text: str) -> list[str]:
     """Parts that together, with a space between them, are the text; a part may begin with more spaces, and a space that
     comes after white space, or what may be such, is inside a part."""
@@ -36,44 +31,53 @@ def runs(text: str) -> list[str]:
     return out
 
 
+class _Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all lists, length of each)."""
+    return np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+
+
 class Parts:
-    """Token ids of texts from those of their parts. encode(parts) gives, of each part, a list of ids by tokenizer, or None
-    where the part can't be encoded. Parts that came before aren't encoded again, as long as there are few of them."""
+    """Token ids of texts from those of their parts. encode(parts) gives whether each part can be encoded (a flag each), and
+    by tokenizer (ids, how many of each part). Parts that came before aren't encoded again, as long as there are few."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[tuple[list[int], ...] | None]], tokenizers: int = 1):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]], tokenizers: int = 1):
         self.encode, self.tokenizers = encode, tokenizers
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.ok = np.zeros(0, bool)
         self.ids = [np.zeros(0, np.int64)] * self.tokenizers
         self.first = [np.zeros(1, np.int64)] * self.tokenizers
 
-    def _learn(self, new: list[str]) -> None:
-        got = list(self.encode(new))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.ok = np.concatenate([self.ok, np.array([x is not None for x in got], bool)])
-        for k in range(self.tokenizers):
-            own = [x[k] if x is not None else () for x in got]
-            self.ids[k] = np.concatenate([self.ids[k], np.fromiter(chain.from_iterable(own), np.int64)])
-            self.first[k] = np.concatenate([self.first[k], self.first[k][-1] + np.cumsum([len(x) for x in own])])
-
     def __call__(self, texts: list[list[str]]) -> tuple[np.ndarray, list[list[np.ndarray]]]:
         """(whether all parts of a text could be encoded, by tokenizer the ids of each text); texts are lists of parts."""
-        new = list({p for parts in texts for p in parts if p not in self.known})
-        if len(new) + len(self.known) > MOST:
+        if not texts:
+            return np.zeros(0, bool), [[] for _ in range(self.tokenizers)]
+        if len(self.known) > MOST:
             self._forget()
-            new = list({p for parts in texts for p in parts})
-        if new:
-            self._learn(new)
+        before = len(self.known)
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.int64)
-        ends = np.cumsum([len(parts) for parts in texts], dtype=np.int64)
+        if len(self.known) > before:
+            ok, found = self.encode(list(islice(self.known, before, None)))
+            self.ok = np.concatenate([self.ok, ok])
+            for k, (ids, size) in enumerate(found):
+                self.ids[k] = np.concatenate([self.ids[k], ids])
+                self.first[k] = np.concatenate([self.first[k], self.first[k][-1] + np.cumsum(size)])
+        ends = np.concatenate([[0], np.cumsum([len(parts) for parts in texts], dtype=np.int64)])
         bad = np.concatenate([[0], np.cumsum(~self.ok[at])])
         out = []
         for ids, first in zip(self.ids, self.first, strict=True):
             size = first[at + 1] - first[at]
             until = np.concatenate([[0], np.cumsum(size)])
-            flat = ids[np.arange(until[-1]) + np.repeat(first[at] - until[:-1], size)]
-            out.append(np.split(flat, until[ends[:-1]]) if len(texts) else [])
-        return bad[ends] == bad[np.concatenate([[0], ends[:-1]])] if len(texts) else np.zeros(0, bool), out
+            own = ids[np.arange(until[-1]) + np.repeat(first[at] - until[:-1], size)]
+            out.append(np.split(own, until[ends[1:-1]]))
+        return bad[ends[1:]] == bad[ends[:-1]], out

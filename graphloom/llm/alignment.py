@@ -36,8 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._bpe import byte_chars
 from ._spark import Scratch, by_bytes, table
-from ._tokens import Parts, runs
+from ._tokens import Parts, flat, runs
 
 #: Bytes of text that are aligned at a time.
 BYTES = 1 << 20
@@ -61,7 +62,7 @@ class Pair:
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_model)
         vocabulary = self.a.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
-        plain = _byte_level()
+        plain = byte_chars()
         for entry, i in vocabulary.items():
             self.bytes_a[i] = bytes(plain[c] for c in entry) if all(c in plain for c in entry) else entry.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
@@ -74,15 +75,16 @@ class Pair:
         self.written = np.array([f"{i}{end}" for end in (",", "|", ";") for i in range(self.n)], object)
 
     def _encode(self, parts: list[str]):
-        """(A's ids, B's ids) of each part behind a space, None where their bytes aren't those."""
+        """Both tokenizers' ids of each part behind a space, and whether their bytes are those."""
+        both: tuple[list, list] = [], []
         for i in range(0, len(parts), 4096):
             own = parts[i : i + 4096]
-            a = [x.ids for x in self.a.encode_batch_fast([" " + p for p in own], add_special_tokens=False)]
+            both[0].extend(x.ids for x in self.a.encode_batch_fast([" " + p for p in own], add_special_tokens=False))
             # of an empty text the library gives nothing; as a part it is a space
-            b = [y if p else [self.b.piece_to_id("▁")] for p, y in zip(own, self.b.encode(own, num_threads=1), strict=True)]
-            for p, x, y in zip(own, a, b, strict=True):
-                raw = b" " + p.encode()
-                yield (x, y) if _joined(self.bytes_a, x) == raw and _joined(self.bytes_b, y) == raw else None
+            both[1].extend(y if p else [self.b.piece_to_id("▁")] for p, y in zip(own, self.b.encode(own, num_threads=1), strict=True))
+        raw = [b" " + p.encode() for p in parts]
+        ok = [_joined(self.bytes_a, x) == r and _joined(self.bytes_b, y) == r for r, x, y in zip(raw, *both, strict=True)]
+        return np.array(ok, bool), [flat(x) for x in both]
 
     def ids(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         ok, (a, b) = self.parts([runs(t) if t else [] for t in texts])
@@ -93,13 +95,6 @@ def _joined(table: list[bytes], ids: list[int]) -> bytes:
     return b"".join(map(table.__getitem__, ids))
 
 
-def _byte_level() -> dict[str, int]:
-    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from U+0100 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 @lru_cache(maxsize=2)
 def load(byte_bpe: str, piece_model: str) -> Pair:
     return Pair(byte_bpe, piece_model)

@@ -34,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._bpe import WordMerges, units
 from ._spark import Scratch, by_bytes, table
-from ._tokens import Parts, words
+from ._tokens import Parts
 
 CAPACITY, WIDTH = 4096, 32
 CLASSES = CAPACITY // WIDTH
@@ -46,24 +47,18 @@ PIVOTS = 60
 
 
 class Words:
-    """ids of texts: the tokenizer's own, then the end id. Its pattern leaves white space out, so parts between spaces are
-    encoded by themselves."""
+    """ids of texts: the tokenizer's own, then the end id. Each distinct word is encoded once."""
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end = Tokenizer.from_file(path), end
-        self.parts = Parts(self._encode)
+        tokenizer, self.end = Tokenizer.from_file(path), end
+        self.parts = Parts(WordMerges(tokenizer))
         #: two bytes an id, if they do
-        self.kind = "<u2" if max(self.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
-
-    def _encode(self, parts: list[str]):
-        for i in range(0, len(parts), 4096):
-            for x in self.tokenizer.encode_batch_fast(parts[i : i + 4096], add_special_tokens=False):
-                yield (x.ids,)
+        self.kind = "<u2" if max(tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        _, (ids,) = self.parts([words(t) if t else [] for t in texts])
+        _, (ids,) = self.parts([units(t) if t else [] for t in texts])
         return [np.append(x, self.end) for x in ids]
 
 

@@ -69,6 +69,16 @@ def test_knapsack_takes_the_most_valuable_pattern():
         assert worth == pytest.approx(most[9])
 
 
+def test_ids_equal_the_library(ids_of):
+    """Plain words are merged as rows of a matrix, others are the library's."""
+    rng, tokens = random.Random(6), packing.load(WORDS, 2)
+    some = [chr(c) for c in range(0x250)] + list("日本語ΣΑς’“”…œŒ€́̈ 　ﬁ𝒳😀") + ["'s", "'ll", "<|endoftext|>", " ", "  ", "\n"] * 5
+    plain = "abcdefghijklmnopqrstuvwxyzßéüÀÞA'0 .,!<>|\n"
+    texts = TEXTS + ["x" * 41, "aaaa" * 10, "The" * 30] + ["".join(rng.choice(c) for _ in range(rng.randrange(60))) for _ in range(3000) for c in (some, plain)]
+    texts += [" ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randrange(1, 14))) for _ in range(400))]
+    assert [x.tolist() for x in tokens(texts)] == [ids_of(t) for t in texts]
+
+
 def check(rows, texts, ids_of, capacity):
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
