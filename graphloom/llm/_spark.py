@@ -3,6 +3,7 @@ bytes, Bloom filters, Arrow text access and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -94,17 +95,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most `most` bytes in a string or binary column, or of one row."""
-    for b in batches:
-        n = len(b)
-        if not n:
-            continue
-        size = np.cumsum(_lengths(b.column(column)))
-        at = 0
-        while at < n:
-            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
-            yield b.slice(at, end - at)
-            at = end
+    """The batches in slices of at most `most` bytes in a string or binary column, or of one row. After the last one the
+    worker, which Spark keeps for later tasks, gives back the memory that it doesn't use any more."""
+    try:
+        for b in batches:
+            n = len(b)
+            if not n:
+                continue
+            size = np.cumsum(_lengths(b.column(column)))
+            at = 0
+            while at < n:
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+                yield b.slice(at, end - at)
+                at = end
+    finally:
+        _release()
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def _lengths(column: pa.Array) -> np.ndarray:

@@ -31,7 +31,9 @@ from ._spark import by_bytes, small_batches, table
 
 MARK = "▁"
 #: Chunks in each of a worker's two memo generations; bounds its memory.
-MEMO_CHUNKS = 150_000
+MEMO_CHUNKS = 80_000
+#: Bytes of text that are encoded at a time.
+BYTES = 1 << 20
 #: Longer chunks are encoded without memoising.
 MEMO_CHARS = 40
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -257,7 +259,7 @@ def encode_table(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def run(batches):
         model = load(model_path)
-        for b in by_bytes(batches, 1):
+        for b in by_bytes(batches, 1, BYTES):
             both = [model.encode_decode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([x[0] for x in both], pa.string()), pa.array([x[0].count(",") + bool(x[0]) for x in both], pa.int64()), pa.array([x[1] for x in both], pa.string())],
@@ -273,7 +275,7 @@ def digest_table(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def run(batches):
         model, sha = load(model_path), hashlib.sha256
-        for b in by_bytes(batches, 1):
+        for b in by_bytes(batches, 1, BYTES):
             n, ids, text = [], [], []
             for t in b.column(1).to_pylist():
                 i, d = model.encode_decode(t or "")
