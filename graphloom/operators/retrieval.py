@@ -1,4 +1,4 @@
-"""Inverted index, BM25, evidence assembly."""
+"""Containment, evidence assembly, query strategies."""
 
 from __future__ import annotations
 
@@ -6,56 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-
-#: BM25's constants (fixed values)
-K1, B = 0.9, 0.4
-
-
-def terms(c):
-    """Lower-cased runs of ASCII letters and digits."""
-    return F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != "")
-
-
-def postings(corpus: DataFrame) -> DataFrame:
-    """(doc_id, contents) -> (token, doc_id, tf, dl); write it once, partitioned or bucketed by token, and reuse it."""
-    words = corpus.select("doc_id", terms(F.col("contents")).alias("w")).select("doc_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("token"))
-    return words.groupBy("token", "doc_id", "dl").agg(F.count("*").alias("tf"))
-
-
-def corpus_stats(corpus: DataFrame) -> DataFrame:
-    """One row: number of documents, mean length."""
-    return corpus.agg(F.count("*").alias("n_docs"), F.avg(F.size(terms(F.col("contents")))).alias("avgdl"))
-
-
-def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, top_k: int = 5, k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, rank from 0, doc_id, score). Only postings of query tokens take part: the index is
-    filtered by the queries' vocabulary before documents meet queries, and each posting's weight is computed once,
-    not once a query. A frequent token is a hot join key, which adaptive execution splits; sums are partial first."""
-    asked = queries.select("qid", F.explode(terms(F.col("query"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
-    hit = index.join(asked.select("token").distinct(), "token", "left_semi")
-    df = hit.groupBy("token").agg(F.count("*").alias("df"))
-    weight = df.crossJoin(F.broadcast(stats)).select("token", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
-    tf = F.col("tf")
-    part = F.col("idf") * tf / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    weighed = hit.join(weight, "token").select("token", "doc_id", part.alias("part"))
-    scored = weighed.join(asked, "token").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("part")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")) - 1
-    return scored.withColumn("rank", rank).where(F.col("rank") < top_k).select("qid", "rank", "doc_id", "score")
-
+from .index import terms
 
 #: Tokens of a passage by which containment is looked up.
 RARE = 3
 
 
-def containing(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, doc_id) of documents whose contents hold the query text literally.
+def containing(corpus: DataFrame, queries: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """(qid, doc_id) of documents whose contents hold the query text literally. postings: (token, doc_id, ...) of the corpus, if there are.
 
     A document that holds a text holds all its inner tokens (those at its ends may be parts of words there). So a text
     is looked up by its RARE inner tokens of fewest documents, all of which a candidate must have, and the candidates are
     verified. Texts of fewer than three tokens have no inner token; they are few and short, and meet all documents."""
     own = queries.where("query <> ''").select("qid", "query", terms(F.col("query")).alias("w")).withColumn("inner", F.array_distinct(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))))
     asked = own.select("qid", F.explode("inner").alias("token"))
-    words = corpus.select("doc_id", F.explode(F.array_distinct(terms(F.col("contents")))).alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    if postings is None:
+        postings = corpus.select("doc_id", F.explode(F.array_distinct(terms(F.col("contents")))).alias("token"))
+    words = postings.select("doc_id", "token").join(asked.select("token").distinct(), "token", "left_semi")
     df = words.groupBy("token").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("df", "token"))
     rare = asked.join(df, "token").withColumn("r", rank).where(F.col("r") <= RARE).select("qid", "token")

@@ -18,8 +18,9 @@ from ..operators import generated as P
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..operators import scoring, selection, triples, verification
+from ..operators.index import Index
 from ..sources import models
-from ..sources.tables import EngineConfig, GraphTable
+from ..sources.tables import EngineConfig, GraphTable, MemoTable
 
 Keep = Callable[[DataFrame], DataFrame]
 
@@ -27,15 +28,15 @@ Keep = Callable[[DataFrame], DataFrame]
 class Corpus:
     """A corpus (doc_id, contents) with its index; built once, read by every step. Hits are (qid, ord, doc_id, evidence)."""
 
-    def __init__(self, docs: DataFrame, keep: Keep, max_words: int = 500):
-        self.passages = keep(R.passages(docs, max_words).select("doc_id", "evidence"))
-        self.index = keep(R.postings(docs))
-        self.stats = keep(R.corpus_stats(docs))
+    def __init__(self, docs: DataFrame, keep: Keep, max_words: int = 500, index: Index | None = None):
+        """index: that of a stored index's segments; else it is built."""
+        self.keep, self.passages = keep, keep(R.passages(docs, max_words).select("doc_id", "evidence"))
+        self.index = index or Index.build(docs, keep)
 
     def hits(self, queries: DataFrame, top_k: int) -> DataFrame:
         """Each distinct query text is searched once."""
-        texts = queries.select(F.xxhash64("query").alias("h"), "query").distinct()
-        found = R.bm25(self.index, self.stats, texts.withColumnRenamed("h", "qid"), top_k).join(self.passages, "doc_id")
+        texts = self.keep(queries.select(F.xxhash64("query").alias("qid"), "query").distinct())
+        found = self.index.top_k(texts, top_k, self.keep).join(self.passages, "doc_id")
         return queries.select("qid", F.xxhash64("query").alias("h")).join(found.withColumnRenamed("qid", "h"), "h").select("qid", F.col("rank").alias("ord"), "doc_id", "evidence")
 
     def assembled(self, queries: DataFrame, gold: DataFrame, config: EngineConfig, hits: DataFrame | None = None, total: bool = False) -> DataFrame:
@@ -61,43 +62,84 @@ def direct(samples: DataFrame, corpus: Corpus, gold: DataFrame, model: models.Ba
     return selection.fallback(scoring.score(done, aliases="answer_aliases" if "answer_aliases" in samples.columns else None))
 
 
+def _bound(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows (index, bindings, ...) with the facts of their samples, in which the bound entities are replaced one after the other."""
+    put = F.aggregate("bindings", F.col("triple"), lambda t, x: F.replace(t, x["ent"], x["value"]))
+    return rows.join(facts, "index").withColumn("triple", put)
+
+
+_NOTHING = "cast(array() as array<struct<ent: string, value: string>>)"
+
+
+class Prefixes:
+    """What is known of beginnings of paths, as tables of (index, prefix, bindings, infilling_index, ent, search, query,
+    infilled, confidence, status). A prefix's last entity was searched for and filled in with the ones before it bound; paths that
+    begin with the same entities share that, whichever wave they come in."""
+
+    def __init__(self, facts: DataFrame):
+        self.facts, self.parts = facts, []
+
+    def table(self) -> DataFrame | None:
+        out = None
+        for t in self.parts:
+            out = t if out is None else out.unionByName(t)
+        return out
+
+    def bindings(self, paths: DataFrame) -> DataFrame:
+        """paths (index, path, ...) with their bindings, and the confidence of the last entity (null without one)."""
+        known = self.table()
+        if known is None:
+            return paths.withColumns({"bindings": F.expr(_NOTHING), "confidence": F.lit(None).cast("double")})
+        own = known.select("index", F.col("prefix").alias("path"), "bindings", "confidence")
+        return paths.join(own, ["index", "path"], "left").withColumn("bindings", F.coalesce("bindings", F.expr(_NOTHING)))
+
+    def extend(self, paths: DataFrame, corpus: Corpus, gold: DataFrame, model: models.Backend, config: EngineConfig, keep: Keep, by_start: DataFrame | None = None) -> None:
+        """Fill the prefixes of paths (index, path) that aren't known yet, a place of all paths at a time."""
+        for i in range(paths.agg(F.max(F.size("path"))).first()[0] or 0):
+            want = paths.where(F.size("path") > i).select("index", F.slice("path", 1, i + 1).alias("prefix")).distinct()
+            known = self.table()
+            if known is not None:
+                want = want.join(known.select("index", "prefix"), ["index", "prefix"], "left_anti")
+            want = self.bindings(want.withColumn("path", F.slice("prefix", 1, i))).drop("path", "confidence") if i else want.withColumn("bindings", F.expr(_NOTHING))
+            want = want.withColumns({"gid": F.concat_ws("/", "index", F.array_join("prefix", ",")), "ent": F.element_at("prefix", -1)})
+            graph = triples.open_definitions(_bound(want.select("index", "gid", "bindings"), self.facts)).select(F.col("gid").alias("index"), "kind", "pos", "triple")
+            defs = triples.definitions(graph.where("kind = 'definition'"))
+            search = G.agent_query(graph, defs) if config.use_agent else G.retrieval_query(graph, defs)
+            both = search.withColumnRenamed("query", "search").join(G.infill_query(graph, defs), ["index", "ent"]).withColumnRenamed("index", "gid")
+            own = defs.select(F.col("index").alias("gid"), "ent", F.col("definition").alias("fallback"))
+            work = keep(want.join(both, ["gid", "ent"]).join(own, ["gid", "ent"]))
+            if work.isEmpty():
+                continue
+            if by_start is not None:
+                found = by_start.select("index", F.col("ent").alias("start"), "evidence")
+                asked = work.withColumn("start", F.get("prefix", F.lit(0))).join(found, ["index", "start"], "left").withColumn("evidence", F.coalesce("evidence", F.lit(""))).drop("start")
+            else:
+                queries = work.select(F.col("gid").alias("qid"), "index", F.col("search").alias("query"))
+                hits = agent_hits(queries, corpus, model, config, keep) if config.use_agent else None
+                asked = work.join(corpus.evidence(queries, gold, config, hits, config.use_agent and config.total_results).withColumnRenamed("qid", "gid"), "gid")
+            bound = F.concat("bindings", F.array(F.struct("ent", F.col("infilled").alias("value"))))
+            filled = models.infill(keep(asked), model)
+            self.parts.append(keep(filled.select("index", "prefix", bound.alias("bindings"), F.lit(i).alias("infilling_index"), "ent", "search", "query", "infilled", "confidence", "status")))
+
+
 def infill_paths(paths: DataFrame, facts: DataFrame, corpus: Corpus, gold: DataFrame, model: models.Backend, config: EngineConfig, keep: Keep, by_start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(facts with entities filled in by path, log). paths: (index, path_index, path);
     facts: (index, kind, pos, triple). Step i fills the i-th entity of every path.
     by_start: (index, ent, evidence) retrieved beforehand for start entities (J8); else every step searches, by the
     agent's query and the agent if the configuration says so."""
-    key = ["index", "path_index"]
-    state = keep(paths.select(*key).join(facts, "index"))
-    longest = paths.agg(F.max(F.size("path"))).first()[0] or 0
-    logs = None
-    for i in range(longest):
-        target = paths.select(*key, F.get("path", F.lit(i)).alias("target")).where("target is not null")
-        here = triples.open_definitions(state.join(target, key).withColumn("gid", F.concat_ws("/", *key)))
-        graph = here.select(F.col("gid").alias("index"), "kind", "pos", "triple")
-        defs = triples.definitions(graph.where("kind = 'definition'"))
-        search = G.agent_query(graph, defs) if config.use_agent else G.retrieval_query(graph, defs)
-        both = search.withColumnRenamed("query", "search").join(G.infill_query(graph, defs), ["index", "ent"])
-        names = here.select("gid", *key, F.col("target").alias("ent")).distinct()
-        work = names.join(both.withColumnRenamed("index", "gid"), ["gid", "ent"]).join(defs.select(F.col("index").alias("gid"), "ent", F.col("definition").alias("fallback")), ["gid", "ent"])
-        work = keep(work)
-        queries = work.select(F.col("gid").alias("qid"), "index", F.col("search").alias("query"))
-        if by_start is not None:
-            own = selection.cached_by_start(paths.select(*key, "path"), by_start).select(*key, F.coalesce("evidence", F.lit("")).alias("evidence"))
-            work = work.join(own, key)
-        else:
-            hits = agent_hits(queries, corpus, model, config, keep) if config.use_agent else None
-            work = work.join(corpus.evidence(queries, gold, config, hits, config.use_agent and config.total_results).withColumnRenamed("qid", "gid"), "gid")
-        filled = keep(models.infill(keep(work), model).select(*key, F.lit(i).alias("infilling_index"), "ent", "search", "query", "infilled", "confidence", "status"))
-        logs = filled if logs is None else logs.unionByName(filled)
-        state = keep(state.join(filled.select(*key, "ent", "infilled"), key, "left").select(*key, "kind", "pos", F.when(F.col("ent").isNull(), F.col("triple")).otherwise(F.replace(F.col("triple"), F.col("ent"), F.col("infilled"))).alias("triple")))
-    if logs is None:
-        logs = state.sparkSession.createDataFrame([], f"index {dict(paths.dtypes)['index']}, path_index int, infilling_index int, ent string, search string, query string, infilled string, confidence double, status string")
-    return state, logs
+    known = Prefixes(facts)
+    known.extend(paths.select("index", "path"), corpus, gold, model, config, keep, by_start)
+    state = _bound(known.bindings(paths.select("index", "path_index", "path")).drop("path", "confidence"), facts).drop("bindings")
+    steps = paths.select("index", "path_index", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))).alias("prefix")) if known.parts else None
+    if steps is None:
+        return state, state.sparkSession.createDataFrame([], f"index {dict(paths.dtypes)['index']}, path_index int, infilling_index int, ent string, search string, query string, infilled string, confidence double, status string")
+    return state, steps.join(known.table().drop("bindings"), ["index", "prefix"]).drop("prefix")
 
 
 def verify_claims(claims: DataFrame, corpus: Corpus, gold: DataFrame, model: models.Backend, config: EngineConfig, keep: Keep) -> DataFrame:
-    """Claims (qid, index, claim) -> (qid, supported, confidence, supported_doc_id, tier): on all evidence together,
-    document by document up to the first that supports, or the second where the first fails. Evidence always comes
+    """Claims (qid, index, claim) -> (qid, supported, confidence, supported_doc_id, tier): on all evidence together,
+    document by document up to the first that supports, or the second where the first fails. The documents go in waves: the
+    next one of each claim is asked only if none before it supported the claim. Evidence always comes
     from plain search (Q25). Without evidence no document supports, and the confidence is null (Q3)."""
     rows = keep(corpus.assembled(claims.select("qid", "index", F.col("claim").alias("query")), gold, config))
 
@@ -107,11 +149,20 @@ def verify_claims(claims: DataFrame, corpus: Corpus, gold: DataFrame, model: mod
     whole = each = None
     if config.document_level != "each":
         text = claims.select("qid", "claim").join(R.evidence_text(rows, config.evidence_chars), "qid", "left").select("qid", "claim", F.coalesce("text", F.lit("")).alias("evidence"))
-        whole = keep(judged(text).select(F.col("qid").alias("claim_id"), "supported", "confidence"))
+        whole = keep(judged(keep(text)).select(F.col("qid").alias("claim_id"), "supported", "confidence"))
     if config.document_level != "concat":
         left = claims if whole is None else claims.join(whole.where("not supported").select(F.col("claim_id").alias("qid")), "qid", "left_semi")
-        asked = left.select("qid", "claim").join(rows, "qid").select("qid", "pos", "doc_id", "claim", F.substring("evidence", 1, config.evidence_chars).alias("evidence"))
-        each = keep(judged(asked).select(F.col("qid").alias("claim_id"), "pos", F.col("doc_id").cast("string").alias("doc_id"), "supported", "confidence"))
+        asked = keep(left.select("qid", "claim").join(rows, "qid").select("qid", "pos", "doc_id", "claim", F.substring("evidence", 1, config.evidence_chars).alias("evidence")))
+        open_ = None
+        for pos in range((asked.agg(F.max("pos")).first()[0] or 0) + 1):
+            now = asked.where(F.col("pos") == pos)
+            if open_ is not None:
+                now = keep(now.join(open_, "qid", "left_semi"))
+                if now.isEmpty():
+                    break
+            got = keep(judged(now).select(F.col("qid").alias("claim_id"), "pos", F.col("doc_id").cast("string").alias("doc_id"), "supported", "confidence"))
+            each = got if each is None else each.unionByName(got)
+            open_ = got.where("not supported").select(F.col("claim_id").alias("qid"))
     if whole is None:
         whole = claims.select(F.col("qid").alias("claim_id"), F.lit(False).alias("supported"), F.lit(None).cast("double").alias("confidence"))
     if each is None:
@@ -119,27 +170,27 @@ def verify_claims(claims: DataFrame, corpus: Corpus, gold: DataFrame, model: mod
     return verification.tiers(whole, each).withColumnRenamed("claim_id", "qid")
 
 
-def start_evidence(samples: DataFrame, facts: DataFrame, paths: DataFrame, corpus: Corpus, gold: DataFrame, model: models.Backend, config: EngineConfig, keep: Keep, memo: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(index, ent, evidence) for every entity that starts a path (Q9), and new memo rows: a thought about
-    the entity's own question seeds the agent, which searches for the sample's question."""
+def start_evidence(samples: DataFrame, facts: DataFrame, paths: DataFrame, corpus: Corpus, gold: DataFrame, model: models.Backend, config: EngineConfig, keep: Keep, memo: MemoTable | None = None) -> DataFrame:
+    """(index, ent, evidence) for every entity that starts a path (Q9): a thought about
+    the entity's own question seeds the agent, which searches for the sample's question. New thoughts go into the memo."""
     defs = triples.definitions(facts.where("kind = 'definition'"))
     starts = paths.select("index", F.get("path", F.lit(0)).alias("ent")).where("ent is not null").distinct()
     own = keep(starts.join(G.agent_query(facts, defs), ["index", "ent"]).withColumn("prompt", T.prompt(models.TEMPLATES["nudge"], question=F.col("query"))).drop("query"))
-    if memo is None:
-        memo = own.select("prompt", F.lit("").alias("value")).limit(0)
-    thoughts, new = nudges(own, memo, model)
-    thoughts = keep(thoughts)
+    thoughts = keep(remembered(own, memo, model, keep))
     asked = own.join(thoughts, "prompt").join(samples.select("index", "question"), "index").withColumn("qid", F.xxhash64("index", "ent"))
     queries = keep(asked.select("qid", "index", "ent", F.col("question").alias("query"), F.col("value").alias("thinking")))
     hits = agent_hits(queries, corpus, model, config, keep)
     evidence = corpus.evidence(queries, gold, config, hits, config.total_results)
-    return keep(queries.join(evidence, "qid").select("index", "ent", "evidence")), new
+    return keep(queries.join(evidence, "qid").select("index", "ent", "evidence"))
 
 
-def graph_check(samples: DataFrame, facts: DataFrame, corpus: Corpus, gold: DataFrame, model: models.Backend, config: EngineConfig, keep: Keep, memo: DataFrame | None = None) -> DataFrame:
+def graph_check(samples: DataFrame, facts: DataFrame, corpus: Corpus, gold: DataFrame, model: models.Backend, config: EngineConfig, keep: Keep, memo: MemoTable | None = None) -> DataFrame:
     """Verdict, best path, answer and scores of each sample. samples: (index, question, answer,
-    num_hops); facts: (index, kind, pos, triple). Only `answer` is scored, aliases aren't (Q4)."""
-    samples = selection.first_rows(samples, config.max_samples)
+    num_hops); facts: (index, kind, pos, triple). Only `answer` is scored, aliases aren't (Q4).
+
+    W5: paths go in waves. A wave fills and verifies the next path of those samples that no path before has supported;
+    what earlier waves know of a path's beginning, or of a claim, isn't asked again."""
+    samples, facts = selection.first_rows(samples, config.max_samples), keep(facts)
     defs = triples.definitions(facts.where("kind = 'definition'"))
     nudged = config.use_agent and config.nudge
     make = G.varied_paths if nudged else G.valid_paths
@@ -147,20 +198,35 @@ def graph_check(samples: DataFrame, facts: DataFrame, corpus: Corpus, gold: Data
     # a sample without entities has one empty path
     lone = samples.select("index").join(paths.select("index").distinct(), "index", "left_anti").select("index", F.lit(0).alias("path_index"), F.array().cast("array<string>").alias("path"))
     paths = keep(paths.unionByName(lone))
-    by_start = start_evidence(samples, facts, paths, corpus, gold, model, config, keep, memo)[0] if nudged else None
-    filled, log = infill_paths(paths, facts, corpus, gold, model, config, keep, by_start)
-    claims = filled.select("index", "path_index", "kind", "pos", T.sentence(F.col("triple")).alias("claim")).where("claim is not null")
-    # every distinct claim of a sample is searched and verified once
-    each = keep(claims.select("index", "claim").distinct().withColumn("qid", F.xxhash64("index", "claim")))
-    verified = keep(each.join(verify_claims(each, corpus, gold, model, config, keep), "qid").select("index", "claim", "supported"))
-    verdicts = verification.path_verdicts(claims.join(verified, ["index", "claim"]), paths)
-    # the last infilled entity's confidence (Q2); 0 without one (Q1)
-    last = log.groupBy("index", "path_index").agg(F.max_by("confidence", "infilling_index").alias("infill"))
-    seen = verification.visited(verdicts.join(last, ["index", "path_index"], "left").withColumn("infill", F.coalesce("infill", F.lit(0.0))))
+    by_start = start_evidence(samples, facts, paths, corpus, gold, model, config, keep, memo) if nudged else None
+    known, verified, seen, open_ = Prefixes(facts), None, None, None
+    for wave in range((paths.agg(F.max("path_index")).first()[0] or 0) + 1):
+        here = paths.where(F.col("path_index") == wave)
+        if open_ is not None:
+            here = keep(here.join(open_, "index", "left_semi"))
+            if here.isEmpty():
+                break
+        known.extend(here.select("index", "path"), corpus, gold, model, config, keep, by_start)
+        filled = keep(known.bindings(here))
+        claims = keep(_bound(filled.select("index", "path_index", "bindings"), facts).select("index", "path_index", T.sentence(F.col("triple")).alias("claim")).where("claim is not null"))
+        # every distinct claim of a sample is searched and verified once
+        new = claims.select("index", "claim").distinct()
+        if verified is not None:
+            new = new.join(verified.select("index", "claim"), ["index", "claim"], "left_anti")
+        new = keep(new.withColumn("qid", F.xxhash64("index", "claim")))
+        if not new.isEmpty():
+            told = keep(new.join(verify_claims(new, corpus, gold, model, config, keep), "qid").select("index", "claim", "supported"))
+            verified = told if verified is None else verified.unionByName(told)
+        held = claims.join(verified, ["index", "claim"]) if verified is not None else claims.withColumn("supported", F.lit(True))
+        verdicts = verification.path_verdicts(held, here)
+        # the last infilled entity's confidence (Q2); 0 without one (Q1)
+        verdicts = keep(verdicts.join(filled.select("index", "path_index", F.coalesce("confidence", F.lit(0.0)).alias("infill")), ["index", "path_index"]))
+        seen = verdicts if seen is None else seen.unionByName(verdicts)
+        open_ = verdicts.where("not supported").select("index")
     best = keep(verification.best_path(seen, "infill"))
-    chosen = filled.join(best.select("index", F.col("best_path_index").alias("path_index")), ["index", "path_index"])
+    chosen = known.bindings(paths.join(best.select("index", F.col("best_path_index").alias("path_index")), ["index", "path_index"]))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("kind", "pos", "triple"))), lambda x: T.readable(x["triple"]))
-    text = chosen.groupBy("index").agg(F.array_join(ordered, "\n").alias("evidence"))
+    text = _bound(chosen.select("index", "bindings"), facts).groupBy("index").agg(F.array_join(ordered, "\n").alias("evidence"))
     asked = keep(samples.join(text, "index", "left").withColumn("evidence", F.coalesce("evidence", F.lit(""))))
     done = selection.fallback(scoring.score(models.answer(asked, model, config.evidence_chars).drop("evidence", "confidence")))
     return done.join(best, "index", "left").withColumn("prediction", F.when(F.col("supported"), "SUPPORTED").when(~F.col("supported"), "NOT_SUPPORTED"))
@@ -220,6 +286,17 @@ def nudges(prompts: DataFrame, memo: DataFrame, model: models.Backend) -> tuple[
     return known.unionByName(new), new
 
 
+def remembered(prompts: DataFrame, memo: MemoTable | None, model: models.Backend, keep: Keep) -> DataFrame:
+    """(prompt, value) of all distinct prompts; only those that the memo lacks are asked, and added to it."""
+    asked = prompts.select("prompt").distinct()
+    known = memo.lookup(asked) if memo is not None else asked.select("prompt", F.lit("").alias("value")).limit(0)
+    _, new = nudges(asked, known, model)
+    new = keep(new)
+    if memo is not None:
+        memo.append(new)
+    return known.unionByName(new)
+
+
 #: Pairings of E3
 PAIRINGS = {"cot_doc": ("cot", "doc"), "cot_gold": ("cot", "gold"), "gold_doc": ("gold", "doc"), "question_doc": ("question", "doc"), "question_gold": ("question", "gold")}
 

@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import generated, graph, retrieval, scoring, selection, triples, verification
+from ..operators import generated, graph, index, retrieval, scoring, selection, triples, verification
 from ..sources import models
 from ..sources.tables import EngineConfig, Stages
 from . import flows
@@ -196,10 +196,10 @@ def questions(spark, d):
     return _table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("query"))
 
 
-def gold(spark, d):
+def gold(spark, d, postings=None):
     """Documents that contain a passage."""
     c = corpus(spark, d)
-    return retrieval.containing(c, questions(spark, d)).join(c, "doc_id").select("qid", "doc_id", "contents")
+    return retrieval.containing(c, questions(spark, d), postings).join(c, "doc_id").select("qid", "doc_id", "contents")
 
 
 BM25 = """terms as (select doc_id, [w for w in regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+') if w <> ''] as w from documents),
@@ -219,14 +219,25 @@ BM25 = BM25_OF.replace("<<asked>>", "select item_id as qid, text as query from b
 
 
 def _hits(spark, d, k=5):
-    c = corpus(spark, d)
-    return retrieval.bm25(retrieval.postings(c), retrieval.corpus_stats(c), questions(spark, d), k)
+    keep = _keep(spark)
+    return index.Index.build(corpus(spark, d), keep).top_k(questions(spark, d), k, keep)
 
 
 def q_bm25_topk(spark, d):
     return _hits(spark, d)
 
 
+def q_index_segments(spark, d):
+    """Documents in three segments; of the first two every seventh document is deleted, and they are merged."""
+    keep, store, c = _keep(spark), index.Segments(spark, scratch(spark, "index")), corpus(spark, d)
+    for k in range(2):
+        store.add(c.where(F.col("doc_id") % 3 == k))
+    store.delete(c.where("doc_id % 7 = 0").select("doc_id"))
+    store.merge()
+    store.add(c.where("doc_id % 3 = 2"))
+    return store.index(keep).top_k(questions(spark, d), 5, keep)
+
+
 def q_bm25_hits_gold(spark, d):
     return retrieval.gold_flag(_hits(spark, d), gold(spark, d))
 
@@ -439,7 +450,7 @@ def _run(spark, d):
     keep = _keep(spark)
     c = flows.Corpus(corpus(spark, d), keep)
     p = retrieval.passages(corpus(spark, d)).select("doc_id", "evidence").where("evidence is not null")
-    g = keep(gold(spark, d).select(F.col("qid").alias("index"), "doc_id").join(p, "doc_id").withColumn("ord", F.col("doc_id")))
+    g = keep(gold(spark, d, c.index.postings).select(F.col("qid").alias("index"), "doc_id").join(p, "doc_id").withColumn("ord", F.col("doc_id")))
     s = _table(spark, d, "benchmark").select(F.col("item_id").alias("index"), F.col("text").alias("question"), T.passage_title(F.col("text")).alias("answer"), (2 + F.col("item_id") % 3).cast("int").alias("num_hops"))
     return keep, c, g, s
 
@@ -505,6 +516,7 @@ ORACLE_SQL = {
     "q_valid_paths": f"with {PATHS} select idx as \"index\", path_index, array_to_string(path, ' - ') as path from ranked where path_index < 5",
     "q_varied_paths": f"with {PATHS}, vr as (select *, row_number() over (partition by idx, path[1] order by path_index) as turn, min(path_index) over (partition by idx, path[1]) as seen from ranked), vs as (select idx, row_number() over (partition by idx order by turn, seen) - 1 as k, path from vr) select idx as \"index\", k as path_index, array_to_string(path, ' - ') as path from vs where k < 4",
     "q_bm25_topk": f"with {BM25} select qid, rank, doc_id, score from hits",
+    "q_index_segments": f"with {BM25.replace('as w from documents)', 'as w from documents where doc_id % 7 <> 0 or doc_id % 3 = 2)', 1)} select qid, rank, doc_id, score from hits",
     "q_bm25_hits_gold": f"with {BM25} select qid, rank, doc_id, score, cast(exists(select 1 from gold g where g.qid = hits.qid and g.doc_id = hits.doc_id) as integer) as is_gold from hits",
     "q_evidence_setting_open": _evidence_sql("open-book"), "q_evidence_setting_both": _evidence_sql("open-book+gold"), "q_evidence_setting_gold": _evidence_sql("gold"),
     "q_multihop_dedup": f"with {BM25}, mh as (select qid % 10 as idx, doc_id, min(qid * 10 + rank) as f from hits group by 1, 2) select idx as \"index\", row_number() over (partition by idx order by f, doc_id) - 1 as pos, doc_id, f // 10 as hop from mh",

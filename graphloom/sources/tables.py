@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SAMPLES = "index int, uid string, num_hops int, question string, answer string, answer_aliases array<string>, gold_id_list array<string>, gold_evidence_list array<string>, cot_reasoning string, cot_def_triples array<string>, cot_triples array<string>, retrieved_documents array<string>"
@@ -75,8 +76,34 @@ def long_triples(graphs: DataFrame) -> DataFrame:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    fs, p = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, under another name until it is whole; an existing one is an error."""
+    fs, p = _fs(spark, path)
+    _, part = _fs(spark, f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(part, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(p) or not fs.rename(part, p):
+        raise FileExistsError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "json", order: str | None = None) -> None:
@@ -133,15 +160,51 @@ def new_version(df: DataFrame, root: str, version: int) -> str:
 
 
 class MemoTable:
-    """S3: prompt -> value, appended to, read without repeats; empty before the first append."""
+    """Prompt -> value between runs, in hash buckets of the prompt: appended to as sorted deltas, of which a prompt's last one
+    counts; a look-up reads the wanted buckets alone. Empty before the first append."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("prompt"), F.lit(self.buckets)).cast("int")
+
+    def _rows(self) -> DataFrame:
+        """(prompt, value, version, bucket) of all deltas. A compaction replaces the deltas before it."""
+        kind = f"{MEMO}, version long, bucket int"
+        versions = sorted(self._versions())
+        if not versions:
+            return self.spark.createDataFrame([], kind)
+        base = max((v for v in versions if exists(self.spark, f"{self.path}/version={v}/_COMPACT")), default=0)
+        paths = [f"{self.path}/version={v}" for v in versions if v >= base]
+        return self.spark.read.schema(kind).option("basePath", self.path).parquet(*paths)
+
+    def _versions(self) -> list[int]:
+        """Those that were written whole."""
+        names = listed(self.spark, self.path)
+        return [int(n.split("=")[1]) for n in names if n.startswith("version=") and exists(self.spark, f"{self.path}/{n}/_SUCCESS")]
+
+    def _last(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy("prompt").agg(F.max_by("value", F.struct("version", "value")).alias("value"))
 
     def read(self) -> DataFrame:
-        if not exists(self.spark, self.path):
-            return self.spark.createDataFrame([], MEMO)
-        return self.spark.read.schema(MEMO).parquet(self.path).groupBy("prompt").agg(F.max("value").alias("value"))
+        return self._last(self._rows())
+
+    def lookup(self, prompts: DataFrame) -> DataFrame:
+        """(prompt, value) of those prompts that are known."""
+        wanted = prompts.select("prompt").distinct()
+        buckets = [r[0] for r in wanted.select(self._bucket()).distinct().collect()]  # at most self.buckets
+        return self._last(self._rows().where(F.col("bucket").isin(buckets)).join(wanted, "prompt", "left_semi"))
 
     def append(self, rows: DataFrame) -> None:
-        rows.select("prompt", "value").write.mode("append").parquet(self.path)
+        self._write(rows.select("prompt", "value").where("prompt is not null"), max(self._versions(), default=0) + 1)
+
+    def compact(self) -> None:
+        """All deltas as one; those before it aren't read any more, and may be deleted once nobody does."""
+        version = max(self._versions(), default=0) + 1
+        self._write(self.read(), version)
+        write_text(self.spark, f"{self.path}/version={version}/_COMPACT", "")
+
+    def _write(self, rows: DataFrame, version: int) -> None:
+        own = rows.withColumn("bucket", self._bucket())
+        own.repartition("bucket").sortWithinPartitions("bucket", "prompt").write.partitionBy("bucket").mode("errorifexists").parquet(f"{self.path}/version={version}")
