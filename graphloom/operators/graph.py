@@ -43,11 +43,31 @@ def _ranked(defs: DataFrame) -> DataFrame:
     return defs.select("index", "ent", (F.row_number().over(Window.partitionBy("index").orderBy("ord", "ent")) - 1).alias("r"), "ord")
 
 
+#: Entities that a bit set holds.
+MOST_ENTITIES = 63
+
+
+def _bit(k):
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), k.cast("int"))
+
+
+def _has(bits, k):
+    return bits.bitwiseAND(_bit(k)) != 0
+
+
 def _order(edges, n):
-    """Entities 0..n-1 in the smallest order that obeys all edges (f before t): shorter than n if they have a cycle."""
-    free = lambda o, e: ~F.array_contains(o, e) & ~F.exists(edges, lambda x: (x["t"] == e) & ~F.array_contains(o, x["f"]))
-    step = lambda o, _: F.concat(o, F.slice(F.filter(F.sequence(F.lit(0), n - 1), lambda e: free(o, e)), 1, 1))
-    return F.aggregate(F.sequence(F.lit(1), n), F.array().cast("array<int>"), step)
+    """Entities 0..n-1 in the smallest order that obeys the edges (f before t), which have no cycle: the set of those that come
+    before each, as bits, against the set of those that are placed."""
+    every = F.sequence(F.lit(0), n - 1)
+    before = F.transform(every, lambda e: F.aggregate(F.filter(edges, lambda x: x["t"] == e), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(_bit(x["f"]))))
+
+    def step(s, _):
+        free = F.filter(every, lambda e: ~_has(s["placed"], e) & (s["before"][e].bitwiseAND(F.bitwise_not(s["placed"])) == 0))
+        one = F.get(free, F.lit(0))
+        return F.struct(F.concat(s["order"], F.array(one)).alias("order"), s["placed"].bitwiseOR(_bit(one)).alias("placed"), s["before"].alias("before"))
+
+    start = F.struct(F.array().cast("array<int>").alias("order"), F.lit(0).cast("bigint").alias("placed"), before.alias("before"))
+    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["order"])
 
 
 def valid_paths(triples: DataFrame, defs: DataFrame, limit: int = 5, seed: int | None = None) -> DataFrame:
@@ -55,22 +75,35 @@ def valid_paths(triples: DataFrame, defs: DataFrame, limit: int = 5, seed: int |
     first order that obeys it, orientations in the order of their bits, at most `limit`.
 
     All inside a graph's row. Pairs are oriented one after the other and only the first `limit` acyclic beginnings are
-    kept: each of them can be completed, so later ones aren't needed. The smallest topological order of an orientation is
-    its first permutation. seed: G7, where there are more orientations than `limit` they come in another order: a hash
-    of (seed, index, pair) turns each pair's two directions round or not.
+    kept: each of them can be completed, so later ones aren't needed. A beginning carries what each entity reaches as a set of
+    bits: an edge closes a cycle if its end reaches its start (one AND), and is taken up by an OR into those that reach its
+    start. The smallest topological order of an orientation is its first permutation. seed: G7, where there are more
+    orientations than `limit` they come in another order: a hash of (seed, index, pair) turns each pair's two directions
+    round or not. A graph of over 63 entities is an error.
     """
     ents = _ranked(defs).groupBy("index").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "ent", "ord"))), lambda x: x["ent"]).alias("ents"), F.map_from_entries(F.collect_list(F.struct("ord", "r"))).alias("rank"))
     pairs = adjacency(triples, defs).groupBy("index").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("pairs"))
     edge = "struct<f: int, t: int>"
     ranks = F.coalesce(F.transform("pairs", lambda x: F.struct(F.element_at("rank", x["a"]).alias("f"), F.element_at("rank", x["b"]).alias("t"))), F.array().cast(f"array<{edge}>"))
-    rows = ents.join(pairs, "index", "left").select("index", "ents", F.size("ents").alias("n"), ranks.alias("pairs"))
+    few = F.when(F.size("ents") <= MOST_ENTITIES, F.size("ents")).otherwise(F.raise_error(F.lit(f"a graph has over {MOST_ENTITIES} entities")).cast("int"))
+    rows = ents.join(pairs, "index", "left").select("index", "ents", few.alias("n"), ranks.alias("pairs"))
     back = lambda p: F.struct(p["t"].alias("f"), p["f"].alias("t"))
     if seed is not None:
         turned = lambda p, k: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("index").cast("string"), k.cast("string"))), 1, 1), 16, 10).cast("int") % 2 == 1) & (F.pow(F.lit(2.0), F.size("pairs")) > limit)
         rows = rows.withColumn("pairs", F.transform("pairs", lambda p, k: F.when(turned(p, k), back(p)).otherwise(p)))
-    grown = lambda some, p: F.slice(F.filter(F.flatten(F.transform(some, lambda o: F.array(F.concat(o, F.array(p)), F.concat(o, F.array(back(p)))))), lambda o: F.size(_order(o, F.col("n"))) == F.col("n")), 1, limit)
-    found = rows.withColumn("oriented", F.aggregate("pairs", F.array(F.array().cast(f"array<{edge}>")), grown))
-    orders = F.transform("oriented", lambda o: F.transform(_order(o, F.col("n")), lambda i: F.get("ents", i)))
+
+    def extended(o, p):
+        more = o["reach"][p["t"]].bitwiseOR(_bit(p["t"]))
+        reach = F.transform(o["reach"], lambda r, i: F.when((i == p["f"]) | _has(r, p["f"]), r.bitwiseOR(more)).otherwise(r))
+        return F.struct(F.concat(o["edges"], F.array(p)).alias("edges"), reach.alias("reach"))
+
+    def grown(some, p):
+        both = F.transform(some, lambda o: F.filter(F.array(p, back(p)), lambda e: ~_has(o["reach"][e["t"]], e["f"])))
+        return F.slice(F.flatten(F.zip_with(some, both, lambda o, es: F.transform(es, lambda e: extended(o, e)))), 1, limit)
+
+    none = F.struct(F.array().cast(f"array<{edge}>").alias("edges"), F.transform(F.sequence(F.lit(1), F.col("n")), lambda _: F.lit(0).cast("bigint")).alias("reach"))
+    found = rows.withColumn("oriented", F.aggregate("pairs", F.array(none), grown))
+    orders = F.transform("oriented", lambda o: F.transform(_order(o["edges"], F.col("n")), lambda i: F.get("ents", i)))
     return found.select("index", F.posexplode(orders).alias("path_index", "path"))
 
 

@@ -218,6 +218,19 @@ def test_paths_of_many_entities(spark):
     assert seeded[:5] != seeded[5:]
 
 
+def test_paths_of_a_dense_graph(spark):
+    """30 entities with 100 pairs: every path obeys one orientation, all differ, in seconds."""
+    rng = random.Random(2)
+    pairs = sorted({tuple(sorted(rng.sample(range(30), 2))) for _ in range(130)})[:100]
+    rows = [(1, "relation", k, f"(ENT{a}) [SEP] meets [SEP] (ENT{b})") for k, (a, b) in enumerate(pairs)]
+    defs = spark.createDataFrame([(1, f"(ENT{k})", k, "x", "x") for k in range(30)], "index long, ent string, ord int, definition string, sentence string")
+    began = time.time()
+    paths = [r.path for r in graph.valid_paths(spark.createDataFrame(rows, COLS), defs, 5).orderBy("path_index").collect()]
+    assert time.time() - began < 60 and len(paths) == 5 == len(set(map(tuple, paths))) and paths[0] == [f"(ENT{k})" for k in range(30)]
+    bits = [[int(p.index(f"(ENT{a})") > p.index(f"(ENT{b})")) for a, b in pairs] for p in paths]
+    assert bits == sorted(bits) and all(sorted(p) == sorted(paths[0]) for p in paths)
+
+
 def test_open_definitions(spark):
     rows = spark.createDataFrame([(1, "definition", 0, "Oslo [SEP] is [SEP] near (ENT2)"), (1, "definition", 1, "(ENT2) hall [SEP] is [SEP] x"), (1, "relation", 0, "x [SEP] y")], COLS)
     assert [r.triple for r in triples.open_definitions(rows).collect()] == ["(ENT2) hall [SEP] is [SEP] x", "x [SEP] y"]
