@@ -36,13 +36,13 @@ def q_first_rows(spark, d):
 
 
 def _samples(spark, d):
-    """Documents as samples: triples of the first lines as arrays."""
-    own = Q.all_triples(spark, d).where("pos < 6")
+    """Documents as samples: the first line is the question, all words and lines are gold ids and passages, triples are arrays."""
+    own = Q.all_triples(spark, d)
     arrays = lambda kind, name, where: own.where((F.col("kind") == kind) & F.expr(where)).groupBy("index").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "triple"))), lambda x: x["triple"]).alias(name))
     out = _docs(spark, d).select("index", F.concat(F.lit("d"), F.col("index").cast("string")).alias("uid"), (2 + F.col("index") % 3).cast("int").alias("num_hops"), F.when(F.col("index") % 7 != 0, F.substring_index("text", "\n", 1)).alias("question"), F.col("lang").alias("answer"), "lang", "text")
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    out = out.withColumns({"gold_id_list": F.transform(F.slice(words, 1, 3), lambda w: F.concat(F.lit(" "), w)), "gold_evidence_list": F.slice(F.split("text", "\n"), 1, 2), "cot_reasoning": F.when(F.col("index") % 2 == 0, F.concat(F.lit("since "), "lang"))})
-    for kind, name, where in (("definition", "cot_def_triples", "pos <> 1"), ("relation", "cot_triples", "pos < 4"), ("definition", "question_def_triples", "pos = 1"), ("relation", "question_triples", "pos % 2 = 0")):
+    out = out.withColumns({"gold_id_list": F.transform(words, lambda w: F.concat(F.lit(" "), w)), "gold_evidence_list": F.split("text", "\n"), "cot_reasoning": F.when(F.col("index") % 2 == 0, F.concat(F.lit("since "), "lang"))})
+    for kind, name, where in (("definition", "cot_def_triples", "pos <> 1"), ("relation", "cot_triples", "pos % 4 <> 3"), ("definition", "question_def_triples", "pos = 1"), ("relation", "question_triples", "pos % 2 = 0")):
         out = out.join(arrays(kind, name, where), "index", "left")
     return out
 
@@ -265,12 +265,12 @@ def q_verify_model(spark, d):
 def q_answer_model(spark, d):
     """M3, M6"""
     rows = _lines(spark, d).select("conv_id", "turn", F.lit("who").alias("question"), F.col("text").alias("evidence"))
-    return models.answer(rows, models.LineBackend(line=1), limit=60).select("conv_id", "turn", "predicted_answer", "status")
+    return models.answer(rows, models.LineBackend(line=1)).select("conv_id", "turn", "predicted_answer", "status")
 
 
 def q_ask_model(spark, d):
     """M4"""
-    rows = Q.line_triples(spark, d).where("pos < 3").select("index", "pos", "triple")
+    rows = Q.line_triples(spark, d).select("index", "pos", "triple")
     return models.ask(rows, models.LineBackend(line=0, drop="Ask for the missing part of: ")).select("index", "pos", "generated_question")
 
 
@@ -316,7 +316,7 @@ def q_reasoning_facts(spark, d):
 
 def q_document_facts(spark, d):
     """L8, U3"""
-    rows = _docs(spark, d).select((F.col("index") % 50).alias("index"), F.col("index").alias("pos"), F.concat_ws("\n", F.slice(F.split("text", "\n"), 1, 3)).alias("document"))
+    rows = _docs(spark, d).select((F.col("index") % 50).alias("index"), F.col("index").alias("pos"), F.col("text").alias("document"))
     return flows.document_facts(rows, _MODEL, Q._keep(spark))
 
 
@@ -333,8 +333,8 @@ def q_json_roundtrip(spark, d):
 def q_read_graphs(spark, d):
     """Graphs as JSON arrays on disk, as long rows."""
     path = Q.scratch(spark, "json")
-    s = _samples(spark, d).where("index < 100").select(F.col("index").cast("int").alias("index"), F.col("cot_def_triples").alias("definition_triples"), F.col("cot_triples").alias("triples"))
-    s.groupBy().agg(F.to_json(F.array_sort(F.collect_list(F.struct(*s.columns)))).alias("value")).coalesce(1).write.text(path)
+    s = _samples(spark, d).select(F.col("index").cast("int").alias("index"), F.col("cot_def_triples").alias("definition_triples"), F.col("cot_triples").alias("triples"))
+    tables.write_arrays(s, path)
     return tables.long_triples(tables.read_graphs(spark, path))
 
 
@@ -361,7 +361,7 @@ QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("q_") and ca
 
 _STRIP = lambda c: f"regexp_replace(regexp_replace({c}, '^\\s+', ''), '\\s+$', '')"
 _AGG = lambda where, name: f"{name} as (select idx, string_agg(triple, chr(10) order by pos) as v, list(triple order by pos) as l from {where} group by 1)"
-_ARRAYS = f"""{Q.TRIPLES}, {Q.DEFS}, {_AGG("defs0 where pos <> 1", "cd")}, {_AGG("triples where pos < 4", "ct")}, {_AGG("defs0 where pos = 1", "qd")}, {_AGG("triples where pos < 6 and pos % 2 = 0", "qt")}"""
+_ARRAYS = f"""{Q.TRIPLES}, {Q.DEFS}, {_AGG("defs0 where pos <> 1", "cd")}, {_AGG("triples where pos % 4 <> 3", "ct")}, {_AGG("defs0 where pos = 1", "qd")}, {_AGG("triples where pos % 2 = 0", "qt")}"""
 _SAMPLE = f"""{_ARRAYS}, smp as (select doc_id as idx, case when doc_id % 7 <> 0 then split_part(text, chr(10), 1) end as question, case when doc_id % 2 = 0 then 'since ' || lang else '-' end as told,
  coalesce(cd.l, []) as cd, coalesce(ct.l, []) as ct, coalesce(qd.l, []) as qd, coalesce(qt.l, []) as qt from documents left join cd on cd.idx = doc_id left join ct on ct.idx = doc_id left join qd on qd.idx = doc_id left join qt on qt.idx = doc_id)"""
 _WORDS = "[w for w in regexp_split_to_array(text, '\\s+') if w <> '']"
@@ -389,7 +389,7 @@ ORACLE_SQL = {
     "q_hop_filter": "select doc_id, cast(3 as integer) as num_hops from documents where doc_id % 3 = 1",
     "q_first_rows": 'select doc_id as "index", lang from documents order by doc_id limit 50',
     "q_checked_projection": f"""with {_ARRAYS} select doc_id as "index", 'd' || doc_id as uid, cast(2 + doc_id % 3 as integer) as num_hops, case when doc_id % 7 <> 0 then split_part(text, chr(10), 1) else '-' end as question, lang as answer,
- array_to_string([' ' || w for w in {_WORDS}[1:3]], '|') as gold, coalesce(len(ct.l), 0) as n_triples, true as prediction, true as best_path_index, true as best_path_confidence, true as best_path_infilling_confidence, true as best_infilling_conf_path_index, true as best_infilling_conf_path_confidence, 15 as n_columns
+ array_to_string([' ' || w for w in {_WORDS}], '|') as gold, coalesce(len(ct.l), 0) as n_triples, true as prediction, true as best_path_index, true as best_path_confidence, true as best_path_infilling_confidence, true as best_infilling_conf_path_index, true as best_infilling_conf_path_confidence, 15 as n_columns
  from documents left join ct on ct.idx = doc_id""",
     "q_stringified": "select doc_id, cast(quality as varchar) as quality, toxic || '-x' as t, 2 as n from labels",
     "q_with_question": """select doc_id as "index", case when doc_id % 7 <> 0 and split_part(text, chr(10), 1) <> '' then 'asked' else 'silent' end as kind from documents""",
@@ -403,7 +403,7 @@ ORACLE_SQL = {
     "q_united": f"with {Q.TRIPLES} select idx % 100 as \"index\", count(*) as n, md5(string_agg(triple, chr(10) order by idx, pos)) as digest from triples group by 1",
     "q_undefined_flag": f"with {Q.MENTIONS} select m.idx as \"index\", bool_or(d.ent is null) as has_undefined from ment m left join defs d on d.idx = m.idx and d.ent = m.ent and (d.ord < 2 or d.idx % 2 = 0) where m.kind = 'relation' group by 1",
     "q_shuffled_paths": f"with {Q.PATHS}, {_FLIP} select idx as \"index\", path_index, array_to_string(path, ' - ') as path from fr where path_index < 2",
-    "q_gold_zip": f"""with g as (select doc_id as idx, {_WORDS}[1:3] as ids, string_split(text, chr(10))[1:2] as ts from documents), z as (select idx, len(ids) as n_gold, unnest(range(least(len(ids), len(ts)))) as ord, ids, ts from g)
+    "q_gold_zip": f"""with g as (select doc_id as idx, {_WORDS} as ids, string_split(text, chr(10)) as ts from documents), z as (select idx, len(ids) as n_gold, unnest(range(least(len(ids), len(ts)))) as ord, ids, ts from g)
  select idx as "index", ord, nfc_normalize(ids[ord + 1]) as title, md5('(Title: ' || nfc_normalize(ids[ord + 1]) || ') ' || {_STRIP("nfc_normalize(ts[ord + 1])")}) as evidence, n_gold from z""",
     "q_titles": f"with {_ASSEMBLED} select qid, string_agg(distinct t, '|' order by t) as titles from (select qid, split_part(substr(evidence, 9), ')', 1) as t from asm) group by 1",
     "q_evidence_text": f"with {_ASSEMBLED}, x as (select qid, substr(string_agg(evidence, chr(10) order by pos), 1, 2000) as t from asm group by 1) select qid, len(t) as n, md5(t) as digest from x",
@@ -429,17 +429,17 @@ ORACLE_SQL = {
     "q_token_confidence": "with e as (select vec_id // 10 as id, list_max(embedding) as m, embedding from embeddings) select id, round(avg(1 / list_sum([exp(cast(x as double) - cast(m as double)) for x in embedding])), 6) as confidence, count(*) as n_tokens from e group by 1",
     "q_infill_model": f"""with l as (select conv_id, turn, string_split(text, chr(10))[-1] as x from conversations) select conv_id, turn, case when {_STRIP('x')} = '' then 'none' else {_STRIP('x')} end as infilled, round(1.0 / len(string_split(x, ' ')), 6) as confidence, 'ok' as status from l""",
     "q_verify_model": "select conv_id, turn, turn % 3 = 0 as supported, 'ok' as status from conversations",
-    "q_answer_model": f"select conv_id, turn, case when text = '' then '' else {_STRIP('split_part(substr(text, 1, 60), chr(10), 1)')} end as predicted_answer, 'ok' as status from conversations",
-    "q_ask_model": f"with {Q.TRIPLES}, t as (select idx, pos, trim(array_to_string({Q._EL}, ' ')) as s from triples where pos < 3) select idx as \"index\", pos, case when s = '' or ends_with(s, '?') then s else s || '?' end as generated_question from t",
+    "q_answer_model": f"select conv_id, turn, case when text = '' then '' else {_STRIP('split_part(substr(text, 1, 40000), chr(10), 1)')} end as predicted_answer, 'ok' as status from conversations",
+    "q_ask_model": f"with {Q.TRIPLES}, t as (select idx, pos, trim(array_to_string({Q._EL}, ' ')) as s from triples) select idx as \"index\", pos, case when s = '' or ends_with(s, '?') then s else s || '?' end as generated_question from t",
     "q_nudges": "select md5(text) as prompt, case when len(text) % 2 = 0 then 'known' else split_part(text, chr(10), 1) end as value, len(text) % 2 <> 0 as new from (select distinct text from conversations)",
     "q_construct": _CONSTRUCT,
     "q_construct_graphs": _CONSTRUCT,
     "q_construct_at_once": f"""with {_MADE("'x' || chr(10) || '# Question: ' || text", "benchmark")} select idx as "index", 'relation' as kind, pos, triple from pt""",
     "q_reasoning_facts": f"""with {_MADE("'x' || chr(10) || '(ENT1) is a thing' || chr(10) || 'and (ENT1) was seen' || chr(10) || text || chr(10) || '(ENT1) is a thing'", "benchmark")}
  select idx as "index", 'relation' as kind, pos, triple from made where not starts_with(triple, '(ENT1) [SEP] is') union all select idx, 'definition', pos, triple from pt where starts_with(triple, '(ENT1) [SEP] is')""",
-    "q_document_facts": f"""with {_MADE("'x' || chr(10) || array_to_string(string_split(text, chr(10))[1:3], chr(10))", "documents", "doc_id")} select idx % 50 as "index", idx as doc_pos, pos, triple from made""",
-    "q_json_roundtrip": f"select cast(doc_id as integer) as \"index\", 'd' || doc_id as uid, cast(2 + doc_id % 3 as integer) as num_hops, case when doc_id % 7 <> 0 then split_part(text, chr(10), 1) else '-' end as question, array_to_string([' ' || w for w in {_WORDS}[1:3]], '|') as gold, true as no_answer from documents",
-    "q_read_graphs": f"with {_ARRAYS}, x as (select cd.idx, 'definition' as kind, generate_subscripts(l, 1) - 1 as pos, unnest(l) as triple from cd union all select ct.idx, 'relation', generate_subscripts(l, 1) - 1, unnest(l) from ct) select idx as \"index\", kind, pos, triple from x where idx < 100",
+    "q_document_facts": f"""with {_MADE("'x' || chr(10) || text", "documents", "doc_id")} select idx % 50 as "index", idx as doc_pos, pos, triple from made""",
+    "q_json_roundtrip": f"select cast(doc_id as integer) as \"index\", 'd' || doc_id as uid, cast(2 + doc_id % 3 as integer) as num_hops, case when doc_id % 7 <> 0 then split_part(text, chr(10), 1) else '-' end as question, array_to_string([' ' || w for w in {_WORDS}], '|') as gold, true as no_answer from documents",
+    "q_read_graphs": f"with {_ARRAYS}, x as (select cd.idx, 'definition' as kind, generate_subscripts(l, 1) - 1 as pos, unnest(l) as triple from cd union all select ct.idx, 'relation', generate_subscripts(l, 1) - 1, unnest(l) from ct) select idx as \"index\", kind, pos, triple from x",
     "q_memo_table": "select value, count(*) as n, 0 as before from (select text, max(role) as value from conversations group by 1) group by 1",
     "q_new_version": "select doc_id, quality, 1 as version from labels union all select doc_id, 1 - quality, 2 from labels",
 }

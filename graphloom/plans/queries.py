@@ -145,17 +145,18 @@ def _sources(spark, d):
     a = t.where("pos % 4 <> 3").withColumn("source", F.lit("cot"))
     b = t.where("pos % 4 <> 1").select("index", "kind", "pos", F.upper("triple").alias("triple")).withColumn("source", F.lit("doc"))
     g = t.where("pos % 2 = 0").withColumn("source", F.lit("gold"))
-    return a.unionByName(b).unionByName(g)
+    q = t.where("pos % 3 = 0").withColumn("source", F.lit("question"))
+    return a.unionByName(b).unionByName(g).unionByName(q)
 
 
-SOURCES = f"""{TRIPLES}, src as (select idx, 'cot' as source, triple from triples where pos % 4 <> 3 union all select idx, 'doc', upper(triple) from triples where pos % 4 <> 1 union all select idx, 'gold', triple from triples where pos % 2 = 0),
+SOURCES = f"""{TRIPLES}, src as (select idx, 'cot' as source, triple from triples where pos % 4 <> 3 union all select idx, 'doc', upper(triple) from triples where pos % 4 <> 1 union all select idx, 'gold', triple from triples where pos % 2 = 0 union all select idx, 'question', triple from triples where pos % 3 = 0),
 nrm as (select distinct idx, source, trim(regexp_replace(lower(triple), '\\s+', ' ', 'g')) as t from src),
-pairings as (select * from (values ('cot_doc', 'cot', 'doc'), ('cot_gold', 'cot', 'gold'), ('gold_doc', 'gold', 'doc')) v(pairing, l, r)),
+pairings as (select * from (values ('cot_doc', 'cot', 'doc'), ('cot_gold', 'cot', 'gold'), ('gold_doc', 'gold', 'doc'), ('question_doc', 'question', 'doc'), ('question_gold', 'question', 'gold')) v(pairing, l, r)),
 cmp0 as (select n.idx, p.pairing, n.t, max(cast(source = l as integer)) as l, max(cast(source = r as integer)) as r from nrm n join pairings p on n.source in (p.l, p.r) group by 1, 2, 3),
 cmp1 as (select idx, pairing, sum(l * r) as overlap, sum(l) as n_self, sum(r) as n_other from cmp0 group by 1, 2),
 cmp2 as (select *, case when n_self = 0 then 0.0 else overlap / n_self end as pr, case when n_other = 0 then 0.0 else overlap / n_other end as rc from cmp1),
 cmp as (select *, case when pr + rc = 0 then 0.0 else 2 * pr * rc / (pr + rc) end as f from cmp2)"""
-_PAIRS = ("cot_doc", "cot_gold", "gold_doc")
+_PAIRS = tuple(flows.PAIRINGS)
 
 
 def q_graph_compare(spark, d):

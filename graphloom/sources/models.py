@@ -7,6 +7,7 @@ so a lost or reordered answer can't land on another row.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
@@ -18,10 +19,11 @@ from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .tables import exists, listed
 
 #: Own wording of the tasks.
 TEMPLATES = {
@@ -289,8 +291,8 @@ def backend(name: str, **options) -> Backend:
     raise ValueError(f"no backend for {name}")
 
 
-def generate(rows: DataFrame, model: Backend, prompt: str = "prompt", batch: int = 256) -> DataFrame:
-    """rows and text, confidence, status. Put the result in a table before using it twice."""
+def _called(prompts: DataFrame, model: Backend, batch: int) -> DataFrame:
+    """prompts (prompt) -> SCHEMA."""
 
     def run(batches):
         for b in batches:
@@ -300,10 +302,53 @@ def generate(rows: DataFrame, model: Backend, prompt: str = "prompt", batch: int
                 got = model.generate(part)
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.float64(), pa.string())))], names=["prompt", "text", "confidence", "status"])
 
-    answers = rows.select(F.col(prompt).alias("prompt")).where("prompt is not null").distinct().mapInArrow(run, SCHEMA)
+    return prompts.mapInArrow(run, SCHEMA)
+
+
+def generate(rows: DataFrame, model: Backend, prompt: str = "prompt", batch: int = 256) -> DataFrame:
+    """rows and text, confidence, status. Put the result in a table before using it twice."""
+    prompts = rows.select(F.col(prompt).alias("prompt")).where("prompt is not null").distinct()
+    answers = model.answers(prompts, batch) if isinstance(model, Stored) else _called(prompts, model, batch)
     return rows.join(answers.withColumnRenamed("prompt", prompt), prompt, "left")
 
 
+@dataclass(frozen=True)
+class Stored(Backend):
+    """Another backend's answers, kept by prompt under a folder, so that a run that dies repeats at most a part of its calls.
+
+    Prompts are dealt to `parts` by their hash; a part's answers are a table that is written whole or not at all, and only prompts that no table has
+    are asked. Failed calls aren't kept. Answers lie under the fingerprint of the backend and its options, keys aside, so those of
+    another model are never taken for this one's."""
+
+    inner: Backend | None = None
+    path: str = ""
+    parts: int = 16
+
+    def folder(self) -> str:
+        options = {k: v for k, v in sorted(vars(replace(self.inner, max_new_tokens=self.max_new_tokens)).items()) if k != "key"}
+        return f"{self.path.rstrip('/')}/{hashlib.sha256(repr((type(self.inner).__name__, options)).encode()).hexdigest()[:16]}"
+
+    def _known(self, spark: SparkSession) -> DataFrame:
+        folder = self.folder()
+        done = [f"{folder}/{n}" for n in listed(spark, folder) if exists(spark, f"{folder}/{n}/_SUCCESS")]
+        return spark.read.schema(SCHEMA).parquet(*done) if done else spark.createDataFrame([], SCHEMA)
+
+    def answers(self, prompts: DataFrame, batch: int) -> DataFrame:
+        """prompts (prompt), each once -> SCHEMA."""
+        spark, model = prompts.sparkSession, replace(self.inner, max_new_tokens=self.max_new_tokens)
+        known = self._known(spark).where("status = 'ok'")
+        part = F.pmod(F.xxhash64("prompt"), F.lit(self.parts))
+        left = prompts.join(known.select("prompt"), "prompt", "left_anti").withColumn("part", part)
+        failed = None
+        for k in [r[0] for r in left.select("part").distinct().orderBy("part").collect()]:  # at most `parts`
+            path = f"{self.folder()}/{k:04d}-{uuid.uuid4().hex}"
+            _called(left.where(F.col("part") == k).select("prompt"), model, batch).write.parquet(path)
+            bad = spark.read.schema(SCHEMA).parquet(path).where("status <> 'ok'")
+            failed = bad if failed is None else failed.unionByName(bad)
+        good = self._known(spark).where("status = 'ok'").join(prompts, "prompt", "left_semi")
+        return good if failed is None else good.unionByName(failed)
+
+
 def _prompted(task: str, **values) -> Column:
     """the task's template; without evidence the part up to the empty line goes."""
     full = T.prompt(TEMPLATES[task], **values)

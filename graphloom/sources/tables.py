@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .json_ranges import records
+
 SAMPLES = "index int, uid string, num_hops int, question string, answer string, answer_aliases array<string>, gold_id_list array<string>, gold_evidence_list array<string>, cot_reasoning string, cot_def_triples array<string>, cot_triples array<string>, retrieved_documents array<string>"
 GRAPHS = "index int, uid string, num_hops int, question string, answer string, answer_aliases array<string>, gold_id_list array<string>, gold_evidence_list array<string>, definition_triples array<string>, triples array<string>"
 MEMO = "prompt string, value string"
@@ -59,9 +63,12 @@ class EngineConfig:
 
 
 def read_samples(spark: SparkSession, path: str, schema: str = SAMPLES, lines: bool = False) -> DataFrame:
-    """JSON arrays of samples, or with `lines` a sample a line (as write_results gives, which Spark can split), with a
-    fixed schema; the file's name tells the dataset."""
-    return spark.read.schema(schema).option("multiLine", not lines).json(path).withColumn("source_file", F.input_file_name())
+    """JSON arrays of samples, a file by as many tasks as it has ranges, or with `lines` a sample a line (as write_results
+    gives), with a fixed schema; the file's name tells the dataset."""
+    if lines:
+        return spark.read.schema(schema).json(path).withColumn("source_file", F.input_file_name())
+    own = records(spark, path).select(F.from_json("text", schema).alias("x"), F.col("file").alias("source_file"))
+    return own.select("x.*", "source_file")
 
 
 def read_graphs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -111,6 +118,24 @@ def write_results(df: DataFrame, path: str, fmt: str = "json", order: str | None
     (df.orderBy(order) if order else df).write.mode("overwrite").format(fmt).save(path)
 
 
+def write_arrays(df: DataFrame, path: str) -> None:
+    """Rows as JSON arrays, a file a task."""
+
+    def run(batches):
+        before, n = None, 0
+        for b in batches:
+            own = b.column(0).to_pylist()
+            rows = ([before] if before is not None else []) + own[:-1] if own else []
+            if own:
+                before = own[-1]
+            yield pa.RecordBatch.from_arrays([pa.array([("," if n + k else "[") + x for k, x in enumerate(rows)], pa.string())], names=["value"])
+            n += len(rows)
+        if before is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([("," if n else "[") + before + "]"], pa.string())], names=["value"])
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(run, "value string").write.mode("errorifexists").text(path)
+
+
 def stage_table(df: DataFrame, path: str) -> DataFrame:
     """A stage's result as a table that the next stage and a rerun read: what is complete isn't computed again."""
     if not exists(df.sparkSession, f"{path}/_SUCCESS"):
@@ -120,16 +145,37 @@ def stage_table(df: DataFrame, path: str) -> DataFrame:
 
 class Stages:
     """`keep` of a run, as tables under a folder of the run's own, numbered in the order of its steps: a run that is
-    started again with the same inputs and configuration goes on where the last one ended."""
+    started again with the same inputs and configuration goes on where the last one ended. fingerprint() of those is kept
+    beside them, and a run with another one is refused."""
 
-    def __init__(self, root: str):
+    def __init__(self, root: str, fingerprint: str | None = None, spark: SparkSession | None = None):
         self.root, self.n = root.rstrip("/"), 0
+        if fingerprint:
+            claim(spark, f"{self.root}/FINGERPRINT", fingerprint)
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.n += 1
         return stage_table(df, f"{self.root}/{self.n:04d}")
 
 
+def fingerprint(config: object, *inputs: DataFrame) -> str:
+    """Of a configuration and of the rows of inputs, whatever their order."""
+    told = [repr(config)]
+    for df in inputs:
+        columns = sorted(df.columns)
+        row = F.xxhash64(*[F.to_json(F.struct(c)) for c in columns])
+        told.append(repr((columns, tuple(df.select(row.alias("h")).agg(F.count("*"), F.sum(F.col("h").cast("decimal(38,0)")), F.bit_xor("h")).first()))))
+    return hashlib.sha256("\n".join(told).encode()).hexdigest()
+
+
+def claim(spark: SparkSession, path: str, fingerprint: str) -> None:
+    """Leave the fingerprint at path, or hold it against the one that is there."""
+    if not exists(spark, path):
+        write_text(spark, path, fingerprint)
+    elif (there := read_text(spark, path)) != fingerprint:
+        raise ValueError(f"{path} is of other inputs or another configuration: {there[:12]}, not {fingerprint[:12]}")
+
+
 class GraphTable:
     """Constructed graphs (index, kind, pos, triple); later rows of a sample are added once it isn't there yet."""
 
