@@ -24,11 +24,14 @@ HASHES, BITS, MOST_BITS = 6, 10, 26
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-    Where it is unset (tests), a folder in the warehouse, which they share too."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where it is unset, a folder in the
+    warehouse: on a local master (tests), or if the warehouse isn't in a machine's own file system; else that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/graphloom"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not spark.sparkContext.master.startswith("local") and (warehouse.startswith("file:") or "://" not in warehouse):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = f"{warehouse}/graphloom"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")

@@ -310,7 +310,8 @@ def _merge(names: DataFrame, links: DataFrame, s: Scratch) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Rows and columns of docs, one row of each group. Only texts of documents that may go are shuffled."""
     small_batches(docs.sparkSession)
-    own, place = keyed(docs), F.struct("id__", "th__")
+    # the row as one column, so that no name of its own is in the way
+    own, place = keyed(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row__"))), F.struct("id__", "th__")
     with Scratch(docs.sparkSession) as s:
         sketched, names = groups(own, s)
         rooted = s.keep(sketched.join(names, "node", "left").select("id__", "th__", F.coalesce("root", "node").alias("root")))
@@ -321,4 +322,4 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
         maybe = maybe_in(change.select(_place().alias("h")), change.count())
     own = own.withColumn("maybe__", maybe(_place()))
     resolved = own.where("maybe__").join(change.where("goes").hint("shuffle_hash"), ["id__", "th__"], "left_anti").dropDuplicates(["id__", "th__"])
-    return own.where("not maybe__").unionByName(resolved).select(docs.columns)
+    return own.where("not maybe__").unionByName(resolved).select("row__.*")

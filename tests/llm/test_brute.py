@@ -339,3 +339,31 @@ def test_decontaminate_odd_items(spark):
         assert decontaminate.drop_leaks(docs, bench).count() == 0
     finally:
         decontaminate.SLICE = before
+
+
+def test_near_dedup_clashing_names(spark):
+    """Columns of the names that near-dedup itself uses pass through it."""
+    rows = [(k, "a b c d e f g " + "x" * (k % 2), k, str(k), k % 2 == 0, "n") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id__ int, th__ string, maybe__ boolean, row__ string")
+    left = near_dedup.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and sorted(tuple(r) for r in left.collect()) == rows[:2]
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1, 0)], [(1, 1, 0), (3, 0, 1), (None, None, None)]])
+def test_pipeline_odd_tables(spark, tmp_path, labels):
+    """Odd rows, clashing columns, hardly any labels, no benchmark; no documents."""
+    import corpus_pipeline
+
+    for name, rows in (("odd", ODD), ("none", [])):
+        where = tmp_path / name
+        docs = spark.createDataFrame([(*r, "en", "s", 1, 7, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, id__ int, ids string")
+        docs.write.parquet(str(where / "documents.parquet"))
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(where / "labels.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(where / "benchmark.parquet"))
+        got = collections.Counter(r.doc_id for r in corpus_pipeline.run(spark, str(where)).collect())
+        if not rows:
+            assert not got
+        elif len(labels) < 3:  # null and blank texts are one group; a row repeated is one; the two long ones differ by a letter
+            assert got == collections.Counter([1, 3, None, 4, 6, 7])
+        else:
+            assert set(got) <= {d for d, _ in ODD}
