@@ -59,6 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn over documents, each one's table written and read again; (doc_id, n_tokens, ids, decoded) of what is kept.
+
+    Columns of documents beyond COLUMNS are left out by the first stage. Empty documents give no row; without labels of both
+    kinds no document is toxic, without benchmark items none is a leak. What a stage does with nulls, empty and very long
+    texts, ties and repeated rows stands with it. The last table is the caller's to delete."""
     docs, where, last = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
