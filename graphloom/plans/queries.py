@@ -26,8 +26,13 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors share: in spark.checkpoint.dir, or where that is unset in the warehouse."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder that the driver and all executors share: in spark.checkpoint.dir, or where that is unset in the warehouse, if
+    that is shared or the master local. It is the caller's to delete."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        where = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local") and (where.startswith("file:") or "://" not in where):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
