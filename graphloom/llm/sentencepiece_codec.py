@@ -136,11 +136,10 @@ class PieceModel:
         return parts
 
     def _fit(self, a: str, b: str) -> bool:
-        if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 500_000:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(a + b) == [a, b]
-        return known
+        if len(self.pairs) > 500_000:
+            self.pairs.clear()
+        fits = self.pairs[a, b] = self.merge(a + b) == [a, b]
+        return fits
 
     def walk(self, text: str) -> list[str]:
         """Pieces of a text whose characters are all in the vocabulary."""
@@ -153,21 +152,26 @@ class PieceModel:
         failed = bytearray(n + 1)
         out: list[str] = []
         tried: list[int] = []  # for each accepted piece, its place in starts
-        pos, k = 0, 0
+        pos, k, last, known = 0, 0, None, self.pairs.get
         while pos < n:
             options = starts[pos]
             while k < len(options):
                 end = pos + options[k]
-                if not failed[end] and (not out or self._fit(out[-1], text[pos:end])):
-                    break
+                if not failed[end]:
+                    piece = text[pos:end]
+                    if last is None:
+                        break
+                    if (fits := known((last, piece))) is None:
+                        fits = self._fit(last, piece)
+                    if fits:
+                        break
                 k += 1
             else:
                 failed[pos] = 1
-                last = out.pop()
-                k = tried.pop() + 1
-                pos -= len(last)
+                pos -= len(out.pop())
+                k, last = tried.pop() + 1, out[-1] if out else None
                 continue
-            out.append(text[pos:end])
+            out.append(last := piece)
             tried.append(k)
             pos, k = end, 0
         return out
