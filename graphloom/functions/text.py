@@ -242,9 +242,11 @@ def three_places():
     return run
 
 
-def cut_at(c: Column, stops: tuple[str, ...]) -> Column:
-    """Text up to and with the stop sequence that ends first; all of it if none is there."""
-    end = F.array_min(F.array(*[F.when(F.instr(c, x) > 0, F.instr(c, x) + F.lit(len(x) - 1)).otherwise(F.length(c)) for x in stops]))
+def cut_at(c: Column, stops: tuple[str, ...], start: Column | None = None) -> Column:
+    """Text up to and with the stop sequence that ends first; all of it if none is there. Stop sequences that begin before
+    `start` (from 1) don't count."""
+    at = lambda x: F.call_function("locate", F.lit(x), c, F.lit(1) if start is None else start)
+    end = F.array_min(F.array(*[F.when(at(x) > 0, at(x) + F.lit(len(x) - 1)).otherwise(F.length(c)) for x in stops]))
     return F.substr(c, F.lit(1), end)
 
 

@@ -36,3 +36,14 @@ def test_q_pipeline_long_lines(spark, monkeypatch):
     monkeypatch.setattr(queries.flows, "graph_check", lambda s, facts, *a: seen.append(facts) or done)
     queries.q_pipeline(spark, None)
     assert [r.triple for r in seen[0].where("kind = 'relation'").collect()] == ["(ENT1) [SEP] w1 [SEP] " + " ".join(words[2:])]
+
+
+def test_q_cut_at_stops_in_texts(spark, compare, tmp_path):
+    """Texts that hold stop sequences themselves, as four of sf0.1 do."""
+    import shutil
+
+    shutil.copytree(SF, d := tmp_path / "sf")
+    texts = ["the last one", "a </search> b </answer> c", "", None, "läst 𝄞 last", "plain"]
+    rows = spark.createDataFrame([(k // 2, k % 2, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    rows.toPandas().to_parquet(d / "conversations.parquet")
+    compare(more_queries.q_cut_at, ORACLE_SQL["q_cut_at"], str(d))
