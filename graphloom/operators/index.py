@@ -19,13 +19,15 @@ the segments before them; a merge writes what is alive as one segment.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import exists, listed, read_text, write_text
+from ..functions.text import let
+from ..sources.tables import exists, listed, read_text, tidy, write_text
 
 #: BM25's constants (fixed values)
 K1, B = 0.9, 0.4
@@ -33,6 +35,10 @@ K1, B = 0.9, 0.4
 PROBES = 16
 #: Scores are rounded to six places; bounds are compared with as much to spare.
 SLACK = 1e-5
+#: Rows of queries' words, and document ids, that are sent to all tasks at a time at most.
+SENT_WORDS, SENT_DOCS = 200_000, 200_000
+#: Scores that a task adds up.
+SUMS = 250_000
 
 
 def terms(c: Column) -> Column:
@@ -40,11 +46,26 @@ def terms(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != "")
 
 
+def _counts(c: Column) -> Column:
+    """array<struct<token, tf, dl>> of a text, by its sorted words: linear beside the sort, and no shuffle."""
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.transform(s, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get(s, x["i"] - 1) != x["w"]))
+        until = lambda f, k: F.coalesce(F.get(f, k + 1)["i"], F.size(s))
+        return let(first, lambda f: F.transform(f, lambda x, k: F.struct(x["w"].alias("token"), (until(f, k) - x["i"]).cast("long").alias("tf"), F.size(s).cast("long").alias("dl"))))
+
+    return let(F.sort_array(terms(c)), runs)
+
+
 def postings(corpus: DataFrame) -> DataFrame:
     """(doc_id, contents) -> (token, block, doc_id, tf, dl). A block is a class of frequencies (powers of two) and of lengths
-    (half powers of two)."""
-    words = corpus.select("doc_id", terms(F.col("contents")).alias("w")).select("doc_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("token"))
-    counted = words.groupBy("token", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    (half powers of two). Words are counted in their row; only those of repeated doc_ids meet in a shuffle."""
+    counted = corpus.select("doc_id", F.inline(_counts(F.col("contents"))))
+    again = corpus.groupBy(F.col("doc_id").alias("d")).count().where("count > 1").select("d")
+    if not again.isEmpty():
+        same = F.col("doc_id").eqNullSafe(F.col("d"))
+        merged = counted.join(again, same, "left_semi").groupBy("doc_id", "token", "dl").agg(F.sum("tf").alias("tf"))
+        counted = counted.join(again, same, "left_anti").unionByName(merged)
     block = F.floor(F.log2("tf")) * 128 + F.floor(2 * F.log2("dl"))
     return counted.select("token", block.cast("int").alias("block"), "doc_id", "tf", "dl")
 
@@ -87,10 +108,25 @@ class Index:
         return self.postings.select("token", "block", "doc_id").join(wanted.select("qid", "token", "block"), ["token", "block"]).select("qid", "doc_id").distinct()
 
     def _scores(self, pairs: DataFrame, words: DataFrame, k1: float, b: float) -> DataFrame:
-        """(qid, doc_id, score) of pairs (qid, doc_id); words: (qid, token, qtf, idf). Postings are looked up by word and document."""
-        own = self.postings.select("token", "doc_id", "tf", "dl").join(words.select("token").distinct(), "token", "left_semi").join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+        """(qid, doc_id, score) of pairs (qid, doc_id); words: (qid, token, qtf, idf); both tables. Postings of the queries' words go once to
+        where their document's pairs are; they meet the words there, so no pair is multiplied by its query's words in a shuffle."""
         part = F.col("qtf") * self._part(F.col("idf"), F.col("tf"), F.col("dl"), k1, b)
-        return pairs.join(words, "qid").join(own, ["token", "doc_id"]).groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+        docs = pairs.select("doc_id").distinct()
+        n_docs, n_queries = docs.count(), words.select("qid").distinct().count()
+        slices = max(1, math.ceil(words.count() / SENT_WORDS))
+        n = max(1, math.ceil(n_docs * n_queries / slices / SUMS))
+        out = None
+        for k in range(slices):
+            here = F.pmod(F.xxhash64("qid"), F.lit(slices)) == k
+            sent, asked = words.where(here), pairs.where(here)
+            own = self.postings.select("doc_id", "token", "tf", "dl").join(F.broadcast(sent.select("token").distinct()), "token", "left_semi")
+            if n_docs <= SENT_DOCS:
+                own = own.join(F.broadcast(docs), "doc_id", "left_semi")
+            both = own.select("doc_id", "token", "tf", "dl").unionByName(asked.select("doc_id", F.col("qid").alias("asked")), allowMissingColumns=True).repartition(n, "doc_id")
+            met = both.join(F.broadcast(sent.select("token", "qid", "qtf", "idf")), "token", "left").select("doc_id", F.coalesce("asked", "qid").alias("qid"), part.alias("part"), F.col("asked").isNotNull().alias("pair"))
+            done = met.groupBy("doc_id", "qid").agg(F.round(F.sum("part"), 6).alias("score"), F.max("pair").alias("pair")).where("pair and score is not null").select("qid", "doc_id", "score")
+            out = done if out is None else out.unionByName(done)
+        return out
 
     def candidates(self, queries: DataFrame, top_k: int, keep: Callable[[DataFrame], DataFrame], k1: float = K1, b: float = B) -> DataFrame:
         """(qid, doc_id, score) of all documents that can be among the first top_k, and some others."""
@@ -99,15 +135,16 @@ class Index:
         order = Window.partitionBy("qid").orderBy(F.desc("bound"), "token", "block")
         before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         probed = asked.withColumn("before", before).where(F.col("before") < PROBES * top_k)
-        known = keep(self._scores(self._documents(probed), words, k1, b))
+        known = keep(self._scores(keep(self._documents(keep(probed))), words, k1, b))
         # the score of the k-th of them, at least: without k nothing is ruled out
         place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))
-        reach = known.withColumn("k", place).where(F.col("k") == top_k).select("qid", F.col("score").alias("reach"))
+        reach = keep(known.withColumn("k", place).where(F.col("k") == top_k).select("qid", F.col("score").alias("reach")))
         below = F.coalesce(F.sum("most").over(Window.partitionBy("qid").orderBy("most", "token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
         floor = words.withColumn("below", below).select("qid", "token", "below")
-        wanted = asked.join(floor, ["qid", "token"]).join(reach, "qid", "left").where(F.col("reach").isNull() | (F.col("bound") + F.col("below") >= F.col("reach") - SLACK))
-        more = self._documents(wanted).join(known.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
-        return known.unionByName(self._scores(keep(more), words, k1, b))
+        wanted = keep(asked.join(floor, ["qid", "token"]).join(reach, "qid", "left").where(F.col("reach").isNull() | (F.col("bound") + F.col("below") >= F.col("reach") - SLACK)))
+        more = keep(self._documents(wanted).join(known.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti"))
+        high = self._scores(more, words, k1, b).join(reach, "qid", "left").where(F.col("reach").isNull() | (F.col("score") >= F.col("reach") - SLACK))
+        return known.unionByName(keep(high.select("qid", "doc_id", "score")))
 
     def top_k(self, queries: DataFrame, top_k: int, keep: Callable[[DataFrame], DataFrame], k1: float = K1, b: float = B) -> DataFrame:
         """(qid, rank from 0, doc_id, score) for queries (qid, query)."""
@@ -135,10 +172,11 @@ class Segments:
     def _write(self, number: int, own: DataFrame, docs: DataFrame) -> dict:
         """A segment: postings in ranges of tokens (a frequent one may span several), sorted; its blocks, its documents."""
         path = f"{self.root}/segment-{number:06d}"
-        own.repartitionByRange(F.col("token"), F.col("doc_id")).sortWithinPartitions("token", "block", "doc_id").write.parquet(f"{path}/postings")
-        own = self.spark.read.schema(self.schema).parquet(f"{path}/postings")
-        blocks(own).sortWithinPartitions("token").write.parquet(f"{path}/blocks")
-        docs.select("doc_id").write.parquet(f"{path}/docs")
+        with tidy(self.spark):
+            own.repartitionByRange(F.col("token"), F.col("doc_id")).sortWithinPartitions("token", "block", "doc_id").write.parquet(f"{path}/postings")
+            own = self.spark.read.schema(self.schema).parquet(f"{path}/postings")
+            blocks(own).sortWithinPartitions("token").write.parquet(f"{path}/blocks")
+            docs.select("doc_id").write.parquet(f"{path}/docs")
         n = self.spark.read.schema(self.doc).parquet(f"{path}/docs").count()
         return {"number": number, "docs": n, "words": own.agg(F.sum("tf")).first()[0] or 0}
 

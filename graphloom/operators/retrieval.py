@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,12 +14,14 @@ from .index import terms
 RARE = 3
 
 
-def containing(corpus: DataFrame, queries: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+def containing(corpus: DataFrame, queries: DataFrame, postings: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(qid, doc_id) of documents whose contents hold the query text literally. postings: (token, doc_id, ...) of the corpus, if there are.
 
     A document that holds a text holds all its inner tokens (those at its ends may be parts of words there). So a text
     is looked up by its RARE inner tokens of fewest documents, all of which a candidate must have, and the candidates are
-    verified. Texts of fewer than three tokens have no inner token; they are few and short, and meet all documents."""
+    verified. Texts of fewer than three tokens have no inner token; they are few and short, and meet all documents.
+    keep makes tables of the few words and pairs that are looked up, so Spark knows their sizes and leaves postings and texts
+    where they are."""
     own = queries.where("query <> ''").select("qid", "query", terms(F.col("query")).alias("w")).withColumn("inner", F.array_distinct(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))))
     asked = own.select("qid", F.explode("inner").alias("token"))
     if postings is None:
@@ -25,10 +29,10 @@ def containing(corpus: DataFrame, queries: DataFrame, postings: DataFrame | None
     words = postings.select("doc_id", "token").join(asked.select("token").distinct(), "token", "left_semi")
     df = words.groupBy("token").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("df", "token"))
-    rare = asked.join(df, "token").withColumn("r", rank).where(F.col("r") <= RARE).select("qid", "token")
+    rare = keep(asked.join(df, "token").withColumn("r", rank).where(F.col("r") <= RARE).select("qid", "token"))
     need = own.select("qid", F.least(F.size("inner"), F.lit(RARE)).alias("need")).where("need > 0")
     # a token that no document has leaves its text without enough matches
-    met = words.join(rare, "token").groupBy("qid", "doc_id").agg(F.count("*").alias("n")).join(need, "qid").where("n = need").select("qid", "doc_id")
+    met = keep(words.join(rare, "token").groupBy("qid", "doc_id").agg(F.count("*").alias("n")).join(need, "qid").where("n >= need").select("qid", "doc_id"))
     found = met.join(own.select("qid", "query"), "qid").join(corpus.select("doc_id", "contents"), "doc_id").where(F.contains("contents", F.col("query"))).select("qid", "doc_id")
     short = own.where("size(inner) = 0").select("qid", "query")
     return found.unionByName(short.join(corpus.select("doc_id", "contents"), F.contains("contents", F.col("query"))).select("qid", "doc_id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
@@ -136,10 +137,23 @@ def write_arrays(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(run, "value string").write.mode("errorifexists").text(path)
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of a job that runs inside go when it ends: what it wrote is all that later steps read."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stage_table(df: DataFrame, path: str) -> DataFrame:
     """A stage's result as a table that the next stage and a rerun read: what is complete isn't computed again."""
     if not exists(df.sparkSession, f"{path}/_SUCCESS"):
-        df.write.mode("overwrite").parquet(path)
+        with tidy(df.sparkSession):
+            df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
