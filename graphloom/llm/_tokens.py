@@ -48,8 +48,8 @@ class Parts:
     """Token ids of texts from those of their parts. encode(parts) gives whether each part can be encoded (a flag each), and
     by tokenizer (ids, how many of each part). Parts that came before aren't encoded again, as long as there are few."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]], tokenizers: int = 1):
-        self.encode, self.tokenizers = encode, tokenizers
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]], tokenizers: int = 1, most: int = MOST):
+        self.encode, self.tokenizers, self.most = encode, tokenizers, most
         self._forget()
 
     def _forget(self) -> None:
@@ -62,7 +62,7 @@ class Parts:
         """(whether all parts of a text could be encoded, by tokenizer the ids of each text); texts are lists of parts."""
         if not texts:
             return np.zeros(0, bool), [[] for _ in range(self.tokenizers)]
-        if len(self.known) > MOST:
+        if len(self.known) > self.most:
             self._forget()
         before = len(self.known)
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.int64)

@@ -8,7 +8,7 @@ linked to all of B in it, so a group's links are a product: they are counted wit
 being formed, and pairs of ids are formed from a group's distinct ids where it is
 large.
 
-A worker aligns a megabyte of text at a time, all texts in one byte stream (a text's
+A worker aligns a quarter of a megabyte of text at a time, all texts in one byte stream (a text's
 end is an end in both lists). Each text leaves its distinct id pairs, with how often
 it has them, as two binary columns of a table. How many texts hold a pair is counted
 from that table: first in each task, then by Spark. The counts go back to the texts in
@@ -40,8 +40,10 @@ from ._bpe import byte_chars
 from ._spark import Scratch, by_bytes, table
 from ._tokens import Parts, flat, runs
 
-#: Bytes of text that are aligned at a time.
-BYTES = 1 << 20
+#: Bytes of text that are aligned at a time: arrays of links and pairs are some hundred times as large.
+BYTES = 1 << 18
+#: Parts that a worker remembers, with the ids of both tokenizers.
+PARTS = 200_000
 #: Links of a group beyond which its distinct ids are paired, and pairs formed at a time then.
 LARGE, BLOCK = 4096, 1 << 20
 #: Pairs whose counts are sent to the workers at a time: 16 bytes each.
@@ -70,7 +72,7 @@ class Pair:
             raise ValueError("a piece has U+2581 behind another character")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(x) for x in own], np.int64) for own in (self.bytes_a, self.bytes_b))
-        self.parts = Parts(self._encode, 2)
+        self.parts = Parts(self._encode, 2, PARTS)
         self.n = max(len(self.bytes_a), len(pieces))
         self.written = np.array([f"{i}{end}" for end in (",", "|", ";") for i in range(self.n)], object)
 

@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ._spark import by_bytes, small_batches, table
 
 MARK = "▁"
-#: Chunks in each of a worker's two memo generations; bounds its memory.
-MEMO_CHUNKS = 80_000
+#: Chunks in each of a worker's two memo generations; bounds its memory. More where only digests leave the worker: some 250
+#: bytes each.
+MEMO_CHUNKS, DIGEST_CHUNKS = 80_000, 240_000
 #: Bytes of text that are encoded at a time.
 BYTES = 1 << 20
 #: Longer chunks are encoded without memoising.
@@ -70,7 +71,8 @@ def _fields(b: bytes) -> Iterator[tuple[int, object]]:
 class PieceModel:
     """Vocabulary of a SentencePiece BPE model with byte fallback and the identity normaliser."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, chunks: int = MEMO_CHUNKS):
+        self.most = chunks
         self.pieces: list[str] = []
         self.kinds: list[int] = []
         scores: list[float] = []
@@ -190,7 +192,7 @@ class PieceModel:
             ids = self.chunk_ids(chunk)
             value = ",".join(map(str, ids)), self._text(ids)
         if len(chunk) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_CHUNKS:  # what isn't used again goes with the older half
+            if len(self.memo) >= self.most:  # what isn't used again goes with the older half
                 self.older, self.memo = self.memo, {}
             self.memo[chunk] = value
         return value
@@ -252,9 +254,9 @@ class PieceModel:
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> PieceModel:
+def load(path: str, chunks: int = MEMO_CHUNKS) -> PieceModel:
     with open(path, "rb") as f:
-        return PieceModel(f.read())
+        return PieceModel(f.read(), chunks)
 
 
 def encode_table(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,7 +280,7 @@ def digest_table(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     small_batches(docs.sparkSession)
 
     def run(batches):
-        model, sha = load(model_path), hashlib.sha256
+        model, sha = load(model_path, DIGEST_CHUNKS), hashlib.sha256
         for b in by_bytes(batches, 1, BYTES):
             n, ids, text = [], [], []
             for t in b.column(1).to_pylist():

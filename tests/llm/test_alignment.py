@@ -121,3 +121,25 @@ def test_runs_join_to_the_text():
 
 def test_empty_table(spark):
     assert alignment.link_counts(spark.createDataFrame([], "doc_id long, text string"), A, B).collect() == []
+
+
+def test_bounded_memory():
+    """What a worker holds while it aligns megabytes of text, beside its tokenizers."""
+    import random
+    import tracemalloc
+
+    import public_tokenizers as P
+    import pyarrow as pa
+
+    from graphloom.llm._spark import by_bytes
+
+    rng, tokens = random.Random(3), alignment.load(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(rng.choices(words, k=400)) for _ in range(700)])], names=["text"])
+    tracemalloc.start()
+    try:
+        for b in by_bytes([batch], 0, alignment.BYTES):
+            alignment.align(tokens.ids(b.column(0).to_pylist()), tokens)
+        assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    finally:
+        tracemalloc.stop()

@@ -510,3 +510,16 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"] and out.count() > 0
+
+
+def test_sentencepiece_digests_remember_more(monkeypatch):
+    """op3's worker remembers the words of a varied corpus; the pipeline's, which keeps texts too, fewer."""
+    path, seen = sentencepiece_codec.default_model(), []
+    for n, again in ((sentencepiece_codec.DIGEST_CHUNKS, False), (sentencepiece_codec.MEMO_CHUNKS, True)):
+        model = sentencepiece_codec.PieceModel(open(path, "rb").read(), n)
+        monkeypatch.setattr(model, "chunk_ids", lambda c: seen.append(c) or [300])
+        text = " ".join(f"w{k}" for k in range(200_000))
+        model.encode_decode(text)
+        seen.clear()
+        model.encode_decode(text)
+        assert bool(seen) == again
