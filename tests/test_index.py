@@ -103,3 +103,15 @@ def test_segments_equal_one_build(spark, corpus, tmp_path):
     store.merge()
     assert rows(index.Segments(spark, str(tmp_path / "i")).index(keep).top_k(q, 5, keep)) == want
     alike(want, sorted(brute(left, queries, 5)))
+
+
+def test_postings_stay_in_their_rows(spark):
+    """Words are counted without a shuffle; rows of a repeated doc_id and of one length count as one document, as in the SQL."""
+    docs = [(1, "a b a"), (2, None), (3, "c c"), (None, "a x")]
+    own = index.postings(spark.createDataFrame(docs, "doc_id long, contents string"))
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    plain = lambda df: sorted((str(r.doc_id), r.token, r.tf, r.dl) for r in df.collect())
+    want = [("1", "a", 2, 3), ("1", "b", 1, 3), ("3", "c", 2, 2), ("None", "a", 1, 2), ("None", "x", 1, 2)]
+    assert plain(own) == want
+    again = index.postings(spark.createDataFrame([*docs, (1, "a d d"), (1, "a"), (None, "x y")], "doc_id long, contents string"))
+    assert plain(again) == sorted([("1", "a", 1, 1), ("1", "a", 3, 3), ("1", "b", 1, 3), ("1", "d", 2, 3), ("3", "c", 2, 2), ("None", "a", 1, 2), ("None", "x", 2, 2), ("None", "y", 1, 2)])
