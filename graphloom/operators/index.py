@@ -11,7 +11,11 @@ below. So once k documents are known to reach a score, only those blocks have to
 whose bound, with that sum, reaches it too: of a stop word none or few. The
 score to reach comes from the blocks of the largest bounds, whose documents are scored in full.
 
-An index can be kept as segments: each is written once, sorted by token, with the number and length of
+Postings are written where their document is read, without a shuffle or a sort, in parts of some
+PART_DOCS documents. Blocks are formed of the words asked for alone, and scores are added up
+a part at a time: what lies on disk beside the postings doesn't grow with the corpus.
+
+An index can be kept as segments: each is written once, in such parts, with the number and length of
 its documents. Statistics are sums over segments; deleted documents are marks that hold for
 the segments before them; a merge writes what is alive as one segment.
 """
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from ..sources.tables import exists, listed, read_text, tidy, write_text
+from ..sources.tables import listed, read_text, remove, tidy, write_text
 
 #: BM25's constants (fixed values)
 K1, B = 0.9, 0.4
@@ -37,6 +41,8 @@ PROBES = 16
 SLACK = 1e-5
 #: Rows of queries' words, and document ids, that are sent to all tasks at a time at most.
 SENT_WORDS, SENT_DOCS = 200_000, 200_000
+#: Documents of a part of the postings, about.
+PART_DOCS = 200_000
 #: Scores that a task adds up.
 SUMS = 250_000
 
@@ -75,29 +81,55 @@ def blocks(own: DataFrame) -> DataFrame:
     return own.groupBy("token", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
 
 
+def dealt(k: int, n: int) -> Column:
+    """Whether a doc_id is of part k of n, whatever its type."""
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(n)) == k
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 @dataclass
 class Index:
-    """postings and blocks as tables, how many documents there are, and their mean number of words."""
+    """Postings in parts (table, k, n), each of which holds all postings of its documents, which are dealt(k, n); how many documents
+    there are, and their mean number of words."""
 
-    postings: DataFrame
-    blocks: DataFrame
+    parts: list[tuple[DataFrame, int, int]]
     n_docs: int
     avgdl: float
 
+    @property
+    def postings(self) -> DataFrame:
+        return _union([own for own, _, _ in self.parts])
+
+    @property
+    def blocks(self) -> DataFrame:
+        return blocks(self.postings)
+
     @staticmethod
     def build(corpus: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> Index:
-        """The corpus is tokenised once."""
-        own = keep(postings(corpus))
-        n, total = corpus.count(), own.agg(F.sum("tf")).first()[0] or 0
-        return Index(own, keep(blocks(own)), n, total / n if n else 0.0)
+        """The corpus is read once a part, and tokenised once."""
+        docs = corpus.count()
+        n = max(1, math.ceil(docs / PART_DOCS))
+        return Index.of([(keep(postings(corpus.where(dealt(k, n)) if n > 1 else corpus)), k, n) for k in range(n)], docs)
+
+    @staticmethod
+    def of(parts: list[tuple[DataFrame, int, int]], docs: int) -> Index:
+        total = _union([own for own, _, _ in parts]).agg(F.sum("tf")).first()[0] or 0
+        return Index(parts, docs, total / docs if docs else 0.0)
 
     def _part(self, idf: Column, tf: Column, dl: Column, k1: float, b: float) -> Column:
         return idf * tf / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * dl / F.lit(self.avgdl or 1.0)))
 
-    def _asked(self, queries: DataFrame, k1: float, b: float) -> DataFrame:
+    def _asked(self, queries: DataFrame, k1: float, b: float, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
         """(qid, token, qtf, idf, block, n, bound): the blocks of the queries' words, and the most that a posting of each can add."""
         words = queries.select("qid", F.explode(terms(F.col("query"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
-        own = self.blocks.join(words.select("token").distinct(), "token", "left_semi")
+        # a table, whose size Spark knows: postings of other words are left out before they are blocks
+        own = keep(blocks(self.postings.join(keep(words.select("token").distinct()), "token", "left_semi")))
         df = own.groupBy("token").agg(F.sum("n").alias("df"))
         idf = F.log(1 + (F.lit(self.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         bound = F.col("qtf") * self._part(F.col("idf"), F.col("max_tf"), F.col("min_dl"), k1, b)
@@ -107,35 +139,42 @@ class Index:
         """(qid, doc_id) of the blocks (qid, token, block): equi-joined by word and block, each of which is a part of a word's postings."""
         return self.postings.select("token", "block", "doc_id").join(wanted.select("qid", "token", "block"), ["token", "block"]).select("qid", "doc_id").distinct()
 
-    def _scores(self, pairs: DataFrame, words: DataFrame, k1: float, b: float) -> DataFrame:
+    def _scores(self, pairs: DataFrame, words: DataFrame, keep: Callable[[DataFrame], DataFrame], k1: float, b: float, reach: DataFrame | None = None) -> DataFrame:
         """(qid, doc_id, score) of pairs (qid, doc_id); words: (qid, token, qtf, idf); both tables. Postings of the queries' words go once to
-        where their document's pairs are; they meet the words there, so no pair is multiplied by its query's words in a shuffle."""
+        where their document's pairs are; they meet the words there, so no pair is multiplied by its query's words in a shuffle. A part
+        of the postings is a job, whose shuffle files are gone before the next one's. reach: (qid, reach), below which no score is kept."""
         part = F.col("qtf") * self._part(F.col("idf"), F.col("tf"), F.col("dl"), k1, b)
-        docs = pairs.select("doc_id").distinct()
-        n_docs, n_queries = docs.count(), words.select("qid").distinct().count()
+        n_queries = words.select("qid").distinct().count()
         slices = max(1, math.ceil(words.count() / SENT_WORDS))
-        n = max(1, math.ceil(n_docs * n_queries / slices / SUMS))
-        out = None
-        for k in range(slices):
-            here = F.pmod(F.xxhash64("qid"), F.lit(slices)) == k
-            sent, asked = words.where(here), pairs.where(here)
-            own = self.postings.select("doc_id", "token", "tf", "dl").join(F.broadcast(sent.select("token").distinct()), "token", "left_semi")
-            if n_docs <= SENT_DOCS:
-                own = own.join(F.broadcast(docs), "doc_id", "left_semi")
-            both = own.select("doc_id", "token", "tf", "dl").unionByName(asked.select("doc_id", F.col("qid").alias("asked")), allowMissingColumns=True).repartition(n, "doc_id")
-            met = both.join(F.broadcast(sent.select("token", "qid", "qtf", "idf")), "token", "left").select("doc_id", F.coalesce("asked", "qid").alias("qid"), part.alias("part"), F.col("asked").isNotNull().alias("pair"))
-            done = met.groupBy("doc_id", "qid").agg(F.round(F.sum("part"), 6).alias("score"), F.max("pair").alias("pair")).where("pair and score is not null").select("qid", "doc_id", "score")
-            out = done if out is None else out.unionByName(done)
-        return out
+        done = []
+        for table, i, parts in self.parts:
+            of_part = pairs.where(dealt(i, parts)) if parts > 1 else pairs
+            docs = of_part.select("doc_id").distinct()
+            n_docs = docs.count()
+            n = max(1, math.ceil(n_docs * n_queries / slices / SUMS))
+            for k in range(slices) if n_docs else ():
+                here = F.pmod(F.xxhash64("qid"), F.lit(slices)) == k
+                sent, asked = words.where(here), of_part.where(here)
+                own = table.select("doc_id", "token", "tf", "dl").join(F.broadcast(sent.select("token").distinct()), "token", "left_semi")
+                if n_docs <= SENT_DOCS:
+                    own = own.join(F.broadcast(docs), "doc_id", "left_semi")
+                both = own.select("doc_id", "token", "tf", "dl").unionByName(asked.select("doc_id", F.col("qid").alias("asked")), allowMissingColumns=True).repartition(n, "doc_id")
+                met = both.join(F.broadcast(sent.select("token", "qid", "qtf", "idf")), "token", "left").select("doc_id", F.coalesce("asked", "qid").alias("qid"), part.alias("part"), F.col("asked").isNotNull().alias("pair"))
+                summed = met.groupBy("doc_id", "qid").agg(F.round(F.sum("part"), 6).alias("score"), F.max("pair").alias("pair"))
+                scored = summed.where("pair and score is not null").select("qid", "doc_id", "score")
+                if reach is not None:
+                    scored = scored.join(reach, "qid", "left").where(F.col("reach").isNull() | (F.col("score") >= F.col("reach") - SLACK)).drop("reach")
+                done.append(keep(scored))
+        return _union(done) if done else pairs.select("qid", "doc_id", F.lit(0.0).alias("score")).where("false")
 
     def candidates(self, queries: DataFrame, top_k: int, keep: Callable[[DataFrame], DataFrame], k1: float = K1, b: float = B) -> DataFrame:
         """(qid, doc_id, score) of all documents that can be among the first top_k, and some others."""
-        asked = keep(self._asked(queries, k1, b))
+        asked = keep(self._asked(queries, k1, b, keep))
         words = keep(asked.groupBy("qid", "token").agg(F.first("qtf").alias("qtf"), F.first("idf").alias("idf"), F.max("bound").alias("most")))
         order = Window.partitionBy("qid").orderBy(F.desc("bound"), "token", "block")
         before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         probed = asked.withColumn("before", before).where(F.col("before") < PROBES * top_k)
-        known = keep(self._scores(keep(self._documents(keep(probed))), words, k1, b))
+        known = self._scores(keep(self._documents(keep(probed))), words, keep, k1, b)
         # the score of the k-th of them, at least: without k nothing is ruled out
         place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))
         reach = keep(known.withColumn("k", place).where(F.col("k") == top_k).select("qid", F.col("score").alias("reach")))
@@ -143,8 +182,7 @@ class Index:
         floor = words.withColumn("below", below).select("qid", "token", "below")
         wanted = keep(asked.join(floor, ["qid", "token"]).join(reach, "qid", "left").where(F.col("reach").isNull() | (F.col("bound") + F.col("below") >= F.col("reach") - SLACK)))
         more = keep(self._documents(wanted).join(known.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti"))
-        high = self._scores(more, words, k1, b).join(reach, "qid", "left").where(F.col("reach").isNull() | (F.col("score") >= F.col("reach") - SLACK))
-        return known.unionByName(keep(high.select("qid", "doc_id", "score")))
+        return known.unionByName(self._scores(more, words, keep, k1, b, reach))
 
     def top_k(self, queries: DataFrame, top_k: int, keep: Callable[[DataFrame], DataFrame], k1: float = K1, b: float = B) -> DataFrame:
         """(qid, rank from 0, doc_id, score) for queries (qid, query)."""
@@ -169,21 +207,22 @@ class Segments:
         version = manifest["version"] + 1
         write_text(self.spark, f"{self.root}/manifest/version-{version:06d}", json.dumps(manifest | {"version": version}))
 
-    def _write(self, number: int, own: DataFrame, docs: DataFrame) -> dict:
-        """A segment: postings in ranges of tokens (a frequent one may span several), sorted; its blocks, its documents."""
+    def _write(self, number: int, own: Callable[[Column], DataFrame], docs: DataFrame) -> dict:
+        """A segment: postings in parts, each written where its documents are read, and its documents. own: postings of the documents of a part."""
         path = f"{self.root}/segment-{number:06d}"
         with tidy(self.spark):
-            own.repartitionByRange(F.col("token"), F.col("doc_id")).sortWithinPartitions("token", "block", "doc_id").write.parquet(f"{path}/postings")
-            own = self.spark.read.schema(self.schema).parquet(f"{path}/postings")
-            blocks(own).sortWithinPartitions("token").write.parquet(f"{path}/blocks")
             docs.select("doc_id").write.parquet(f"{path}/docs")
-        n = self.spark.read.schema(self.doc).parquet(f"{path}/docs").count()
-        return {"number": number, "docs": n, "words": own.agg(F.sum("tf")).first()[0] or 0}
+            n = self.spark.read.schema(self.doc).parquet(f"{path}/docs").count()
+            parts = max(1, math.ceil(n / PART_DOCS))
+            for k in range(parts):
+                own(dealt(k, parts)).write.option("compression", "zstd").parquet(f"{path}/postings/{k:04d}")
+        written = self.spark.read.schema(self.schema).parquet(*[f"{path}/postings/{k:04d}" for k in range(parts)])
+        return {"number": number, "docs": n, "parts": parts, "words": written.agg(F.sum("tf")).first()[0] or 0}
 
     def add(self, corpus: DataFrame) -> None:
         """Documents (doc_id, contents) as a new segment. Those that are there already have to be deleted before."""
         m = self._manifest()
-        segment = self._write(m["next"], postings(corpus), corpus)
+        segment = self._write(m["next"], lambda here: postings(corpus.where(here)), corpus)
         self._commit(m | {"next": m["next"] + 1, "segments": [*m["segments"], segment]})
 
     def delete(self, ids: DataFrame) -> None:
@@ -192,35 +231,45 @@ class Segments:
         ids.select("doc_id").distinct().write.parquet(f"{self.root}/deleted-{m['next']:06d}")
         self._commit(m | {"next": m["next"] + 1, "deleted": [*m["deleted"], m["next"]]})
 
-    def _alive(self, m: dict, part: str, schema: str) -> DataFrame:
-        """Rows of all segments but those of documents that a later mark names."""
-        out = None
+    def _left(self, m: dict, number: int, own: DataFrame) -> DataFrame:
+        """Rows of a segment but those of documents that a later mark names."""
+        for d in (d for d in m["deleted"] if d > number):
+            own = own.join(self.spark.read.schema(self.doc).parquet(f"{self.root}/deleted-{d:06d}"), "doc_id", "left_anti")
+        return own
+
+    def _parts(self, m: dict) -> list[tuple[DataFrame, int, int]]:
+        """Postings of what is alive, by segment and part."""
+        out = []
         for s in m["segments"]:
-            own = self.spark.read.schema(schema).parquet(f"{self.root}/segment-{s['number']:06d}/{part}")
-            for d in (d for d in m["deleted"] if d > s["number"]):
-                own = own.join(self.spark.read.schema(self.doc).parquet(f"{self.root}/deleted-{d:06d}"), "doc_id", "left_anti")
-            out = own if out is None else out.unionByName(own)
-        return out.select(*[c.split()[0] for c in schema.split(", ")]) if out is not None else self.spark.createDataFrame([], schema)
+            path, n = f"{self.root}/segment-{s['number']:06d}/postings", s.get("parts")
+            for k in range(n or 1):  # a segment of before there were parts is one
+                own = self.spark.read.schema(self.schema).parquet(f"{path}/{k:04d}" if n else path)
+                out.append((self._left(m, s["number"], own).select("token", "block", "doc_id", "tf", "dl"), k, n or 1))
+        return out or [(self.spark.createDataFrame([], self.schema), 0, 1)]
+
+    def _docs(self, m: dict) -> DataFrame:
+        own = [self._left(m, s["number"], self.spark.read.schema(self.doc).parquet(f"{self.root}/segment-{s['number']:06d}/docs")) for s in m["segments"]]
+        return _union(own) if own else self.spark.createDataFrame([], self.doc)
 
     def index(self, keep: Callable[[DataFrame], DataFrame]) -> Index:
-        """Without marks the segments' own blocks and sums; with some, blocks and sums of what is alive."""
+        """Without marks the segments' own tables and sums; with some, tables and sums of what is alive."""
         m = self._manifest()
-        own = self._alive(m, "postings", self.schema)
-        if not m["deleted"]:
-            each = [self.spark.read.parquet(f"{self.root}/segment-{s['number']:06d}/blocks") for s in m["segments"]]
-            joined = each[0] if each else blocks(own)
-            for t in each[1:]:
-                joined = joined.unionByName(t)
-            merged = joined.groupBy("token", "block").agg(F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
-            n, words = sum(s["docs"] for s in m["segments"]), sum(s["words"] for s in m["segments"])
-        else:
-            own = keep(own)
-            merged = blocks(own)
-            n, words = self._alive(m, "docs", self.doc).count(), own.agg(F.sum("tf")).first()[0] or 0
-        return Index(own, keep(merged), n, words / n if n else 0.0)
+        if m["deleted"]:
+            return Index.of([(keep(own), k, n) for own, k, n in self._parts(m)], self._docs(m).count())
+        n, words = sum(s["docs"] for s in m["segments"]), sum(s["words"] for s in m["segments"])
+        return Index(self._parts(m), n, words / n if n else 0.0)
 
     def merge(self) -> None:
-        """One segment of what is alive; the folders of the old ones may go once nobody reads them."""
+        """One segment of what is alive; the folders of the old ones may be swept once nobody reads them."""
         m = self._manifest()
-        segment = self._write(m["next"], self._alive(m, "postings", self.schema), self._alive(m, "docs", self.doc))
+        own = _union([own for own, _, _ in self._parts(m)])
+        segment = self._write(m["next"], own.where, self._docs(m))
         self._commit({"version": m["version"], "next": m["next"] + 1, "segments": [segment], "deleted": []})
+
+    def sweep(self) -> None:
+        """Delete the folders that the manifest no longer names. Nothing may read or write the index meanwhile."""
+        m = self._manifest()
+        named = {f"segment-{s['number']:06d}" for s in m["segments"]} | {f"deleted-{d:06d}" for d in m["deleted"]} | {"manifest"}
+        for name in listed(self.spark, self.root):
+            if name not in named:
+                remove(self.spark, f"{self.root}/{name}")

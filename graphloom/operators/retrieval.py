@@ -33,7 +33,8 @@ def containing(corpus: DataFrame, queries: DataFrame, postings: DataFrame | None
     need = own.select("qid", F.least(F.size("inner"), F.lit(RARE)).alias("need")).where("need > 0")
     # a token that no document has leaves its text without enough matches
     met = keep(words.join(rare, "token").groupBy("qid", "doc_id").agg(F.count("*").alias("n")).join(need, "qid").where("n >= need").select("qid", "doc_id"))
-    found = met.join(own.select("qid", "query"), "qid").join(corpus.select("doc_id", "contents"), "doc_id").where(F.contains("contents", F.col("query"))).select("qid", "doc_id")
+    # met first meets the texts, beside which it is small: nothing is known of its size once it has met the queries
+    found = met.join(corpus.select("doc_id", "contents"), "doc_id").join(own.select("qid", "query"), "qid").where(F.contains("contents", F.col("query"))).select("qid", "doc_id")
     short = own.where("size(inner) = 0").select("qid", "query")
     return found.unionByName(short.join(corpus.select("doc_id", "contents"), F.contains("contents", F.col("query"))).select("qid", "doc_id"))
 

@@ -26,18 +26,23 @@ Keep = Callable[[DataFrame], DataFrame]
 
 
 class Corpus:
-    """A corpus (doc_id, contents) with its index; built once, read by every step. Hits are (qid, ord, doc_id, evidence)."""
+    """A corpus (doc_id, contents) with its index, which is built once and read by every step. Hits are (qid, ord, doc_id, evidence)."""
 
     def __init__(self, docs: DataFrame, keep: Keep, max_words: int = 500, index: Index | None = None):
         """index: that of a stored index's segments; else it is built."""
-        self.keep, self.passages = keep, keep(R.passages(docs, max_words).select("doc_id", "evidence"))
+        self.keep, self.docs, self.max_words = keep, docs, max_words
         self.index = index or Index.build(docs, keep)
 
+    def read(self, found: DataFrame) -> DataFrame:
+        """A table (doc_id, ...) with evidence: only passages that are found are made, and no copy of the others is kept."""
+        own = self.docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+        return found.join(R.passages(own, self.max_words).select("doc_id", "evidence"), "doc_id")
+
     def hits(self, queries: DataFrame, top_k: int) -> DataFrame:
         """Each distinct query text is searched once."""
         texts = self.keep(queries.select(F.xxhash64("query").alias("qid"), "query").distinct())
         # a table, whose size Spark knows: passages stay where they are
-        found = self.keep(self.index.top_k(texts, top_k, self.keep)).join(self.passages, "doc_id")
+        found = self.read(self.keep(self.index.top_k(texts, top_k, self.keep)))
         return queries.select("qid", F.xxhash64("query").alias("h")).join(found.withColumnRenamed("qid", "h"), "h").select("qid", F.col("rank").alias("ord"), "doc_id", "evidence")
 
     def assembled(self, queries: DataFrame, gold: DataFrame, config: EngineConfig, hits: DataFrame | None = None, total: bool = False) -> DataFrame:
@@ -276,7 +281,7 @@ def agent_hits(queries: DataFrame, corpus: Corpus, model: models.Backend, config
     found = R.turn_results(turns, config.total_results)
     if not config.total_results:
         found = found.where(F.col("pos") < config.agent_top_k)
-    own = keep(found).join(corpus.passages, "doc_id").withColumnRenamed("qid", "h")
+    own = corpus.read(keep(found)).withColumnRenamed("qid", "h")
     return keyed.select("qid", "h").join(own, "h").select("qid", F.col("pos").alias("ord"), "doc_id", "evidence")
 
 
@@ -337,7 +342,7 @@ def compare_run(samples: DataFrame, corpus: Corpus, gold: DataFrame, model: mode
     queries = keep(R.strategy_queries(asked, config.strategy, config.use_agent, config.nudge).withColumn("qid", F.xxhash64("index", "hop")))
     hits = agent_hits(queries, corpus, model, config, keep) if config.use_agent else None
     found = corpus.assembled(queries, gold, config, hits, config.use_agent and config.total_results).join(queries.select("qid", "index", "hop"), "qid")
-    passages = keep(keep(R.multihop_union(found.select("index", "hop", F.col("pos").alias("rank"), "doc_id"))).join(corpus.passages, "doc_id"))
+    passages = keep(corpus.read(keep(R.multihop_union(found.select("index", "hop", F.col("pos").alias("rank"), "doc_id")))))
     doc = document_facts(passages.select("index", "pos", F.col("evidence").alias("document")), model, keep)
     told = document_facts(gold.select("index", F.col("ord").alias("pos"), F.col("evidence").alias("document")), model, keep)
     graphs = graphs.unionByName(doc.select("index", F.lit("doc").alias("source"), "triple")).unionByName(told.select("index", F.lit("gold").alias("source"), "triple"))

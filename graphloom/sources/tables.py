@@ -110,6 +110,12 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise FileExistsError(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """A file, or a folder with all that is in it."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())
 
@@ -153,7 +159,7 @@ def stage_table(df: DataFrame, path: str) -> DataFrame:
     """A stage's result as a table that the next stage and a rerun read: what is complete isn't computed again."""
     if not exists(df.sparkSession, f"{path}/_SUCCESS"):
         with tidy(df.sparkSession):
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
