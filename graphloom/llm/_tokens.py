@@ -31,6 +31,11 @@ def runs(text: str) -> list[str]:
     return out
 
 
+def ends_solid(part: str) -> bool:
+    """Whether a part may be cut from what follows a space behind it."""
+    return _ENDS.search(part) is not None
+
+
 class _Numbers(dict):
     """Numbers its keys in the order in which they are first asked for."""
 

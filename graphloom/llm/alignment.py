@@ -18,7 +18,8 @@ are added up. Neither a pair nor an id is a group in one task.
 Both tokenizers cut at a space that follows a solid character: the byte-level
 pattern never joins a space to a character before it, and no piece of B has U+2581
 behind another character (which is asserted). So parts between such spaces are encoded
-by themselves, each distinct one once.
+by themselves, each distinct one once. For the byte-level tokenizer, of which a call costs more than a
+word, many parts are one text again, whose ids are dealt back to them by their bytes.
 
 Defined results: null and empty texts, and those whose joined bytes differ from
 space+text in either tokenizer (a text with U+2581), have zeros and an empty digest.
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -38,12 +40,14 @@ from pyspark.sql import functions as F
 
 from ._bpe import byte_chars
 from ._spark import Scratch, by_bytes, table
-from ._tokens import Parts, flat, runs
+from ._tokens import Parts, ends_solid, flat, runs
 
 #: Bytes of text that are aligned at a time: arrays of links and pairs are some hundred times as large.
 BYTES = 1 << 18
 #: Parts that a worker remembers, with the ids of both tokenizers.
 PARTS = 200_000
+#: Parts that are one text for the byte-level tokenizer at most.
+JOINED = 256
 #: Links of a group beyond which its distinct ids are paired, and pairs formed at a time then.
 LARGE, BLOCK = 4096, 1 << 20
 #: Pairs whose counts are sent to the workers at a time: 16 bytes each.
@@ -56,6 +60,8 @@ class Pair:
     """Both tokenizers: parts to ids, and the bytes of their ids."""
 
     def __init__(self, byte_bpe: str, piece_model: str):
+        # a task has one core; the library's threads cost more than they save
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -78,21 +84,46 @@ class Pair:
 
     def _encode(self, parts: list[str]):
         """Both tokenizers' ids of each part behind a space, and whether their bytes are those."""
-        both: tuple[list, list] = [], []
+        oks, found = [], []
         for i in range(0, len(parts), 4096):
             own = parts[i : i + 4096]
-            both[0].extend(x.ids for x in self.a.encode_batch_fast([" " + p for p in own], add_special_tokens=False))
+            raw = [b" " + p.encode() for p in own]
             # of an empty text the library gives nothing; as a part it is a space
-            both[1].extend(y if p else [self.b.piece_to_id("▁")] for p, y in zip(own, self.b.encode(own, num_threads=1), strict=True))
-        raw = [b" " + p.encode() for p in parts]
-        ok = [_joined(self.bytes_a, x) == r and _joined(self.bytes_b, y) == r for r, x, y in zip(raw, *both, strict=True)]
-        return np.array(ok, bool), [flat(x) for x in both]
+            b = flat([y if p else [self.b.piece_to_id("▁")] for p, y in zip(own, self.b.encode(own, num_threads=1), strict=True)])
+            found.append((self._encode_a(own, raw), b))
+            oks.append(_same(self.bytes_a, self.size_a, *found[-1][0], raw) & _same(self.bytes_b, self.size_b, *b, raw))
+        return np.concatenate(oks), [tuple(np.concatenate([x[side][k] for x in found]) for k in range(2)) for side in range(2)]
+
+    def _encode_a(self, parts: list[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the byte-level tokenizer, and how many of each part. Parts are joined behind those that end in a solid character."""
+        texts, n = [], JOINED
+        for p in parts:
+            if n == JOINED or not ends_solid(texts[-1][-1]):
+                texts.append([])
+                n = 0
+            texts[-1].append(p)
+            n += 1
+        ids, _ = flat([x.ids for x in self.a.encode_batch_fast(["".join([" " + p for p in own]) for own in texts], add_special_tokens=False)])
+        ends, until = np.cumsum(self.size_a[ids]), np.cumsum([len(r) for r in raw])
+        last = np.searchsorted(ends, until)
+        if len(ends) and ends[-1] == until[-1] and (ends[last] == until).all():
+            return ids, np.diff(last + 1, prepend=0)
+        return flat([x.ids for x in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)])
 
     def ids(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         ok, (a, b) = self.parts([runs(t) if t else [] for t in texts])
         return [(a[i], b[i]) if t and ok[i] else None for i, t in enumerate(texts)]
 
 
+def _same(table: list[bytes], size: np.ndarray, ids: np.ndarray, count: np.ndarray, raw: list[bytes]) -> np.ndarray:
+    """Whether the bytes of each part's ids are its own: at once if all are, else part by part."""
+    last = np.cumsum(count)
+    ends = np.concatenate([[0], np.cumsum(size[ids])])[last]
+    if (ends == np.cumsum([len(r) for r in raw])).all() and _joined(table, ids.tolist()) == b"".join(raw):
+        return np.ones(len(raw), bool)
+    return np.array([_joined(table, ids[j - n : j].tolist()) == r for r, j, n in zip(raw, last.tolist(), count.tolist(), strict=True)], bool)
+
+
 def _joined(table: list[bytes], ids: list[int]) -> bytes:
     return b"".join(map(table.__getitem__, ids))
 

@@ -143,3 +143,30 @@ def test_bounded_memory():
         assert tracemalloc.get_traced_memory()[1] < 60_000_000
     finally:
         tracemalloc.stop()
+
+
+def test_parts_are_encoded_many_at_a_time(monkeypatch):
+    """Joined parts have the ids that each has alone, whatever they begin and end with; the byte-level tokenizer gets few texts."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeiou'lnrst.,-0é") for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    odd = ["", " ", "  x", "x  ", "tab\t", "line\nend\n", "nbsp\u00a0", "a\u2581b", "<|endoftext|>", "中文字", "🙂", "'s", "\u3000", "x\u0301", "\t\ty", "0\x00", "\u00ad", "'", " 's"]
+    parts = list(dict.fromkeys([*words[:1500], *odd, *words[1500:]]))
+    tokens, asked = alignment.Pair(A, B), []
+    alone = [tokens.a.encode(" " + p, add_special_tokens=False).ids for p in parts]
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return real.encode_batch_fast(texts, **options)
+
+    real, tokens.a = tokens.a, Counted()
+    ok, ((ids, count), (other, many)) = tokens._encode(parts)
+    assert len(asked) < len(parts) / 50
+    cut = np.cumsum(count)
+    assert [x.tolist() for x in np.split(ids, cut[:-1])] == alone
+    assert [x.tolist() for x in np.split(other, np.cumsum(many)[:-1])] == [tokens.b.encode(p) if p else [tokens.b.piece_to_id("▁")] for p in parts]
+    assert [p for p, fine in zip(parts, ok) if not fine] == ["a\u2581b"]
+    # a tokenizer that joined what it shouldn't: its parts are encoded alone
+    monkeypatch.setattr(alignment, "ends_solid", lambda part: True)
+    ids, count = tokens._encode_a(parts, [b" " + p.encode() for p in parts])
+    assert sum(count) == len(ids) and len(count) == len(parts)
