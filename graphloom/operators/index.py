@@ -13,7 +13,8 @@ score to reach comes from the blocks of the largest bounds, whose documents are
 
 Postings are written where their document is read, without a shuffle or a sort, in parts of some
 PART_DOCS documents. Blocks are formed of the words asked for alone, and scores are added up
-a part at a time: what lies on disk beside the postings doesn't grow with the corpus.
+a part at a time: what the scoring shuffles at once doesn't grow with the corpus. Blocks and pairs
+of queries and documents still do; they are small beside the postings.
 
 An index can be kept as segments: each is written once, in such parts, with the number and length of
 its documents. Statistics are sums over segments; deleted documents are marks that hold for
