@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .index import terms
+from . import scan
+from .index import SENT_DOCS, dealt, terms
 
 #: Tokens of a passage by which containment is looked up.
 RARE = 3
 
 
 def containing(corpus: DataFrame, queries: DataFrame, postings: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """(qid, doc_id) of documents whose contents hold the query text literally. postings: (token, doc_id, ...) of the corpus, if there are.
+    """(qid, doc_id) of documents whose contents hold the query text literally. postings: (token, doc_id, ...) of the corpus, if there are;
+    else the texts are read as they are (scan.holding).
 
     A document that holds a text holds all its inner tokens (those at its ends may be parts of words there). So a text
     is looked up by its RARE inner tokens of fewest documents, all of which a candidate must have, and the candidates are
     verified. Texts of fewer than three tokens have no inner token; they are few and short, and meet all documents.
     keep makes tables of the few words and pairs that are looked up, so Spark knows their sizes and leaves postings and texts
     where they are."""
+    if postings is None:
+        return scan.holding(corpus, queries, keep)
     own = queries.where("query <> ''").select("qid", "query", terms(F.col("query")).alias("w")).withColumn("inner", F.array_distinct(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))))
     asked = own.select("qid", F.explode("inner").alias("token"))
-    if postings is None:
-        postings = corpus.select("doc_id", F.explode(F.array_distinct(terms(F.col("contents")))).alias("token"))
     words = postings.select("doc_id", "token").join(asked.select("token").distinct(), "token", "left_semi")
     df = words.groupBy("token").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("df", "token"))
@@ -39,6 +42,18 @@ def containing(corpus: DataFrame, queries: DataFrame, postings: DataFrame | None
     return found.unionByName(short.join(corpus.select("doc_id", "contents"), F.contains("contents", F.col("query"))).select("qid", "doc_id"))
 
 
+def among(corpus: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents that a table (doc_id, ...) names. The others' texts stay where they are however many ids there are: these are sent to
+    all tasks, some SENT_DOCS at a time."""
+    ids = found.select("doc_id").distinct()
+    n = max(1, math.ceil(found.count() / SENT_DOCS))
+    out = None
+    for k in range(n):
+        own = corpus.join(F.broadcast(ids.where(dealt(k, n)) if n > 1 else ids), "doc_id", "left_semi")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def gold_flag(hits: DataFrame, gold: DataFrame) -> DataFrame:
     """is_gold 0 or 1; gold: (qid, doc_id)."""
     return hits.join(gold.select("qid", "doc_id", F.lit(1).alias("g__")).distinct(), ["qid", "doc_id"], "left").select(*hits.columns, F.coalesce("g__", F.lit(0)).alias("is_gold"))

@@ -177,6 +177,14 @@ class Stages:
         self.n += 1
         return stage_table(df, f"{self.root}/{self.n:04d}")
 
+    def end(self, df: DataFrame) -> DataFrame:
+        """The run's result as a table, beside which nothing of the run is left. Only for a run that isn't to be resumed."""
+        done = self(df)
+        for n in listed(df.sparkSession, self.root):
+            if n != f"{self.n:04d}":
+                remove(df.sparkSession, f"{self.root}/{n}")
+        return done
+
 
 def fingerprint(config: object, *inputs: DataFrame) -> str:
     """Of a configuration and of the rows of inputs, whatever their order."""
