@@ -19,6 +19,7 @@ from ..operators import graph as G
 from ..operators import retrieval as R
 from ..operators import scoring, selection, triples, verification
 from ..operators.index import Index
+from ..operators.scan import Scan
 from ..sources import models
 from ..sources.tables import EngineConfig, GraphTable, MemoTable
 
@@ -28,15 +29,14 @@ Keep = Callable[[DataFrame], DataFrame]
 class Corpus:
     """A corpus (doc_id, contents) with its index, which is built once and read by every step. Hits are (qid, ord, doc_id, evidence)."""
 
-    def __init__(self, docs: DataFrame, keep: Keep, max_words: int = 500, index: Index | None = None):
-        """index: that of a stored index's segments; else it is built."""
+    def __init__(self, docs: DataFrame, keep: Keep, max_words: int = 500, index: Index | Scan | None = None):
+        """index: that of a stored index's segments, or a scan of the docs for a run that searches once; else it is built."""
         self.keep, self.docs, self.max_words = keep, docs, max_words
         self.index = index or Index.build(docs, keep)
 
     def read(self, found: DataFrame) -> DataFrame:
         """A table (doc_id, ...) with evidence: only passages that are found are made, and no copy of the others is kept."""
-        own = self.docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-        return found.join(R.passages(own, self.max_words).select("doc_id", "evidence"), "doc_id")
+        return found.join(R.passages(R.among(self.docs, found), self.max_words).select("doc_id", "evidence"), "doc_id")
 
     def hits(self, queries: DataFrame, top_k: int) -> DataFrame:
         """Each distinct query text is searched once."""
