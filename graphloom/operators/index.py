@@ -44,6 +44,8 @@ SLACK = 1e-5
 SENT_WORDS, SENT_DOCS = 200_000, 200_000
 #: Documents of a part of the postings, about.
 PART_DOCS = 200_000
+#: How stored postings are written.
+SMALL = {"compression": "zstd", "parquet.writer.version": "v2"}
 #: Scores that a task adds up.
 SUMS = 250_000
 
@@ -94,6 +96,12 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _pieces(rows: DataFrame, *key: str) -> list[DataFrame]:
+    """A table in slices of some SENT_WORDS rows, by a key: what is sent to all tasks at a time, so that postings stay where they are."""
+    n = max(1, math.ceil(rows.count() / SENT_WORDS))
+    return [F.broadcast(rows.where(F.pmod(F.xxhash64(*key), F.lit(n)) == k) if n > 1 else rows) for k in range(n)]
+
+
 @dataclass
 class Index:
     """Postings in parts (table, k, n), each of which holds all postings of its documents, which are dealt(k, n); how many documents
@@ -129,8 +137,8 @@ class Index:
     def _asked(self, queries: DataFrame, k1: float, b: float, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
         """(qid, token, qtf, idf, block, n, bound): the blocks of the queries' words, and the most that a posting of each can add."""
         words = queries.select("qid", F.explode(terms(F.col("query"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
-        # a table, whose size Spark knows: postings of other words are left out before they are blocks
-        own = keep(blocks(self.postings.join(keep(words.select("token").distinct()), "token", "left_semi")))
+        # postings of other words are left out before they are blocks
+        own = keep(_union([blocks(self.postings.join(w, "token", "left_semi")) for w in _pieces(keep(words.select("token").distinct()), "token")]))
         df = own.groupBy("token").agg(F.sum("n").alias("df"))
         idf = F.log(1 + (F.lit(self.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         bound = F.col("qtf") * self._part(F.col("idf"), F.col("max_tf"), F.col("min_dl"), k1, b)
@@ -138,7 +146,8 @@ class Index:
 
     def _documents(self, wanted: DataFrame) -> DataFrame:
         """(qid, doc_id) of the blocks (qid, token, block): equi-joined by word and block, each of which is a part of a word's postings."""
-        return self.postings.select("token", "block", "doc_id").join(wanted.select("qid", "token", "block"), ["token", "block"]).select("qid", "doc_id").distinct()
+        own = self.postings.select("token", "block", "doc_id")
+        return _union([own.join(w, ["token", "block"]).select("qid", "doc_id") for w in _pieces(wanted.select("qid", "token", "block"), "token", "block")]).distinct()
 
     def _scores(self, pairs: DataFrame, words: DataFrame, keep: Callable[[DataFrame], DataFrame], k1: float, b: float, reach: DataFrame | None = None) -> DataFrame:
         """(qid, doc_id, score) of pairs (qid, doc_id); words: (qid, token, qtf, idf); both tables. Postings of the queries' words go once to
@@ -208,22 +217,23 @@ class Segments:
         version = manifest["version"] + 1
         write_text(self.spark, f"{self.root}/manifest/version-{version:06d}", json.dumps(manifest | {"version": version}))
 
-    def _write(self, number: int, own: Callable[[Column], DataFrame], docs: DataFrame) -> dict:
-        """A segment: postings in parts, each written where its documents are read, and its documents. own: postings of the documents of a part."""
+    def _write(self, number: int, own: Callable[[int, int], DataFrame], docs: DataFrame) -> dict:
+        """A segment: postings in parts, each written where its documents are read, and its documents. own: postings of the documents of
+        part k of n, a power of two: a part of one segment has documents of few parts of another."""
         path = f"{self.root}/segment-{number:06d}"
         with tidy(self.spark):
             docs.select("doc_id").write.parquet(f"{path}/docs")
             n = self.spark.read.schema(self.doc).parquet(f"{path}/docs").count()
-            parts = max(1, math.ceil(n / PART_DOCS))
+            parts = 1 << max(0, math.ceil(n / PART_DOCS) - 1).bit_length()
             for k in range(parts):
-                own(dealt(k, parts)).write.option("compression", "zstd").parquet(f"{path}/postings/{k:04d}")
+                own(k, parts).write.options(**SMALL).parquet(f"{path}/postings/{k:04d}")
         written = self.spark.read.schema(self.schema).parquet(*[f"{path}/postings/{k:04d}" for k in range(parts)])
         return {"number": number, "docs": n, "parts": parts, "words": written.agg(F.sum("tf")).first()[0] or 0}
 
     def add(self, corpus: DataFrame) -> None:
         """Documents (doc_id, contents) as a new segment. Those that are there already have to be deleted before."""
         m = self._manifest()
-        segment = self._write(m["next"], lambda here: postings(corpus.where(here)), corpus)
+        segment = self._write(m["next"], lambda k, n: postings(corpus.where(dealt(k, n))), corpus)
         self._commit(m | {"next": m["next"] + 1, "segments": [*m["segments"], segment]})
 
     def delete(self, ids: DataFrame) -> None:
@@ -232,10 +242,13 @@ class Segments:
         ids.select("doc_id").distinct().write.parquet(f"{self.root}/deleted-{m['next']:06d}")
         self._commit(m | {"next": m["next"] + 1, "deleted": [*m["deleted"], m["next"]]})
 
-    def _left(self, m: dict, number: int, own: DataFrame) -> DataFrame:
-        """Rows of a segment but those of documents that a later mark names."""
+    def _left(self, m: dict, number: int, own: DataFrame, k: int = 0, n: int = 1) -> DataFrame:
+        """Rows of part k of n of a segment but those of documents that a later mark names. Marks are sent to the rows, but for more than
+        a part should have."""
         for d in (d for d in m["deleted"] if d > number):
-            own = own.join(self.spark.read.schema(self.doc).parquet(f"{self.root}/deleted-{d:06d}"), "doc_id", "left_anti")
+            marks = self.spark.read.schema(self.doc).parquet(f"{self.root}/deleted-{d:06d}")
+            few = marks.count() <= n * SENT_DOCS
+            own = own.join(F.broadcast(marks.where(dealt(k, n))) if few else marks, "doc_id", "left_anti")
         return own
 
     def _parts(self, m: dict) -> list[tuple[DataFrame, int, int]]:
@@ -245,7 +258,7 @@ class Segments:
             path, n = f"{self.root}/segment-{s['number']:06d}/postings", s.get("parts")
             for k in range(n or 1):  # a segment of before there were parts is one
                 own = self.spark.read.schema(self.schema).parquet(f"{path}/{k:04d}" if n else path)
-                out.append((self._left(m, s["number"], own).select("token", "block", "doc_id", "tf", "dl"), k, n or 1))
+                out.append((self._left(m, s["number"], own, k, n or 1).select("token", "block", "doc_id", "tf", "dl"), k, n or 1))
         return out or [(self.spark.createDataFrame([], self.schema), 0, 1)]
 
     def _docs(self, m: dict) -> DataFrame:
@@ -263,8 +276,8 @@ class Segments:
     def merge(self) -> None:
         """One segment of what is alive; the folders of the old ones may be swept once nobody reads them."""
         m = self._manifest()
-        own = _union([own for own, _, _ in self._parts(m)])
-        segment = self._write(m["next"], own.where, self._docs(m))
+        old = self._parts(m)
+        segment = self._write(m["next"], lambda k, n: _union([own for own, j, i in old if (j - k) % math.gcd(i, n) == 0]).where(dealt(k, n)), self._docs(m))
         self._commit({"version": m["version"], "next": m["next"] + 1, "segments": [segment], "deleted": []})
 
     def sweep(self) -> None:
