@@ -54,6 +54,23 @@ def among(corpus: DataFrame, found: DataFrame) -> DataFrame:
     return out
 
 
+def beside(corpus: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of a table (doc_id, ...) with the contents of their documents. These stay where they are; the rows are sent to all tasks, some
+    SENT_DOCS at a time."""
+    n = max(1, math.ceil(found.count() / SENT_DOCS))
+    out = None
+    for k in range(n):
+        own = corpus.select("doc_id", "contents").join(F.broadcast(found.where(dealt(k, n)) if n > 1 else found), "doc_id")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def held_by(corpus: DataFrame, hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, doc_id) of hits whose document holds the query text literally. hits: (qid, doc_id, ...). No other documents are looked at."""
+    asked = hits.select("qid", "doc_id").distinct().join(queries.where("query <> ''").select("qid", "query").distinct(), "qid")
+    return beside(corpus, asked).where(F.contains("contents", F.col("query"))).select("qid", "doc_id").distinct()
+
+
 def gold_flag(hits: DataFrame, gold: DataFrame) -> DataFrame:
     """is_gold 0 or 1; gold: (qid, doc_id)."""
     return hits.join(gold.select("qid", "doc_id", F.lit(1).alias("g__")).distinct(), ["qid", "doc_id"], "left").select(*hits.columns, F.coalesce("g__", F.lit(0)).alias("is_gold"))
