@@ -16,9 +16,9 @@ from .index import SENT_DOCS, dealt, terms
 RARE = 3
 
 
-def containing(corpus: DataFrame, queries: DataFrame, postings: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def containing(corpus: DataFrame, queries: DataFrame, postings: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df, searched: scan.Scan | None = None) -> DataFrame:
     """(qid, doc_id) of documents whose contents hold the query text literally. postings: (token, doc_id, ...) of the corpus, if there are;
-    else the texts are read as they are (scan.holding).
+    else the texts are read as they are (scan.holding). searched: a scan of them that is used often, whose counts serve here too.
 
     A document that holds a text holds all its inner tokens (those at its ends may be parts of words there). So a text
     is looked up by its RARE inner tokens of fewest documents, all of which a candidate must have, and the candidates are
@@ -26,7 +26,7 @@ def containing(corpus: DataFrame, queries: DataFrame, postings: DataFrame | None
     keep makes tables of the few words and pairs that are looked up, so Spark knows their sizes and leaves postings and texts
     where they are."""
     if postings is None:
-        return scan.holding(corpus, queries, keep)
+        return scan.holding(corpus, queries, keep, searched.frequencies(keep) if searched and searched.often else None)
     own = queries.where("query <> ''").select("qid", "query", terms(F.col("query")).alias("w")).withColumn("inner", F.array_distinct(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))))
     asked = own.select("qid", F.explode("inner").alias("token"))
     words = postings.select("doc_id", "token").join(asked.select("token").distinct(), "token", "left_semi")

@@ -30,13 +30,14 @@ class Corpus:
     """A corpus (doc_id, contents) with its index, which is built once and read by every step. Hits are (qid, ord, doc_id, evidence)."""
 
     def __init__(self, docs: DataFrame, keep: Keep, max_words: int = 500, index: Index | Scan | None = None):
-        """index: that of a stored index's segments, or a scan of the docs for a run that searches once; else it is built."""
+        """index: that of a stored index's segments, or a scan of the docs for a run that searches a few times; else it is built."""
         self.keep, self.docs, self.max_words = keep, docs, max_words
         self.index = index or Index.build(docs, keep)
 
     def read(self, found: DataFrame) -> DataFrame:
-        """A table (doc_id, ...) with evidence: only passages that are found are made, and no copy of the others is kept."""
-        return found.join(R.passages(R.among(self.docs, found), self.max_words).select("doc_id", "evidence"), "doc_id")
+        """A table (doc_id, ...) with evidence: only passages that are found are made, and no copy of the others is kept. A table, as what is
+        asked of the evidence would be asked of all documents else, before those that are found are picked."""
+        return found.join(self.keep(R.passages(R.among(self.docs, found), self.max_words).select("doc_id", "evidence")), "doc_id")
 
     def hits(self, queries: DataFrame, top_k: int) -> DataFrame:
         """Each distinct query text is searched once."""
